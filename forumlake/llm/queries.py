@@ -27,6 +27,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_lines
+
+    return drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped_lines")
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "place")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -35,7 +47,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op5_best_fit_packing, op8_quality_rules)}
+    return {f.__name__: f for f in (op3_token_files, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
