@@ -3,22 +3,72 @@
 The pre-tokenizer of a byte-level vocabulary never joins text across a space
 that has a non-space on either side, so a text may be cut before each such
 space and every part encoded by itself. Words recur, and the memo keeps the
-library's ids of those seen. Texts with other runs of white space are encoded
-in one piece.
+library's ids of those seen. A word of letters is one piece for the library's
+BPE model, and so are a comma, a full stop and a line's end after it. Texts with
+other white space beside a space are encoded in one piece.
 """
 
 from __future__ import annotations
 
 import os
 
-import numpy as np
-
 #: Words in each of the memo's two generations, and characters above which a word is not kept.
 MEMO_WORDS, MEMO_CHARS = 350_000, 48
-#: How the vocabulary writes a space; words that are encoded as one text.
-SPACE, JOINED = "\u0120", 4000
-#: Characters of text that are encoded together.
-SLICE_CHARS = 2_000_000
+
+
+class _Words(dict):
+    """Ids of words as little-endian unsigned 32-bit integers; a word not yet known is encoded on the way."""
+
+    def __init__(self, tokenizer, space: str):
+        self._tokenizer, self._space, self._older = tokenizer, space, {}
+        self._model = tokenizer.model.tokenize
+        self._bytes = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self._written = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self._before = space.translate(self._written)
+        self._signs = {x: self.library(x) for x in (",", ".", "\n")}
+
+    def library(self, text: str) -> bytes:
+        ids = self._bytes
+        return b"".join([ids[i] for i in self._tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def letters(self, word: str, before: str) -> bytes:
+        ids = self._bytes
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self._written)
+        return b"".join([ids[x.id] for x in self._model(before + piece)])
+
+    def _after_space(self, word: str) -> bytes | None:
+        """Ids of letters and at most one sign, or None."""
+        sign = word[-1:]
+        core = word[:-1] if sign == "," or sign == "." else word
+        if not core.isalpha():
+            return None
+        ids = self.get(core)
+        if ids is None:
+            ids = self._older.get(core) or self.letters(core, self._before)
+            if len(core) <= MEMO_CHARS:
+                self[core] = ids
+        return ids if core is word else ids + self._signs[sign]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._older.get(word)
+        if ids is None:
+            if not word or word[-1].isspace() or (self._space and word[0].isspace()):
+                raise KeyError(word)  # white space beside a space
+            ids = self._after_space(word)
+            if ids is None:
+                first, line, second = word.partition("\n")
+                ids = self._after_space(first) if second.isalpha() else None
+                ids = self.library(self._space + word) if ids is None else ids + self._signs[line] + self.letters(second, "")
+        if len(word) <= MEMO_CHARS:
+            self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > MEMO_WORDS:
+            self._older = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -28,109 +78,23 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
-        self._spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self._spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-        self._bytes = [i.to_bytes(4, "little") for i in range(len(self._spaced))]
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in plain]
-        self._written = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self._signs = {x: ids.tobytes() for x, ids in zip([",", ".", "\n"], self._library([",", ".", "\n"]))}
-        self._memo: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype="<u4") for x in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _letters(self, word: str) -> bytes:
-        """Ids of letters only, perhaps after a space: one piece, so the library's BPE model takes it directly."""
-        piece = word.encode().decode("latin-1").translate(self._written)
-        return b"".join([self._bytes[x.id] for x in self._tokenizer.model.tokenize(piece)])
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that follow a space. Most are letters with a stop or comma, or two such words about a line's end."""
-        out: dict[str, bytes] = {}
-        known, signs, rest = self._memo, self._signs, []
-
-        def one(word: str) -> bytes | None:
-            core, sign = (word[:-1], word[-1]) if word[-1:] in (",", ".") else (word, "")
-            if not core.isalpha():
-                return None
-            if core not in known and core not in out:
-                out[core] = self._letters(" " + core)
-            ids = known.get(core) or out[core]
-            return ids + signs[sign] if sign else ids
-
-        for word in words:
-            first, line, second = word.partition("\n")
-            ids = one(first)
-            if ids is not None and line:
-                ids = ids + signs[line] + self._letters(second) if second.isalpha() else None
-            if ids is None:
-                rest.append(word)
-            else:
-                out[word] = ids
-        return out | self._joined(rest)
-
-    def _joined(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that follow a space: joined in long texts, since the library's cost is by text.
-
-        A token that holds the space starts each word, and no other token holds one."""
-        out = {}
-        for i in range(0, len(words), JOINED):
-            part = words[i : i + JOINED]
-            ids = self._library([" " + " ".join(part)])[0]
-            starts = np.flatnonzero(self._spaced[ids])
-            if len(starts) != len(part):
-                out.update(zip(part, [x.tobytes() for x in self._library([" " + w for w in part])]))
-                continue
-            raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-            out.update(zip(part, [raw[a:b] for a, b in zip((4 * starts).tolist(), ends)]))
-        return out
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self._words, self._heads = _Words(tokenizer, " "), _Words(tokenizer, "")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        i = 0
-        while i < len(texts):
-            j, chars = i, 0
-            while j < len(texts) and (j == i or chars + len(texts[j]) <= SLICE_CHARS):
-                chars += len(texts[j])
-                j += 1
-            out += self._slice(texts[i:j])
-            i = j
-        return out
-
-    def _slice(self, texts: list[str]) -> list[bytes]:
-        if len(self._memo) > MEMO_WORDS:
-            self._older, self._memo = self._memo, {}
-        memo, older = self._memo, self._older
-        parts = [text.split(" ") for text in texts]
-        heads = [part.pop(0) for part in parts]
-        missing = []
-        for word in set().union(*parts).difference(memo):
-            if word in older:
-                memo[word] = older[word]
-            elif word and not word[0].isspace() and not word[-1].isspace():
-                missing.append(word)
-        learnt = self._learn(missing)
-        memo.update(learnt)
-        out = [x.tobytes() for x in self._library(heads)]
-        whole = []
-        for i, part in enumerate(parts):
+        words, heads, out = self._words.__getitem__, self._heads, []
+        for i, text in enumerate(texts):
+            head, *rest = text.split(" ")
             try:
-                if part and heads[i][-1:].isspace():
-                    raise KeyError(heads[i])
-                out[i] += b"".join(map(memo.__getitem__, part))
-            except KeyError:  # white space beside a space
-                whole.append(i)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = ids.tobytes()
-        for word in learnt:
-            if len(word) > MEMO_CHARS:
-                del memo[word]
+                ids = heads[head] if head or rest else b""
+                out.append(ids + b"".join(map(words, rest)))
+            except KeyError:
+                out.append(heads.library(text))
+            if i % 64 == 0:
+                self._words.age()
+                heads.age()
         return out
 
 

@@ -72,12 +72,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): start counts the ids of all documents before.
 
-    The only thing gathered is a row for each file. Without ids selected, the scan skips their pages.
+    The only thing gathered and broadcast is a row of 12 bytes for each file. Without ids selected, the scan skips their pages.
     """
     rows = spark.read.schema("doc_id long, n_tokens long, file_part int, file_start long, ids array<int>").parquet(path)
     sizes = rows.groupBy("file_part").agg(F.max(F.col("file_start") + F.col("n_tokens")).alias("size"))
     offsets = sizes.selectExpr("file_part", "sum(size) OVER (ORDER BY file_part) - size AS file_offset")
-    return rows.join(offsets, "file_part").select("doc_id", (F.col("file_offset") + F.col("file_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(offsets), "file_part").select("doc_id", (F.col("file_offset") + F.col("file_start")).alias("start"), "n_tokens", "ids")
 
 
 def read_documents(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
