@@ -46,8 +46,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules)}
+    return {f.__name__: f for f in (op3_token_files, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
