@@ -30,8 +30,10 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, lower-cased bytes, offsets of the rows in them) for slices of a string column; null counts as empty."""
+def slices(column: pa.Array, latin: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, lower-cased bytes, offsets of the rows in them) for slices of a string column; null counts as empty.
+
+    Lower-casing takes A-Z and, with latin, the Latin-1 letters."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     column = column.fill_null("")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -40,22 +42,28 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1)
         text = _LOWER[data[offsets[first] : offsets[last]]]
-        upper = np.flatnonzero((text[:-1] == 0xC3) & (text[1:] >= 0x80) & (text[1:] <= 0x9E) & (text[1:] != 0x97)) + 1
-        text[upper] += 0x20
+        if latin:
+            text = _lower_latin(text)
         yield first, text, offsets[first : last + 1] - offsets[first]
         first = last
 
 
+def _lower_latin(text: np.ndarray) -> np.ndarray:
+    upper = np.flatnonzero((text[:-1] == 0xC3) & (text[1:] >= 0x80) & (text[1:] <= 0x9E) & (text[1:] != 0x97)) + 1
+    text[upper] += 0x20
+    return text
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words and the row of each. A word is a run of letters and digits within a row."""
+def word_hashes(text: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words and the row of each. A word is a run of bytes of the kind within a row."""
     inside = np.zeros(len(text) + 2, dtype=bool)
-    inside[1:-1] = _WORD[text]
+    inside[1:-1] = kind[text]
     change = inside[1:] != inside[:-1]
     cuts = offsets[1:-1]
     both = cuts[inside[cuts] & inside[cuts + 1]]  # two rows that touch within a word

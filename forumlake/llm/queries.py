@@ -21,6 +21,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -53,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op3_token_files, op4_near_dedup, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
