@@ -1,92 +1,111 @@
 """Line dedup with a log-template tree.
 
-A line's tokens are generalised (a token with a digit becomes a wildcard), and
-the line goes down a tree of fixed depth: the count of its tokens, then its
-leading tokens. Lines with equal generalised tokens are one template. In a leaf
-two templates are one if enough places agree: the places after the leading
-tokens are cut into a few segments, templates that share a segment meet at the
-segment's first template, and the pair is compared place by place. Templates
-that recur in several documents are dropped, but for the first document's first
-line. Everything is keyed by hashes of lines, so that no leaf is ever gathered;
-what the documents are joined with is the list of their dropped lines.
+A line goes down a tree of fixed depth: the count of its tokens, then its leading
+tokens, where a token with a digit is a variable field. Below, a template fixes
+one half of the remaining tokens and leaves the other half variable, so that a
+line of some length belongs to two templates; a short line's template fixes all
+its tokens. Templates that recur in several documents are dropped: of the lines
+of one template only the first stays. Templates are known by 64-bit hashes and
+counted with partial aggregates; no leaf of the tree is ever gathered. What the
+documents are joined with is the list of their dropped lines.
 
 Defined results: a null text stays null and an empty one empty; lines of fewer
 than LEAST_TOKENS tokens always stay, and so do lines that repeat within one
-document only; rows with equal doc_id and text count as one document and keep
-the same lines; of equal candidates the smallest doc_id (null first) keeps the
-line; an empty table gives no rows; other columns pass through unchanged.
+document only; rows with equal doc_id and text keep the same lines; the smallest
+doc_id (null first) keeps a recurring line; an empty table gives no rows; other
+columns pass through unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, cut
+from .ngrams import NOT_SPACE, mixed, powers, slices, spans
 
-#: Leading tokens that are levels of the tree; segments of the rest at most; agreeing places of two lines that are one.
-DEPTH, SEGMENTS, ALIKE = 3, 4, 0.75
+#: Leading tokens that are levels of the tree; tokens from which one half may vary.
+DEPTH, VARIABLE_TOKENS = 3, 9
 #: Lines of fewer tokens stay; below LONG_TOKENS a template recurs in SHORT_DOCUMENTS, else in LONG_DOCUMENTS.
 LEAST_TOKENS, LONG_TOKENS, SHORT_DOCUMENTS, LONG_DOCUMENTS = 3, 8, 10, 2
 
-
-def _templates(line: Column) -> Column:
-    """For one line: n tokens, template hash t, leaf, hashes of segments, a small hash for each place."""
-    tokens = F.filter(F.split(line, NOT_WORD), lambda w: w != "")
-    general = F.transform(tokens, lambda w: F.when(w.rlike("[0-9]"), F.lit("<*>")).otherwise(w))
-
-    def of(g: Column) -> Column:
-        rest = F.size(g) - DEPTH
-        n_segments = F.least(F.lit(SEGMENTS), F.floor(rest / 3).cast("int"))
-        step = F.ceil(rest / F.greatest(n_segments, F.lit(1))).cast("int")
-        segments = F.when(n_segments >= 2, F.transform(F.sequence(F.lit(0), n_segments - 1), lambda j: F.xxhash64(j, F.slice(g, DEPTH + 1 + j * step, step)))).otherwise(F.array().cast("array<bigint>"))
-        return F.struct(
-            F.size(g).alias("n"),
-            F.xxhash64(F.size(g), g).alias("t"),
-            F.xxhash64(F.size(g), F.slice(g, 1, DEPTH)).alias("leaf"),
-            segments.alias("segments"),
-            F.transform(g, lambda w: F.pmod(F.hash(w), F.lit(1 << 15)).cast("short")).alias("places"),
-        )
-
-    return F.element_at(F.transform(F.array(general), of), 1)
-
-
-def _same_templates(templates: DataFrame) -> DataFrame:
-    """(t, cluster) of the templates that are one with another of a smaller hash."""
-    keys = templates.select("t", "leaf", F.explode("segments").alias("segment"))
-    firsts = keys.groupBy("leaf", "segment").agg(F.min("t").alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    pairs = keys.join(firsts, ["leaf", "segment"]).filter("t <> first").select("t", "first").distinct()
-    one, two = templates.select("t", "places"), templates.select(F.col("t").alias("first"), F.col("places").alias("others"))
-    equal = F.aggregate(F.zip_with("places", "others", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
-    alike = pairs.join(one, "t").join(two, "first").filter(equal >= ALIKE * F.size("places"))
-    return alike.groupBy("t").agg(F.min("first").alias("cluster"))
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
+_FIELD = np.uint64(0x2545F4914F6CDD1D)
+
+
+def line_templates(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line in the row, template) for each template of each line; a template's lowest bit tells the long ones."""
+    starts, ends, hashes = spans(text, offsets, NOT_SPACE)
+    if not len(starts):
+        return (np.zeros(0, dtype=np.int64),) * 3
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[text])])
+    hashes = np.where(digits[ends] > digits[starts], _FIELD, hashes)
+    heads = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(text == 10) + 1]))
+    line_of = np.searchsorted(heads, starts, side="right") - 1
+    lines, first, n = np.unique(line_of, return_index=True, return_counts=True)
+    enough = n >= LEAST_TOKENS
+    lines, first, n = lines[enough], first[enough], n[enough]
+    row = np.searchsorted(offsets, heads[lines], side="right") - 1
+    line = lines - np.searchsorted(heads, offsets[row])
+
+    up, down = powers(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (sums[b] - sums[a]) * down[a]
+
+    count = n.astype(np.uint64)
+    varies = n >= VARIABLE_TOKENS
+    whole = mixed(run(first, first + n) + count)[~varies]
+    a, m = first[varies], n[varies]
+    half = a + DEPTH + (m - DEPTH) // 2
+    leaf = mixed(run(a, a + DEPTH) + count[varies] * np.uint64(0xD6E8FEB86659FD93))
+    one, two = mixed(leaf + run(a + DEPTH, half) + np.uint64(1)), mixed(leaf + mixed(run(half, a + m)) + np.uint64(2))
+    long = np.concatenate([n[~varies], m, m]) >= LONG_TOKENS
+    template = (np.concatenate([whole, one, two]) & ~np.uint64(1)) | long.astype(np.uint64)
+    return np.concatenate([row[~varies], row[varies], row[varies]]), np.concatenate([line[~varies], line[varies], line[varies]]), template.view(np.int64)
+
+
+def templates(docs: DataFrame, once: bool) -> DataFrame:
+    """(template, doc_id, text_hash, line) of every line. once: only the first line of a template in a document."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, text, offsets in slices(batch.column("text"), lower=False):
+                row, line, template = line_templates(text, offsets)
+                if once:
+                    order = np.lexsort((line, template, row))
+                    row, line, template = row[order], line[order], template[order]
+                    new = np.ones(len(row), dtype=bool)
+                    new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1])
+                    row, line, template = row[new], line[new], template[new]
+                at = pa.array(row + start)
+                yield pa.RecordBatch.from_arrays([pa.array(template), batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(line.astype(np.int32))], ["template", "doc_id", "text_hash", "line"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).filter("text IS NOT NULL")
+    return rows.mapInArrow(find, "template long, doc_id long, text_hash long, line int")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, drop): the places of the lines that go, for the documents that lose any."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    lines = lines.withColumn("found", _templates(F.col("value"))).filter(F.col("found.n") >= LEAST_TOKENS)
-    lines = cut(lines.select("doc_id", "text_hash", "line", "found.*"), "lines")
-    templates = lines.groupBy("t").agg(F.first("leaf").alias("leaf"), F.first("segments").alias("segments"), F.first("places").alias("places"))
-    same = cut(_same_templates(cut(templates.filter(F.size("segments") > 0), "templates")), "same")
-    onward = same.select(F.col("t").alias("cluster"), F.col("cluster").alias("further"))
-    same = same.join(onward, "cluster", "left").select("t", F.coalesce("further", "cluster").alias("cluster"))
-    held = lines.groupBy("t", "n", "doc_id", "text_hash").agg(F.collect_list("line").alias("places"))
-    held = held.join(same, "t", "left").select(F.coalesce("cluster", "t").alias("cluster"), "n", "doc_id", "text_hash", "places")
-    key = F.struct("doc_id", "text_hash", F.array_min("places").alias("line"))
-    recurring = held.groupBy("cluster", "n").agg(F.count_distinct("doc_id", "text_hash").alias("documents"), F.min(key).alias("first"))
-    recurring = recurring.filter(F.col("documents") >= F.when(F.col("n") < LONG_TOKENS, SHORT_DOCUMENTS).otherwise(LONG_DOCUMENTS)).drop("documents", "n")
-    found = held.join(recurring, "cluster").select("doc_id", "text_hash", F.explode("places").alias("line"), "first")
-    gone = found.filter(~(F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("first"))))
+    place = F.struct("doc_id", "text_hash", "line")
+    least = F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, LONG_DOCUMENTS).otherwise(SHORT_DOCUMENTS)
+    counts = templates(docs, once=True).groupBy("template").agg(F.count("*").alias("documents"), F.min(place).alias("first"))
+    recurring = counts.filter(F.col("documents") >= least).select("template", "first")
+    gone = templates(docs, once=False).join(recurring, "template").filter(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drop"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs with the recurring lines taken out of text, and n_dropped_lines."""
     own = [c for c in docs.columns if c != "n_dropped_lines"]
-    rows = docs.select(F.struct(*own).alias("_row"), "doc_id", F.xxhash64("text").alias("text_hash"))
-    gone = dropped_lines(docs.select("doc_id", "text").filter("text IS NOT NULL"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drop")
+    rows = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    gone = dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drop")
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     kept = F.array_join(F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     text = F.when(F.col("drop").isNull(), F.col("_row.text")).otherwise(kept)

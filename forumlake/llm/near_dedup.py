@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .ngrams import mixed, slices, word_hashes
+from .ngrams import NOT_SPACE, mixed, slices, word_hashes
 
 #: Registers, registers in a band, base of the scale, rate of the exponentials.
 M, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
@@ -44,14 +44,12 @@ SPARE, ROUNDS = 4, 20
 BLOCK = 4096
 
 _FACTORS = mixed(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_NOT_SPACE = np.ones(256, dtype=bool)
-_NOT_SPACE[[*range(9, 14), 32]] = False
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted hashes of each text's distinct shingles."""
     for _, text, offsets in slices(column, latin=False):
-        words, rows = word_hashes(text, offsets, _NOT_SPACE)
+        words, rows = word_hashes(text, offsets, NOT_SPACE)
         at = np.searchsorted(rows, np.arange(len(offsets)))
         pairs = mixed(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:]) if len(words) > 1 else words[:0]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):

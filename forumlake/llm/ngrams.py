@@ -15,6 +15,8 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+NOT_SPACE = np.ones(256, dtype=bool)
+NOT_SPACE[[*range(9, 14), 32]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -30,10 +32,10 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def slices(column: pa.Array, latin: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, lower: bool = True, latin: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, lower-cased bytes, offsets of the rows in them) for slices of a string column; null counts as empty.
 
-    Lower-casing takes A-Z and, with latin, the Latin-1 letters."""
+    Lower-casing takes A-Z and, with latin, the Latin-1 letters; without lower nothing is changed."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     column = column.fill_null("")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -41,8 +43,10 @@ def slices(column: pa.Array, latin: bool = True) -> Iterator[tuple[int, np.ndarr
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1)
-        text = _LOWER[data[offsets[first] : offsets[last]]]
-        if latin:
+        text = data[offsets[first] : offsets[last]]
+        if lower:
+            text = _LOWER[text]
+        if lower and latin:
             text = _lower_latin(text)
         yield first, text, offsets[first : last + 1] - offsets[first]
         first = last
@@ -60,8 +64,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words and the row of each. A word is a run of bytes of the kind within a row."""
+def spans(text: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes, ends and 64-bit hashes of all words. A word is a run of bytes of the kind within a row."""
     inside = np.zeros(len(text) + 2, dtype=bool)
     inside[1:-1] = kind[text]
     change = inside[1:] != inside[:-1]
@@ -75,8 +79,13 @@ def word_hashes(text: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _WORD)
     up, down = powers(len(text) + 1)
     sums = np.zeros(len(text) + 1, dtype=np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
-    rows = np.searchsorted(offsets, starts, side="right") - 1
-    return mixed((sums[ends] - sums[starts]) * down[starts]), rows
+    return starts, ends, mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(text: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the row of each."""
+    starts, _, hashes = spans(text, offsets, kind)
+    return hashes, np.searchsorted(offsets, starts, side="right") - 1
 
 
 def word_features(hashes: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
