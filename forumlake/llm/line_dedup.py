@@ -110,3 +110,12 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     kept = F.array_join(F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     text = F.when(F.col("drop").isNull(), F.col("_row.text")).otherwise(kept)
     return joined.select(*[(text.alias("text") if c == "text" else F.col("_row")[c].alias(c)) for c in own], F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped_lines"))
+
+
+def without_recurring_lines(docs: DataFrame) -> DataFrame:
+    """docs with its own columns only; n_chars, where there is one, counts what is left."""
+    found = drop_lines(docs)
+    own = {c: F.col(c) for c in docs.columns}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return found.select(*[v.alias(c) for c, v in own.items()])
