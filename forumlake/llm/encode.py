@@ -4,7 +4,7 @@ The pre-tokenizer of a byte-level vocabulary never joins text across a space
 that has a non-space on either side, so a text may be cut before each such
 space and every part encoded by itself. Words recur, and the memo keeps the
 library's ids of those seen. A word of letters is one piece for the library's
-BPE model, and so are a comma, a full stop and a line's end after it. Texts with
+BPE model, and so are the signs after it and a line's end. Texts with
 other white space beside a space are encoded in one piece.
 """
 
@@ -14,6 +14,8 @@ import os
 
 #: Words in each of the memo's two generations, and characters above which a word is not kept.
 MEMO_WORDS, MEMO_CHARS = 350_000, 48
+#: Signs of which a run after letters is a piece of its own; the apostrophe isn't among them.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Words(dict):
@@ -27,7 +29,7 @@ class _Words(dict):
         others = [b for b in range(256) if b not in plain]
         self._written = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
         self._before = space.translate(self._written)
-        self._signs = {x: self.library(x) for x in (",", ".", "\n")}
+        self._signs = {}
 
     def library(self, text: str) -> bytes:
         ids = self._bytes
@@ -38,10 +40,17 @@ class _Words(dict):
         piece = word if word.isascii() else word.encode().decode("latin-1").translate(self._written)
         return b"".join([ids[x.id] for x in self._model(before + piece)])
 
+    def _sign(self, signs: str) -> bytes:
+        ids = self._signs.get(signs)
+        if ids is None:
+            ids = self.library(signs)
+            if len(signs) <= 4:
+                self._signs[signs] = ids
+        return ids
+
     def _after_space(self, word: str) -> bytes | None:
-        """Ids of letters and at most one sign, or None."""
-        sign = word[-1:]
-        core = word[:-1] if sign == "," or sign == "." else word
+        """Ids of letters and a run of signs after them, which are two pieces, or None."""
+        core = word.rstrip(SIGNS)
         if not core.isalpha():
             return None
         ids = self.get(core)
@@ -49,7 +58,7 @@ class _Words(dict):
             ids = self._older.get(core) or self.letters(core, self._before)
             if len(core) <= MEMO_CHARS:
                 self[core] = ids
-        return ids if core is word else ids + self._signs[sign]
+        return ids if core == word else ids + self._sign(word[len(core) :])
 
     def __missing__(self, word: str) -> bytes:
         ids = self._older.get(word)
@@ -59,8 +68,12 @@ class _Words(dict):
             ids = self._after_space(word)
             if ids is None:
                 first, line, second = word.partition("\n")
-                ids = self._after_space(first) if second.isalpha() else None
-                ids = self.library(self._space + word) if ids is None else ids + self._signs[line] + self.letters(second, "")
+                core = second.rstrip(SIGNS)
+                ids = self._after_space(first) if core.isalpha() else None
+                if ids is None:
+                    ids = self.library(self._space + word)
+                else:
+                    ids += self._sign(line) + self.letters(core, "") + (self._sign(second[len(core) :]) if core != second else b"")
         if len(word) <= MEMO_CHARS:
             self[word] = ids
         return ids

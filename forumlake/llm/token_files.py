@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,21 +27,20 @@ from .encode import encoder
 
 #: Bytes of a row group and of a page, as the writer counts them.
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
-#: Characters that a Python worker encodes before it passes rows on.
-CHUNK_CHARS = 2_000_000
+#: Bytes of text that a Python worker encodes before it passes rows on.
+CHUNK_BYTES = 2_000_000
 
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
-    """Slices of a batch's texts of about CHUNK_CHARS: first row and texts, null as empty."""
-    texts, first, chars = [], 0, 0
-    for i, text in enumerate(batch.column(column)):
-        texts.append(text.as_py() or "")
-        chars += len(texts[-1])
-        if chars >= CHUNK_CHARS:
-            yield first, texts
-            texts, first, chars = [], i + 1, 0
-    if texts:
-        yield first, texts
+    """Slices of a batch's texts of about CHUNK_BYTES: first row and texts, null as empty."""
+    values = batch.column(column)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(values):
+        before = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, side="right")))
+        yield first, [x or "" for x in values[first:last].to_pylist()]
+        first = last
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -65,7 +65,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(encode, "doc_id long, n_tokens long, file_part int, file_start long, ids array<int>")
-    options = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "compression": "zstd"}
+    options = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "compression": "snappy"}
     rows.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
 
