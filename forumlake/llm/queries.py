@@ -15,6 +15,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(spark, vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files, with_crc32
 
@@ -65,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op4_near_dedup, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op9_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op2_nearest_neighbours, op3_token_files, op4_near_dedup, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op9_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
