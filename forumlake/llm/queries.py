@@ -15,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import nearest
 
@@ -72,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nearest_neighbours, op3_token_files, op4_near_dedup, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op9_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_token_files, op4_near_dedup, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op9_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
