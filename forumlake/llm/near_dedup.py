@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 from .common import cut
 from .ngrams import NOT_SPACE, mixed, slices, word_hashes
 
-#: Registers, registers in a band, base of the scale, rate of the exponentials.
-M, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
-#: Least similarity in hundredths, and least estimate that is still compared on full sets (over five standard deviations lower).
-SIMILAR, ESTIMATE = 80, 0.6
+#: Registers, bands, registers in a band, base of the scale, rate of the exponentials.
+M, BANDS, ROWS, BASE, RATE = 256, 32, 4, 1.001, 20.0
+#: Least similarity in hundredths, and least estimate that is still compared on full sets (4.4 standard deviations lower).
+SIMILAR, ESTIMATE = 80, 0.69
 #: Pairs outside a bucket's largest component, for each class, from which pivots go on; the rounds of pivots at most.
-SPARE, ROUNDS = 4, 20
+SPARE, ROUNDS = 64, 4
+#: Documents of pairs whose ids are broadcast, so that texts stay in place; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Elements whose hashes are made at once.
 BLOCK = 4096
 
@@ -114,7 +116,9 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity. Only the documents of pairs are read into sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,13 +169,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = cut(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers")), "classes")
     size = 2 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), lambda j: F.xxhash64(j, F.substring(F.col("registers"), j * size + 1, F.lit(size))))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring(F.col("registers"), j * size + 1, F.lit(size))))
     members = classes.select("id", F.explode(bands).alias("band"))
     crowded = members.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
     members = cut(members.join(crowded, "band"), "members")
     spare = SPARE * max(1, classes.count())
 
-    links, found = None, None
+    links, found, done = None, None, None
     for turn in range(ROUNDS):
         last = False
         if found is None:
@@ -187,14 +191,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             last = left <= spare or turn == ROUNDS - 1
             open_ = named.join(whole.select("band", "main"), "band")
         if last:  # all pairs with a member outside the bucket's main component
-            minor = open_.filter("component <> main").select("band", F.col("id").alias("a"), F.col("component").alias("of"))
-            pairs = minor.join(open_.select("band", F.col("id").alias("b"), "component"), "band").filter("of <> component")
+            sized = open_.join(classes.select("id", "n"), "id")
+            minor = sized.filter("component <> main").select("band", F.col("id").alias("a"), F.col("component").alias("of"), F.col("n").alias("n_a"))
+            fits = 100 * F.least("n_a", "n") >= SIMILAR * F.greatest("n_a", "n")
+            pairs = minor.join(sized.select("band", F.col("id").alias("b"), "component", "n"), "band").filter("of <> component").filter(fits)
         else:
-            order = F.struct(F.xxhash64("id", "band", F.lit(turn)), "id", "component")
+            order = F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")
             pivots = open_.groupBy("band").agg(F.min(order).alias("pivot")).select("band", F.col("pivot.id").alias("b"), F.col("pivot.component").alias("of"))
             pairs = open_.select("band", F.col("id").alias("a"), "component").join(pivots, "band").filter("of <> component")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = cut(_likely(pairs, classes), "pairs")
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "pairs")
+        done = pairs if done is None else done.unionByName(pairs)
+        likely = cut(_likely(pairs, classes), "likely")
         new = cut(_linked(likely, docs), "links")
         links = new if links is None else links.unionByName(new)
         found = components(links)
