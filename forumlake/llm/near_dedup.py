@@ -11,10 +11,10 @@ goes on. Bands of registers deal the classes into buckets. In every round each
 bucket has a pivot, by another order in each band, and the members are compared
 with the pivot: by size, by the likelihood of the registers given the similarity
 and both sizes, and at last on the full sets. Links are contracted to components.
-Members of a bucket in different components are compared further: every pair
-with a member outside the bucket's largest component, once these are few, and
-by more pivots until then. So no bucket is gathered, and no pair of a bucket is
-left out unless both are in one component.
+Members of buckets that still hold several components are compared once more, in
+blocks: all pairs of which one is outside its group's largest component, unless
+what the two share with any open document is already too little. So no bucket is
+gathered, and no pair of a bucket is left out unless both are in one component.
 
 Defined results: null and empty texts and texts without words have an empty set
 and are linked with nothing; one word is the set's one element; rows with equal
@@ -38,8 +38,8 @@ from .ngrams import NOT_SPACE, mixed, slices, word_hashes
 M, BANDS, ROWS, BASE, RATE = 256, 32, 4, 1.001, 20.0
 #: Least similarity in hundredths, and least estimate that is still compared on full sets (4.4 standard deviations lower).
 SIMILAR, ESTIMATE = 80, 0.69
-#: Pairs outside a bucket's largest component, for each class, from which pivots go on; the rounds of pivots at most.
-SPARE, ROUNDS = 64, 4
+#: Rounds of pivots; documents of a block in which those that are left are compared.
+PIVOTS, BLOCK_DOCUMENTS = 2, 256
 #: Documents of pairs whose ids are broadcast, so that texts stay in place; more are joined by a shuffle.
 BROADCAST = 1_000_000
 #: Elements whose hashes are made at once.
@@ -114,11 +114,16 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(estimate, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity. Only the documents of pairs are read into sets."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of some documents."""
+    wanted = cut(ids, "wanted")
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, elements) of some documents: the hashes as bytes."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +137,78 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     ids, sets, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "elements"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(collect, "doc_id long, elements binary"), "sets")
+    return _texts(docs, ids).mapInArrow(collect, "doc_id long, elements binary")
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have the similarity."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= SIMILAR * (len(a) + len(b) - common)
+
+
+def _open_links(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (a, b) between open documents of one group of buckets, of which one isn't in the group's largest component.
+
+    A group is dealt out in blocks of documents; each task holds one block of the
+    documents outside the largest component against one block of the group.
+    """
+    firsts = open_.groupBy("band").agg(F.min("id").alias("b"))
+    near = open_.select("band", F.col("id").alias("a")).join(firsts, "band").select("a", "b")
+    roots = components(near).withColumnRenamed("component", "root")
+    people = cut(open_.select("id", "component", "n", "shared").distinct().join(roots, "id"), "people")
+    shares = people.groupBy("root", "component").agg(F.count("*").alias("k"))
+    groups = shares.groupBy("root").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("most")).filter("all > most.k")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_DOCUMENTS)).cast("int")
+    groups = groups.select("root", F.col("most.component").alias("main"), blocks(F.col("all")).alias("of_all"), blocks(F.col("all") - F.col("most.k")).alias("of_minor"))
+    sets = _sets(docs, people.select(F.col("id").alias("doc_id")).distinct())
+    rows = people.join(groups, "root").join(classes.select("id", "registers"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    rows = cut(rows, "open")
+    own = [c for c in rows.columns if c not in ("of_all", "of_minor", "main")]
+    spot = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    minors = rows.filter("component <> main").select(*own, spot("of_minor", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("j"))
+    everyone = rows.select(*own, F.explode(F.sequence(F.lit(0), F.col("of_minor") - 1)).alias("i"), spot("of_all", 2).alias("j"))
+
+    def compare(left, right):
+        import pandas as pd
+
+        found = []
+        if len(left) and len(right):
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in right.elements]
+            registers_ = np.frombuffer(b"".join(right.registers), dtype="<u2").reshape(-1, M)
+            ids, of, n, shared = (right[c].to_numpy() for c in ("id", "component", "n", "shared"))
+            for x in left.itertuples():
+                common = np.minimum(shared, x.shared)
+                rows = np.flatnonzero((of != x.component) & (100 * common >= SIMILAR * (n + x.n - common)))
+                if len(rows):
+                    mine = np.frombuffer(x.registers, dtype="<u2")[None, :]
+                    rows = rows[likely_similarity(np.broadcast_to(mine, (len(rows), M)), registers_[rows], np.full(len(rows), float(x.n)), n[rows].astype(np.float64)) >= ESTIMATE]
+                own_set = np.frombuffer(x.elements, dtype=np.uint64)
+                found += [(min(x.id, ids[r]), max(x.id, ids[r])) for r in rows if similar(own_set, sets[r])]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    key = ["root", "i", "j"]
+    return minors.groupBy(*key).cogroup(everyone.groupBy(*key)).applyInPandas(compare, "a long, b long").distinct()
+
+
+def _alone(open_: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, alone): how many elements of a document's set stand in no other open document's.
+
+    Two open documents have no more in common than the fewer of their other elements.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s.view(np.int64))], ["id", "element"])
+
+    found = _texts(docs, open_.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(elements, "id long, element long")
+    owners = found.groupBy("element").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    return owners.filter("id = other").groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets have the similarity. Only the documents of pairs are read into sets."""
+    sets = cut(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "sets")
     one, two = (sets.select(F.col("doc_id").alias(x), F.col("elements").alias(f"s_{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "s_a", "s_b")
 
@@ -141,9 +216,7 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("s_a"), batch.column("s_b")):
-                a, b = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= SIMILAR * (len(a) + len(b) - common))
+                keep.append(similar(*(np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(confirm, "a long, b long").distinct()
@@ -173,43 +246,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = classes.select("id", F.explode(bands).alias("band"))
     crowded = members.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
     members = cut(members.join(crowded, "band"), "members")
-    spare = SPARE * max(1, classes.count())
-
-    links, found, done = None, None, None
-    for turn in range(ROUNDS):
-        last = False
+    links, found, sizes = None, None, None
+    for turn in range(PIVOTS + 1):
+        last = turn == PIVOTS
         if found is None:
-            open_ = members.withColumn("component", F.col("id"))
+            open_ = members.select("id", "band", F.col("id").alias("component"), F.lit(1).alias("n"), F.lit(0).alias("shared"))
         else:
             named = members.join(found, "id", "left").select("id", "band", F.coalesce("component", "id").alias("component"))
             shares = named.groupBy("band", "component").agg(F.count("*").alias("k"))
             whole = shares.groupBy("band").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("most")).filter("all > most.k")
-            whole = cut(whole.select("band", F.col("most.component").alias("main"), F.col("all").alias("all"), (F.col("all") - F.col("most.k")).alias("minor")), "open")
-            left = whole.agg(F.sum(F.col("minor") * F.col("all"))).first()[0]
-            if not left:
+            whole = cut(whole.select("band"), "buckets")
+            if whole.isEmpty():
                 break
-            last = left <= spare or turn == ROUNDS - 1
-            open_ = named.join(whole.select("band", "main"), "band")
-        if last:  # all pairs with a member outside the bucket's main component
-            sized = open_.join(classes.select("id", "n"), "id")
-            minor = sized.filter("component <> main").select("band", F.col("id").alias("a"), F.col("component").alias("of"), F.col("n").alias("n_a"))
-            fits = 100 * F.least("n_a", "n") >= SIMILAR * F.greatest("n_a", "n")
-            pairs = minor.join(sized.select("band", F.col("id").alias("b"), "component", "n"), "band").filter("of <> component").filter(fits)
-        else:
-            order = F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")
-            pivots = open_.groupBy("band").agg(F.min(order).alias("pivot")).select("band", F.col("pivot.id").alias("b"), F.col("pivot.component").alias("of"))
-            pairs = open_.select("band", F.col("id").alias("a"), "component").join(pivots, "band").filter("of <> component")
+            open_ = named.join(whole, "band")
+            if sizes is None:
+                sizes = classes.select("id", "n").join(_alone(open_, docs), "id", "left")
+                sizes = cut(sizes.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")), "sizes")
+            open_ = cut(open_.join(sizes, "id"), "open")
+        if last:
+            new = cut(_open_links(open_, classes, docs), "links")
+            links = new if links is None else links.unionByName(new)
+            found = components(links)
+            break
+        # The pivot of a group of copies is best the text that the others come from, which has least of its own.
+        order = F.struct(F.col("shared") / F.col("n") * -1, F.xxhash64("id", F.lit(turn)), "id", "component")
+        pivots = open_.groupBy("band").agg(F.min(order).alias("pivot")).select("band", F.col("pivot.id").alias("b"), F.col("pivot.component").alias("of"))
+        pairs = open_.select("band", F.col("id").alias("a"), "component").join(pivots, "band").filter("of <> component")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
         likely = cut(_likely(pairs, classes), "likely")
         new = cut(_linked(likely, docs), "links")
         links = new if links is None else links.unionByName(new)
         found = components(links)
-        if last:
-            break
 
     named = classes.join(found, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"))
     of_id = full.join(named, ["n", "f1", "f2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
