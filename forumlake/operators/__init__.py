@@ -1 +1 @@
-
+"""Relational, retrieval and chunking operators: functions from DataFrames to DataFrames."""

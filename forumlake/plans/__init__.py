@@ -1 +1 @@
-
+"""Queries over the driver's tables and the SQL that states their results."""

@@ -1 +1 @@
-
+"""Readers and writers of the engine's tables."""
