@@ -74,5 +74,6 @@ def consultation(header: Column) -> Column:
     day = F.regexp_extract(header, r"^\s*(\d{2}\.\d{2}\.\d{4})", 1)
     intent = F.trim(F.element_at(F.split(header, "-"), -1))
     rest = F.trim(F.regexp_replace(header, r"^\s*\d{2}\.\d{2}\.\d{4}", ""))
-    cut = F.when(rest.contains("TOP "), F.substring_index(rest, "TOP ", F.size(F.split(rest, "TOP ")) - 1)).otherwise(rest)
+    parts = F.split(rest, "TOP ")
+    cut = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "TOP ")).otherwise(rest)
     return F.struct(X.german_date(F.nullif(day, F.lit(""))).alias("datum"), F.when(header.contains("-"), intent).alias("intent"), F.trim(cut).alias("gremium"))
