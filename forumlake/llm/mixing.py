@@ -14,7 +14,7 @@ a bucket; a source with any share of the rows is spread over many buckets.
 Defined results: a null source is a source of its own; null texts and repeated
 rows are documents like others; every row is kept and gets one place; where a
 source has no block left, its slots stay empty; ties of the hash are ordered by
-doc_id and text; an empty table gives no rows; other columns pass through.
+doc_id and a hash of the text; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -68,28 +68,34 @@ def frame(shares_: DataFrame) -> DataFrame:
     return rows.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy("slot")) - 1)
 
 
+def _placed(rows: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
+    """rows (doc_id, source, _tie and others) with block, slot and place."""
+    own = rows.columns
+    total = rows.count()
+    plan = frame(shares(rows, weights))
+    buckets = max(1, total // BUCKET_ROWS)
+    keyed = rows.select(*own, _key().alias("_key"), F.xxhash64("doc_id").alias("_hash")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    sizes = rows.select(_key().alias("_key"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("_bucket")).groupBy("_key", "_bucket").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("_key").orderBy("_bucket")) - F.col("_n")).drop("_n")
+    rank = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy("_hash", "doc_id", "_tie"))
+    placed = keyed.withColumn("_rank", rank).join(before, ["_key", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_rank") - 1)
+    placed = placed.withColumn("_block", F.floor(F.col("_at") / BLOCK)).withColumn("_place", (F.col("_at") % BLOCK).cast("int"))
+    # The frame has FRAME rows, or four for each source.
+    turns = F.broadcast(plan.select(F.col("key").alias("_key"), F.col("turn").cast("long").alias("_turn"), F.col("slot").alias("_slot")))
+    widths = F.broadcast(plan.select(F.col("key").alias("_key"), F.col("q").alias("_q"), F.col("frame").alias("_frame")).distinct())
+    timed = placed.join(widths, "_key").withColumn("_turn", F.col("_block") % F.col("_q")).join(turns, ["_key", "_turn"])
+    slot = (F.floor(F.col("_block") / F.col("_q")) * F.col("_frame") + F.col("_slot")).cast("long")
+    return timed.select(*own, F.col("_block").alias("block"), slot.alias("slot"), F.col("_place").alias("place"))
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """docs with columns block, slot and place: the block in its source, its slot in the mixture, the row's place in the block."""
     own = [c for c in docs.columns if c not in ("block", "slot", "place")]
-    total = docs.count()
-    plan = frame(shares(docs, weights))
-    buckets = max(1, total // BUCKET_ROWS)
-    rows = docs.select(*own, _key().alias("_key"), F.xxhash64("doc_id").alias("_hash"))
-    rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
-    sizes = docs.select(_key().alias("_key"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("_bucket")).groupBy("_key", "_bucket").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("_before", F.sum("n").over(W.partitionBy("_key").orderBy("_bucket")) - F.col("n")).drop("n")
-    rank = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy("_hash", "doc_id", "text"))
-    placed = rows.withColumn("_rank", rank).join(before, ["_key", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_rank") - 1)
-    placed = placed.withColumn("block", F.floor(F.col("_at") / BLOCK)).withColumn("place", (F.col("_at") % BLOCK).cast("int"))
-    # The frame has FRAME rows, or four for each source.
-    turns = F.broadcast(plan.select(F.col("key").alias("_key"), "turn", F.col("slot").alias("_slot")))
-    widths = F.broadcast(plan.select(F.col("key").alias("_key"), "q", "frame").distinct())
-    timed = placed.join(widths, "_key").withColumn("turn", F.col("block") % F.col("q")).join(turns, ["_key", "turn"])
-    slot = (F.floor(F.col("block") / F.col("q")) * F.col("frame") + F.col("_slot")).cast("long")
-    return timed.select(*own, "block", slot.alias("slot"), "place")
+    return _placed(docs.select(*own, F.xxhash64("text").alias("_tie")), weights).drop("_tie")
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """The rows of docs in the order of the mixture."""
-    found = mix(docs, weights)
-    return found.repartitionByRange("slot").sortWithinPartitions("slot", "place").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.xxhash64("text").alias("_tie"))
+    found = _placed(rows, weights).select("_row", "slot", "place")
+    return found.repartitionByRange("slot").sortWithinPartitions("slot", "place").select("_row.*")

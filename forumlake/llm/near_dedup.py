@@ -287,6 +287,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each group the document with the smallest id, once; rows with a null doc_id all stay."""
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL"))
