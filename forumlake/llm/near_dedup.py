@@ -39,7 +39,7 @@ M, BANDS, ROWS, BASE, RATE = 256, 32, 4, 1.001, 20.0
 #: Least similarity in hundredths, and least estimate that is still compared on full sets (4.4 standard deviations lower).
 SIMILAR, ESTIMATE = 80, 0.69
 #: Rounds of pivots; documents of a block in which those that are left are compared.
-PIVOTS, BLOCK_DOCUMENTS = 2, 256
+PIVOTS, BLOCK_DOCUMENTS = 2, 1024
 #: Documents of pairs whose ids are broadcast, so that texts stay in place; more are joined by a shuffle.
 BROADCAST = 1_000_000
 #: Elements whose hashes are made at once.
@@ -122,15 +122,15 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, elements) of some documents: the hashes as bytes."""
+def _sets(docs: DataFrame, ids: DataFrame, short: bool = False) -> DataFrame:
+    """(doc_id, elements) of some documents: the hashes as bytes. short: their distinct upper halves."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets, size = [], [], 0
             for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"))):
                 ids.append(i)
-                sets.append(s.tobytes())
+                sets.append((np.unique(s >> np.uint64(32)).astype(np.uint32) if short else s).tobytes())
                 size += len(sets[-1])
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "elements"])
@@ -150,7 +150,8 @@ def _open_links(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     """The links (a, b) between open documents of one group of buckets, of which one isn't in the group's largest component.
 
     A group is dealt out in blocks of documents; each task holds one block of the
-    documents outside the largest component against one block of the group.
+    documents outside the largest component against one block of the group. Half
+    of each hash bounds what two sets share; the pairs left are confirmed on full sets.
     """
     firsts = open_.groupBy("band").agg(F.min("id").alias("b"))
     near = open_.select("band", F.col("id").alias("a")).join(firsts, "band").select("a", "b")
@@ -160,7 +161,7 @@ def _open_links(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     groups = shares.groupBy("root").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("most")).filter("all > most.k")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_DOCUMENTS)).cast("int")
     groups = groups.select("root", F.col("most.component").alias("main"), blocks(F.col("all")).alias("of_all"), blocks(F.col("all") - F.col("most.k")).alias("of_minor"))
-    sets = _sets(docs, people.select(F.col("id").alias("doc_id")).distinct())
+    sets = _sets(docs, people.select(F.col("id").alias("doc_id")).distinct(), short=True)
     rows = people.join(groups, "root").join(classes.select("id", "registers"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
     rows = cut(rows, "open")
     own = [c for c in rows.columns if c not in ("of_all", "of_minor", "main")]
@@ -173,21 +174,25 @@ def _open_links(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
 
         found = []
         if len(left) and len(right):
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in right.elements]
-            registers_ = np.frombuffer(b"".join(right.registers), dtype="<u2").reshape(-1, M)
+            sets = [np.frombuffer(x, dtype=np.uint32) for x in right.elements]
+            theirs = np.frombuffer(b"".join(right.registers), dtype="<u2").reshape(-1, M)
             ids, of, n, shared = (right[c].to_numpy() for c in ("id", "component", "n", "shared"))
             for x in left.itertuples():
                 common = np.minimum(shared, x.shared)
                 rows = np.flatnonzero((of != x.component) & (100 * common >= SIMILAR * (n + x.n - common)))
-                if len(rows):
-                    mine = np.frombuffer(x.registers, dtype="<u2")[None, :]
-                    rows = rows[likely_similarity(np.broadcast_to(mine, (len(rows), M)), registers_[rows], np.full(len(rows), float(x.n)), n[rows].astype(np.float64)) >= ESTIMATE]
-                own_set = np.frombuffer(x.elements, dtype=np.uint64)
-                found += [(min(x.id, ids[r]), max(x.id, ids[r])) for r in rows if similar(own_set, sets[r])]
+                mine = np.frombuffer(x.registers, dtype="<u2")[None, :]
+                rows = rows[np.count_nonzero(theirs[rows] == mine, axis=1) >= ESTIMATE * M]
+                own = np.frombuffer(x.elements, dtype=np.uint32)
+                for r in rows.tolist():
+                    # Elements whose halves coincide within a set may be common too.
+                    most = len(np.intersect1d(own, sets[r], assume_unique=True)) + min(x.n - len(own), n[r] - len(sets[r]))
+                    if 100 * most >= SIMILAR * (n[r] + x.n - most):
+                        found.append((min(x.id, ids[r]), max(x.id, ids[r])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     key = ["root", "i", "j"]
-    return minors.groupBy(*key).cogroup(everyone.groupBy(*key)).applyInPandas(compare, "a long, b long").distinct()
+    found = minors.groupBy(*key).cogroup(everyone.groupBy(*key)).applyInPandas(compare, "a long, b long").distinct()
+    return _linked(cut(found, "likely"), docs)
 
 
 def _alone(open_: DataFrame, docs: DataFrame) -> DataFrame:
