@@ -7,6 +7,7 @@ other counts the whole raw corpus. A document's score is the mean over its
 n-grams of log(target share / raw share), and every document is held against
 one threshold. All of it is built-in functions: the corpus pass is one partial
 aggregation by bucket, and the model is a literal of as many numbers as buckets.
+The prior keeps what is rare in the corpus near 0, in the target or not.
 
 Defined results: null and empty texts have no words, fail the base rules and
 are not kept; without labels all weights are 0 and the base rules alone decide;
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import words
 
 #: Buckets of n-grams, labelled good documents at most, least mean log ratio.
-BUCKETS, TARGET_DOCUMENTS, THRESHOLD = 1 << 15, 20_000, -0.1
-#: Added to each bucket's count, as a share of the mean count.
-SMOOTHING = 0.05
+BUCKETS, TARGET_DOCUMENTS, THRESHOLD = 1 << 15, 20_000, -0.075
+#: Added to a bucket's count in the target and to the count that the raw share makes one expect there.
+PRIOR = 20.0
 #: Words of a window; least words; most repeated words in a hundred.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 
@@ -79,9 +80,8 @@ def bucket_weights(docs: DataFrame, labels: DataFrame) -> list[float]:
         raw[r.bucket], good_n[r.bucket] = r.raw, r.good
     if not sum(good_n):
         return [0.0] * BUCKETS
-    total, total_good = sum(raw) * (1 + SMOOTHING), sum(good_n) * (1 + SMOOTHING)
-    more, more_good = SMOOTHING * sum(raw) / BUCKETS, SMOOTHING * sum(good_n) / BUCKETS
-    return [math.log((g + more_good) / total_good) - math.log((n + more) / total) for g, n in zip(good_n, raw)]
+    share = sum(good_n) / sum(raw)
+    return [math.log((g + PRIOR) / (n * share + PRIOR)) for g, n in zip(good_n, raw)]
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
