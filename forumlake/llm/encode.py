@@ -12,19 +12,23 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+
 #: Words in each of the memo's two generations, and characters above which a word is not kept.
-MEMO_WORDS, MEMO_CHARS = 350_000, 48
+MEMO_WORDS, MEMO_CHARS = 600_000, 48
 #: Signs of which a run after letters is a piece of its own; the apostrophe isn't among them.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Words(dict):
-    """Ids of words as little-endian unsigned 32-bit integers; a word not yet known is encoded on the way."""
+    """Ids of words as little-endian unsigned integers; a word not yet known is encoded on the way."""
 
     def __init__(self, tokenizer, space: str):
         self._tokenizer, self._space, self._older = tokenizer, space, {}
         self._model = tokenizer.model.tokenize
-        self._bytes = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4  # small vocabularies take half the memory
+        self._bytes = [i.to_bytes(self.width, "little") for i in range(size)]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self._written = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
@@ -95,16 +99,17 @@ class Encoder:
         tokenizer.encode_special_tokens = True
         self._words, self._heads = _Words(tokenizer, " "), _Words(tokenizer, "")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        """For each text its ids and the end id, as arrays of unsigned integers of 16 or 32 bits."""
         words, heads, out = self._words.__getitem__, self._heads, []
+        end, kind = end_id.to_bytes(heads.width, "little"), f"<u{heads.width}"
         for i, text in enumerate(texts):
             head, *rest = text.split(" ")
             try:
-                ids = heads[head] if head or rest else b""
-                out.append(ids + b"".join(map(words, rest)))
+                ids = b"".join([heads[head] if head or rest else b"", *map(words, rest), end])
             except KeyError:
-                out.append(heads.library(text))
+                ids = heads.library(text) + end
+            out.append(np.frombuffer(ids, dtype=kind))
             if i % 64 == 0:
                 self._words.age()
                 heads.age()

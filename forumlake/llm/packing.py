@@ -40,17 +40,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     """(doc_id, piece, start, length, ids_crc32) of every document; only the first piece of a long one may be short."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        tokens = encoder(tokenizer)
         for batch in batches:
             for first, texts in chunks(batch, "text"):
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, ids in enumerate(tokens.encode(texts)):
-                    ids += end
-                    n = len(ids) // 4
+                for i, ids in enumerate(tokens.encode(texts, end_id)):
+                    n, ids = len(ids), ids.astype("<u4")
                     head = n % capacity or capacity
                     for piece, a in enumerate([0, *range(head, n, capacity)]):
                         b = head if piece == 0 else a + capacity
-                        rows.append((i, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                        rows.append((i, piece, a, b - a, zlib.crc32(ids[a:b])))
                 row, *rest = (np.array(x, dtype=np.int64) for x in zip(*rows))
                 columns = [batch.column("doc_id").slice(first, len(texts)).take(pa.array(row)), pa.array(rest[0].astype(np.int32)), *(pa.array(x) for x in rest[1:])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])

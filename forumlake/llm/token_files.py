@@ -55,10 +55,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
         part, before, tokens = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
             for first, texts in chunks(batch, "text"):
-                ids = [x + end_id.to_bytes(4, "little") for x in tokens.encode(texts)]
-                counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                ids = tokens.encode(texts, end_id)
+                counts = np.array([len(x) for x in ids], dtype=np.int64)
                 ends = np.cumsum(counts)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 columns = [batch.column("doc_id").slice(first, len(texts)), pa.array(counts), pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(ends - counts + before), lists]
                 before += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "file_part", "file_start", "ids"])
