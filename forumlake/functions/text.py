@@ -169,3 +169,16 @@ def word_count(text: Column) -> Column:
 def prompt_text(text: Column) -> Column:
     """A prompt file's text: three or more line ends become two, the ends are trimmed."""
     return F.trim(F.regexp_replace(text, "\n{3,}", "\n\n"))
+
+
+#: Frequent words of each language.
+STOP_WORDS = {"de": ("der", "die", "und", "das", "von", "den", "ist", "nicht", "mit", "für"), "en": ("the", "of", "and", "to", "is", "that", "with", "was", "for", "this"), "es": ("el", "los", "las", "que", "por", "una", "con", "para", "del", "y"), "fr": ("le", "les", "des", "est", "et", "dans", "qui", "une", "pour", "du")}
+
+
+def language(text: Column, known: Column | None = None) -> Column:
+    """The known language, else the one with most of its frequent words in the text (ties in the order of codes), else null."""
+    words = tokens(text)
+    counts = F.transform(F.array(words), lambda w: F.array(*[F.struct(F.size(F.filter(w, lambda x, own=own: x.isin(*own))).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, own) in enumerate(STOP_WORDS.items())]))
+    best = F.array_max(F.element_at(counts, 1))
+    guess = F.when(best["n"] > 0, best["code"])
+    return guess if known is None else F.coalesce(known, guess)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import Engine
 from ..functions.text import fold, tokens
 from ..operators import fusion, keyword, vectors
 
@@ -139,6 +140,17 @@ def union_all_sources(spark, sf):
     return a.unionByName(b, allowMissingColumns=True).select("kind", "id", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def engine_search(spark, sf):
+    """The engine's search, with the mean vector as the query's."""
+    engine = Engine(spark, table(spark, sf, "documents"), table(spark, sf, "embeddings"))
+    vector = _mean_query(spark, sf).first().query
+    return engine.search(PROBES[0][1], vector).select("id", "qtype", F.round("hit_score_norm", 5).alias("hit_score_norm"), "score", "source")
+
+
+def rag_prompt(spark, sf):
+    return Engine(spark, table(spark, sf, "documents")).rag_prompt(PROBES[0][1])
+
+
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in PROBES) + ") v(query_id, query))"
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
@@ -207,4 +219,6 @@ FROM p JOIN r USING (term) JOIN qt USING (term) CROSS JOIN st CROSS JOIN m GROUP
     "union_all_sources": "SELECT 'document' kind, doc_id id, source, length(text) n_chars FROM documents UNION ALL SELECT 'benchmark', item_id, NULL, length(text) FROM benchmark",
 }
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_operator, bm25_okapi, bm25_multifield_boost, fuzzy_term_match, minmax_normalise, knn_topk, knn_per_query, knn_filtered, knn_threshold, l2_normalise, dense_two_level, linear_fusion, concat_fusion_rerank, dedupe_fusion, late_text_lookup, union_all_sources)}
+SQL["engine_search"] = SQL["concat_fusion_rerank"].replace("SELECT id, qtype, rank, round(score_norm, 5) score_norm, rerank FROM n ORDER BY", "SELECT id, qtype, round(score_norm, 5) hit_score_norm, rerank score, source FROM n ORDER BY").replace("SELECT m.*, round", "SELECT m.*, source, round")
+
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_operator, bm25_okapi, bm25_multifield_boost, fuzzy_term_match, minmax_normalise, knn_topk, knn_per_query, knn_filtered, knn_threshold, l2_normalise, dense_two_level, linear_fusion, concat_fusion_rerank, dedupe_fusion, late_text_lookup, union_all_sources, engine_search, rag_prompt)}

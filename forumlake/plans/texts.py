@@ -129,6 +129,10 @@ def prompt_build(spark, sf):
     return grouped.select("conv_id", proposals.prompt(F.col("question"), F.col("texts")).alias("prompt"))
 
 
+def language_guess(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(X.language(F.col("text")), F.lit("?")).alias("guess"))
+
+
 _TRANSLATE = f"translate({{}}, '{X.MARKED}', '{X.PLAIN}')"
 _ANCHOR = r"""(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>"""
 _WS = r"[\s\x0B\x85\p{Z}]+"
@@ -176,7 +180,10 @@ SELECT doc_id, chunk::BIGINT chunk, a::BIGINT char_start, b::BIGINT char_end, tr
     "summary_text": "WITH g AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'user') u, list(text ORDER BY turn) FILTER (role = 'assistant') a FROM conversations GROUP BY ALL) SELECT conv_id, concat_ws(chr(10), CASE WHEN len(u) > 0 THEN 'Fragen: ' || array_to_string(u[1:6], '; ') END, CASE WHEN len(a) > 0 THEN 'Antworten: ' || array_to_string(a[1:3], '; ') END) summary FROM g",
     "prompt_build": "WITH g AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'assistant') a, coalesce(max_by(text, turn) FILTER (role = 'user'), '') q FROM conversations GROUP BY ALL) SELECT conv_id, 'Kontext:' || chr(10) || coalesce(nullif(array_to_string(a, chr(10) || chr(10)), ''), '(Kein Kontext gefunden.)') || chr(10) || chr(10) || 'Frage: ' || q AS prompt FROM g",
 }
+_COUNTS = ", ".join(f"len(list_filter(w, lambda x: list_contains({list(own)}, x))) {code}" for code, own in X.STOP_WORDS.items())
+_MOST = f"greatest({', '.join(X.STOP_WORDS)})"
+SQL["language_guess"] = rf"SELECT doc_id, CASE WHEN {_MOST} = 0 THEN '?' " + " ".join(f"WHEN {code} = {_MOST} THEN '{code}'" for code in X.STOP_WORDS) + rf" END guess FROM (SELECT doc_id, {_COUNTS} FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') w FROM documents))"
 SQL["detected_parties"] = f"WITH {_NAMES} SELECT id, coalesce(string_agg(canon, ',' ORDER BY canon), '') parties FROM t LEFT JOIN n USING (id) GROUP BY id"
 SQL["chunk_stats"] = "SELECT doc_id, count(*) chunks, sum(length(text))::BIGINT chars, max(char_end) AS last FROM (" + SQL["chunk_chars"] + ") GROUP BY doc_id"
 
-QUERIES = {f.__name__: f for f in (normalise_text, slug_and_filename, fold_diacritics, match_form, snippet, token_counts, motion_type, subject, ngram_alias_join, detected_parties, url_parts, query_param, html_links, absolute_links, html_title_text, label_values, extension_guess, sha256_id, uuid5_id, chunk_chars, chunk_stats, chunk_sentences, summary_text, prompt_build)}
+QUERIES = {f.__name__: f for f in (normalise_text, slug_and_filename, fold_diacritics, match_form, snippet, token_counts, motion_type, subject, ngram_alias_join, detected_parties, url_parts, query_param, html_links, absolute_links, html_title_text, label_values, extension_guess, sha256_id, uuid5_id, chunk_chars, chunk_stats, chunk_sentences, summary_text, prompt_build, language_guess)}

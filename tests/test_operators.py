@@ -134,7 +134,7 @@ def test_sinks_and_streams(spark, tmp_path):
     first = sinks.upsert(rows((1, "a", 1), (2, "b", 1)), str(tmp_path / "t"), ["k"], "at", "v1")
     assert spark.read.parquet(first).count() == 2
     sinks.append_new(rows((1, "a", 1)), str(tmp_path / "n"), ["k"])
-    assert [r.k for r in sinks.append_new(rows((1, "z", 2), (3, "c", 1)), str(tmp_path / "n"), ["k"]).collect()] in ([3], [])
+    assert [r.k for r in sinks.append_new(rows((1, "z", 2), (3, "c", 1)), str(tmp_path / "n"), ["k"]).collect()] == [3]
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "n")).collect()) == [1, 3]
     rows((5, "e", 1), (1, "q", 1)).write.parquet(str(tmp_path / "in"))
     streams.ingest(spark, str(tmp_path / "in"), "k int, v string, at int", str(tmp_path / "n"), str(tmp_path / "c"), ["k"]).awaitTermination()
@@ -149,3 +149,22 @@ def test_models(spark):
     log = {r.top_key: r.error for r in models.run_llm(items, lambda s, u: '{"a": 1}' if u == "hi" else "oops", "sys", "m", "v").collect()}
     assert log == {"d_1": None, "d_2": "not JSON"}
     assert vectors.nearest(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>"), spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, query array<double>"), 1).first().vec_id == 1
+
+
+def test_engine(spark, tmp_path):
+    import pytest
+
+    from forumlake.api import Engine
+
+    chunks = spark.createDataFrame([(1, "Radweg Nord wird gebaut", "a"), (2, "Der Radweg im Norden", "b"), (3, "Haushalt", "a"), (4, None, "a")], "doc_id long, text string, source string")
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    engine = Engine(spark, chunks, points)
+    found = engine.search("radweg nord", [0.0, 1.0]).collect()
+    assert found[0].id == 1 and {(r.id, r.qtype) for r in found} == {(1, "sparse"), (2, "sparse"), (1, "dense"), (3, "dense")}
+    assert {r.id for r in engine.search("radweg", source="b").collect()} == {2}
+    assert "Radweg Nord" in engine.rag_prompt("radweg nord").first().prompt and "(Kein Kontext gefunden.)" in engine.rag_prompt("xyz").first().prompt
+    with pytest.raises(ValueError):
+        engine.search(" ")
+    items = spark.createDataFrame([("V1", "t1", "n", "Rat Nord", "", "V1", "2026-01-01"), ("V1", "t2", "n", "Rat", "", "V1", "2026-02-01")], "referenzvorlage string, top_id string, name string, meeting string, vorlage_url string, vorlage string, meeting_date string")
+    assert engine.explore(items, 2).count() == 1 and engine.explore(items, 1, first="2026-01-15").first().num_tops == 1 and engine.explore(items, meeting="nord").first().num_tops == 1
+    assert engine.ingest(items, str(tmp_path / "i"), ["top_id"]).count() == 2
