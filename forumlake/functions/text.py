@@ -177,8 +177,10 @@ STOP_WORDS = {"de": ("der", "die", "und", "das", "von", "den", "ist", "nicht", "
 
 def language(text: Column, known: Column | None = None) -> Column:
     """The known language, else the one with most of its frequent words in the text (ties in the order of codes), else null."""
-    words = tokens(text)
-    counts = F.transform(F.array(words), lambda w: F.array(*[F.struct(F.size(F.filter(w, lambda x, own=own: x.isin(*own))).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, own) in enumerate(STOP_WORDS.items())]))
+    def score(words: Column, place: int, code: str) -> Column:
+        return F.struct(F.size(F.filter(words, lambda x: x.isin(*STOP_WORDS[code]))).alias("n"), F.lit(-place).alias("order"), F.lit(code).alias("code"))
+
+    counts = F.transform(F.array(tokens(text)), lambda w: F.array(*[score(w, i, code) for i, code in enumerate(STOP_WORDS)]))
     best = F.array_max(F.element_at(counts, 1))
     guess = F.when(best["n"] > 0, best["code"])
     return guess if known is None else F.coalesce(known, guess)
