@@ -55,7 +55,7 @@ def by_sentences(text: Column, budget: int = 500, carried: int = 8) -> Column:
 
     def step(s, sentence):
         full = (s["n"] + count(sentence) > budget) & (F.size(s["open"]) > 0)
-        kept = F.when(F.size(s["open"]) > carried, F.slice(s["open"], -carried, carried)).otherwise(s["open"])
+        kept = F.array().cast("array<string>") if carried == 0 else F.when(F.size(s["open"]) > carried, F.slice(s["open"], -carried, carried)).otherwise(s["open"])
         kept_n = F.aggregate(F.transform(kept, count), F.lit(0), lambda a, b: a + b)
         return F.struct(
             F.when(full, F.concat(s["done"], F.array(F.array_join(s["open"], " ")))).otherwise(s["done"]).alias("done"),

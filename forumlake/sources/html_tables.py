@@ -140,3 +140,39 @@ def chosen_protocol(found: DataFrame) -> DataFrame:
     name = F.lower("label")
     fits = name.contains("niederschrift") & ~name.contains("ergebnisprotokoll") & ~name.contains("abgesagt")
     return found.filter(fits).groupBy("page_id").agg(F.max_by("href", "pos").alias("href"))
+
+
+def meeting_links(pages: DataFrame, part: str = "si0057") -> DataFrame:
+    """(page_id, row, url): of each table row after the first its second link, if it leads to a meeting."""
+    rows = pages.select("page_id", "url", F.posexplode(F.split("html", "(?i)<tr[ >]")).alias("row", "source")).filter("row > 1")
+    second = F.get(F.regexp_extract_all("source", F.lit('(?i)<a\\s[^>]*href="([^"]*)"'), F.lit(1)), F.lit(1))
+    return rows.withColumn("href", second).filter(F.col("href").contains(part)).select("page_id", "row", absolute_url(F.col("href"), F.col("url")).alias("url"))
+
+
+def people(rows: DataFrame, key: str = "page_id") -> DataFrame:
+    """Persons from table rows (name, party, role): placeholders for nobody go, empty texts become null."""
+    from ..functions.text import person_name
+
+    cell = lambda i: F.nullif(F.trim(F.get("cells", F.lit(i))), F.lit(""))
+    named = rows.withColumn("full", cell(0)).filter("full IS NOT NULL").filter(~F.lower("full").isin("n.n", "n.n.", "nn"))
+    person = F.nullif(F.regexp_extract(F.coalesce(F.get("links", F.lit(0)), F.lit("")), r"__kpenr=(\d+)", 1), F.lit(""))
+    return named.select(key, person.alias("person_id"), person_name(F.col("full")).alias("name"), cell(1).alias("partei"), cell(2).alias("role")).select(key, "person_id", "name.*", "partei", "role")
+
+
+def multi_labels(rows: DataFrame, key: str = "page_id", link_label: str = "Internet") -> DataFrame:
+    """(key, data): a map of labels to all their values in order; the one label's value is its link."""
+    label = F.regexp_replace(F.trim(F.get("cells", F.lit(0))), ":$", "")
+    value = F.when(label == link_label, F.coalesce(F.get("links", F.lit(1)), F.get("links", F.lit(0)))).otherwise(F.trim(F.get("cells", F.lit(1))))
+    pairs = rows.filter(F.size("cells") == 2).select(key, "row", label.alias("label"), value.alias("value")).filter("label <> '' AND value IS NOT NULL")
+    listed = pairs.groupBy(key, "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]).alias("values"))
+    return listed.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "values")))).alias("data"))
+
+
+def proposal_details(labels: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
+    """Proposals from label maps (key, labels, url), and in a second table those whose page names another id than its URL."""
+    from ..functions.text import query_parameter
+
+    at = lambda name: F.try_element_at("labels", F.lit(name))
+    rows = labels.select(key, query_parameter(F.col("url"), "__kvonr").alias("vorlage_id"), at("Id").alias("page_says"), F.coalesce(at("Betreff"), F.lit("(ohne Betreff)")).alias("betreff"), at("Art").alias("typ"), at("Aktenzeichen").alias("aktenzeichen"), "url")
+    wrong = F.col("page_says").isNotNull() & ~F.col("page_says").eqNullSafe(F.col("vorlage_id"))
+    return rows.filter(~wrong).drop("page_says"), rows.filter(wrong)

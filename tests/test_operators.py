@@ -168,3 +168,33 @@ def test_engine(spark, tmp_path):
     items = spark.createDataFrame([("V1", "t1", "n", "Rat Nord", "", "V1", "2026-01-01"), ("V1", "t2", "n", "Rat", "", "V1", "2026-02-01")], "referenzvorlage string, top_id string, name string, meeting string, vorlage_url string, vorlage string, meeting_date string")
     assert engine.explore(items, 2).count() == 1 and engine.explore(items, 1, first="2026-01-15").first().num_tops == 1 and engine.explore(items, meeting="nord").first().num_tops == 1
     assert engine.ingest(items, str(tmp_path / "i"), ["top_id"]).count() == 2
+
+
+def test_crawled_tables(spark):
+    page = '<table><tr><th>x</th></tr><tr><td><a href="k.asp">1</a></td><td><a href="si0057.asp?__ksinr=7">Sitzung</a></td></tr><tr><td><a href="a">b</a></td></tr></table>'
+    pages = spark.createDataFrame([(1, "http://h/b/si0046.asp", page)], "page_id long, url string, html string")
+    assert [r.url for r in html_tables.meeting_links(pages).collect()] == ["http://h/b/si0057.asp?__ksinr=7"]
+    rows = spark.createDataFrame([(1, 0, ["Frau Dr. Muster, Erika", "AB", ""], ["p.asp?__kpenr=12", None, None]), (1, 1, ["n.n.", "", ""], [None, None, None])], "page_id long, row int, cells array<string>, links array<string>")
+    found = html_tables.people(rows).collect()
+    assert [(r.person_id, r.nachname, r.partei, r.role) for r in found] == [("12", "Dr. Muster", "AB", None)]
+    labels = spark.createDataFrame([(1, 0, ["Tel:", "1"], [None, None]), (1, 1, ["Tel:", "2"], [None, None]), (1, 2, ["Internet:", "x"], [None, "http://x"])], "page_id long, row int, cells array<string>, links array<string>")
+    assert html_tables.multi_labels(labels).first().data == {"Tel": ["1", "2"], "Internet": ["http://x"]}
+    maps = spark.createDataFrame([(1, {"Id": "5", "Betreff": "b"}, "http://h/vo.asp?__kvonr=5"), (2, {"Id": "6"}, "http://h/vo.asp?__kvonr=5"), (3, {}, "http://h/vo.asp?__kvonr=8")], "page_id long, labels map<string,string>, url string")
+    good, bad = html_tables.proposal_details(maps)
+    assert {r.vorlage_id: r.betreff for r in good.collect()} == {"5": "b", "8": "(ohne Betreff)"} and bad.first().page_id == 2
+
+
+def test_attachments(spark, tmp_path):
+    import zipfile
+
+    from forumlake.sources import attachments
+
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", "<w:p><w:t>Der erste Satz.</w:t></w:p><w:p><w:t>Das &amp; die.</w:t></w:p>")
+    (tmp_path / "b.html").write_text("<style>x</style><p>Hallo")
+    (tmp_path / "c.txt").write_bytes(b"plain \xff text")
+    (tmp_path / "d.docx").write_bytes(b"broken")
+    found = {r.name: r.text for r in attachments.texts(spark, str(tmp_path)).collect()}
+    assert found == {"a.docx": "Der erste Satz.\nDas & die.", "b.html": "Hallo", "c.txt": "plain  text", "d.docx": ""}
+    cut = attachments.chunks(attachments.texts(spark, str(tmp_path)).filter("name = 'a.docx'"), 3, 0).orderBy("chunk_index").collect()
+    assert [(r.text, r.lang) for r in cut] == [("Der erste Satz.", "de"), ("Das & die.", "de")]
