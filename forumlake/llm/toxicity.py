@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .ngrams import slices, word_features, word_hashes
 
 #: 2 ** BITS buckets; labelled documents of each kind at most; passes over them; least score that counts as toxic.
-BITS, MOST_TOXIC, MOST_CLEAN, PASSES, TOXIC = 20, 3000, 6000, 3, 0.3
+BITS, MOST_TOXIC, MOST_CLEAN, PASSES, TOXIC = 20, 3000, 9000, 8, 0.3
 #: FTRL-proximal: learning rate, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 
