@@ -52,13 +52,15 @@ def bm25_okapi(docs: DataFrame, queries: DataFrame, text: str = "text", k1: floa
     """(query_id, doc_id, score) over case-sensitive words: idf ln((n - df + 0.5) / (df + 0.5)), a negative one becomes epsilon times the mean of all."""
     split = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     words = split(F.col(text))
-    hits = postings(docs, text, words)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    # All terms count for the mean idf, once for each document; frequencies are only needed of the queries' terms.
+    df = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus(docs, text, words)
     raw = df.join(F.broadcast(stats.select("n")), how="cross").select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     asked = query_terms(queries, split(F.col("query")))
     idf = raw.join(F.broadcast(asked), "term").join(F.broadcast(mean), how="cross").select("query_id", "term", "qtf", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    wanted = asked.select("term").distinct()
+    hits = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(F.broadcast(wanted), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     scored = hits.join(F.broadcast(idf), "term").join(F.broadcast(stats), how="cross")
     value = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("query_id", "doc_id").agg(F.sum(value * F.col("qtf")).alias("score"))

@@ -1,7 +1,8 @@
 """Parties in titles: names of a list are joined to a title's word n-grams.
 
 Longer and shorter names of one family all match; the fuzzy part compares only
-n-grams and names of nearly equal length.
+n-grams and names of nearly equal length. Tables of names are small as a rule;
+Spark broadcasts them if they are.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ def exact(titles: DataFrame, aliases: DataFrame, longest: int = 6) -> DataFrame:
     grams = titles.select("id", F.explode(ngrams(F.split(match_form(F.col("title")), " "), longest)).alias("gram"))
     pieces = grams.select("id", F.explode(F.array_distinct(F.concat(F.array("gram"), F.split("gram", "/")))).alias("gram"))
     known = aliases.select(match_form(F.col("alias")).alias("gram"), "canon").distinct()
-    return pieces.join(F.broadcast(known), "gram").select("id", "canon").distinct()
+    return pieces.join(known, "gram").select("id", "canon").distinct()
 
 
 def fuzzy(titles: DataFrame, aliases: DataFrame, longest: int = 6, least: float = 92.0) -> DataFrame:
@@ -27,7 +28,7 @@ def fuzzy(titles: DataFrame, aliases: DataFrame, longest: int = 6, least: float
     spare = F.floor(F.length("name") * (100 - least) / least).cast("int")
     known = known.withColumn("length", F.explode(F.sequence(F.length("name") - spare, F.length("name") + spare)))
     like = 100 * (1 - F.levenshtein("gram", "name") / F.greatest(F.length("gram"), F.length("name")))
-    found = grams.join(F.broadcast(known), "length").withColumn("like", like).filter(F.col("like") >= least)
+    found = grams.join(known, "length").withColumn("like", like).filter(F.col("like") >= least)
     best = found.groupBy("id", "gram").agg(F.max(F.struct("like", "canon")).alias("best"))
     return best.select("id", F.col("best.canon").alias("canon")).distinct()
 
@@ -39,11 +40,11 @@ def detect(titles: DataFrame, aliases: DataFrame, tags: DataFrame | None = None,
         found = found.unionByName(fuzzy(titles, aliases)).distinct()
     name = "canon"
     if tags is not None:
-        found, name = found.join(F.broadcast(tags), "canon").select("id", "tag"), "tag"
+        found, name = found.join(tags, "canon").select("id", "tag"), "tag"
     sets = found.groupBy("id").agg(F.sort_array(F.collect_set(name)).alias("parties"))
     return titles.select("id").join(sets, "id", "left").withColumn("parties", F.coalesce("parties", F.array().cast("array<string>")))
 
 
 def lookup(people: DataFrame, aliases: DataFrame, parties: DataFrame, name: str) -> DataFrame:
     """Alias to name to attributes, both left joins: a person without a known party stays, with nulls."""
-    return people.join(F.broadcast(aliases.withColumnRenamed("alias", name)), name, "left").join(F.broadcast(parties), "canon", "left")
+    return people.join(aliases.withColumnRenamed("alias", name), name, "left").join(parties, "canon", "left")

@@ -68,7 +68,7 @@ def ref_rollup_min_count(spark, sf):
 
 def committee_rollup(spark, sf):
     orders, customers, nations = (table(spark, sf, x) for x in ("orders", "customer", "nation"))
-    owned = orders.filter((F.col("o_orderdate") >= "1995-01-01") & (F.col("o_orderdate") < "1997-01-01")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    owned = orders.filter((F.col("o_orderdate") >= "1995-01-01") & (F.col("o_orderdate") < "1997-01-01")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     return owned.groupBy(F.col("n_name").alias("gremium")).agg(F.count("*").alias("num_tops"), F.count_distinct("c_custkey").alias("num_owners")).filter("num_tops >= 2")
 
 
@@ -81,7 +81,7 @@ def graph_edges(spark, sf):
 
 
 def typed_graph_edges(spark, sf):
-    rows = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return proposals.typed_edges(rows, [("person_party", "c_custkey", "n_name"), ("party_committee", "n_name", "n_regionkey")])
 
 
