@@ -1,7 +1,7 @@
 """Keyword search: postings, BM25 in two flavours, several fields, conjunctions and fuzzy terms.
 
-Postings are (doc_id, term, tf). Corpus statistics are one row; queries are a
-small table (query_id, term) and are what gets broadcast by Spark's own choice.
+Postings are (doc_id, term, tf). What is broadcast is one row of statistics or as
+many rows as the queries have terms; many queries belong in several calls.
 """
 
 from __future__ import annotations
