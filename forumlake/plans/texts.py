@@ -154,7 +154,7 @@ p AS (SELECT id, gram FROM g UNION SELECT id, unnest(string_split(gram, '/')) FR
 
 SQL = {
     "normalise_text": rf"SELECT doc_id, trim(regexp_replace(text, '{_WS}', ' ', 'g')) clean FROM documents",
-    "slug_and_filename": r"SELECT doc_id, regexp_replace(regexp_replace(lower(trim(n)), '[^\p{L}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g') slug, regexp_replace(regexp_replace(trim(n), '[\\/:*?""<>|]+', '-', 'g'), '\s+', ' ', 'g') filename FROM (SELECT doc_id, source || ' / Ä:b?* ' || lang n FROM documents)".replace('""', '"'),
+    "slug_and_filename": r"""SELECT doc_id, regexp_replace(regexp_replace(lower(trim(n)), '[^\p{L}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g') slug, regexp_replace(regexp_replace(trim(n), '[\\/:*?"<>|]+', '-', 'g'), '\s+', ' ', 'g') filename FROM (SELECT doc_id, source || ' / Ä:b?* ' || lang n FROM documents)""",
     "fold_diacritics": f"SELECT doc_id, {_TRANSLATE.format('text')} folded FROM documents",
     "match_form": f"SELECT doc_id, {_form('text')} form FROM documents",
     "snippet": "SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '…' ELSE text END snippet FROM documents",
