@@ -11,7 +11,7 @@ documents are joined with is the list of their dropped lines.
 
 Defined results: a null text stays null and an empty one empty; lines of fewer
 than LEAST_TOKENS tokens always stay, and so do lines that repeat within one
-document only; rows with equal doc_id and text keep the same lines; the smallest
+document only; a repeated row counts as another one and keeps the same lines; the smallest
 doc_id (null first) keeps a recurring line; an empty table gives no rows; other
 columns pass through unchanged.
 """
