@@ -198,3 +198,17 @@ def test_attachments(spark, tmp_path):
     assert found == {"a.docx": "Der erste Satz.\nDas & die.", "b.html": "Hallo", "c.txt": "plain  text", "d.docx": ""}
     cut = attachments.chunks(attachments.texts(spark, str(tmp_path)).filter("name = 'a.docx'"), 3, 0).orderBy("chunk_index").collect()
     assert [(r.text, r.lang) for r in cut] == [("Der erste Satz.", "de"), ("Das & die.", "de")]
+
+
+def test_history_stream(spark, tmp_path):
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(30)] + [(2, 0, "user", "x")], schema).write.parquet(str(tmp_path / "m"))
+    stream = streams.history(spark.readStream.schema(schema).parquet(str(tmp_path / "m")), 5)
+    stream.writeStream.format("memory").queryName("history").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.conv_id, r.turn) for r in spark.table("history").collect()) == [(1, i) for i in range(25, 30)] + [(2, 0)]
+
+
+def test_token_stream(spark):
+    lines = [(1, 0, 'data: {"choices":[{"delta":{"content":"Ja"}}]}'), (1, 1, "data: oops"), (1, 2, 'data: {"choices":[{"delta":{"content":"!"}}]}'), (1, 3, "data: [DONE]"), (1, 4, 'data: {"choices":[{"delta":{"content":"x"}}]}'), (1, 5, ": ping")]
+    rows = spark.createDataFrame(lines, "stream int, ord int, line string")
+    assert streams.stream_text(rows).first().text == "Ja!"
