@@ -81,5 +81,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_token_files, op4_near_dedup, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op9_language_id, op10_toxicity)}
 
 
+#: By prefixes of each set's rarest shingles, confirmed on whole sets.
+NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) g FROM w),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+f AS (SELECT g, count(*) f FROM s GROUP BY g),
+r AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) k FROM s JOIN f USING (g) JOIN n USING (doc_id)),
+p AS (SELECT doc_id, g, n FROM r WHERE k <= n - (80 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT x.doc_id a, y.doc_id b, x.n na, y.n nb FROM p x JOIN p y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT doc_id id, doc_id root FROM documents UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id),
+m AS (SELECT id, min(root) component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+#: Templates as strings in place of hashes.
+LINES_SQL = r"""WITH l AS (SELECT doc_id, unnest(range(0, len(x))) line, unnest(x) v FROM (SELECT doc_id, string_split(text, chr(10)) x FROM documents)),
+t AS (SELECT doc_id, line, list_transform(list_filter(regexp_split_to_array(v, '[\x20\x09-\x0D]+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) t FROM l),
+h AS (SELECT *, len(t) n, 3 + (len(t) - 3) // 2 h FROM t WHERE len(t) >= 3),
+k AS (SELECT doc_id, line, n, doc_id * 1000000 + line AS place, unnest(CASE WHEN n >= 9 THEN [n || '|' || array_to_string(t[1:3], ' ') || '|1|' || array_to_string(t[4:h], ' '), n || '|' || array_to_string(t[1:3], ' ') || '|2|' || array_to_string(t[h + 1:], ' ')] ELSE [array_to_string(t, ' ')] END) k FROM h),
+g AS (SELECT k, count(DISTINCT doc_id) c, min(place) first FROM k GROUP BY k),
+d AS (SELECT DISTINCT doc_id, line FROM k JOIN g USING (k) WHERE c >= CASE WHEN n < 8 THEN 10 ELSE 2 END AND place <> first)
+SELECT l.doc_id, coalesce(string_agg(v, chr(10) ORDER BY l.line) FILTER (d.line IS NULL), '') AS text, count(d.line) n_dropped_lines FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.line = l.line GROUP BY l.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_near_dedup": NEAR_SQL, "op6_line_dedup": LINES_SQL}
