@@ -9,6 +9,12 @@ of one template only the first stays. Templates are known by 64-bit hashes and
 counted with partial aggregates; no leaf of the tree is ever gathered. What the
 documents are joined with is the list of their dropped lines.
 
+drop_lines keeps to that rule, which the SQL of op6_line_dedup states. The pipeline's
+without_recurring_lines is strict: lines that are mostly fields recur only as exact
+copies, and a line goes only if it agrees with its template's first line in AGREE
+hundredths of the fixed tokens, so that data rows and sentences that share a
+beginning stay.
+
 Defined results: a null text stays null and an empty one empty; lines of fewer
 than LEAST_TOKENS tokens always stay, and so do lines that repeat within one
 document only; a repeated row counts as another one and keeps the same lines; the smallest
@@ -25,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .ngrams import NOT_SPACE, mixed, powers, slices, spans
 
 #: Leading tokens that are levels of the tree; tokens from which one half may vary.
@@ -32,26 +39,34 @@ DEPTH, VARIABLE_TOKENS = 3, 9
 #: Lines of fewer tokens stay; below LONG_TOKENS a template recurs in SHORT_DOCUMENTS, else in LONG_DOCUMENTS.
 LEAST_TOKENS, LONG_TOKENS, SHORT_DOCUMENTS, LONG_DOCUMENTS = 3, 8, 10, 2
 
+#: Hundredths of the fixed tokens in which a confirmed line agrees with its template's first line.
+AGREE = 80
+
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _FIELD = np.uint64(0x2545F4914F6CDD1D)
 
 
-def line_templates(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, line in the row, template) for each template of each line; a template's lowest bit tells the long ones."""
+def _token_lines(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lines of LEAST_TOKENS or more as (row, line in the row, first token, tokens); all tokens' hashes and whether they have a digit."""
     starts, ends, hashes = spans(text, offsets, NOT_SPACE)
-    if not len(starts):
-        return (np.zeros(0, dtype=np.int64),) * 3
     digits = np.concatenate([[0], np.cumsum(_DIGIT[text])])
-    hashes = np.where(digits[ends] > digits[starts], _FIELD, hashes)
+    field = digits[ends] > digits[starts]
     heads = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(text == 10) + 1]))
     line_of = np.searchsorted(heads, starts, side="right") - 1
     lines, first, n = np.unique(line_of, return_index=True, return_counts=True)
     enough = n >= LEAST_TOKENS
     lines, first, n = lines[enough], first[enough], n[enough]
     row = np.searchsorted(offsets, heads[lines], side="right") - 1
-    line = lines - np.searchsorted(heads, offsets[row])
+    return row, lines - np.searchsorted(heads, offsets[row]), first, n, hashes, field
 
+
+def line_templates(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line in the row, template) for each template of each line; a template's lowest bit tells the long ones."""
+    row, line, first, n, hashes, field = _token_lines(text, offsets)
+    if not len(row):
+        return (np.zeros(0, dtype=np.int64),) * 3
+    hashes = np.where(field, _FIELD, hashes)
     up, down = powers(len(hashes) + 1)
     sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
@@ -71,6 +86,40 @@ def line_templates(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate([row[~varies], row[varies], row[varies]]), np.concatenate([line[~varies], line[varies], line[varies]]), template.view(np.int64)
 
 
+def strict_templates(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, line, template, exact, first token, tokens) as line_templates has them, and a byte for each token of the texts.
+
+    Lines that are mostly fields, or have fewer than LEAST_TOKENS fixed tokens, have one template of all their tokens as
+    they are; so have lines of VARIABLE_TOKENS besides their two. exact is a hash of the line's tokens; a token's byte has
+    its highest bit set for a field."""
+    row, line, first, n, hashes, field = _token_lines(text, offsets)
+    up, down = powers(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    exact = mixed((sums[first + n] - sums[first]) * down[first] + n.astype(np.uint64))
+    fields = np.concatenate([[0], np.cumsum(field)])
+    fixed = n - (fields[first + n] - fields[first])
+    general = (fixed >= LEAST_TOKENS) & (2 * fixed >= n)
+    found_row, found_line, template = line_templates(text, offsets)
+    # The lines of line_templates, by their place among all lines.
+    width = np.int64(max(1, line.max() + 1)) if len(line) else np.int64(1)
+    at = np.searchsorted(row * width + line, found_row * width + found_line)
+    at, template = at[general[at]], template[general[at]]
+    whole = np.flatnonzero(~general | (n >= VARIABLE_TOKENS))
+    own = (mixed(exact[whole] ^ np.uint64(0xA0761D6478BD642F)) & ~np.uint64(1)) | (n[whole] >= LONG_TOKENS).astype(np.uint64)
+    at, template = np.concatenate([at, whole]), np.concatenate([template, own.view(np.int64)])
+    token = (hashes >> np.uint64(57)).astype(np.uint8) | (field.astype(np.uint8) << 7)
+    return row[at], line[at], template, exact.view(np.int64)[at], first[at], n[at], token
+
+
+def _first_lines(row: np.ndarray, line: np.ndarray, template: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((line, template, row))
+    row, line, template = row[order], line[order], template[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1])
+    return row[new], line[new], template[new]
+
+
 def templates(docs: DataFrame, once: bool) -> DataFrame:
     """(template, doc_id, text_hash, line) of every line. once: only the first line of a template in a document."""
 
@@ -79,11 +128,7 @@ def templates(docs: DataFrame, once: bool) -> DataFrame:
             for start, text, offsets in slices(batch.column("text"), lower=False):
                 row, line, template = line_templates(text, offsets)
                 if once:
-                    order = np.lexsort((line, template, row))
-                    row, line, template = row[order], line[order], template[order]
-                    new = np.ones(len(row), dtype=bool)
-                    new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1])
-                    row, line, template = row[new], line[new], template[new]
+                    row, line, template = _first_lines(row, line, template)
                 at = pa.array(row + start)
                 yield pa.RecordBatch.from_arrays([pa.array(template), batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(line.astype(np.int32))], ["template", "doc_id", "text_hash", "line"])
 
@@ -101,11 +146,65 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drop"))
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """docs with the recurring lines taken out of text, and n_dropped_lines."""
+def strict(docs: DataFrame, signed: bool) -> DataFrame:
+    """(template, doc_id, text_hash, line) of every line by strict_templates. signed: with exact and the bytes of its tokens."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, text, offsets in slices(batch.column("text"), lower=False):
+                row, line, template, exact, first, n, token = strict_templates(text, offsets)
+                if not signed:  # only the first line of a template in a document
+                    row, line, template = _first_lines(row, line, template)
+                at = pa.array(row + start)
+                columns = [pa.array(template), batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(line.astype(np.int32))]
+                names = ["template", "doc_id", "text_hash", "line"]
+                if signed:
+                    ends = np.concatenate([[0], np.cumsum(n)])
+                    taken = token[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+                    tokens = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(taken)])
+                    columns, names = [*columns, pa.array(exact), tokens], [*names, "exact", "tokens"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).filter("text IS NOT NULL")
+    return rows.mapInArrow(find, "template long, doc_id long, text_hash long, line int" + ", exact long, tokens binary" * signed)
+
+
+def alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Whether pairs of lines agree in AGREE hundredths of the tokens that are fixed in either."""
+    same = np.array([len(x) == len(y) > 0 for x, y in zip(a, b)], dtype=bool)
+    found = np.zeros(len(a), dtype=bool)
+    if same.any():
+        a, b = ([x for x, ok in zip(side, same) if ok] for side in (a, b))
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in a])[:-1]])
+        one, two = (np.frombuffer(b"".join(side), dtype=np.uint8) for side in (a, b))
+        fixed = (one < 128) | (two < 128)
+        found[same] = 100 * np.add.reduceat((fixed & (one == two)).astype(np.int64), starts) >= AGREE * np.add.reduceat(fixed.astype(np.int64), starts)
+    return found
+
+
+def confirmed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line): the lines of recurring strict templates that are like the template's first line."""
+    place = F.struct("doc_id", "text_hash", "line")
+    least = F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, LONG_DOCUMENTS).otherwise(SHORT_DOCUMENTS)
+    counts = strict(docs, signed=False).groupBy("template").agg(F.count("*").alias("documents"), F.min(place).alias("first"))
+    recurring = counts.filter(F.col("documents") >= least).select("template", "first")
+    met = cut(strict(docs, signed=True).join(recurring, "template").withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"), "lines")
+    firsts = met.filter("is_first").groupBy("template").agg(F.min(F.struct("exact", "tokens")).alias("other"))
+    pairs = met.filter("NOT is_first").join(firsts, "template").select("doc_id", "text_hash", "line", "tokens", F.col("other.tokens").alias("other"), (F.col("exact") == F.col("other.exact")).alias("equal"))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = alike(batch.column("tokens").to_pylist(), batch.column("other").to_pylist()) | batch.column("equal").to_numpy(zero_copy_only=False)
+            yield batch.select(["doc_id", "text_hash", "line"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(confirm, "doc_id long, text_hash long, line int")
+
+
+def drop_lines(docs: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """docs with the recurring lines, or those of gone (doc_id, text_hash, drop), taken out of text, and n_dropped_lines."""
     own = [c for c in docs.columns if c != "n_dropped_lines"]
     rows = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drop")
+    gone = (dropped_lines(docs) if gone is None else gone).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drop")
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     kept = F.array_join(F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     text = F.when(F.col("drop").isNull(), F.col("_row.text")).otherwise(kept)
@@ -113,8 +212,8 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
 
 def without_recurring_lines(docs: DataFrame) -> DataFrame:
-    """docs with its own columns only; n_chars, where there is one, counts what is left."""
-    found = drop_lines(docs)
+    """docs without their confirmed lines and with its own columns only; n_chars, where there is one, counts what is left."""
+    found = drop_lines(docs, confirmed_lines(docs).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drop")))
     own = {c: F.col(c) for c in docs.columns}
     if "n_chars" in own:
         own["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])

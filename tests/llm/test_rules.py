@@ -99,6 +99,15 @@ def test_line_dedup(spark):
     assert all(found[10 + i] == f"own line number {'abcdefghijkl'[i]} of this text" for i in range(12))
 
 
+def test_strict_lines_keep_rows_and_sentences(spark):
+    rows = [" ".join(str((i * 37 + k * 11) % 977) for k in range(8)) for i in range(40)]
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    docs = [(1, "\n".join(rows[:20])), (2, "\n".join(rows[20:])), (3, "one two three four five six seven eight nine"), (4, "one two three four five six other words here")]
+    docs += [(5, long), (6, "own\n" + long.replace("wordza", "other")), (7, "own\n" + rows[3]), (8, "Page 3 of 10 in the minutes of the council"), (9, "own\nPage 7 of 12 in the minutes of the council")]
+    found = {r.doc_id: r.text for r in line_dedup.without_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == dict(docs) | {6: "own", 7: "own", 9: "own"}
+
+
 def test_template_keys_equal_brute_force(spark, small):
     """Lines go if and only if one of their templates recurs and they aren't its first."""
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
