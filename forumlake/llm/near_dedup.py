@@ -1,7 +1,7 @@
 """MinHash near-dedup with SetSketch registers.
 
-A document's set holds its distinct two-word shingles, as 64-bit hashes. A
-sketch has M registers; a register is the least of exponentially distributed
+A document's set holds its distinct shingles of a given number of words (two in
+op4_near_dedup, five in the pipeline), as 64-bit hashes. A sketch has M registers; a register is the least of exponentially distributed
 hashes of the set's elements on a scale of powers of BASE, truncated to 16 bits.
 The register of a union is the larger of two, and equal registers are the more
 likely the more two sets have in common.
@@ -17,7 +17,7 @@ what the two share with any open document is already too little. So no bucket is
 gathered, and no pair of a bucket is left out unless both are in one component.
 
 Defined results: null and empty texts and texts without words have an empty set
-and are linked with nothing; one word is the set's one element; rows with equal
+and are linked with nothing; a text of fewer words than a shingle is the set's one element; rows with equal
 doc_id are one document; a null doc_id is linked with nothing; repeated rows are
 returned each; an empty table gives no rows; other columns are ignored.
 """
@@ -48,14 +48,22 @@ BLOCK = 4096
 _FACTORS = mixed(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted hashes of each text's distinct shingles."""
+def shingle_sets(column: pa.Array, width: int = 2) -> Iterator[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles of width words."""
     for _, text, offsets in slices(column, latin=False):
         words, rows = word_hashes(text, offsets, NOT_SPACE)
         at = np.searchsorted(rows, np.arange(len(offsets)))
-        pairs = mixed(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:]) if len(words) > 1 else words[:0]
+        runs = words[: max(0, len(words) - width + 1)]
+        for k in range(1, width):
+            runs = mixed(runs * np.uint64(0xD6E8FEB86659FD93) + words[k : k + len(runs)])
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            yield np.unique(pairs[a : b - 1]) if b - a > 1 else words[a:b]
+            if b - a >= width:
+                yield np.unique(runs[a : b - width + 1])
+            else:  # all its words are the one element
+                whole = words[a : min(a + 1, b)]
+                for k in range(a + 1, b):
+                    whole = mixed(whole * np.uint64(0xD6E8FEB86659FD93) + words[k])
+                yield whole
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
@@ -82,13 +90,13 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
     return np.take_along_axis(grid, value.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, width: int = 2) -> DataFrame:
     """(doc_id, n, f1, f2, registers) of every row; f1 and f2 are sums over the set, which tell sets apart."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, f1, f2, found = [], [], [], []
-            for s in shingle_sets(batch.column("text")):
+            for s in shingle_sets(batch.column("text"), width):
                 n.append(len(s))
                 f1.append(int(s.sum().astype(np.int64)))
                 f2.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)))
@@ -122,13 +130,13 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, short: bool = False) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, width: int, short: bool = False) -> DataFrame:
     """(doc_id, elements) of some documents: the hashes as bytes. short: their distinct upper halves."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets, size = [], [], 0
-            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"))):
+            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width)):
                 ids.append(i)
                 sets.append((np.unique(s >> np.uint64(32)).astype(np.uint32) if short else s).tobytes())
                 size += len(sets[-1])
@@ -146,7 +154,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= SIMILAR * (len(a) + len(b) - common)
 
 
-def _open_links(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _open_links(open_: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The links (a, b) between open documents of one group of buckets, of which one isn't in the group's largest component.
 
     A group is dealt out in blocks of documents; each task holds one block of the
@@ -161,7 +169,7 @@ def _open_links(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     groups = shares.groupBy("root").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("most")).filter("all > most.k")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_DOCUMENTS)).cast("int")
     groups = groups.select("root", F.col("most.component").alias("main"), blocks(F.col("all")).alias("of_all"), blocks(F.col("all") - F.col("most.k")).alias("of_minor"))
-    sets = _sets(docs, people.select(F.col("id").alias("doc_id")).distinct(), short=True)
+    sets = _sets(docs, people.select(F.col("id").alias("doc_id")).distinct(), width, short=True)
     rows = people.join(groups, "root").join(classes.select("id", "registers"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
     rows = cut(rows, "open")
     own = [c for c in rows.columns if c not in ("of_all", "of_minor", "main")]
@@ -192,10 +200,10 @@ def _open_links(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
 
     key = ["root", "i", "j"]
     found = minors.groupBy(*key).cogroup(everyone.groupBy(*key)).applyInPandas(compare, "a long, b long").distinct()
-    return _linked(cut(found, "likely"), docs)
+    return _linked(cut(found, "likely"), docs, width)
 
 
-def _alone(open_: DataFrame, docs: DataFrame) -> DataFrame:
+def _alone(open_: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(id, alone): how many elements of a document's set stand in no other open document's.
 
     Two open documents have no more in common than the fewer of their other elements.
@@ -203,7 +211,7 @@ def _alone(open_: DataFrame, docs: DataFrame) -> DataFrame:
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"))):
+            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s.view(np.int64))], ["id", "element"])
 
     found = _texts(docs, open_.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(elements, "id long, element long")
@@ -211,9 +219,9 @@ def _alone(open_: DataFrame, docs: DataFrame) -> DataFrame:
     return owners.filter("id = other").groupBy("id").agg(F.count("*").alias("alone"))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity. Only the documents of pairs are read into sets."""
-    sets = cut(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "sets")
+    sets = cut(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width), "sets")
     one, two = (sets.select(F.col("doc_id").alias(x), F.col("elements").alias(f"s_{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "s_a", "s_b")
 
@@ -241,9 +249,9 @@ def components(links: DataFrame) -> DataFrame:
             return found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
-    rows = cut(sketches(docs), "sketches")
+def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row, by shingles of width words."""
+    rows = cut(sketches(docs, width), "sketches")
     full = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = cut(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers")), "classes")
     size = 2 * ROWS
@@ -265,11 +273,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 break
             open_ = named.join(whole, "band")
             if sizes is None:
-                sizes = classes.select("id", "n").join(_alone(open_, docs), "id", "left")
+                sizes = classes.select("id", "n").join(_alone(open_, docs, width), "id", "left")
                 sizes = cut(sizes.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")), "sizes")
             open_ = cut(open_.join(sizes, "id"), "open")
         if last:
-            new = cut(_open_links(open_, classes, docs), "links")
+            new = cut(_open_links(open_, classes, docs, width), "links")
             links = new if links is None else links.unionByName(new)
             found = components(links)
             break
@@ -279,7 +287,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = open_.select("band", F.col("id").alias("a"), "component").join(pivots, "band").filter("of <> component")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         likely = cut(_likely(pairs, classes), "likely")
-        new = cut(_linked(likely, docs), "links")
+        new = cut(_linked(likely, docs, width), "links")
         links = new if links is None else links.unionByName(new)
         found = components(links)
 
@@ -290,8 +298,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 2) -> DataFrame:
     """The rows of docs that stay: of each group the document with the smallest id, once; rows with a null doc_id all stay."""
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_duplicates(docs, width).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
     named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL"))

@@ -44,6 +44,36 @@ def test_tables_equal_brute_force(spark, small):
     check(spark, {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()})
 
 
+def test_five_words_equal_brute_force(spark, small):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    base = [f"w{i}" for i in range(120)]
+    near = [w + "x" * (k % 20 == 7) for k, w in enumerate(base)]  # alike on pairs, not on five words
+    docs |= {-1: " ".join(base), -2: " ".join(near), -3: " ".join(base[:-1]), -4: "one two three", -5: "three one two one", -6: "", -7: "a b c d e"}
+    sets = {}
+    for i, text in docs.items():
+        words = _WORD.findall((text or "").translate(_LOWER))
+        sets[i] = set(zip(*(words[k:] for k in range(5)))) if len(words) >= 5 else {tuple(words)} - {()}
+    root = {i: i for i in docs}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(i for i in docs if sets[i])
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) * 100 >= 80 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(rows, width=5).collect()}
+    assert found == {i: (len(sets[i]), top(i)) for i in docs}
+    assert found[-2][1] == -2 and found[-1][1] == -3
+    assert sorted(r.doc_id for r in N.keep_one(rows, width=5).collect()) == sorted(i for i in docs if top(i) == i)
+
+
 def test_chains_and_groups(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in rng.integers(0, 400, 120)]
