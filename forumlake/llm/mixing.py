@@ -1,91 +1,115 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's documents, in an order that hashes them, are cut into blocks. With a
-weight of q slots in a frame of Q, block j of the source may not be placed
-before slot floor(j Q / q) and has to be placed before slot ceil((j + 1) Q / q).
-Earliest deadline first over the released blocks meets all deadlines, so that
-after any number of slots every source is less than one block off its share,
-until a source runs out of blocks. The schedule repeats after Q slots, so it is
-worked out for one frame, from as many rows as there are sources.
+weight of w, a part of 1, block j of the source may not be placed before slot
+floor(j / w) and has to be placed before slot ceil((j + 1) / w). Earliest
+deadline first over the released blocks meets all deadlines, so that after any
+number of slots every source is less than one block off its weight, until a
+source runs out of blocks. The windows are worked out from the weights
+themselves, in whole numbers. The schedule is one sequence, so the driver works
+it out, with a heap of the sources and a number for each block.
 
 Places within a source come from counts of hash buckets and a row number inside
 a bucket; a source with any share of the rows is spread over many buckets.
 
 Defined results: a null source is a source of its own; null texts and repeated
 rows are documents like others; every row is kept and gets one place; where a
-source has no block left, its slots stay empty; ties of the hash are ordered by
+source has no block left, its slots stay empty; sources of weight 0 come after the
+last slot of the others, by name; ties of the hash are ordered by
 doc_id and a hash of the text; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Documents in a block; slots in a frame; documents in a hash bucket, about; power of a source's size that gives its weight.
-BLOCK, FRAME, BUCKET_ROWS, POWER = 16, 1000, 2000, 0.5
+#: Documents in a block; documents in a hash bucket, about; power of a source's size that gives its weight.
+BLOCK, BUCKET_ROWS, POWER = 16, 2000, 0.5
 
 
 def shares(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """(key, q): slots of each source in a frame of sum(q); without weights they go by size ** POWER."""
+    """(key, size, q): documents and weight of each source; without weights they go by size ** POWER."""
     sizes = docs.groupBy(_key().alias("key")).agg(F.count("*").alias("size"))
     if weights is None:
         weight = F.pow(F.col("size").cast("double"), F.lit(POWER))
     else:
         known = F.create_map(*[x for k, v in weights.items() for x in (F.lit("" if k is None else f"s{k}"), F.lit(float(v)))])
         weight = F.coalesce(known[F.col("key")], F.lit(0.0))
-    every = W.partitionBy()  # as many rows as sources
-    sized = sizes.withColumn("weight", weight).withColumn("frame", F.greatest(F.lit(FRAME), 4 * F.count("*").over(every)))
-    exact = sized.withColumn("exact", (F.col("frame") - F.count("*").over(every)) * F.col("weight") / F.sum("weight").over(every))
-    floored = exact.withColumn("q", 1 + F.floor("exact")).withColumn("rank", F.row_number().over(every.orderBy(F.desc(F.col("exact") - F.floor("exact")), "key")))
-    return floored.select("key", (F.col("q") + (F.col("rank") <= F.col("frame") - F.sum("q").over(every)).cast("int")).alias("q"))
+    return sizes.select("key", "size", weight.alias("q"))
 
 
 def _key():
     return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
 
 
-def frame(shares_: DataFrame) -> DataFrame:
-    """(key, q, frame, turn, slot): the slot of each source's turns in one frame, by earliest deadline first."""
-    all_ = shares_.agg(F.sort_array(F.collect_list(F.struct("key", "q"))).alias("sources"), F.sum("q").alias("frame"))
-    sources, size = F.col("sources"), F.col("frame")
-
-    def step(state, t):
-        def deadline(source, i):
-            j = F.get(state["done"], i)
-            released = (j < source["q"]) & (F.floor(j * size / source["q"]) <= t)
-            return F.when(released, F.struct(F.ceil((j + 1) * size / source["q"]).alias("by"), i.alias("i")))
-
-        pick = F.array_min(F.transform(sources, deadline))["i"]
-        done = F.transform(state["done"], lambda j, i: j + F.when(i == pick, 1).otherwise(0))
-        return F.struct(done.alias("done"), F.concat(state["order"], F.array(pick)).alias("order"))
-
-    start = F.struct(F.transform(sources, lambda s: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
-    order = F.aggregate(F.sequence(F.lit(0), (size - 1).cast("int")), start, step)["order"]
-    slots = all_.filter("frame > 0").select("sources", "frame", F.posexplode(order).alias("slot", "i"))
-    rows = slots.select(F.get("sources", F.col("i"))["key"].alias("key"), F.get("sources", F.col("i"))["q"].alias("q"), "frame", "slot")
-    return rows.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy("slot")) - 1)
+def schedule(weights: list[float], blocks: list[int]) -> list[np.ndarray]:
+    """The slots of each source's blocks, by earliest deadline first. Weights are read as the decimals that they print as."""
+    exact = [Fraction(repr(float(w))) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    parts = [int(w * scale) for w in exact]
+    total = sum(parts)
+    slots = [np.zeros(n, dtype=np.int64) for n in blocks]
+    done = [0] * len(blocks)
+    waiting = [(0, i) for i, n in enumerate(blocks) if parts[i] and n]  # (release, source)
+    ready: list[tuple[int, int]] = []  # (deadline, source)
+    heapq.heapify(waiting)
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[i] + 1) * total // parts[i]), i))
+        i = heapq.heappop(ready)[1]
+        slots[i][done[i]] = t
+        done[i] += 1
+        if done[i] < blocks[i]:
+            heapq.heappush(waiting, (done[i] * total // parts[i], i))
+        t += 1
+    for i, n in enumerate(blocks):
+        if not parts[i]:
+            slots[i] += np.arange(t, t + n)
+            t += n
+    return slots
+
+
+def _plan(rows: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
+    """(_key, _block, slot) of every block."""
+    sources = sorted(shares(rows, weights).collect(), key=lambda r: r.key)
+    blocks = [-(-r["size"] // BLOCK) for r in sources]
+    slots = schedule([r.q for r in sources], blocks)
+    of = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(blocks), dtype=np.int32), blocks)), pa.array([r.key for r in sources], pa.string()))
+    at = [np.arange(n) for n in blocks]
+    columns = [of.cast(pa.string()), *(pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *x])) for x in (at, slots))]
+    return rows.sparkSession.createDataFrame(pa.Table.from_arrays(columns, ["_key", "_block", "slot"]))
 
 
 def _placed(rows: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
     """rows (doc_id, source, _tie and others) with block, slot and place."""
     own = rows.columns
     total = rows.count()
-    plan = frame(shares(rows, weights))
     buckets = max(1, total // BUCKET_ROWS)
     keyed = rows.select(*own, _key().alias("_key"), F.xxhash64("doc_id").alias("_hash")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     sizes = rows.select(_key().alias("_key"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("_bucket")).groupBy("_key", "_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("_key").orderBy("_bucket")) - F.col("_n")).drop("_n")
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("_key").orderBy("_bucket")) - F.col("_n"))
+    before = before.withColumn("_first", F.floor(F.col("_before") / BLOCK))
+    # A bucket's blocks with their slots, so that the rows are joined by bucket, as they are already dealt out.
+    last = F.floor((F.col("_before") + F.col("_n") - 1) / BLOCK)
+    blocks = before.select("_key", "_bucket", "_before", "_first", F.explode(F.sequence("_first", last)).alias("_block")).join(_plan(rows, weights), ["_key", "_block"])
+    before = blocks.groupBy("_key", "_bucket", "_before", "_first").agg(F.sort_array(F.collect_list(F.struct("_block", "slot"))).alias("_slots"))
     rank = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy("_hash", "doc_id", "_tie"))
     placed = keyed.withColumn("_rank", rank).join(before, ["_key", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_rank") - 1)
     placed = placed.withColumn("_block", F.floor(F.col("_at") / BLOCK)).withColumn("_place", (F.col("_at") % BLOCK).cast("int"))
-    # The frame has FRAME rows, or four for each source.
-    turns = F.broadcast(plan.select(F.col("key").alias("_key"), F.col("turn").cast("long").alias("_turn"), F.col("slot").alias("_slot")))
-    widths = F.broadcast(plan.select(F.col("key").alias("_key"), F.col("q").alias("_q"), F.col("frame").alias("_frame")).distinct())
-    timed = placed.join(widths, "_key").withColumn("_turn", F.col("_block") % F.col("_q")).join(turns, ["_key", "_turn"])
-    slot = (F.floor(F.col("_block") / F.col("_q")) * F.col("_frame") + F.col("_slot")).cast("long")
-    return timed.select(*own, F.col("_block").alias("block"), slot.alias("slot"), F.col("_place").alias("place"))
+    slot = F.get("_slots", (F.col("_block") - F.col("_first")).cast("int"))["slot"]
+    return placed.select(*own, F.col("_block").alias("block"), slot.alias("slot"), F.col("_place").alias("place"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:

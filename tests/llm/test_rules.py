@@ -155,6 +155,34 @@ def test_mixing(spark, monkeypatch, weights):
     assert ordered == sorted(ordered, key=at.get)
 
 
+def test_schedule_keeps_to_the_weights_given():
+    for weights, n in (([0.5] + [0.5 / 19] * 19, 20000), ([0.5] + [0.0005] * 1000, 20000), ([3, 1, 0, 2.5], 5000)):
+        blocks = [int(w / sum(weights) * n) + 1 for w in weights]
+        slots = mixing.schedule(weights, blocks)
+        every = sorted(int(x) for v in slots for x in v)
+        assert len(every) == len(set(every)) == sum(blocks)
+        end = min(int(v[-1]) for v, w in zip(slots, weights) if w)
+        for v, w in zip(slots, weights):
+            share = w / sum(weights)
+            if not w:
+                assert v.min() > end
+                continue
+            for j, t in enumerate(v.tolist()):  # the deviation is largest beside a slot of the source
+                assert t > end or (j - share * t > -1 - 1e-9 and j + 1 - share * (t + 1) < 1 + 1e-9)
+
+
+def test_mixing_to_weights_given(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 1)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text", "CASE WHEN id < 2000 THEN 'a' WHEN id < 2900 THEN concat('b', id % 19) ELSE 'none' END AS source")
+    weights = {"a": 19} | {f"b{i}": 1 for i in range(19)}
+    slots = {r.slot: r.source for r in mixing.mix(docs, weights).collect()}
+    assert len(slots) == 3000
+    done = 0
+    for t in range(1500):
+        done += slots[t] == "a"
+        assert slots[t] != "none" and abs(done - (t + 1) / 2) < 1
+
+
 def test_language_held_out(spark):
     found = op9_language_id(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
