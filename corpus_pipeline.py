@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again for the next.
 
 Rejected documents go, recurring lines go, one document of each group of near
-duplicates stays, the rest is put in the order of the mixture and packed.
+duplicates stays, the rest is put in the order of the mixture and packed: the
+sequences follow the mixture.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, docs, tokenizer_path(), end_id=0, capacity=2048)
+    # Rows of a table have no order, so the places in the mixture, which follow from the rows alone, are worked out again.
+    return packing.pack_in_order(spark, mixing.mix(docs), tokenizer_path(), end_id=0, capacity=2048)
 
 
 STAGES = [

@@ -14,6 +14,10 @@ Defined results: null text counts as empty and holds the end id alone; a null
 doc_id is a document like others; repeated rows are packed each; an empty table
 gives no rows; columns besides doc_id and text are ignored. Pieces of equal
 length are ordered by doc_id, piece and start.
+
+pack_in_order packs documents that have a slot and a place in a mixture: best fit
+within windows of successive slots, whose sequences are numbered by the first
+place that they hold, so that the order of the mixture is that of the sequences.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ from .token_files import chunks
 
 #: A round takes the pieces of at least this share of the longest that waits; shorter ones fill what those leave.
 SHARE = 0.75
+#: Slots that are counted together, and documents of a window of slots at least.
+SLOTS, WINDOW = 16, 2048
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document; only the first piece of a long one may be short."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document and the long columns in keep; only the first piece of a long one may be short."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
@@ -52,9 +58,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                         rows.append((i, piece, a, b - a, zlib.crc32(ids[a:b])))
                 row, *rest = (np.array(x, dtype=np.int64) for x in zip(*rows))
                 columns = [batch.column("doc_id").slice(first, len(texts)).take(pa.array(row)), pa.array(rest[0].astype(np.int32)), *(pa.array(x) for x in rest[1:])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+                columns += [batch.column(c).slice(first, len(texts)).take(pa.array(row)) for c in keep]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *(F.col(c).cast("long") for c in keep)).mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long" + "".join(f", {c} long" for c in keep))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -145,3 +152,36 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0,
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(runs[run, 3])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def pack_in_order(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs, which have slot and place."""
+    found = cut(pieces(docs, tokenizer, end_id, capacity, ("slot", "place")), "pieces")
+    stretch = F.floor(F.col("slot") / SLOTS)
+    # A row for SLOTS blocks of documents; successive ones are a window from WINDOW documents on.
+    sizes = found.filter("piece = 0").groupBy(stretch.alias("stretch")).agg(F.count("*").alias("n")).toArrow().sort_by("stretch")
+    n = sizes.column("n").to_numpy()
+    windows = pa.table({"stretch": sizes.column("stretch"), "window": pa.array((np.cumsum(n) - n) // WINDOW, pa.int64())})
+    dealt = found.withColumn("stretch", stretch).join(F.broadcast(spark.createDataFrame(windows)), "stretch")
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "start", "slot", "place"))])
+        lengths, piece, slot, place = (rows.column(c).to_numpy() for c in ("length", "piece", "slot", "place"))
+        runs = np.array(best_fit(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)))), capacity)[0], dtype=np.int64).reshape(-1, 4)
+        position = np.arange(len(lengths))
+        run = np.searchsorted(runs[:, 0], position, side="right") - 1
+        sequence = runs[run, 2] + position - runs[run, 0]
+        # Sequences by the first place in the mixture that they hold.
+        first = np.unique(sequence[np.lexsort((piece, place, slot))], return_index=True)[1]
+        rank = np.argsort(np.argsort(first))
+        sequence = rank[np.searchsorted(np.unique(sequence), sequence)]
+        kept = [rows.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "window")]
+        return pa.Table.from_arrays([*kept, pa.array(sequence), pa.array(runs[run, 3])], ["doc_id", "piece", "start", "length", "ids_crc32", "window", "sequence", "offset"])
+
+    fitted = dealt.select("doc_id", "piece", "start", "length", "ids_crc32", "slot", "place", "window").groupBy("window").applyInArrow(fit, "doc_id long, piece int, start long, length long, ids_crc32 long, window long, sequence long, offset long")
+    fitted = cut(fitted, "fitted")
+    opened = fitted.groupBy("window").agg((F.max("sequence") + 1).alias("n")).toArrow().sort_by("window")  # a row for each window
+    n = opened.column("n").to_numpy()
+    before = pa.table({"window": opened.column("window"), "before": pa.array(np.cumsum(n) - n, pa.int64())})
+    numbered = fitted.join(F.broadcast(spark.createDataFrame(before)), "window")
+    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("sequence")).alias("sequence_id"), "offset")

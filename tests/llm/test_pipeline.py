@@ -21,3 +21,19 @@ def test_odd_rows(spark, odd, marks, tmp_path):
             found = C.cut(stage(spark, rows, str(tmp_path)), name)
             assert found.columns == rows.columns and found.count() <= rows.count()
         assert C.STAGES[-1][1](spark, rows, str(tmp_path)).count() >= rows.count()
+
+
+def test_sequences_follow_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(C.mixing, "BLOCK", 2)
+    monkeypatch.setattr(C.packing, "WINDOW", 64)
+    sizes = {"a": 1600, "b": 400, "c": 100}  # weights 4, 2 and 1 by size ** 0.5
+    docs = [(f"{s}{i}", s, 5 + {"a": 300, "b": 150, "c": 20}[s] + i * 7 % 90) for s, n in sizes.items() for i in range(n)]
+    rows = spark.createDataFrame([(k, "word " * n, s) for k, (_, s, n) in enumerate(docs)] + [(None, None, "a")], "doc_id long, text string, source string")
+    packed = C.pack_sequences(spark, rows, None).toPandas()
+    assert len(packed) == len(docs) + 1 and packed.sequence_id.nunique() == packed.sequence_id.max() + 1
+    for _, g in packed.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.to_numpy()[1:] == g.length.cumsum().to_numpy()[:-1]).all() and g.length.sum() <= 2048
+    sources = packed[packed.doc_id.notna()].sort_values("sequence_id").doc_id.map(lambda i: docs[int(i)][1]).to_numpy()
+    for n in (150, 300, 450, 600):
+        for source, weight in {"a": 4 / 7, "b": 2 / 7, "c": 1 / 7}.items():
+            assert abs((sources[:n] == source).sum() - n * weight) <= 40  # much of one window of 64
