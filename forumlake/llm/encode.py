@@ -11,6 +11,7 @@ other white space beside a space are encoded in one piece.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -89,14 +90,15 @@ class _Words(dict):
 
 
 class Encoder:
-    """Encodes with the tokenizers library; special tokens' strings in a text are ordinary text."""
+    """Encodes as the tokenizers library does; a text that holds an added token's string goes to the library whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = [re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(added) or r"(?!)").search
         self._words, self._heads = _Words(tokenizer, " "), _Words(tokenizer, "")
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
@@ -106,6 +108,8 @@ class Encoder:
         for i, text in enumerate(texts):
             head, *rest = text.split(" ")
             try:
+                if self._added(text):
+                    raise KeyError(text)
                 ids = b"".join([heads[head] if head or rest else b"", *map(words, rest), end])
             except KeyError:
                 ids = heads.library(text) + end

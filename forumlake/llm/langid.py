@@ -27,8 +27,10 @@ from pyspark.sql.window import Window as W
 
 from .ngrams import byte_features, slices
 
-#: 2 ** BITS buckets of runs of ORDERS bytes; labelled documents of each language and languages at most; gap of losses that is ambiguous.
-BITS, ORDERS, PER_LANGUAGE, LANGUAGES, AMBIGUOUS = 12, (2, 3), 400, 500, 1.0
+#: 2 ** BITS buckets of runs of ORDERS bytes; labelled documents of each language and of all at most; gap of losses that is ambiguous.
+BITS, ORDERS, PER_LANGUAGE, SAMPLE, AMBIGUOUS = 12, (2, 3), 400, 16_000, 1.0
+#: Times the documents wanted of a language that are ranked.
+MARGIN = 4
 #: Languages up to which all dichotomies make the code; places of longer codes for each doubling of the languages.
 EXHAUSTIVE, PLACES = 5, 12
 #: Passes over the sample, step, weight decay.
@@ -67,15 +69,20 @@ def held_out(parts: int, which: int):
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, vector) of the sample."""
-    known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out(3, 1)).select("doc_id", "lang").distinct()
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).drop("rank")
-    chosen = chosen.orderBy("lang", "doc_id").limit(LANGUAGES * PER_LANGUAGE)  # bounds what is broadcast
+    """(lang, vector) of the sample: for each language the documents whose ids have the least hashes."""
+    known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out(3, 1)).select("doc_id", "lang")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    each = F.greatest(F.lit(1), F.least(F.lit(PER_LANGUAGE), F.floor(F.lit(SAMPLE) / F.count("*").over(W.partitionBy())))).cast("long")
+    sizes = sizes.withColumn("each", each)
+    # Hashes are even, so that about MARGIN times as many as are wanted lie below the cut, and a language is never gathered.
+    part = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))).cast("double") / (1 << 32)
+    few = known.join(sizes, "lang").filter(part * F.col("n") <= F.col("each") * MARGIN).select("doc_id", "lang", "each").distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), "doc_id"))
+    chosen = few.withColumn("rank", rank).filter("rank <= each").select("doc_id", "lang")  # SAMPLE rows at most, and one for each language
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.tobytes() for rows in vectors(batch.column("text")) for x in rows]
+            found = [x.astype(np.float16).tobytes() for rows in vectors(batch.column("text")) for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.binary())], ["doc_id", "lang", "vector"])
 
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").filter(F.col("text").rlike(r"\p{L}"))
@@ -88,7 +95,7 @@ def train(docs: DataFrame) -> dict | None:
     if len(languages) < 2:
         return {"languages": languages} if languages else None
     code = codewords(len(languages))
-    x = np.frombuffer(b"".join(rows.vector), dtype=np.float32).reshape(-1, 1 << BITS)
+    x = np.frombuffer(b"".join(rows.vector), dtype=np.float16).reshape(-1, 1 << BITS).astype(np.float32)
     which = np.searchsorted(languages, rows.lang.to_numpy())
     y = code[which].astype(np.float32)
     even = (1.0 / np.bincount(which)[which] / len(languages)).astype(np.float32)[:, None]

@@ -5,121 +5,149 @@ weight of w, a part of 1, block j of the source may not be placed before slot
 floor(j / w) and has to be placed before slot ceil((j + 1) / w). Earliest
 deadline first over the released blocks meets all deadlines, so that after any
 number of slots every source is less than one block off its weight, until a
-source runs out of blocks. The windows are worked out from the weights
-themselves, in whole numbers. The schedule is one sequence, so the driver works
-it out, with a heap of the sources and a number for each block.
+source runs out of blocks.
 
-Places within a source come from counts of hash buckets and a row number inside
-a bucket; a source with any share of the rows is spread over many buckets.
+Weights are whole parts of a period: those of the weights as given where their
+common denominator is at most PARTS, else the nearest parts of PARTS, one at
+least. After a period every source has exactly its parts and all lags are 0, so
+the schedule repeats, and only one period is worked out, whatever the number of
+documents: at most PARTS slots and one more for each source. Block j of a source
+with q parts is in period j div q, at the slot of the period's block j mod q.
+
+Places within a source come from counts of hash buckets, summed over stretches
+of buckets first, and a row number inside a bucket; a source with any share of
+the rows is spread over many buckets.
 
 Defined results: a null source is a source of its own; null texts and repeated
-rows are documents like others; every row is kept and gets one place; where a
-source has no block left, its slots stay empty; sources of weight 0 come after the
-last slot of the others, by name; ties of the hash are ordered by
-doc_id and a hash of the text; an empty table gives no rows; other columns pass through.
+rows are documents like others; a source whose weight is 0 or isn't given is not
+in the mixture: mix() keeps its rows with a null slot, mixed() leaves them out;
+where a source has no block left, its slots stay empty; ties of the hash are
+ordered by doc_id and a hash of the text; an empty table gives no rows; other
+columns pass through, but mix() replaces input columns named block, slot and place.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from fractions import Fraction
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Documents in a block; documents in a hash bucket, about; power of a source's size that gives its weight.
-BLOCK, BUCKET_ROWS, POWER = 16, 2000, 0.5
+#: Documents in a block; documents in a hash bucket, about; buckets in a stretch; power of a source's size that gives its weight.
+BLOCK, BUCKET_ROWS, STRETCH, POWER = 16, 2000, 1024, 0.5
+#: Parts of a period into which weights without a small common denominator are rounded.
+PARTS = 1 << 20
 
 
-def shares(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """(key, size, q): documents and weight of each source; without weights they go by size ** POWER."""
-    sizes = docs.groupBy(_key().alias("key")).agg(F.count("*").alias("size"))
-    if weights is None:
-        weight = F.pow(F.col("size").cast("double"), F.lit(POWER))
-    else:
-        known = F.create_map(*[x for k, v in weights.items() for x in (F.lit("" if k is None else f"s{k}"), F.lit(float(v)))])
-        weight = F.coalesce(known[F.col("key")], F.lit(0.0))
-    return sizes.select("key", "size", weight.alias("q"))
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("_row.source")), F.lit(""))
+
+
+def _fraction(w: float) -> Fraction:
+    """The decimal that a weight prints as, or the fraction of small terms that it is the nearest number to."""
+    exact = Fraction(repr(float(w)))
+    small = exact.limit_denominator(10_000)
+    return small if abs(small - exact) <= exact / 10**15 else exact
 
 
-def _key():
-    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+def parts(weights: list[float]) -> list[int]:
+    """Whole parts of a period in the proportions of the weights."""
+    exact = [_fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    whole = [int(w * scale) for w in exact]
+    common = math.gcd(*whole) or 1
+    if sum(whole) <= PARTS * common:
+        return [x // common for x in whole]
+    total = sum(whole)
+    found = [x * PARTS // total for x in whole]
+    rest = sorted(range(len(whole)), key=lambda i: (-(whole[i] * PARTS % total), i))
+    for i in rest[: PARTS - sum(found)]:
+        found[i] += 1
+    return [max(q, 1) if x else 0 for q, x in zip(found, whole)]
 
 
-def schedule(weights: list[float], blocks: list[int]) -> list[np.ndarray]:
-    """The slots of each source's blocks, by earliest deadline first. Weights are read as the decimals that they print as."""
-    exact = [Fraction(repr(float(w))) for w in weights]
-    scale = math.lcm(*(w.denominator for w in exact))
-    parts = [int(w * scale) for w in exact]
-    total = sum(parts)
-    slots = [np.zeros(n, dtype=np.int64) for n in blocks]
-    done = [0] * len(blocks)
-    waiting = [(0, i) for i, n in enumerate(blocks) if parts[i] and n]  # (release, source)
+def period(of: list[int], needed: list[int]) -> list[list[int]]:
+    """The slots of each source's first blocks in a period, by earliest deadline first, up to the number needed."""
+    total, slots = sum(of), [[] for _ in of]
+    open_ = sum(1 for q, n in zip(of, needed) if min(q, n) > 0)
+    waiting = [(0, i) for i, q in enumerate(of) if q]  # (release, source)
     ready: list[tuple[int, int]] = []  # (deadline, source)
-    heapq.heapify(waiting)
     t = 0
-    while waiting or ready:
-        if not ready:
-            t = max(t, waiting[0][0])
+    while open_:
         while waiting and waiting[0][0] <= t:
             i = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(done[i] + 1) * total // parts[i]), i))
+            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * total // of[i]), i))
         i = heapq.heappop(ready)[1]
-        slots[i][done[i]] = t
-        done[i] += 1
-        if done[i] < blocks[i]:
-            heapq.heappush(waiting, (done[i] * total // parts[i], i))
+        slots[i].append(t)
+        done = len(slots[i])
+        open_ -= done == min(of[i], needed[i])
+        if done < of[i]:
+            heapq.heappush(waiting, (done * total // of[i], i))
         t += 1
-    for i, n in enumerate(blocks):
-        if not parts[i]:
-            slots[i] += np.arange(t, t + n)
-            t += n
     return slots
 
 
-def _plan(rows: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
-    """(_key, _block, slot) of every block."""
-    sources = sorted(shares(rows, weights).collect(), key=lambda r: r.key)
-    blocks = [-(-r["size"] // BLOCK) for r in sources]
-    slots = schedule([r.q for r in sources], blocks)
-    of = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(blocks), dtype=np.int32), blocks)), pa.array([r.key for r in sources], pa.string()))
-    at = [np.arange(n) for n in blocks]
-    columns = [of.cast(pa.string()), *(pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *x])) for x in (at, slots))]
-    return rows.sparkSession.createDataFrame(pa.Table.from_arrays(columns, ["_key", "_block", "slot"]))
+def shares(rows: DataFrame, weights: dict[str | None, float] | None = None) -> list[tuple[str, int, int]]:
+    """(key, documents, parts) of each source, by key; without weights they go by size ** POWER. A row for each source is collected."""
+    sizes = sorted((r.key, r.n) for r in rows.groupBy(_key().alias("key")).agg(F.count("*").alias("n")).collect())
+    if weights is None:
+        given = [n**POWER for _, n in sizes]
+    else:
+        known = {"" if k is None else f"s{k}": w for k, w in weights.items()}
+        given = [known.get(k, 0.0) for k, _ in sizes]
+    return [(k, n, q) for (k, n), q in zip(sizes, parts(given))]
 
 
 def _placed(rows: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
-    """rows (doc_id, source, _tie and others) with block, slot and place."""
-    own = rows.columns
-    total = rows.count()
+    """rows (_row, _tie) with block, slot and place."""
+    sources = shares(rows, weights)
+    slots = period([q for _, _, q in sources], [-(-n // BLOCK) for _, n, _ in sources])
+    total = sum(n for _, n, _ in sources)
+    length = max(1, sum(q for _, _, q in sources))
     buckets = max(1, total // BUCKET_ROWS)
-    keyed = rows.select(*own, _key().alias("_key"), F.xxhash64("doc_id").alias("_hash")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
-    sizes = rows.select(_key().alias("_key"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("_bucket")).groupBy("_key", "_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("_key").orderBy("_bucket")) - F.col("_n"))
-    before = before.withColumn("_first", F.floor(F.col("_before") / BLOCK))
+    # The plan as a literal: at most PARTS numbers, and one for each source.
+    plan = json.dumps([{"key": k, "parts": q, "slots": s} for (k, _, q), s in zip(sources, slots)])
+    plan = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(plan), "array<struct<key:string,parts:long,slots:array<long>>>")).alias("p"))
+    known = plan.select(F.col("p.key").alias("_key"), F.col("p.parts").alias("_parts"))
+    at = plan.select(F.col("p.key").alias("_key"), F.posexplode("p.slots").alias("_of", "_slot"))
+
+    keyed = rows.select("*", _key().alias("_key"), F.xxhash64("_row.doc_id").alias("_hash")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    sizes = keyed.groupBy("_key", "_bucket").agg(F.count("*").alias("_n")).withColumn("_stretch", F.floor(F.col("_bucket") / STRETCH))
+    running = F.sum("_n").over(W.partitionBy("_key", "_stretch").orderBy("_bucket")) - F.col("_n")
+    stretches = sizes.groupBy("_key", "_stretch").agg(F.sum("_n").alias("_all"))
+    stretches = stretches.select("_key", "_stretch", (F.sum("_all").over(W.partitionBy("_key").orderBy("_stretch")) - F.col("_all")).alias("_earlier"))
+    before = sizes.withColumn("_before", running).join(stretches, ["_key", "_stretch"]).select("_key", "_bucket", "_n", (F.col("_before") + F.col("_earlier")).alias("_before"))
+    before = before.join(known, "_key").withColumn("_first", F.floor(F.col("_before") / BLOCK))
     # A bucket's blocks with their slots, so that the rows are joined by bucket, as they are already dealt out.
     last = F.floor((F.col("_before") + F.col("_n") - 1) / BLOCK)
-    blocks = before.select("_key", "_bucket", "_before", "_first", F.explode(F.sequence("_first", last)).alias("_block")).join(_plan(rows, weights), ["_key", "_block"])
-    before = blocks.groupBy("_key", "_bucket", "_before", "_first").agg(F.sort_array(F.collect_list(F.struct("_block", "slot"))).alias("_slots"))
-    rank = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy("_hash", "doc_id", "_tie"))
+    blocks = before.select("_key", "_bucket", "_before", "_first", "_parts", F.explode(F.sequence("_first", last)).alias("_block"))
+    cycle = F.expr("CASE WHEN _parts > 0 THEN _block DIV _parts END")
+    blocks = blocks.withColumn("_of", F.expr("CASE WHEN _parts > 0 THEN _block % _parts END")).join(at, ["_key", "_of"], "left")
+    blocks = blocks.withColumn("_slot", cycle * length + F.col("_slot"))
+    before = blocks.groupBy("_key", "_bucket", "_before", "_first").agg(F.sort_array(F.collect_list(F.struct("_block", "_slot"))).alias("_slots"))
+    rank = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy("_hash", "_row.doc_id", "_tie"))
     placed = keyed.withColumn("_rank", rank).join(before, ["_key", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_rank") - 1)
     placed = placed.withColumn("_block", F.floor(F.col("_at") / BLOCK)).withColumn("_place", (F.col("_at") % BLOCK).cast("int"))
-    slot = F.get("_slots", (F.col("_block") - F.col("_first")).cast("int"))["slot"]
-    return placed.select(*own, F.col("_block").alias("block"), slot.alias("slot"), F.col("_place").alias("place"))
+    slot = F.get("_slots", (F.col("_block") - F.col("_first")).cast("int"))["_slot"]
+    return placed.select("_row", F.col("_block").alias("block"), slot.alias("slot"), F.col("_place").alias("place"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """The rows as structs, whose columns clash with none made here."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_tie"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """docs with columns block, slot and place: the block in its source, its slot in the mixture, the row's place in the block."""
-    own = [c for c in docs.columns if c not in ("block", "slot", "place")]
-    return _placed(docs.select(*own, F.xxhash64("text").alias("_tie")), weights).drop("_tie")
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("block", "slot", "place")]
+    return _placed(_rows(docs), weights).select(*own, "block", "slot", "place")
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """The rows of docs in the order of the mixture."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.xxhash64("text").alias("_tie"))
-    found = _placed(rows, weights).select("_row", "slot", "place")
+    """The rows of docs that are in the mixture, in its order."""
+    found = _placed(_rows(docs), weights).filter("slot IS NOT NULL")
     return found.repartitionByRange("slot").sortWithinPartitions("slot", "place").select("_row.*")

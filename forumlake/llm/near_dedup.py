@@ -18,7 +18,7 @@ gathered, and no pair of a bucket is left out unless both are in one component.
 
 Defined results: null and empty texts and texts without words have an empty set
 and are linked with nothing; a text of fewer words than a shingle is the set's one element; rows with equal
-doc_id are one document; a null doc_id is linked with nothing; repeated rows are
+doc_id are one document, so that their texts are of one component; a null doc_id is linked with nothing; repeated rows are
 returned each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 from .ngrams import NOT_SPACE, mixed, slices, word_hashes
 
 #: Registers, bands, registers in a band, base of the scale, rate of the exponentials.
@@ -239,13 +239,16 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of the ids in links (a, b): the smallest id reachable. Each round halves the ways at least."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     found = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    before = found
     while True:
         near = edges.join(found.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
         lower = found.join(near, "id", "left").select("id", F.least("component", "other").alias("component"), F.col("component").alias("was"))
         onward = found.select(F.col("id").alias("component"), F.col("component").alias("further"))
         lower = cut(lower.join(onward, "component", "left").select("id", F.least("component", "further").alias("component"), "was"), "labels")
-        found = lower.select("id", "component")
+        discard(before)
+        found, before = lower.select("id", "component"), lower
         if lower.filter("component <> was").isEmpty():
+            discard(edges)
             return found
 
 
@@ -291,6 +294,14 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         found = components(links)
 
+    # Rows of one doc_id are one document, so the classes of its texts are linked.
+    repeated = cut(full.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        of = full.join(repeated, "doc_id").join(classes.select("n", "f1", "f2", "id"), ["n", "f1", "f2"]).select("doc_id", "id").distinct()
+        edges = of.join(of.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").filter("id <> a").select("a", F.col("id").alias("b"))
+        edges = cut(edges if links is None else edges.unionByName(links), "links")
+        found = components(edges)
+
     named = classes.join(found, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"))
     of_id = full.join(named, ["n", "f1", "f2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     joined = rows.select("doc_id", F.col("n").alias("n_shingles")).join(of_id, "doc_id", "left")
@@ -299,7 +310,9 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 2) -> DataFrame:
-    """The rows of docs that stay: of each group the document with the smallest id, once; rows with a null doc_id all stay."""
+    """The rows of docs that stay: of each group the document with the smallest id, once, of several texts that of the least hash; rows with a null doc_id all stay."""
     kept = near_duplicates(docs, width).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    whole = named.select("doc_id", F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    once = whole.groupBy("doc_id").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*")
+    return once.unionByName(docs.filter("doc_id IS NULL"))

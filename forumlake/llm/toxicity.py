@@ -26,6 +26,8 @@ from .ngrams import slices, word_features, word_hashes
 
 #: 2 ** BITS buckets; labelled documents of each kind at most; passes over them; least score that counts as toxic.
 BITS, MOST_TOXIC, MOST_CLEAN, PASSES, TOXIC = 20, 3000, 9000, 8, 0.3
+#: Characters of a document of the sample at most, which bounds what training gathers; every text is scored whole.
+SAMPLE_CHARS = 16_000
 #: FTRL-proximal: learning rate, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 
@@ -39,7 +41,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold(4) != 2).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.filter("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # bounded by the two limits
+    short = docs.filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return short.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # bounded by the two limits
 
 
 def features(rows: DataFrame) -> DataFrame:

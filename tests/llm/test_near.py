@@ -109,6 +109,14 @@ def test_odd_rows(spark, odd):
     assert N.near_duplicates(odd.limit(0)).count() == 0 and N.keep_one(odd.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_linked(spark):
+    one, two, other = ("a b c d e f g h", "k l m n o p q r s", "t u v w x y z")
+    rows = spark.createDataFrame([(1, one), (5, one), (5, two), (9, two), (9, other), (12, other), (13, "else where")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(rows).collect()} == {1: 1, 5: 1, 9: 1, 12: 1, 13: 13}
+    assert sorted((r.doc_id, r.text) for r in N.keep_one(rows).collect()) == [(1, one), (13, "else where")]
+    assert N.keep_one(rows.filter("doc_id = 5")).count() == 1
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64)) for _ in range(2))

@@ -1,13 +1,16 @@
 import collections
 import math
+import random
 import re
+import time
+from fractions import Fraction
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from forumlake.llm import langid, line_dedup, mixing, quality, toxicity
-from forumlake.llm.queries import op8_quality_rules, op9_language_id
+from forumlake.llm.queries import op7_mix_sources, op8_quality_rules, op9_language_id
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,6 +82,7 @@ def test_odd_rows(spark, odd, marks):
     assert same.columns == odd.columns and same.filter("doc_id = 2").first().text is None
     mixed = mixing.mixed(odd)
     assert mixed.columns == odd.columns and sorted(r.slot for r in mixed.collect()) == [7] * n
+    assert mixing.mix(odd).filter("slot IS NOT NULL AND block = 0 AND _row = 'r'").count() == n and mixing.mixed(odd, {"s1": 1.0}).count() == odd.filter("source = 's1'").count()
     tox = toxicity.score(spark, odd, marks).collect()
     assert len(tox) == n and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in tox)
     lang = langid.identify(spark, odd).collect()
@@ -129,58 +133,95 @@ def test_template_keys_equal_brute_force(spark, small):
     assert {r.doc_id: r.n_dropped_lines for r in found} == {i: gone[i] for i in docs}
 
 
+def edf(weights, slots):
+    """Earliest deadline first slot by slot over exact weights: the source of each slot."""
+    total, done, out = sum(weights), [0] * len(weights), []
+    for t in range(slots):
+        open_ = [(math.ceil((done[i] + 1) * total / w), i) for i, w in enumerate(weights) if w and done[i] * total // w <= t]
+        out.append(min(open_)[1])
+        done[out[-1]] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [[1], [9, 1], [5, 3, 2], [1, 1, 1, 1], [7, 0, 2], [13, 8, 5, 3, 2, 1, 1]])
+def test_period_equals_brute_force(weights):
+    exact = [Fraction(w) for w in weights]
+    total = sum(weights)
+    slots = mixing.period(mixing.parts(weights), [total] * len(weights))
+    of = {t: i for i, own in enumerate(slots) for t in own}
+    assert [of[t] for t in range(total // math.gcd(*weights))] == edf(exact, total // math.gcd(*weights))
+    few = mixing.period(mixing.parts(weights), [1] * len(weights))
+    assert all(own[: len(x)] == x and len(x) >= 1 for own, x in zip(slots, few) if own)
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, None: 0.2}, {"a": 1.0}])
 def test_mixing(spark, monkeypatch, weights):
     monkeypatch.setattr(mixing, "BLOCK", 2)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(mixing, "STRETCH", 4)
     sizes = {"a": 300, "b": 150, "c": 41, None: 77}
     rows = [(f"{s}{i}", s) for s, n in sizes.items() for i in range(n)]
-    docs = spark.createDataFrame([(k, "t", s) for k, (_, s) in enumerate(rows)], "doc_id long, text string, source string")
-    q = {r.key: r.q for r in mixing.shares(docs, weights).collect()}
+    docs = spark.createDataFrame([(k, "t", s, 1) for k, (_, s) in enumerate(rows)], "doc_id long, text string, source string, _bucket int")
+    given = weights or {s: n**0.5 for s, n in sizes.items()}
     found = mixing.mix(docs, weights).collect()
-    assert sorted(r.doc_id for r in found) == list(range(len(rows)))
-    slots = collections.defaultdict(set)
+    assert sorted(r.doc_id for r in found) == list(range(len(rows))) and {r._bucket for r in found} == {1}
+    slots, blocks = collections.defaultdict(set), collections.Counter()
     for r in found:
-        slots["" if r.source is None else f"s{r.source}"].add(r.slot)
+        assert (r.slot is None) == (r.source not in given)
+        if r.slot is not None:
+            slots[r.source].add(r.slot)
+            blocks[r.source, r.slot] += 1
+    assert max(blocks.values()) == 2 and all(len(v) == -(-sizes[s] // 2) for s, v in slots.items())
     every = [s for v in slots.values() for s in v]
-    assert len(every) == len(set(every)) == sum(-(-n // 2) for n in sizes.values())
+    assert len(every) == len(set(every))
     end = min(max(v) for v in slots.values())
     assert set(range(end + 1)) == {s for s in every if s <= end}
-    for key, own in slots.items():
+    for source, own in slots.items():
         done = 0
         for t in range(end + 1):
             done += t in own
-            assert abs(done - q[key] * (t + 1) / sum(q.values())) < 1
+            assert abs(done - given[source] * (t + 1) / sum(given.values())) < 1
     ordered = [r.doc_id for r in mixing.mixed(docs, weights).collect()]
-    at = {r.doc_id: (r.slot, r.place) for r in found}
-    assert ordered == sorted(ordered, key=at.get)
-
-
-def test_schedule_keeps_to_the_weights_given():
-    for weights, n in (([0.5] + [0.5 / 19] * 19, 20000), ([0.5] + [0.0005] * 1000, 20000), ([3, 1, 0, 2.5], 5000)):
-        blocks = [int(w / sum(weights) * n) + 1 for w in weights]
-        slots = mixing.schedule(weights, blocks)
-        every = sorted(int(x) for v in slots for x in v)
-        assert len(every) == len(set(every)) == sum(blocks)
-        end = min(int(v[-1]) for v, w in zip(slots, weights) if w)
-        for v, w in zip(slots, weights):
-            share = w / sum(weights)
-            if not w:
-                assert v.min() > end
-                continue
-            for j, t in enumerate(v.tolist()):  # the deviation is largest beside a slot of the source
-                assert t > end or (j - share * t > -1 - 1e-9 and j + 1 - share * (t + 1) < 1 + 1e-9)
-
-
-def test_mixing_to_weights_given(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK", 1)
-    docs = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text", "CASE WHEN id < 2000 THEN 'a' WHEN id < 2900 THEN concat('b', id % 19) ELSE 'none' END AS source")
-    weights = {"a": 19} | {f"b{i}": 1 for i in range(19)}
-    slots = {r.slot: r.source for r in mixing.mix(docs, weights).collect()}
-    assert len(slots) == 3000
-    done = 0
-    for t in range(1500):
-        done += slots[t] == "a"
-        assert slots[t] != "none" and abs(done - (t + 1) / 2) < 1
+    at = {r.doc_id: (r.slot, r.place) for r in found if r.slot is not None}
+    assert ordered == sorted(at, key=at.get)
+
+
+def test_query_equals_brute_force(spark, small):
+    found = op7_mix_sources(spark, small).toPandas()
+    docs = spark.read.parquet(f"{small}/documents.parquet").toPandas()
+    sizes = docs.source.value_counts().sort_index()
+    assert sorted(found.doc_id) == sorted(docs.doc_id)
+    of = edf(mixing.parts([n**0.5 for n in sizes]), 2000)
+    places = collections.defaultdict(list)
+    for t, i in enumerate(of):
+        places[sizes.index[i]].append(t)
+    for source, own in found.groupby("source"):
+        n = len(own)
+        assert sorted(zip(own.block, own.place)) == [(k // mixing.BLOCK, k % mixing.BLOCK) for k in range(n)]
+        assert (own.slot == [places[source][b] for b in own.block]).all()
+
+
+def test_lag_below_one_block_of_the_weights_given():
+    rng = random.Random(3)
+    for weights in ([0.9, 0.1], [0.5] + [0.5 / 19] * 19, [3, 1, 0, 2.5], [0.25, 0.25, 0.125, 0.375], [rng.randint(1, 999) / 1000 for _ in range(30)]):
+        of = mixing.parts(weights)
+        length, total = sum(of), sum(weights)
+        slots = mixing.period(of, of)
+        assert sorted(t for own in slots for t in own) == list(range(length))
+        for own, w, q in zip(slots, weights, of):
+            assert (q == 0) == (w == 0) and q / length == pytest.approx(w / total, abs=1e-6)
+            for frame in range(10):
+                for j, t in enumerate(own):
+                    done, at = frame * q + j, frame * length + t
+                    assert -1 < done - w / total * at and done + 1 - w / total * (at + 1) < 1 + 1e-9
+
+
+def test_many_sources_in_bounded_time():
+    rng, began = random.Random(1), time.time()
+    weights = [rng.random() for _ in range(100_000)]
+    of = mixing.parts(weights)
+    slots = mixing.period(of, of)
+    assert min(of) >= 1 and sum(map(len, slots)) == sum(of) <= mixing.PARTS + len(weights) and time.time() - began < 60
 
 
 def test_language_held_out(spark):

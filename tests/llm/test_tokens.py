@@ -13,7 +13,6 @@ from forumlake.llm.encode import Encoder
 from forumlake.llm.queries import op3_token_files, op5_best_fit_packing, tokenizer_path
 
 _library = Tokenizer.from_file(tokenizer_path())
-_library.encode_special_tokens = True
 _encoder = Encoder(tokenizer_path())
 
 
@@ -28,7 +27,7 @@ def test_encoder_equals_library(texts):
 
 
 def test_encoder_on_special_strings():
-    for text in ("it's a dog's <|endoftext|> x", "foo.\nBar, baz!!", "a  b", " lead", "trail ", "\n", "", "don't 've", "A" * 300 + " b"):
+    for text in ("it's a dog's <|endoftext|> x", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext| >", "foo.\nBar, baz!!", "a  b", " lead", "trail ", "\n", "", "don't 've", "A" * 300 + " b"):
         assert _encoder.encode([text], 2)[0].tolist() == [*ids(text), 2]
 
 
