@@ -1,25 +1,34 @@
 """Line dedup with a log-template tree.
 
 A line goes down a tree of fixed depth: the count of its tokens, then its leading
-tokens, where a token with a digit is a variable field. Below, a template fixes
-one half of the remaining tokens and leaves the other half variable, so that a
-line of some length belongs to two templates; a short line's template fixes all
-its tokens. Templates that recur in several documents are dropped: of the lines
-of one template only the first stays. Templates are known by 64-bit hashes and
-counted with partial aggregates; no leaf of the tree is ever gathered. What the
-documents are joined with is the list of their dropped lines.
-
-drop_lines keeps to that rule, which the SQL of op6_line_dedup states. The pipeline's
-without_recurring_lines is strict: lines that are mostly fields recur only as exact
-copies, and a line goes only if it agrees with its template's first line in AGREE
-hundredths of the fixed tokens, so that data rows and sentences that share a
-beginning stay.
-
-Defined results: a null text stays null and an empty one empty; lines of fewer
-than LEAST_TOKENS tokens always stay, and so do lines that repeat within one
-document only; a repeated row counts as another one and keeps the same lines; the smallest
-doc_id (null first) keeps a recurring line; an empty table gives no rows; other
-columns pass through unchanged.
+token, where a token with a digit is a variable field. At a leaf a line's tokens
+are dealt into CELLS cells of neighbours; a template is a line at the leaf in
+which up to VARIABLE cells may differ and become fields as well. Lines that
+differ in no more cells agree in one of VARIABLE + 1 groups of cells, so a line
+has a key for the leaf with each group, and one for all its tokens; the first
+line of a key is its template, and the others with that key are held against it
+cell by cell. So two lines are one template only if they agree over the whole
+line. A template recurs if so many documents have it:
+
+* lines under SHORT_TOKENS tokens, which must agree in all: SHORT_DOCUMENTS
+* lines under LONG_TOKENS: three, or two that agree token by token
+* longer ones: two.
+
+Lines with few tokens that aren't fields, such as rows of numbers, only recur as
+they are. Of the lines of a recurring template the first stays, or none without
+keep_first. Keys are 64-bit hashes, counted with partial aggregates; no leaf and
+no template is ever gathered, and what the documents are joined with is the list
+of their dropped lines.
+
+without_recurring_lines, the pipeline's stage, also leaves out the documents of
+which that leaves hardly anything: copies of others, line by line.
+
+Defined results: a null text stays null and an empty one empty; lines without a
+token, or of one or two fields, always stay, and so do lines that repeat within
+one document only; rows with equal doc_id and text are one document and lose the
+same lines; the smallest doc_id (null first) keeps a recurring line; an empty
+table gives no rows; other columns pass through unchanged, but drop_lines
+replaces an input column named n_dropped_lines.
 """
 
 from __future__ import annotations
@@ -31,190 +40,159 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, words
 from .ngrams import NOT_SPACE, mixed, powers, slices, spans
 
-#: Leading tokens that are levels of the tree; tokens from which one half may vary.
-DEPTH, VARIABLE_TOKENS = 3, 9
-#: Lines of fewer tokens stay; below LONG_TOKENS a template recurs in SHORT_DOCUMENTS, else in LONG_DOCUMENTS.
-LEAST_TOKENS, LONG_TOKENS, SHORT_DOCUMENTS, LONG_DOCUMENTS = 3, 8, 10, 2
-
-#: Hundredths of the fixed tokens in which a confirmed line agrees with its template's first line.
-AGREE = 80
+#: Cells of a line at most; cells that may differ, in lines of CELLS tokens and in shorter ones.
+CELLS, VARIABLE, VARIABLE_SHORT = 10, 2, 1
+#: Tokens from which a line has fields besides tokens with digits, and documents of shorter ones; tokens of a long line.
+SHORT_TOKENS, SHORT_DOCUMENTS, LONG_TOKENS = 8, 10, 20
+#: Tokens without a digit that a line with fields has at least; they are half of its tokens at least.
+LEAST_FIXED = 3
+#: Words, and hundredths of its words, that a document which lost lines keeps at least, or it goes.
+LEAST_WORDS, LEAST_SHARE = 20, 20
 
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _FIELD = np.uint64(0x2545F4914F6CDD1D)
+#: What a line is, in the lowest two bits of its keys.
+_SHORT, _FEW, _MIDDLE, _LONG = range(4)
+
 
+def line_keys(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, line in the row) of every line, (line's place among them, key) of every key, and a signature of each line.
 
-def _token_lines(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Lines of LEAST_TOKENS or more as (row, line in the row, first token, tokens); all tokens' hashes and whether they have a digit."""
+    A signature is four bytes for the tokens as they are and two for each cell."""
     starts, ends, hashes = spans(text, offsets, NOT_SPACE)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[text])])
     field = digits[ends] > digits[starts]
     heads = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(text == 10) + 1]))
     line_of = np.searchsorted(heads, starts, side="right") - 1
     lines, first, n = np.unique(line_of, return_index=True, return_counts=True)
-    enough = n >= LEAST_TOKENS
-    lines, first, n = lines[enough], first[enough], n[enough]
+    fields = np.concatenate([[0], np.cumsum(field)])
+    fixed = n - (fields[first + n] - fields[first])
+    enough = (n >= LEAST_FIXED) | (fixed > 0)
+    lines, first, n, fixed = lines[enough], first[enough], n[enough], fixed[enough]
     row = np.searchsorted(offsets, heads[lines], side="right") - 1
-    return row, lines - np.searchsorted(heads, offsets[row]), first, n, hashes, field
-
+    line = lines - np.searchsorted(heads, offsets[row])
 
-def line_templates(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, line in the row, template) for each template of each line; a template's lowest bit tells the long ones."""
-    row, line, first, n, hashes, field = _token_lines(text, offsets)
-    if not len(row):
-        return (np.zeros(0, dtype=np.int64),) * 3
-    hashes = np.where(field, _FIELD, hashes)
-    up, down = powers(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-
-    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (sums[b] - sums[a]) * down[a]
-
-    count = n.astype(np.uint64)
-    varies = n >= VARIABLE_TOKENS
-    whole = mixed(run(first, first + n) + count)[~varies]
-    a, m = first[varies], n[varies]
-    half = a + DEPTH + (m - DEPTH) // 2
-    leaf = mixed(run(a, a + DEPTH) + count[varies] * np.uint64(0xD6E8FEB86659FD93))
-    one, two = mixed(leaf + run(a + DEPTH, half) + np.uint64(1)), mixed(leaf + mixed(run(half, a + m)) + np.uint64(2))
-    long = np.concatenate([n[~varies], m, m]) >= LONG_TOKENS
-    template = (np.concatenate([whole, one, two]) & ~np.uint64(1)) | long.astype(np.uint64)
-    return np.concatenate([row[~varies], row[varies], row[varies]]), np.concatenate([line[~varies], line[varies], line[varies]]), template.view(np.int64)
-
-
-def strict_templates(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, line, template, exact, first token, tokens) as line_templates has them, and a byte for each token of the texts.
-
-    Lines that are mostly fields, or have fewer than LEAST_TOKENS fixed tokens, have one template of all their tokens as
-    they are; so have lines of VARIABLE_TOKENS besides their two. exact is a hash of the line's tokens; a token's byte has
-    its highest bit set for a field."""
-    row, line, first, n, hashes, field = _token_lines(text, offsets)
     up, down = powers(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    exact = mixed((sums[first + n] - sums[first]) * down[first] + n.astype(np.uint64))
-    fields = np.concatenate([[0], np.cumsum(field)])
-    fixed = n - (fields[first + n] - fields[first])
-    general = (fixed >= LEAST_TOKENS) & (2 * fixed >= n)
-    found_row, found_line, template = line_templates(text, offsets)
-    # The lines of line_templates, by their place among all lines.
-    width = np.int64(max(1, line.max() + 1)) if len(line) else np.int64(1)
-    at = np.searchsorted(row * width + line, found_row * width + found_line)
-    at, template = at[general[at]], template[general[at]]
-    whole = np.flatnonzero(~general | (n >= VARIABLE_TOKENS))
-    own = (mixed(exact[whole] ^ np.uint64(0xA0761D6478BD642F)) & ~np.uint64(1)) | (n[whole] >= LONG_TOKENS).astype(np.uint64)
-    at, template = np.concatenate([at, whole]), np.concatenate([template, own.view(np.int64)])
-    token = (hashes >> np.uint64(57)).astype(np.uint8) | (field.astype(np.uint8) << 7)
-    return row[at], line[at], template, exact.view(np.int64)[at], first[at], n[at], token
-
-
-def _first_lines(row: np.ndarray, line: np.ndarray, template: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((line, template, row))
-    row, line, template = row[order], line[order], template[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1])
-    return row[new], line[new], template[new]
-
-
-def templates(docs: DataFrame, once: bool) -> DataFrame:
-    """(template, doc_id, text_hash, line) of every line. once: only the first line of a template in a document."""
+    masked = np.where(field, _FIELD, hashes)
+    sums, plain = (np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x * up[: len(x)])]) for x in (masked, hashes))
+
+    def run(a: np.ndarray, b: np.ndarray, of: np.ndarray = sums) -> np.ndarray:
+        return mixed((of[b] - of[a]) * down[a] + (b - a).astype(np.uint64))
+
+    general = (fixed >= LEAST_FIXED) & (2 * fixed >= n)
+    exact = run(first, first + n, plain)
+    whole = np.where(general, run(first, first + n), mixed(exact ^ np.uint64(0xA0761D6478BD642F)))
+    kind = np.select([n < SHORT_TOKENS, n < CELLS, n < LONG_TOKENS], [_SHORT, _FEW, _MIDDLE], _LONG).astype(np.uint64)
+    at, keys = [np.arange(len(n))], [whole]
+    cells = np.minimum(n, CELLS)
+    for chosen, groups in ((general & (n >= SHORT_TOKENS) & (n < CELLS), VARIABLE_SHORT + 1), (general & (n >= CELLS), VARIABLE + 1)):
+        where = np.flatnonzero(chosen)
+        a, m, c = first[where], n[where], cells[where]
+        leaf = mixed(masked[a] * np.uint64(0xD6E8FEB86659FD93) + m.astype(np.uint64))
+        for g in range(groups):
+            low, high = (x * m // c for x in (g * c // groups, (g + 1) * c // groups))
+            at.append(where)
+            keys.append(mixed(leaf + run(a + low, a + high) * np.uint64(2 * g + 3)))
+    at, keys = np.concatenate(at), np.concatenate(keys)
+    keys = ((keys & ~np.uint64(3)) | kind[at]).view(np.int64)
+
+    signature = np.zeros((len(n), 2 + CELLS), dtype="<u2")
+    signature[:, :2] = (exact >> np.uint64(32)).astype("<u4").view("<u2").reshape(-1, 2)
+    where = np.flatnonzero(general & (n >= SHORT_TOKENS))
+    bounds = np.minimum(np.arange(CELLS + 1)[None, :], cells[where, None]) * n[where, None] // cells[where, None] + first[where, None]
+    signature[where, 2:] = (run(bounds[:, :-1], bounds[:, 1:]) >> np.uint64(48)).astype("<u2")
+    return row, line, at, keys, signature
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).filter("text IS NOT NULL")
+
+
+def keys_of_documents(docs: DataFrame) -> DataFrame:
+    """(key) of every key of a document, once."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, text, offsets in slices(batch.column("text"), lower=False):
-                row, line, template = line_templates(text, offsets)
-                if once:
-                    row, line, template = _first_lines(row, line, template)
-                at = pa.array(row + start)
-                yield pa.RecordBatch.from_arrays([pa.array(template), batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(line.astype(np.int32))], ["template", "doc_id", "text_hash", "line"])
+            for _, text, offsets in slices(batch.column("text"), lower=False):
+                row, _, at, keys, _ = line_keys(text, offsets)
+                order = np.lexsort((keys, row[at]))
+                keys, row = keys[order], row[at][order]
+                new = np.ones(len(keys), dtype=bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[new])], ["key"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).filter("text IS NOT NULL")
-    return rows.mapInArrow(find, "template long, doc_id long, text_hash long, line int")
+    return _rows(docs).select("text").mapInArrow(find, "key long")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, drop): the places of the lines that go, for the documents that lose any."""
-    place = F.struct("doc_id", "text_hash", "line")
-    least = F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, LONG_DOCUMENTS).otherwise(SHORT_DOCUMENTS)
-    counts = templates(docs, once=True).groupBy("template").agg(F.count("*").alias("documents"), F.min(place).alias("first"))
-    recurring = counts.filter(F.col("documents") >= least).select("template", "first")
-    gone = templates(docs, once=False).join(recurring, "template").filter(~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drop"))
-
-
-def strict(docs: DataFrame, signed: bool) -> DataFrame:
-    """(template, doc_id, text_hash, line) of every line by strict_templates. signed: with exact and the bytes of its tokens."""
+def keys_of_lines(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text_hash, line, signature) of every key of every line."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, text, offsets in slices(batch.column("text"), lower=False):
-                row, line, template, exact, first, n, token = strict_templates(text, offsets)
-                if not signed:  # only the first line of a template in a document
-                    row, line, template = _first_lines(row, line, template)
-                at = pa.array(row + start)
-                columns = [pa.array(template), batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(line.astype(np.int32))]
-                names = ["template", "doc_id", "text_hash", "line"]
-                if signed:
-                    ends = np.concatenate([[0], np.cumsum(n)])
-                    taken = token[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
-                    tokens = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(taken)])
-                    columns, names = [*columns, pa.array(exact), tokens], [*names, "exact", "tokens"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).filter("text IS NOT NULL")
-    return rows.mapInArrow(find, "template long, doc_id long, text_hash long, line int" + ", exact long, tokens binary" * signed)
-
-
-def alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Whether pairs of lines agree in AGREE hundredths of the tokens that are fixed in either."""
-    same = np.array([len(x) == len(y) > 0 for x, y in zip(a, b)], dtype=bool)
-    found = np.zeros(len(a), dtype=bool)
-    if same.any():
-        a, b = ([x for x, ok in zip(side, same) if ok] for side in (a, b))
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in a])[:-1]])
-        one, two = (np.frombuffer(b"".join(side), dtype=np.uint8) for side in (a, b))
-        fixed = (one < 128) | (two < 128)
-        found[same] = 100 * np.add.reduceat((fixed & (one == two)).astype(np.int64), starts) >= AGREE * np.add.reduceat(fixed.astype(np.int64), starts)
-    return found
-
-
-def confirmed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line): the lines of recurring strict templates that are like the template's first line."""
-    place = F.struct("doc_id", "text_hash", "line")
-    least = F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, LONG_DOCUMENTS).otherwise(SHORT_DOCUMENTS)
-    counts = strict(docs, signed=False).groupBy("template").agg(F.count("*").alias("documents"), F.min(place).alias("first"))
-    recurring = counts.filter(F.col("documents") >= least).select("template", "first")
-    met = cut(strict(docs, signed=True).join(recurring, "template").withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"), "lines")
-    firsts = met.filter("is_first").groupBy("template").agg(F.min(F.struct("exact", "tokens")).alias("other"))
-    pairs = met.filter("NOT is_first").join(firsts, "template").select("doc_id", "text_hash", "line", "tokens", F.col("other.tokens").alias("other"), (F.col("exact") == F.col("other.exact")).alias("equal"))
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = alike(batch.column("tokens").to_pylist(), batch.column("other").to_pylist()) | batch.column("equal").to_numpy(zero_copy_only=False)
-            yield batch.select(["doc_id", "text_hash", "line"]).filter(pa.array(keep))
+                row, line, at, keys, signature = line_keys(text, offsets)
+                of, size = pa.array(row[at] + start), signature.itemsize * signature.shape[1]
+                ends = np.arange(len(at) + 1, dtype=np.int32) * size
+                taken = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(signature[at]))])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("doc_id").take(of), batch.column("text_hash").take(of), pa.array(line[at].astype(np.int32)), taken], ["key", "doc_id", "text_hash", "line", "signature"])
+
+    return _rows(docs).mapInArrow(find, "key long, doc_id long, text_hash long, line int, signature binary")
+
 
-    return pairs.mapInArrow(confirm, "doc_id long, text_hash long, line int")
+def dropped_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
+    """(doc_id, text_hash, drop): the places of the lines that go, for the documents that lose any."""
+    kind = F.col("key").bitwiseAND(F.lit(3))
+    counts = keys_of_documents(docs).groupBy("key").agg(F.count("*").alias("n"))
+    recurring = counts.filter(F.col("n") >= F.when(kind == _SHORT, SHORT_DOCUMENTS).otherwise(2)).select("key")
+    met = cut(keys_of_lines(docs).join(recurring, "key"), "lines")
+    firsts = met.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "line", "signature")).alias("first"))
+
+    part = lambda x, c: F.substring(x, 5 + 2 * c, 2)
+    differ = sum((part(F.col("signature"), c) != part(F.col("first.signature"), c)).cast("int") for c in range(CELLS))
+    same_document = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    likes = met.join(firsts, "key").withColumn("kind", kind)
+    likes = likes.filter(differ <= F.when(F.col("kind") == _FEW, VARIABLE_SHORT).otherwise(VARIABLE))
+    likes = likes.select("key", "kind", "doc_id", "text_hash", "line", (~same_document).alias("other"), (same_document & (F.col("line") == F.col("first.line"))).alias("is_first"), (F.substring("signature", 1, 4) == F.substring("first.signature", 1, 4)).alias("exact"))
+    document = F.when(F.col("other"), F.struct("doc_id", "text_hash"))
+    of_key = likes.groupBy("key").agg((~F.min(document).eqNullSafe(F.max(document))).alias("three"), F.max("other").alias("two"), F.max(F.col("other") & F.col("exact")).alias("equal"))
+    short = likes.filter(F.col("kind") == _SHORT).select("key", "doc_id", "text_hash").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    recur = of_key.join(short, "key", "left")
+    goes = F.when(F.col("kind") == _SHORT, F.col("n") >= SHORT_DOCUMENTS).when(F.col("kind") == _LONG, F.col("two")).otherwise(F.col("three") | (F.col("equal") & F.col("exact")))
+    gone = likes.join(recur, "key").filter(goes)
+    if keep_first:
+        gone = gone.filter("NOT is_first")
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drop"))
 
 
-def drop_lines(docs: DataFrame, gone: DataFrame | None = None) -> DataFrame:
-    """docs with the recurring lines, or those of gone (doc_id, text_hash, drop), taken out of text, and n_dropped_lines."""
+def drop_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
+    """docs with the recurring lines taken out of text, and n_dropped_lines."""
     own = [c for c in docs.columns if c != "n_dropped_lines"]
-    rows = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    gone = (dropped_lines(docs) if gone is None else gone).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drop")
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    found = _dropped(docs.select(*own), keep_first)
+    return found.select(*[(F.col("_text") if c == "text" else F.col("_row")[c]).alias(c) for c in own], F.col("_n").alias("n_dropped_lines"))
+
+
+def _dropped(docs: DataFrame, keep_first: bool) -> DataFrame:
+    """(_row, _text, _n): every row of docs, its text without the recurring lines, and their number."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
+    gone = dropped_lines(docs, keep_first)
+    joined = rows.join(gone, F.col("_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_text_hash") == F.col("text_hash")), "left")
     kept = F.array_join(F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     text = F.when(F.col("drop").isNull(), F.col("_row.text")).otherwise(kept)
-    return joined.select(*[(text.alias("text") if c == "text" else F.col("_row")[c].alias(c)) for c in own], F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped_lines"))
+    return joined.select("_row", text.alias("_text"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("_n"))
 
 
 def without_recurring_lines(docs: DataFrame) -> DataFrame:
-    """docs without their confirmed lines and with its own columns only; n_chars, where there is one, counts what is left."""
-    found = drop_lines(docs, confirmed_lines(docs).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drop")))
-    own = {c: F.col(c) for c in docs.columns}
+    """docs without their recurring lines, with its own columns only; n_chars, where there is one, counts what is left.
+
+    A document that lost lines goes if fewer than LEAST_WORDS words or LEAST_SHARE hundredths of its words are left."""
+    found = _dropped(docs, keep_first=True)
+    left, had = F.size(words(F.col("_text"))), F.size(words(F.col("_row.text")))
+    found = found.filter((F.col("_n") == 0) | ((left >= LEAST_WORDS) & (100 * left >= LEAST_SHARE * had)))
+    own = {c: F.col("_row")[c] for c in docs.columns} | {"text": F.col("_text")}
     if "n_chars" in own:
-        own["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+        own["n_chars"] = F.length("_text").cast(dict(docs.dtypes)["n_chars"])
     return found.select(*[v.alias(c) for c, v in own.items()])

@@ -32,6 +32,82 @@ def test_wrappers_of_templates(spark):
     assert "<ul>(<li>#</>)+</>" in wrapper and "?" in wrapper
 
 
+def main_texts(spark, rows):
+    pages = spark.createDataFrame([(i, f"http://host.org/{i}", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html_text.extract(pages).collect(), key=lambda r: r.page_id)]
+
+
+def sentence(i, k):
+    return f"Sentence {k} of the article number {i} has a good many words in it, {i * k} of them."
+
+
+def test_unnamed_regions(spark):
+    page = "<body><div>Home News Sport Weather</div><div>{}</div><div>Subscribe to our mailing list today</div><div>Copyright of the paper, all rights reserved</div></body>"
+    rows = [page.format("".join(f"<p>{sentence(i, k)}</p>" for k in range(2 + i % 3))) for i in range(4)]
+    assert main_texts(spark, rows) == ["\n\n".join(sentence(i, k) for k in range(2 + i % 3)) for i in range(4)]
+
+
+def test_names_break_ties_only(spark):
+    page = '<article><h1 id="related-work">Title {0}</h1><div class="post related-topics"><p>{1}</p></div><section id="discussion"><p id="ad-1914">{2}</p></section><div class="social-history">{3}</div><p class="x">Subscribe to our mailing list today</p><div class="comments"><p>Nice {0}!</p></div><p data-x=it\'s title="a > b">{4}</p><div class=more>{5}</div></article>'
+    rows = [page.format(i, *(sentence(i, k) for k in range(1, 5)), "".join(f"<a href=x{i}{k}>Other article {i} {k}</a> " for k in range(4))) for i in range(5)]
+    assert main_texts(spark, rows) == ["\n\n".join([f"Title {i}", *(sentence(i, k) for k in range(1, 5))]) for i in range(5)]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<body><div class=top>Menu of the page</div><div><p>{}</p><p>{}</p></div></body>"
+    rows = [page.format(sentence(1, 1), sentence(1, 2))] * 6 + [page.format(sentence(i, 1), sentence(i, 2)) for i in (2, 3)]
+    assert main_texts(spark, rows) == [f"{sentence(i, 1)}\n\n{sentence(i, 2)}" for i in [1] * 6 + [2, 3]]
+
+
+def test_many_layouts_of_a_host(spark, monkeypatch):
+    """More shapes than fit a worker's memory, hosts joined over salts, and a layout of its own that others' decisions don't fit."""
+    monkeypatch.setattr(html_text, "HELD", 5)
+    monkeypatch.setattr(html_text, "BROADCAST", 0)
+    kinds = ["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<pre>{}</pre>"]
+    rows, truth = [], []
+    for i in range(120):
+        chosen = [kinds[(i // 5**k) % 5] for k in range(3)] + ["<p>{}</p>"] * (i % 7)
+        said = [sentence(i, k) for k in range(len(chosen))]
+        body = "".join(k.format(x) for k, x in zip(chosen, said))
+        if i % 40 == 39:  # the lead where others have the whole article
+            body = f"<div class=t2>{said[0]}</div><div class=t3>" + "".join(k.format(x) for k, x in zip(chosen[1:], said[1:])) + "</div>"
+        else:
+            body = f"<div class=t2>{body}</div>"
+        rows.append(f"<body><div class=top>Home and more of it</div>{body}<div class=bottom>Imprint of the paper</div></body>")
+        truth.append("\n\n".join(said))
+    assert main_texts(spark, rows) == truth
+
+
+def test_alignment_equals_brute_force():
+    """A pattern's expression matches every page that went into it, and merging pages one by one finds what is optional and repeated."""
+    import itertools
+    import re
+
+    def expression(p):
+        if p[0][:1] in ("#", "="):
+            body = "[#=]"
+        else:
+            body = "".join(map(expression, p[3]))
+            body = f"<{p[0]}>" + (f"(?:{body})+" if p[5] else body) + "</>"
+        return f"(?:{body})" + ("*" if p[1] and p[2] else "+" if p[1] else "?" if p[2] else "")
+
+    def tokens(block):
+        return "".join("#" if isinstance(x, html_text.Text) else f"<{x.key}>{tokens(x)}</>" for x in block.children)
+
+    children = ["<h2>a</h2>", "<p>b</p>", "<ul><li>c</li><li>d</li></ul>", "e"]
+    pages = [html_text.blocks("<div>" + "".join(x) + "</div>") for n in range(1, 4) for x in itertools.product(children, repeat=n)]
+    for start in range(0, 60, 7):
+        some = pages[start : start + 20 : 3]
+        wrapper = None
+        for page in some:
+            p = html_text.pattern(page)
+            wrapper = p if wrapper is None else html_text.merge(wrapper, p)
+        general = html_text.pattern(some[0])
+        assert re.fullmatch(expression(general), f"<>{tokens(some[0])}</>")
+        for page in some:
+            assert re.fullmatch(expression(wrapper), f"<>{tokens(page)}</>"), (html_text.shape(wrapper), tokens(page))
+
+
 def test_tables_equal_the_article(spark, small):
     import html
     import re

@@ -92,45 +92,96 @@ def test_odd_rows(spark, odd, marks):
         assert f(empty).count() == 0
 
 
+def lines_gone(docs):
+    """The rule of line dedup, key by key over all lines: the (doc_id, line) that go."""
+    lines, owners = {}, collections.defaultdict(list)
+    for i, text in docs.items():
+        for k, v in enumerate((text or "").split("\n")):
+            w = WORD.findall(v)
+            t = ["<*>" if re.search("[0-9]", x) else x for x in w]
+            n, fixed = len(t), sum(x != "<*>" for x in t)
+            if n >= 3 or fixed:
+                general, c = fixed >= 3 and 2 * fixed >= n, min(n, 10)
+                cells = [t[j * n // c : (j + 1) * n // c] for j in range(c)] if general and n >= 8 else []
+                lines[i, k] = n, w, cells
+                groups = [] if not cells else [0, 3, 6, 10] if n >= 10 else [0, n // 2, n]
+                owners[("=", *t) if general else ("!", *w)].append((i, k))
+                for g, (x, y) in enumerate(zip(groups, groups[1:])):
+                    owners[n, t[0], g, *t[x * n // c : y * n // c]].append((i, k))
+    gone = set()
+    for at in owners.values():
+        first = min(at)
+        n, words, cells = lines[first]
+        like = {x for x in at if sum(p != q for p, q in zip(lines[x][2], cells)) <= (1 if n < 10 else 2)}
+        equal = {x for x in like if lines[x][1] == words}
+        if len({i for i, _ in like}) >= (10 if n < 8 else 3 if n < 20 else 2):
+            gone |= like - {first}
+        elif n >= 8 and len({i for i, _ in equal}) >= 2:
+            gone |= equal - {first}
+    return gone
+
+
 def test_line_dedup(spark):
     passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     near = passage.replace("wordza", "other")
     docs = [(1, f"first own line of one\n{passage}\nAll rights reserved."), (2, f"{passage}\nsecond own line of two\nsecond own line of two"), (3, f"third own line\n{near}"), (4, "Page 3 of 10 in the minutes of the council"), (5, "Page 7 of 12 in the minutes of the council"), (6, "short line"), (7, "short line"), (8, None)]
-    docs += [(10 + i, f"own line number {'abcdefghijkl'[i]} of this text\nAll rights reserved.") for i in range(12)]
-    found = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    docs += [(9, "Page 9 of 14 in the minutes of the council")]
+    docs += [(10 + i, f"own line number {'abcdefghijkl'[i]} of this text\nAll rights reserved.\nmore") for i in range(12)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in line_dedup.drop_lines(rows).collect()}
     assert found[1] == docs[0][1] and found[2] == "second own line of two\nsecond own line of two" and found[3] == "third own line"
-    assert found[4] == docs[3][1] and found[5] == "" and found[6] == found[7] == "short line" and found[8] is None
-    assert all(found[10 + i] == f"own line number {'abcdefghijkl'[i]} of this text" for i in range(12))
-
-
-def test_strict_lines_keep_rows_and_sentences(spark):
-    rows = [" ".join(str((i * 37 + k * 11) % 977) for k in range(8)) for i in range(40)]
-    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
-    docs = [(1, "\n".join(rows[:20])), (2, "\n".join(rows[20:])), (3, "one two three four five six seven eight nine"), (4, "one two three four five six other words here")]
-    docs += [(5, long), (6, "own\n" + long.replace("wordza", "other")), (7, "own\n" + rows[3]), (8, "Page 3 of 10 in the minutes of the council"), (9, "own\nPage 7 of 12 in the minutes of the council")]
-    found = {r.doc_id: r.text for r in line_dedup.without_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert found == dict(docs) | {6: "own", 7: "own", 9: "own"}
-
-
-def test_template_keys_equal_brute_force(spark, small):
-    """Lines go if and only if one of their templates recurs and they aren't its first."""
+    assert found[4] == docs[3][1] and found[5] == found[9] == "" and found[6] == found[7] == "short line" and found[8] is None
+    assert found[10] == "own line number a of this text\nmore" and all(found[10 + i] == f"own line number {'abcdefghijkl'[i]} of this text" for i in range(1, 12))
+    none = {r.doc_id: r.text for r in line_dedup.drop_lines(rows, keep_first=False).collect()}
+    assert none[1] == "first own line of one" and none[4] == "" and none[10] == "own line number a of this text" and none[6] == "short line"
+
+
+def test_templates_need_all_positions(spark):
+    """Fields in both halves are a template; sentences that share a half, rows of numbers, and prose of two documents aren't."""
+    logs = [f"worker {a} has finished its long task on {b} without an error" for a, b in (("amber", "zinc"), ("birch", "iron"), ("cedar", "lead"))]
+    docs = {1: logs[0], 2: logs[1] + "\nits own end", 3: logs[2]}
+    docs |= {4: "In this chapter we will discuss the history of Rome", 5: "In this chapter we will discuss the theory of sets"}
+    docs |= {6: "one two three four five six seven eight nine ten eleven twelve", 7: "one two three four five six and then some other words here", 8: "one two three four five six while none of these stays the"}
+    rows = ["\n".join(" ".join(str((i * 37 + k * 11 + j) % 977) for k in range(8)) for i in range(20)) for j in range(3)]
+    docs |= {9 + j: rows[j] for j in range(3)}
+    found = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert found == docs | {2: "its own end", 3: ""}
+
+
+def test_planted_templates_are_found(spark):
+    """Recall on planted lines with up to two fields, and clean lines left alone."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    planted, docs = [], {}
+    for _ in range(60):
+        planted.append([word() for _ in range(rng.randint(12, 70))])
+    fields = [rng.sample(range(1, len(t)), 2) for t in planted]
+    for i in range(300):
+        lines = [" ".join(word() for _ in range(rng.randint(8, 60))) for _ in range(4)]
+        t = list(planted[i % 60])
+        for k in fields[i % 60]:
+            t[k] = word()
+        docs[i] = "\n".join([*lines, " ".join(t)])
+    found = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    gone = sum(docs[i] != found[i] for i in docs)
+    assert gone == 240 and all(docs[i].startswith(found[i]) and found[i].count("\n") >= 3 for i in docs)
+
+
+def test_lines_equal_brute_force(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    owners, lines = collections.defaultdict(set), []
-    for i, text in docs.items():
-        for k, line in enumerate(text.split("\n")):
-            t = tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
-            if len(t) >= line_dedup.LEAST_TOKENS:
-                half = 3 + (len(t) - 3) // 2
-                keys = [(len(t), t[:3], 1, t[3:half]), (len(t), t[:3], 2, t[half:])] if len(t) >= line_dedup.VARIABLE_TOKENS else [t]
-                lines.append((i, k, len(t), keys))
-                for key in keys:
-                    owners[key].add((i, k))
-    gone = collections.Counter()
-    for i, k, n, keys in lines:
-        least = line_dedup.LONG_DOCUMENTS if n >= line_dedup.LONG_TOKENS else line_dedup.SHORT_DOCUMENTS
-        gone[i] += any(len({d for d, _ in owners[key]}) >= least and min(owners[key]) != (i, k) for key in keys)
-    found = line_dedup.drop_lines(spark.read.parquet(f"{small}/documents.parquet")).collect()
-    assert {r.doc_id: r.n_dropped_lines for r in found} == {i: gone[i] for i in docs}
+    docs |= {-1: "a b c d e f g h i j 1 2", -2: "a b c d e f g h x y 3 4", -3: "a b c d e f g h i z 5 6", -4: "a b c d e f g h i j 7 8", -5: "1 2 3", -6: "x", -7: ""}
+    found = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    gone = lines_gone(docs)
+    assert found == {i: "\n".join(v for k, v in enumerate(text.split("\n")) if (i, k) not in gone) for i, text in docs.items()}
+
+
+def test_copies_go_with_their_lines(spark):
+    text = "\n".join(" ".join(f"w{'abcdefghijklmnopqrst'[k % 20]}{'abcdefghijklmnopqrst'[i]}{'xyz'[k // 20]}" for k in range(30)) for i in range(10))
+    near = "\n".join(" ".join("changed" if k == i % 7 + 2 else w for k, w in enumerate(line.split())) for i, line in enumerate(text.split("\n")))
+    own = "\n".join(" ".join(f"o{'abcdefghijklmnopqrst'[k % 20]}{'abcdefghijklmnopqrst'[i]}" for k in range(20)) for i in range(5))
+    docs = {1: text, 2: text, 3: near, 4: own + "\n" + text.split("\n")[0], 5: None, 6: "", 7: "short"}
+    found = {r.doc_id: r.text for r in line_dedup.without_recurring_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert found == {1: text, 4: own, 5: None, 6: "", 7: "short"}
 
 
 def edf(weights, slots):
