@@ -44,7 +44,7 @@ PARTS = 1 << 20
 
 
 def _key() -> Column:
-    return F.coalesce(F.concat(F.lit("s"), F.col("_row.source")), F.lit(""))
+    return F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit(""))
 
 
 def _fraction(w: float) -> Fraction:
@@ -103,7 +103,7 @@ def shares(rows: DataFrame, weights: dict[str | None, float] | None = None) -> l
 
 
 def _placed(rows: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
-    """rows (_row, _tie) with block, slot and place."""
+    """rows (_doc_id, _source, _tie and others) with _block, _slot and _place in place of these."""
     sources = shares(rows, weights)
     slots = period([q for _, _, q in sources], [-(-n // BLOCK) for _, n, _ in sources])
     total = sum(n for _, n, _ in sources)
@@ -115,7 +115,7 @@ def _placed(rows: DataFrame, weights: dict[str | None, float] | None) -> DataFra
     known = plan.select(F.col("p.key").alias("_key"), F.col("p.parts").alias("_parts"))
     at = plan.select(F.col("p.key").alias("_key"), F.posexplode("p.slots").alias("_of", "_slot"))
 
-    keyed = rows.select("*", _key().alias("_key"), F.xxhash64("_row.doc_id").alias("_hash")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    keyed = rows.select("*", _key().alias("_key"), F.xxhash64("_doc_id").alias("_hash")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     sizes = keyed.groupBy("_key", "_bucket").agg(F.count("*").alias("_n")).withColumn("_stretch", F.floor(F.col("_bucket") / STRETCH))
     running = F.sum("_n").over(W.partitionBy("_key", "_stretch").orderBy("_bucket")) - F.col("_n")
     stretches = sizes.groupBy("_key", "_stretch").agg(F.sum("_n").alias("_all"))
@@ -129,25 +129,26 @@ def _placed(rows: DataFrame, weights: dict[str | None, float] | None) -> DataFra
     blocks = blocks.withColumn("_of", F.expr("CASE WHEN _parts > 0 THEN _block % _parts END")).join(at, ["_key", "_of"], "left")
     blocks = blocks.withColumn("_slot", cycle * length + F.col("_slot"))
     before = blocks.groupBy("_key", "_bucket", "_before", "_first").agg(F.sort_array(F.collect_list(F.struct("_block", "_slot"))).alias("_slots"))
-    rank = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy("_hash", "_row.doc_id", "_tie"))
+    rank = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy("_hash", "_doc_id", "_tie"))
     placed = keyed.withColumn("_rank", rank).join(before, ["_key", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_rank") - 1)
     placed = placed.withColumn("_block", F.floor(F.col("_at") / BLOCK)).withColumn("_place", (F.col("_at") % BLOCK).cast("int"))
     slot = F.get("_slots", (F.col("_block") - F.col("_first")).cast("int"))["_slot"]
-    return placed.select("_row", F.col("_block").alias("block"), slot.alias("slot"), F.col("_place").alias("place"))
+    own = [c for c in rows.columns if c not in ("_doc_id", "_source", "_tie")]
+    return placed.select(*own, "_block", slot.alias("_slot"), "_place")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """The rows as structs, whose columns clash with none made here."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_tie"))
+    """The columns by number, whose names clash with none made here; those that nobody asks for aren't read."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.xxhash64("text").alias("_tie"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """docs with columns block, slot and place: the block in its source, its slot in the mixture, the row's place in the block."""
-    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("block", "slot", "place")]
-    return _placed(_rows(docs), weights).select(*own, "block", "slot", "place")
+    own = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("block", "slot", "place")]
+    return _placed(_rows(docs), weights).select(*own, F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_place").alias("place"))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """The rows of docs that are in the mixture, in its order."""
-    found = _placed(_rows(docs), weights).filter("slot IS NOT NULL")
-    return found.repartitionByRange("slot").sortWithinPartitions("slot", "place").select("_row.*")
+    found = _placed(_rows(docs), weights).filter("_slot IS NOT NULL")
+    return found.repartitionByRange("_slot").sortWithinPartitions("_slot", "_place").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
