@@ -40,7 +40,7 @@ from pyspark.sql.window import Window as W
 #: Documents in a block; documents in a hash bucket, about; buckets in a stretch; power of a source's size that gives its weight.
 BLOCK, BUCKET_ROWS, STRETCH, POWER = 16, 2000, 1024, 0.5
 #: Parts of a period into which weights without a small common denominator are rounded.
-PARTS = 1 << 20
+PARTS = 1 << 18
 
 
 def _key() -> Column:
