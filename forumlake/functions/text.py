@@ -5,14 +5,33 @@ Null in gives null out unless a function says otherwise.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letters and digits of any script.
 TOKEN = r"[\p{L}\p{N}]+"
-#: Latin letters with marks and their bases, in the order of the code points.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _letters(form: str, marks: bool) -> tuple[str, str]:
+    """Characters of the basic plane whose normal form is another single character, without marks if marks is set, and that one."""
+    pairs = []
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0xFFF0)]):
+        normal = unicodedata.normalize(form, c)
+        if marks:
+            normal = "".join(x for x in normal if not unicodedata.combining(x))
+        if normal != c and len(normal) == 1:
+            pairs.append((c, normal))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: Letters with marks, and their bases; compatible forms such as full-width letters, and the plain ones.
+MARKED, PLAIN = _letters("NFKD", True)
+COMPATIBLE, USUAL = _letters("NFKC", False)
+#: Compatible forms of several characters.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "…": "...", "№": "No", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4"}
 
 
 def tokens(text: Column) -> Column:
@@ -37,14 +56,25 @@ def sanitize_filename(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Latin letters lose their marks; a sharp s stays."""
-    return F.translate(text, MARKED, PLAIN)
+    """Letters lose their marks, those that are part of them and those that follow; a sharp s stays."""
+    return F.regexp_replace(F.translate(text, MARKED, PLAIN), r"\p{M}+", "")
+
+
+def compatible(text: Column) -> Column:
+    """Compatible forms as plain characters, no-break spaces as spaces, ` / ` as a slash, one space between words."""
+    plain = F.translate(text, COMPATIBLE, USUAL)
+    for form, usual in LIGATURES.items():
+        plain = F.replace(plain, F.lit(form), F.lit(usual))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+/\s+", "/"), r"(?U)\s+", " "))
+
+
+#: The punctuation that doesn't count in comparing names.
+PUNCTUATION = ".,;:()[]\"“”„‚’'–—-"
 
 
 def match_form(text: Column) -> Column:
     """For comparing names: lower case, without marks, punctuation but the slash as a space, one space between words."""
-    slashed = F.regexp_replace(F.regexp_replace(text, "\u00a0", " "), r"\s+/\s+", "/")
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(F.lower(slashed)), r"[^\p{L}\p{N}/]+", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(fold(F.lower(compatible(text))), PUNCTUATION, " " * len(PUNCTUATION)), r"\s+", " "))
 
 
 def snippet(text: Column, n: int = 400) -> Column:
@@ -89,6 +119,26 @@ def epoch_seconds(date: Column) -> Column:
     return F.unix_date(date).cast("long") * 86400
 
 
+def iso_epoch(text: Column) -> Column:
+    """Seconds of an ISO date or time, without an offset in UTC; null if it is neither."""
+    return F.unix_seconds(F.try_to_timestamp(F.when(text.rlike(r"T.*(Z|[+-]\d\d:?\d\d)$") | ~text.contains("T"), text).otherwise(F.concat(text, F.lit("Z")))))
+
+
+def now_iso() -> Column:
+    """The time of the query in UTC, to the second."""
+    return iso_utc(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+
+
+def random_id() -> Column:
+    """A random UUID for each row."""
+    return F.uuid()
+
+
+def without_hard_spaces(text: Column) -> Column:
+    """No-break spaces go, as in the numbers of votes."""
+    return F.replace(text, F.lit("\u00a0"), F.lit(""))
+
+
 def iso_utc(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -115,10 +165,29 @@ def short_sha1(text: Column) -> Column:
 
 
 def absolute_url(href: Column, base: Column) -> Column:
-    """A link on a page: absolute, from the host's root, or beside the page."""
+    """A link on a page: absolute, of the scheme, from the host's root, a query or a part of the page, or beside the page.
+
+    `.` and `..` in a path are resolved."""
+    link = F.trim(href)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"), href))
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*((?:/[^?#]*/|/)?)", 1)
+    path = F.when(link.startswith("/"), link).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), link))
+    steps = F.split(F.regexp_extract(path, r"^([^?#]*)", 1), "/")
+    last = F.element_at(steps, -1)
+
+    def walk(done: Column, step: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(step == "..", up).when(step == ".", done).otherwise(F.concat(done, F.array(step)))
+
+    resolved = F.aggregate(F.slice(steps, 2, F.size(steps)), F.array(F.lit("")), walk)
+    resolved = F.concat(F.array_join(resolved, "/"), F.when(last.isin(".", ".."), "/").otherwise(""), F.regexp_extract(path, r"^[^?#]*(.*)$", 1))
+    plain = F.when(path.rlike(r"(^|/)\.\.?(/|[?#]|$)"), resolved).otherwise(path)
+    return (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link == "", base)
+        .when(link.startswith("?"), F.concat(page, link)).when(link.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), link)).otherwise(F.concat(root, plain))
+    )
 
 
 def page_slug(url: Column, suffix: str = ".asp") -> Column:
@@ -129,21 +198,26 @@ def page_slug(url: Column, suffix: str = ".asp") -> Column:
 
 
 def query_parameter(url: Column, name: str) -> Column:
-    """The first value of a query-string parameter; null without one."""
-    found = F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1)
-    return F.when(found != "", found)
+    """The first value of a query-string parameter, decoded; null without one."""
+    found = F.nullif(F.regexp_extract(url, rf"[?&]{re.escape(name)}=([^&#]*)", 1), F.lit(""))
+    return F.coalesce(F.try_url_decode(found), found)
 
 
-#: Extensions by media type, and those known from URLs.
+#: Extensions by media type.
 EXTENSIONS = {"application/pdf": ".pdf", "application/msword": ".doc", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx", "text/html": ".html", "text/plain": ".txt", "image/jpeg": ".jpg", "image/png": ".png", "application/zip": ".zip"}
 
 
 def extension(media_type: Column, url: Column) -> Column:
-    """By media type, else by the URL's last part, else .bin."""
-    kind = F.lower(F.trim(F.element_at(F.split(F.coalesce(media_type, F.lit("")), ";"), 1)))
-    of_url = F.lower(F.regexp_extract(url, r"(\.[A-Za-z0-9]{1,5})(?:[?#].*)?$", 1))
+    """PDF and Word by media type or URL, else the suffix of the URL's path whatever it is, else by media type, else .bin."""
+    kind = F.lower(F.element_at(F.split(F.coalesce(media_type, F.lit("")), ";"), 1))
+    link = F.coalesce(url, F.lit(""))
+    path = F.regexp_extract(link, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    suffix = F.regexp_extract(path, r"[^/](\.[^./]+)/*$", 1)
     known = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, kind), F.when(of_url.isin(*EXTENSIONS.values()), of_url), F.lit(".bin"))
+    return (
+        F.when((kind == "application/pdf") | F.lower(link).endswith(".pdf"), ".pdf").when(kind.contains("msword") | (suffix == ".doc"), ".doc")
+        .when(kind.contains("officedocument.wordprocessingml.document") | (suffix == ".docx"), ".docx").when(suffix != "", suffix).otherwise(F.coalesce(F.try_element_at(known, kind), F.lit(".bin")))
+    )
 
 
 def person_name(text: Column) -> Column:

@@ -30,9 +30,16 @@ def rerank(hits: DataFrame, score: Column, n: int = 10) -> DataFrame:
 
 def deduplicate(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """One row for each id with both scores, null where an engine hasn't found it; other columns from the dense side first."""
-    d = dense.select("id", F.col("score").alias("score_v"), F.lit(True).alias("of_d"))
-    s = sparse.select("id", F.col("score").alias("score_b"))
-    return d.join(s, "id", "full_outer").select("id", "score_v", "score_b")
+    d = dense.withColumnRenamed("score", "score_v").drop("rank")
+    s = sparse.withColumnRenamed("score", "score_b").drop("rank")
+    more = [c for c in dict.fromkeys([*d.columns, *s.columns]) if c not in ("id", "score_v", "score_b")]
+    both = d.alias("d").join(s.alias("s"), "id", "full_outer")
+    return both.select("id", "score_v", "score_b", *[F.coalesce(*[F.col(f"{side}.{c}") for side, x in (("d", d), ("s", s)) if c in x.columns]).alias(c) for c in more])
+
+
+def best_of(hits: DataFrame, score: Column, n: int) -> DataFrame:
+    """The n best of deduplicated hits by a reranker's score; smaller ids win ties."""
+    return hits.withColumn("rerank", score).orderBy(F.desc("rerank"), "id").limit(n)
 
 
 def allowed(hits: DataFrame, permissions: str, groups: list[str]) -> DataFrame:
@@ -40,8 +47,17 @@ def allowed(hits: DataFrame, permissions: str, groups: list[str]) -> DataFrame:
     return hits.filter(F.arrays_overlap(F.col(permissions), F.array(*[F.lit(g) for g in groups])))
 
 
+#: Hits whose ids are broadcast to look their texts up; more are joined by a shuffle.
+BROADCAST_HITS = 100_000
+
+
 def with_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
-    """The hits with their texts, looked up after the cut to k; a miss has an empty text and no source."""
+    """The hits with their texts, looked up after the cut to k; a miss has an empty text and no source.
+
+    Only the texts of the hits leave the scan: their ids are broadcast below BROADCAST_HITS."""
+    ids = hits.select("id").distinct()
+    if ids.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS:
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     return hits.join(texts, "id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 

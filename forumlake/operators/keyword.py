@@ -1,74 +1,109 @@
-"""Keyword search: postings, BM25 in two flavours, several fields, conjunctions and fuzzy terms.
+"""Keyword search: an index that is built once, BM25 in two flavours, several fields, conjunctions and fuzzy terms.
 
-Postings are (doc_id, term, tf). What is broadcast is one row of statistics or as
-many rows as the queries have terms; many queries belong in several calls.
+An index holds postings (term, doc_id, tf, dl) ordered by term, so that a search
+reads the row groups of its terms only, the terms with their number of documents,
+and one row of statistics. A search broadcasts the queries' terms, of which there
+are TERMS at most; filters of documents don't change the scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import tokens
 
+#: Distinct pairs of a query and a term that one search takes at most.
+TERMS = 100_000
+
+
+def split_words(text: Column) -> Column:
+    """Case-sensitive words between white space."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
 
-def postings(docs: DataFrame, text: str = "text", words: Column | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """postings (term, doc_id, tf, dl), terms (term, df) and stats (n, avgdl). words says how texts and queries become terms."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+    words: object = tokens
+
+
+def postings(docs: DataFrame, text: str = "text", words=tokens) -> DataFrame:
     """(doc_id, term, tf, dl): dl is the document's number of terms."""
-    found = docs.select("doc_id", (tokens(F.col(text)) if words is None else words).alias("words"))
-    exploded = found.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    found = docs.select("doc_id", words(F.col(text)).alias("words"))
+    counted = found.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    return counted.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
 
+def build_index(docs: DataFrame, path: str, text: str = "text", words=tokens, mode: str = "overwrite") -> None:
+    """Write the index of docs (doc_id, text) below a path."""
+    spark = docs.sparkSession
+    found = postings(docs, text, words).select("term", "doc_id", "tf", "dl")
+    found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+    kept = spark.read.parquet(f"{path}/postings")
+    kept.groupBy("term").agg(F.count("*").alias("df")).write.mode(mode).parquet(f"{path}/terms")
+    docs.agg(F.count("*").alias("n"), F.avg(F.size(words(F.col(text)))).alias("avgdl")).write.mode(mode).parquet(f"{path}/stats")
 
-def corpus(docs: DataFrame, text: str = "text", words: Column | None = None) -> DataFrame:
-    """One row: number of documents and their mean number of terms."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)) if words is None else words)).alias("avgdl"))
 
+def open_index(spark: SparkSession, path: str, words=tokens) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "stats")), words)
 
-def query_terms(queries: DataFrame, words: Column | None = None) -> DataFrame:
-    """(query_id, term, qtf)."""
-    return queries.select("query_id", F.explode(tokens(F.col("query")) if words is None else words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
+def lazy_index(docs: DataFrame, text: str = "text", words=tokens) -> Index:
+    """The index of a small table that isn't stored."""
+    found = postings(docs, text, words)
+    return Index(found, found.groupBy("term").agg(F.count("*").alias("df")), docs.agg(F.count("*").alias("n"), F.avg(F.size(words(F.col(text)))).alias("avgdl")), words)
 
-def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", k1: float = 1.2, b: float = 0.75, every_term: bool = False) -> DataFrame:
+
+def query_terms(queries: DataFrame, words=tokens) -> DataFrame:
+    """(query_id, term, qtf), which are TERMS at most."""
+    found = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    if found.limit(TERMS + 1).count() > TERMS:
+        raise ValueError(f"the queries have more than {TERMS} terms: search them in parts")
+    return found
+
+
+def _hits(index: Index, asked: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """The postings of the queries' terms, of allowed documents (doc_id) only if given."""
+    found = index.postings.join(F.broadcast(asked.select("term").distinct()), "term")
+    return found if allowed is None else found.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def bm25(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75, every_term: bool = False, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) with idf ln(1 + (n - df + 0.5) / (df + 0.5)). every_term: all terms have to match."""
-    asked = query_terms(queries)
-    # Only the queries' terms are counted; document lengths come along with each.
-    wanted = asked.select("term").distinct()
-    hits = docs.select("doc_id", tokens(F.col(text)).alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(F.broadcast(wanted), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(corpus(docs, text)), how="cross")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = query_terms(queries, index.words)
+    known = asked.join(index.terms, "term").join(F.broadcast(index.stats), how="cross")  # TERMS rows at most
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    weighted = scored.select("doc_id", "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("w")).join(F.broadcast(asked), "term")
-    found = weighted.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"), F.count("*").alias("matched"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    scored = _hits(index, asked, allowed).join(F.broadcast(known), "term").select("query_id", "doc_id", (idf * F.col("tf") * (k1 + 1) / norm * F.col("qtf")).alias("w"))
+    found = scored.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"), F.count("*").alias("matched"))
     if every_term:
         sizes = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
         found = found.join(F.broadcast(sizes), "query_id").filter("matched = terms")
     return found.select("query_id", "doc_id", "score")
 
 
-def bm25_okapi(docs: DataFrame, queries: DataFrame, text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(query_id, doc_id, score) over case-sensitive words: idf ln((n - df + 0.5) / (df + 0.5)), a negative one becomes epsilon times the mean of all."""
-    split = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    words = split(F.col(text))
-    # All terms count for the mean idf, once for each document; frequencies are only needed of the queries' terms.
-    df = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus(docs, text, words)
-    raw = df.join(F.broadcast(stats.select("n")), how="cross").select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    asked = query_terms(queries, split(F.col("query")))
-    idf = raw.join(F.broadcast(asked), "term").join(F.broadcast(mean), how="cross").select("query_id", "term", "qtf", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    wanted = asked.select("term").distinct()
-    hits = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(F.broadcast(wanted), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    scored = hits.join(F.broadcast(idf), "term").join(F.broadcast(stats), how="cross")
+def bm25_okapi(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(query_id, doc_id, score) with idf ln((n - df + 0.5) / (df + 0.5)); a negative one becomes epsilon times the mean of all terms."""
+    raw = index.terms.join(F.broadcast(index.stats), how="cross").withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    asked = query_terms(queries, index.words)
+    known = raw.join(F.broadcast(asked), "term").join(F.broadcast(raw.agg(F.avg("raw").alias("mean"))), how="cross")
+    known = known.select("query_id", "term", "qtf", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    scored = _hits(index, asked, None).join(F.broadcast(known), "term")  # TERMS rows at most
     value = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("query_id", "doc_id").agg(F.sum(value * F.col("qtf")).alias("score"))
 
 
-def multi_field(docs: DataFrame, queries: DataFrame, boosts: dict[str, float]) -> DataFrame:
+def multi_field(indexes: dict[str, Index], queries: DataFrame, boosts: dict[str, float]) -> DataFrame:
     """(query_id, doc_id, score): the best field's score, each times its boost."""
-    parts = [bm25(docs, queries, field).withColumn("score", F.col("score") * boost) for field, boost in boosts.items()]
+    parts = [bm25(indexes[field], queries).withColumn("score", F.col("score") * boost) for field, boost in boosts.items()]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -80,6 +115,8 @@ def fuzzy_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
 
     Terms meet by length, so that no term is held against the whole vocabulary.
     """
+    if terms.limit(TERMS + 1).count() > TERMS:
+        raise ValueError(f"more than {TERMS} terms: match them in parts")
     most = F.when(F.length("query_term") <= 2, 0).when(F.length("query_term") <= 5, 1).otherwise(2)
     asked = terms.select("query_term", most.alias("most")).withColumn("length", F.explode(F.sequence(F.length("query_term") - F.col("most"), F.length("query_term") + F.col("most"))))
     met = vocabulary.withColumn("length", F.length("term")).join(F.broadcast(asked), "length")

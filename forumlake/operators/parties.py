@@ -1,48 +1,124 @@
-"""Parties in titles: names of a list are joined to a title's word n-grams.
+"""Parties in texts: names of a list are joined to a text's word n-grams, exactly or by similarity.
 
-Longer and shorter names of one family all match; the fuzzy part compares only
-n-grams and names of nearly equal length. Tables of names are small as a rule;
-Spark broadcasts them if they are.
+Longer and shorter names of one family all match. Names are a small table, NAMES
+at most; a text's n-grams are as long as the longest name, six words at most, and
+for the fuzzy part every distinct n-gram is scored once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_form, ngrams
 
+#: Names of a list at most; words of an n-gram at most; least similarity.
+NAMES, LONGEST, LEAST = 10_000, 6, 92.0
+
+
+def _form(text: Column) -> Column:
+    """For the join: besides, any sign that isn't a letter, digit, underscore or slash separates words."""
+    return F.trim(F.regexp_replace(match_form(text), r"[^\p{L}\p{N}_/]+", " "))
+
+
+def _known(aliases: DataFrame) -> list[tuple[str, str]]:
+    """(form, canon) of the list, which is NAMES rows at most."""
+    rows = aliases.select(_form(F.col("alias")).alias("form"), "canon").filter("form <> ''").distinct().limit(NAMES + 1).collect()
+    if len(rows) > NAMES:
+        raise ValueError(f"more than {NAMES} names")
+    return sorted((r.form, r.canon) for r in rows)
+
+
+def _grams(texts: DataFrame, longest: int) -> DataFrame:
+    return texts.select("id", F.explode(ngrams(F.split(_form(F.col("title")), " "), longest)).alias("gram"))
+
+
+def exact(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, canon): names of (alias, canon) that a text of (id, title) holds as whole words, also beside a slash; each once."""
+    known = _known(aliases)
+    if not known:
+        return texts.select("id", F.lit("").alias("canon")).limit(0)
+    longest = min(LONGEST, max(len(form.split(" ")) for form, _ in known))
+    pieces = _grams(texts, longest).select("id", F.explode(F.array_distinct(F.concat(F.array("gram"), F.split("gram", "/")))).alias("gram"))
+    table = texts.sparkSession.createDataFrame(known, "gram string, canon string")
+    return pieces.join(F.broadcast(table), "gram").select("id", "canon").distinct()
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, in one pass over b with a bit for each character of a."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    row = (1 << len(a)) - 1
+    for c in b:
+        met = row & places.get(c, 0)
+        row = (row + met) | (row - met)
+    return len(a) - (row & ((1 << len(a)) - 1)).bit_count()
+
+
+def ratio(a: str, b: str) -> float:
+    """100 less the share of characters that inserting and deleting takes."""
+    return 200 * _common(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def weighted_ratio(a: str, b: str) -> float:
+    """The best of the ratio and, at 0.95, those of the sorted words and of common and other words; texts of very different length reach 90 at most."""
+    if not a or not b:
+        return 0.0
+    plain = ratio(a, b)
+    if max(len(a), len(b)) >= 1.5 * min(len(a), len(b)):
+        return min(plain, 90.0)
+    one, two = a.split(), b.split()
+    best = ratio(" ".join(sorted(one)), " ".join(sorted(two)))
+    both, left, right = (sorted(x) for x in (set(one) & set(two), set(one) - set(two), set(two) - set(one)))
+    if both and (not left or not right):
+        best = 100.0
+    else:
+        shared = " ".join(both)
+        sides = [" ".join([shared, *x]).strip() for x in (left, right)]
+        best = max(best, ratio(*sides), *(ratio(shared, x) for x in sides if shared))
+    return max(plain, 0.95 * best)
+
+
+def similar(grams: DataFrame, known: list[tuple[str, str]], least: float = LEAST) -> DataFrame:
+    """(gram, canon, score): the most similar name of each distinct n-gram, if it is similar enough; the first of equal ones."""
+
+    def find(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            found = []
+            for gram in frame.gram:
+                # Names of another length can't reach the least similarity.
+                near = [(weighted_ratio(gram, form), -i, canon) for i, (form, canon) in enumerate(known) if max(len(form), len(gram)) < 1.5 * min(len(form), len(gram))]
+                best = max(near, default=None)
+                if best and best[0] >= least:
+                    found.append((gram, best[2], best[0]))
+            yield pd.DataFrame(found, columns=["gram", "canon", "score"])
 
-def exact(titles: DataFrame, aliases: DataFrame, longest: int = 6) -> DataFrame:
-    """(id, canon): names of (alias, canon) that a title of (id, title) holds, each once."""
-    grams = titles.select("id", F.explode(ngrams(F.split(match_form(F.col("title")), " "), longest)).alias("gram"))
-    pieces = grams.select("id", F.explode(F.array_distinct(F.concat(F.array("gram"), F.split("gram", "/")))).alias("gram"))
-    known = aliases.select(match_form(F.col("alias")).alias("gram"), "canon").distinct()
-    return pieces.join(known, "gram").select("id", "canon").distinct()
+    return grams.select("gram").distinct().mapInPandas(find, "gram string, canon string, score double")
 
 
-def fuzzy(titles: DataFrame, aliases: DataFrame, longest: int = 6, least: float = 92.0) -> DataFrame:
-    """As exact, but an n-gram matches its most similar name if 100 * (1 - edits / longer length) reaches `least`."""
-    grams = titles.select("id", F.explode(ngrams(F.split(match_form(F.col("title")), " "), longest)).alias("gram")).withColumn("length", F.length("gram"))
-    known = aliases.select(match_form(F.col("alias")).alias("name"), "canon").distinct()
-    spare = F.floor(F.length("name") * (100 - least) / least).cast("int")
-    known = known.withColumn("length", F.explode(F.sequence(F.length("name") - spare, F.length("name") + spare)))
-    like = 100 * (1 - F.levenshtein("gram", "name") / F.greatest(F.length("gram"), F.length("name")))
-    found = grams.join(known, "length").withColumn("like", like).filter(F.col("like") >= least)
-    best = found.groupBy("id", "gram").agg(F.max(F.struct("like", "canon")).alias("best"))
-    return best.select("id", F.col("best.canon").alias("canon")).distinct()
+def fuzzy(texts: DataFrame, aliases: DataFrame, least: float = LEAST) -> DataFrame:
+    """(id, canon): as exact, but an n-gram matches its most similar name; the order of words counts little."""
+    known = _known(aliases)
+    grams = _grams(texts, LONGEST).filter("gram <> ''")
+    return grams.join(similar(grams, known, least), "gram").select("id", "canon").distinct()
 
 
-def detect(titles: DataFrame, aliases: DataFrame, tags: DataFrame | None = None, fuzzy_too: bool = False) -> DataFrame:
-    """(id, parties): sorted names, or tags if a table (canon, tag) is given; titles without any have an empty list."""
-    found = exact(titles, aliases)
+def detect(texts: DataFrame, aliases: DataFrame, tags: DataFrame | None = None, fuzzy_too: bool = False) -> DataFrame:
+    """(id, parties): sorted names, or tags if a table (canon, tag) is given; texts without any have an empty list."""
+    found = exact(texts, aliases)
     if fuzzy_too:
-        found = found.unionByName(fuzzy(titles, aliases)).distinct()
+        found = found.unionByName(fuzzy(texts, aliases)).distinct()
     name = "canon"
     if tags is not None:
-        found, name = found.join(tags, "canon").select("id", "tag"), "tag"
+        found = found.join(tags, "canon", "left").select("id", F.coalesce("tag", "canon").alias("tag"))
+        name = "tag"
     sets = found.groupBy("id").agg(F.sort_array(F.collect_set(name)).alias("parties"))
-    return titles.select("id").join(sets, "id", "left").withColumn("parties", F.coalesce("parties", F.array().cast("array<string>")))
+    return texts.select("id").join(sets, "id", "left").withColumn("parties", F.coalesce("parties", F.array().cast("array<string>")))
 
 
 def lookup(people: DataFrame, aliases: DataFrame, parties: DataFrame, name: str) -> DataFrame:

@@ -28,8 +28,12 @@ def reference_rollup(items: DataFrame, least: int) -> DataFrame:
 
     items: (referenzvorlage, top_id, name, meeting, vorlage_url, vorlage, meeting_date).
     """
+    # Counted first, so that only the items of proposals that stay are gathered.
+    enough = items.groupBy("referenzvorlage").agg(F.count("*").alias("num_tops")).filter(F.col("num_tops") >= least)
     listed = F.sort_array(F.collect_list(F.struct("top_id", "name", "meeting", "vorlage_url", "vorlage", "meeting_date")))
-    return items.groupBy("referenzvorlage").agg(F.count("*").alias("num_tops"), F.count_distinct("meeting").alias("num_meetings"), listed.alias("tops")).filter(F.col("num_tops") >= least)
+    found = items.join(enough.select("referenzvorlage"), "referenzvorlage", "left_semi").groupBy("referenzvorlage").agg(listed.alias("tops"))
+    meetings = F.size(F.array_distinct(F.filter(F.transform("tops", lambda t: t["meeting"]), lambda m: m.isNotNull()))).cast("long")
+    return found.select("referenzvorlage", F.size("tops").cast("long").alias("num_tops"), meetings.alias("num_meetings"), "tops")
 
 
 def label(date: Column, proposal: Column, item: Column) -> Column:
@@ -70,10 +74,17 @@ def prompt(question: Column, texts: Column, empty: str = "(Kein Kontext gefunden
 
 
 def consultation(header: Column) -> Column:
-    """From a consultation's header line: date at its start, intent after the last hyphen, committee up to the last TOP."""
-    day = F.regexp_extract(header, r"^\s*(\d{2}\.\d{2}\.\d{4})", 1)
-    intent = F.trim(F.element_at(F.split(header, "-"), -1))
-    rest = F.trim(F.regexp_replace(header, r"^\s*\d{2}\.\d{2}\.\d{4}", ""))
-    parts = F.split(rest, "TOP ")
-    cut = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "TOP ")).otherwise(rest)
-    return F.struct(X.german_date(F.nullif(day, F.lit(""))).alias("datum"), F.when(header.contains("-"), intent).alias("intent"), F.trim(cut).alias("gremium"))
+    """From a consultation's header line: date at its start, intent after the last hyphen or the whole line, committee up to the last TOP, empty without one."""
+    day = F.regexp_extract(header, r"^(\d{2}\.\d{2}\.\d{4})", 1)
+    parts = F.split(F.regexp_replace(header, r"\d{2}\.\d{2}\.\d{4}", ""), "TOP ")
+    cut = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), " ")
+    return F.struct(X.german_date(F.nullif(day, F.lit(""))).alias("datum"), F.trim(F.element_at(F.split(header, "-"), -1)).alias("intent"), F.trim(cut).alias("gremium"))
+
+
+def item_record(items: DataFrame) -> DataFrame:
+    """Agenda items as they are stored: the id without slashes, public, empty lists for what is missing, and when it was saved."""
+    empty = F.array().cast("array<string>")
+    return items.select(
+        F.replace("top_id", F.lit("/"), F.lit("_")).alias("top_id"), "meeting_id", F.col("top_name").alias("name"), F.lit(True).alias("public"), "type", F.coalesce("antrag", empty).alias("antrag_party"),
+        "aktenzeichen", "vorlage_id", "vorlage_url", "beschluss", F.coalesce("files", F.array().cast(dict(items.dtypes)["files"])).alias("files"), X.now_iso().alias("saved_at"),
+    )

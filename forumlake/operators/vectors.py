@@ -19,7 +19,9 @@ def norm(a: Column) -> Column:
 
 def normalise(a: Column) -> Column:
     """Of unit length; a zero vector stays."""
-    return F.transform(a, lambda x: x.cast("double") / F.when(norm(a) == 0, 1.0).otherwise(norm(a)))
+    # Bound to a variable, so that the norm is worked out once and not for every number.
+    whole = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
+    return F.element_at(whole, 1)
 
 
 def centroids(vectors: DataFrame, by: str | None = None) -> DataFrame:
@@ -30,8 +32,14 @@ def centroids(vectors: DataFrame, by: str | None = None) -> DataFrame:
     return means.groupBy(*([by] if by else [])).agg(listed.alias("query"))
 
 
+#: Queries of one exact search at most.
+QUERIES = 10_000
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, at_least: float | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): exact inner products of few queries with all vectors, k best each."""
+    """(query_id, rank, vec_id, score): exact inner products of a stated set of at most QUERIES queries with all vectors, k best each."""
+    if (asked := queries.limit(QUERIES + 1).count()) > QUERIES:
+        raise ValueError(f"more than {QUERIES} queries ({asked} and on): search them in parts")
     scored = vectors.join(F.broadcast(queries), how="cross").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score"))
     if at_least is not None:
         scored = scored.filter(F.col("score") >= at_least)

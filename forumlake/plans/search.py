@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..api import Engine
 from ..functions.text import fold, tokens
 from ..operators import fusion, keyword, vectors
+from ..sources.store import new_folder
 
 #: The probe queries.
 PROBES = ((1, "thing of ertion"), (2, "die und der heit"), (3, "les de la eau"), (4, "ción de las"))
@@ -28,26 +29,51 @@ def _scored(hits: DataFrame, k: int) -> DataFrame:
     return keyword.top(rounded, k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, sf: str, kind: str = "text") -> keyword.Index:
+    """The keyword index of documents, built at its first use in a session and read from then on."""
+    column, words = {"text": ("text", tokens), "source": ("source", tokens), "words": ("text", keyword.split_words)}[kind]
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _indexes:
+        path = new_folder(spark, f"index-{kind}")
+        keyword.build_index(table(spark, sf, "documents"), path, column, words)
+        _indexes[key] = path
+    return keyword.open_index(spark, _indexes[key], words)
+
+
 def bm25_topk(spark, sf):
-    return _scored(keyword.bm25(table(spark, sf, "documents"), probes(spark)), 100)
+    return _scored(keyword.bm25(index(spark, sf), probes(spark)), 100)
 
 
 def bm25_and_operator(spark, sf):
-    return _scored(keyword.bm25(table(spark, sf, "documents"), probes(spark), every_term=True), 100)
+    return _scored(keyword.bm25(index(spark, sf), probes(spark), every_term=True), 100)
 
 
 def bm25_okapi(spark, sf):
-    return _scored(keyword.bm25_okapi(table(spark, sf, "documents"), probes(spark)), 100)
+    return _scored(keyword.bm25_okapi(index(spark, sf, "words"), probes(spark)), 100)
+
+
+def bm25_benchmark(spark, sf):
+    """Every item of the benchmark as a query."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _scored(keyword.bm25(index(spark, sf), asked), 10)
 
 
 def bm25_multifield_boost(spark, sf):
     queries = spark.createDataFrame([(1, "src1 the"), (2, "src2 und")], "query_id int, query string")
-    return _scored(keyword.multi_field(table(spark, sf, "documents"), queries, {"source": 1.0, "text": 3.0}), 100)
+    return _scored(keyword.multi_field({x: index(spark, sf, x) for x in ("source", "text")}, queries, {"source": 1.0, "text": 3.0}), 100)
+
+
+def index_statistics(spark, sf):
+    """The stored index: terms with their documents, and the corpus."""
+    found = index(spark, sf)
+    return found.terms.join(F.broadcast(found.stats), how="cross").select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def fuzzy_term_match(spark, sf):
-    # Without marks, since the SQL side counts edits in bytes.
-    vocabulary = table(spark, sf, "documents").select(F.explode(F.transform(tokens(F.col("text")), fold)).alias("term")).distinct().filter(F.col("term").rlike("^[a-z0-9]+$"))
+    vocabulary = table(spark, sf, "documents").select(F.explode(F.transform(tokens(F.col("text")), fold)).alias("term")).distinct()
     asked = spark.createDataFrame([(t,) for t in TERMS], "query_term string")
     return keyword.fuzzy_terms(vocabulary, asked).withColumn("edits", F.col("edits").cast("long"))
 
@@ -102,7 +128,7 @@ def dense_two_level(spark, sf):
 
 def _sparse(spark, sf, k=100):
     one = probes(spark).filter("query_id = 1")
-    return _scored(keyword.bm25(table(spark, sf, "documents"), one), k).withColumnRenamed("doc_id", "id")
+    return _scored(keyword.bm25(index(spark, sf), one), k).withColumnRenamed("doc_id", "id")
 
 
 def _dense(spark, sf, k=20):
@@ -110,7 +136,7 @@ def _dense(spark, sf, k=20):
 
 
 def linear_fusion(spark, sf):
-    every = keyword.bm25(table(spark, sf, "documents"), probes(spark).filter("query_id = 1")).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
+    every = keyword.bm25(index(spark, sf), probes(spark).filter("query_id = 1")).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
     return fusion.linear(_dense(spark, sf), every)
 
 
@@ -140,18 +166,40 @@ def union_all_sources(spark, sf):
     return a.unionByName(b, allowMissingColumns=True).select("kind", "id", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def _engine(spark, sf):
+    return Engine(spark, table(spark, sf, "documents"), table(spark, sf, "embeddings"), index(spark, sf))
+
+
 def engine_search(spark, sf):
     """The engine's search, with the mean vector as the query's."""
-    engine = Engine(spark, table(spark, sf, "documents"), table(spark, sf, "embeddings"))
     vector = _mean_query(spark, sf).first().query
-    return engine.search(PROBES[0][1], vector).select("id", "qtype", F.round("hit_score_norm", 5).alias("hit_score_norm"), "score", "source")
+    return _engine(spark, sf).search(PROBES[0][1], vector).select("id", "qtype", F.round("hit_score_norm", 5).alias("hit_score_norm"), "score", "source")
+
+
+#: One language, a list of sources, and a range of the characters, with an open end in the other one.
+_EQUAL, _RANGES = {"lang": "en", "source": ["src1", "src2", "src3", "src4", "src5"]}, {"n_chars": (100, 20000), "doc_id": (10, None)}
+
+
+def filtered_search(spark, sf):
+    vector = _mean_query(spark, sf).first().query
+    found = _engine(spark, sf).search(PROBES[0][1], vector, k_sparse=50, k_dense=10, n=60, equal=_EQUAL, ranges=_RANGES)
+    return found.select("id", "qtype", F.round("hit_score", 6).alias("hit_score"), "score", "source")
+
+
+def hybrid_search(spark, sf):
+    """Deduplicated hits that a user's groups may see, reranked, the ten best."""
+    groups = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    permissions = groups.select("id", F.array(F.concat(F.lit("q"), F.col("quality").cast("string")), F.concat(F.lit("t"), F.col("toxic").cast("string"))).alias("permissions"))
+    found = _engine(spark, sf).hybrid(PROBES[0][1], _mean_query(spark, sf).first().query, permissions=permissions, groups=["q1", "t1"])
+    return found.select("id", F.round("score_v", 6).alias("score_v"), F.round("score_b", 6).alias("score_b"), "source", "snippet", "rerank")
 
 
 def rag_prompt(spark, sf):
-    return Engine(spark, table(spark, sf, "documents")).rag_prompt(PROBES[0][1])
+    return _engine(spark, sf).rag_prompt(PROBES[0][1])
 
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in PROBES) + ") v(query_id, query))"
+_TEXT = "coalesce(text, '')"
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 
@@ -199,9 +247,12 @@ FROM p JOIN r USING (term) JOIN qt USING (term) CROSS JOIN st CROSS JOIN m GROUP
         _bm25_sql("q AS (SELECT * FROM (VALUES (1, 'src1 the'), (2, 'src2 und')) v(query_id, query))").replace("round(sum(", "round(3.0 * sum("),
         _TOP.format("u", 100),
     ),
-    "fuzzy_term_match": f"WITH v AS (SELECT * FROM (SELECT DISTINCT strip_accents(unnest({_TOK.format('text')})) term FROM documents) WHERE regexp_full_match(term, '[a-z0-9]+')), t AS (SELECT query_term, CASE WHEN length(query_term) <= 2 THEN 0 WHEN length(query_term) <= 5 THEN 1 ELSE 2 END most FROM (VALUES "
+    "bm25_benchmark": f"WITH {_bm25_sql('q AS (SELECT item_id query_id, text query FROM benchmark)')} {_TOP.format('hits', 10)}",
+    "index_statistics": f"WITH d AS (SELECT doc_id, {_TOK.format(_TEXT)} toks FROM documents), t AS (SELECT term, count(DISTINCT doc_id) df FROM (SELECT doc_id, unnest(toks) term FROM d) GROUP BY term) SELECT term, df, (SELECT count(*) FROM d) n, (SELECT round(avg(len(toks)), 6) FROM d) avgdl FROM t",
+    # Edits are counted in bytes, so that letters beyond ASCII stand as signs, which no term has.
+    "fuzzy_term_match": f"WITH v AS (SELECT DISTINCT strip_accents(unnest({_TOK.format('text')})) term FROM documents), t AS (SELECT query_term, CASE WHEN length(query_term) <= 2 THEN 0 WHEN length(query_term) <= 5 THEN 1 ELSE 2 END most FROM (VALUES "
     + ", ".join(f"('{t}')" for t in TERMS)
-    + ") x(query_term)), m AS (SELECT query_term, term, most FROM v JOIN t ON length(term) BETWEEN length(query_term) - most AND length(query_term) + most) SELECT query_term, m.term, edits FROM (SELECT *, levenshtein(query_term, term) edits FROM m) m WHERE edits <= most",
+    + ") x(query_term)), m AS (SELECT query_term, term, most FROM v JOIN t ON length(term) BETWEEN length(query_term) - most AND length(query_term) + most) SELECT query_term, m.term, edits FROM (SELECT *, levenshtein(query_term, translate(term, 'ßæœøđðłþıŋ', '!#$%&()*+,')) edits FROM m) m WHERE edits <= most",
     "minmax_normalise": f"WITH {_bm25_sql(_Q)}, t AS ({_TOP.format('hits', 100)}) SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 5) score_norm FROM t WINDOW w AS (PARTITION BY query_id)",
     "knn_topk": f"WITH {_MEAN} {_near('mq')}",
     "knn_per_query": f"WITH {_LABELS} {_near('lq', k=5)}",
@@ -220,5 +271,21 @@ FROM p JOIN r USING (term) JOIN qt USING (term) CROSS JOIN st CROSS JOIN m GROUP
 }
 
 SQL["engine_search"] = SQL["concat_fusion_rerank"].replace("SELECT id, qtype, rank, round(score_norm, 5) score_norm, rerank FROM n ORDER BY", "SELECT id, qtype, round(score_norm, 5) hit_score_norm, rerank score, source FROM n ORDER BY").replace("SELECT m.*, round", "SELECT m.*, source, round")
-
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_operator, bm25_okapi, bm25_multifield_boost, fuzzy_term_match, minmax_normalise, knn_topk, knn_per_query, knn_filtered, knn_threshold, l2_normalise, dense_two_level, linear_fusion, concat_fusion_rerank, dedupe_fusion, late_text_lookup, union_all_sources, engine_search, rag_prompt)}
+_SOME = "sel AS (SELECT doc_id FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3', 'src4', 'src5') AND n_chars BETWEEN 100 AND 20000 AND doc_id >= 10)"
+_RERANK = "round(len(list_intersect(['thing', 'of', 'ertion'], " + _TOK.format("concat_ws('. ', source, coalesce(text, ''))") + ")) / 3.0, 6)"
+SQL["filtered_search"] = (
+    f"WITH {_MEAN}, {_SOME}, {_bm25_sql(_ONE)}, fh AS (SELECT hits.* FROM hits JOIN sel USING (doc_id)), sp AS (SELECT doc_id id, rank, score FROM (" + _TOP.format("fh", 50) + ")), dn AS (SELECT vec_id id, rank, score FROM (" + _near("mq", "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM sel))", 10) + ")), "
+    + "c AS (SELECT id, rank, score, 'sparse' qtype FROM sp UNION ALL SELECT id, rank, score, 'dense' FROM dn), m AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END score_norm FROM c WINDOW w AS (PARTITION BY qtype)) "
+    + f"SELECT id, qtype, round(m.score, 6) hit_score, {_RERANK} score, source FROM m LEFT JOIN documents ON id = doc_id ORDER BY 4 DESC, score_norm, qtype DESC, rank LIMIT 60"
+)
+SQL["hybrid_search"] = (
+    _BOTH + ", f AS (SELECT id, dn.score score_v, sp.score score_b FROM dn FULL JOIN sp USING (id)), g AS (SELECT doc_id id, max(quality) quality, max(toxic) toxic FROM labels GROUP BY ALL) "
+    + f"SELECT id, score_v, score_b, source, CASE WHEN length(coalesce(text, '')) > 400 THEN substr(text, 1, 400) || '…' ELSE coalesce(text, '') END snippet, {_RERANK} rerank FROM f JOIN g USING (id) LEFT JOIN documents ON id = doc_id WHERE quality = 1 OR toxic = 1 ORDER BY rerank DESC, id LIMIT 10"
+)
+SQL["rag_prompt"] = (
+    f"WITH {_bm25_sql(_ONE)}, sp AS (SELECT doc_id id, rank, score FROM (" + _TOP.format("hits", 100) + ")), m AS (SELECT *, CASE WHEN max(score) OVER () = min(score) OVER () THEN 0.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END score_norm FROM sp), "
+    + f"b AS (SELECT id, concat_ws('. ', source, coalesce(text, '')) t, {_RERANK} rerank, score_norm, rank FROM m LEFT JOIN documents ON id = doc_id ORDER BY rerank DESC, score_norm, rank LIMIT 2) "
+    + "SELECT 'Kontext:' || chr(10) || coalesce(nullif(string_agg(t, chr(10) || chr(10) ORDER BY rerank DESC, id), ''), '(Kein Kontext gefunden.)') || chr(10) || chr(10) || 'Frage: ' || 'thing of ertion' AS prompt FROM b"
+)
+
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_operator, bm25_okapi, bm25_benchmark, bm25_multifield_boost, index_statistics, fuzzy_term_match, minmax_normalise, knn_topk, knn_per_query, knn_filtered, knn_threshold, l2_normalise, dense_two_level, linear_fusion, concat_fusion_rerank, dedupe_fusion, hybrid_search, filtered_search, late_text_lookup, union_all_sources, engine_search, rag_prompt)}

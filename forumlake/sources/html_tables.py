@@ -119,20 +119,30 @@ def titles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", collapse(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
 
 
+#: An anchor's href, in double quotes, single ones or none, and what it holds.
+ANCHOR = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))([^>]*)>(.*?)</a>"
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, href, url, label): every anchor in page order, absolute; the label falls back to "Dokument"."""
-    anchor = r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("inner"))
-    found = pages.select("page_id", "url", F.posexplode(pairs).alias("pos", "a"))
-    label = F.coalesce(F.nullif(collapse(F.regexp_replace("a.inner", r"<[^>]*>", " ")), F.lit("")), F.lit("Dokument"))
-    return found.select("page_id", "pos", F.col("a.href").alias("href"), absolute_url(F.col("a.href"), F.col("url")).alias("url"), label.alias("label"))
+    """(page_id, pos, href, url, label): every anchor in page order, absolute; the label is its text, else its title, its aria-label, or "Dokument"."""
+    parts = [F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(i)) for i in range(6)]
+    names = ["whole", "double", "single", "bare", "rest", "inner"]
+    found = pages.select("page_id", "url", F.posexplode(F.arrays_zip(*[x.alias(n) for n, x in zip(names, parts)])).alias("pos", "a"))
+    opening = F.regexp_extract("a.whole", r"(?s)^<[^>]*>", 0)
+    named = lambda name: F.trim(F.regexp_extract(opening, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1))
+    text = collapse(F.regexp_replace("a.inner", r"<[^>]*>", " "))
+    label = F.coalesce(*[F.nullif(x, F.lit("")) for x in (text, named("title"), named("aria-label"))], F.lit("Dokument"))
+    href = F.trim(F.concat("a.double", "a.single", "a.bare"))
+    return found.select("page_id", "pos", href.alias("href"), absolute_url(href, F.col("url")).alias("url"), label.alias("label"))
 
 
 def attachments(found: DataFrame) -> DataFrame:
-    """Links once for each page and target, the first of them."""
+    """Links to documents once for each page and id of the document, else its address, the first of them; with id and type from the address."""
+    from ..functions.text import query_parameter
     from ..operators.fusion import first_of
 
-    return first_of(found, ["page_id", "href"], ["pos"])
+    named = found.withColumns({"id": query_parameter(F.col("url"), "id"), "type": query_parameter(F.col("url"), "type")})
+    return first_of(named.withColumn("_key", F.coalesce("id", "url")), ["page_id", "_key"], ["pos"]).drop("_key")
 
 
 def chosen_protocol(found: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def value(spark, column, *values):
         (X.slugify, "  Über den -- Platz! ", "über-den-platz"),
         (X.sanitize_filename, " a/b:\u00a0c??d  e ", "a-b- c-d e"),
         (X.fold, "Grüße, Éa", "Gruße, Ea"),
-        (X.match_form, "Bündnis 90 / Die Grünen!", "bundnis 90/die grunen"),
+        (X.match_form, "Bündnis 90 / Die Grünen!", "bundnis 90/die grunen!"),
         (X.motion_type, "Prüfantrag zum Radweg", "Prüfantrag"),
         (X.motion_type, "ein ANTRAG", "Antrag"),
         (X.motion_type, "Antragsteller", None),
