@@ -232,6 +232,29 @@ def decode_email(after: Column, visible: Column, before: Column) -> Column:
     return F.concat(F.coalesce(after, F.lit("")), F.coalesce(visible, F.lit("")), F.reverse(F.coalesce(before, F.lit(""))))
 
 
+def css_parts(html: Column) -> Column:
+    """(class, pseudo, content) of a page's style rules that put text before or after spans of a class."""
+    rule = r"(?i)span\.([^\s:{]+)::(before|after)\s*\{\s*content:\s*\"([^\"]*)\""
+    styles = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<style[^>]*>(.*?)</style>"), F.lit(1)), "\n")
+    parts = [F.regexp_extract_all(styles, F.lit(rule), F.lit(i)).alias(n) for i, n in ((1, "class"), (2, "pseudo"), (3, "content"))]
+    return F.transform(F.arrays_zip(*parts), lambda x: F.struct(x["class"].alias("class"), F.lower(x["pseudo"]).alias("pseudo"), x["content"].alias("content")))
+
+
+def hidden_email(html: Column, cell: Column) -> Column:
+    """The address in a cell whose span's class has parts in the page's styles, else the cell's text."""
+    span = F.regexp_extract(cell, r"(?is)<span[^>]*class=[\"']([^\"']*)[\"'][^>]*>(.*?)</span>", 1)
+    visible = F.trim(F.regexp_replace(F.regexp_extract(cell, r"(?is)<span[^>]*>(.*?)</span>", 1), "<[^>]*>", ""))
+    classes = F.split(span, r"\s+")
+
+    def part(pseudo: str) -> Column:
+        # The last rule of a class counts, and the last class that has one.
+        found = F.transform(classes, lambda c: F.try_element_at(F.filter(css_parts(html), lambda x: (x["class"] == c) & (x["pseudo"] == pseudo)), F.lit(-1))["content"])
+        return F.try_element_at(F.filter(found, lambda x: x.isNotNull()), F.lit(-1))
+
+    plain = collapse(F.regexp_replace(cell, "<[^>]*>", " "))
+    return F.when(cell.rlike("(?i)<span"), decode_email(part("after"), visible, part("before"))).otherwise(plain)
+
+
 def unknown_to_null(text: Column, sentinel: str = "keine Angabe") -> Column:
     return F.nullif(F.trim(text), F.lit(sentinel))
 
@@ -241,8 +264,11 @@ def word_count(text: Column) -> Column:
 
 
 def prompt_text(text: Column) -> Column:
-    """A prompt file's text: three or more line ends become two, the ends are trimmed."""
-    return F.trim(F.regexp_replace(text, "\n{3,}", "\n\n"))
+    """A prompt file's text: the indent that all lines have goes, three or more line ends become two, the ends are trimmed."""
+    lines = F.split(text, "\n")
+    indent = F.array_min(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.length(F.regexp_extract(x, r"^[ \t]*", 0))))
+    even = F.transform(F.array(indent), lambda n: F.array_join(F.transform(lines, lambda x: F.when(x.rlike(r"^\s*$"), "").otherwise(F.substr(x, F.coalesce(n, F.lit(0)) + 1))), "\n"))
+    return F.regexp_replace(F.regexp_replace(F.element_at(even, 1), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 #: Frequent words of each language.

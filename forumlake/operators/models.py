@@ -6,6 +6,7 @@ and testable offline.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,18 +14,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import now_iso, random_id, tokens
 
 #: Numbers of a vector.
 DIMENSION = 384
 
 
 def hashed_encoder(text: Column, dimension: int = DIMENSION) -> Column:
-    """Unit vectors of signed hashed words: built-in functions only."""
-    hashes = F.transform(tokens(text), lambda w: F.xxhash64(w))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(dimension)) == i), F.lit(0.0), lambda s, h: s + F.when(h > 0, 1.0).otherwise(-1.0)))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(0.0).cast("float"))
+    """Unit vectors of signed hashed words: hashed by built-in functions, counted an Arrow batch at a time."""
+
+    @F.pandas_udf("array<float>")
+    def counted(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes:
+            h = np.asarray(h, dtype=np.int64)
+            v = np.bincount(h % dimension, weights=np.where(h > 0, 1.0, -1.0), minlength=dimension)
+            out.append((v / (np.linalg.norm(v) or 1.0)).astype(np.float32))
+        return pd.Series(out)
+
+    return counted(F.transform(tokens(text), lambda w: F.xxhash64(w)))
 
 
 def encode_with(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,16 +57,39 @@ def rerank_with(pairs: DataFrame, predict: Callable[[list[tuple[str, str]]], np.
     return pairs.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + ", score double")
 
 
-def run_llm(items: DataFrame, complete: Callable[[str, str], str], system: str, model: str, version: str) -> DataFrame:
-    """A log row for each of items (meeting_date, top_id, user_input): hash of the input, output, and an error where the output isn't JSON."""
+def chat(system: str, text: str) -> list[dict[str, str]]:
+    """The messages of one run."""
+    return [{"role": "system", "content": system}, {"role": "user", "content": f"INPUT (TOP-Text): {text}"}]
+
+
+def request(model: str, given: str | list[dict[str, str]], stream: bool = False, options: dict | None = None) -> tuple[str, dict]:
+    """(path, body) of a request: messages go to the chat, a text to completion."""
+    body = {"model": model, **({"messages": given} if isinstance(given, list) else {"prompt": str(given)}), "stream": stream}
+    return "/api/chat" if isinstance(given, list) else "/api/generate", body | ({"options": options} if options else {})
+
+
+def run_llm(items: DataFrame, complete: Callable[[list[dict[str, str]]], dict], system: str, model: str, version: str, params: dict[str, float] | None = None) -> DataFrame:
+    """A log row for each of items (meeting_date, top_id, user_input).
+
+    complete takes messages and gives output_text and, if it knows them, input_tokens and output_tokens. The row has a
+    random id, the time, the hash of the input, the output, its JSON or an error, the milliseconds and the tokens."""
+    given = {"temperature": 0.2} if params is None else params
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(output_text=[complete(system, x) for x in frame.user_input.fillna("")])
-
-    logged = items.select("meeting_date", "top_id", "user_input").mapInPandas(run, "meeting_date string, top_id string, user_input string, output_text string")
+            rows = []
+            for text in frame.user_input.fillna(""):
+                began = time.monotonic()
+                found = complete(chat(system, text))
+                rows.append((found.get("output_text"), int(1000 * (time.monotonic() - began)), found.get("input_tokens"), found.get("output_tokens")))
+            more = pd.DataFrame(rows, columns=["output_text", "latency_ms", "input_tokens", "output_tokens"], index=frame.index)
+            yield pd.concat([frame, more], axis=1)
+
+    logged = items.select("meeting_date", "top_id", "user_input").mapInPandas(run, "meeting_date string, top_id string, user_input string, output_text string, latency_ms long, input_tokens long, output_tokens long")
     parsed = F.try_parse_json("output_text")
     return logged.select(
-        F.concat_ws("_", "meeting_date", "top_id").alias("top_key"), F.lit(model).alias("model"), F.lit(version).alias("prompt_version"), F.lit(system).alias("system_prompt"),
-        "user_input", F.sha2("user_input", 256).alias("input_hash"), "output_text", F.when(parsed.isNull(), "not JSON").alias("error"), F.struct("meeting_date", "top_id").alias("meta"),
+        random_id().alias("run_id"), F.lit(model).alias("model"), now_iso().alias("created_at"), F.lit(version).alias("prompt_version"), F.lit(system).alias("system_prompt"),
+        "user_input", F.sha2("user_input", 256).alias("input_hash"), F.create_map(*[F.lit(x) for k, v in given.items() for x in (k, float(v))]).alias("params"), "output_text",
+        F.when(parsed.isNotNull(), F.col("output_text")).alias("output_json"), "latency_ms", "input_tokens", "output_tokens", F.when(parsed.isNull(), "not JSON").alias("error"),
+        F.struct("meeting_date", "top_id").alias("meta"), F.concat_ws("_", "meeting_date", "top_id", F.lit(version), F.lit(model)).alias("run_key"),
     )

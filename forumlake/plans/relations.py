@@ -123,10 +123,15 @@ def latest_by_key_upsert(spark, sf):
 
 
 def stream_tokens(spark, sf):
-    """Each conversation as a stream of events that ends at its fourth turn."""
-    line = F.when(F.col("turn") == 3, "data: [DONE]").otherwise(F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit(';"}}]}')))
-    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("ord"), line.alias("line"))
-    return streams.stream_text(rows)
+    """Each conversation's texts as a stream of events with its end, a broken line before it and another event after it."""
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").cast("long").alias("ord"), "text")
+    event = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))))
+    ends = rows.select("stream").distinct()
+    extra = [ends.select("stream", F.lit(at).cast("long").alias("ord"), F.lit(line).alias("line")) for at, line in ((-1, "data: {kaputt"), (1 << 40, "data: [DONE]"), (1 << 41, 'data: {"choices":[{"delta":{"content":"zu spät"}}]}'))]
+    lines = rows.select("stream", "ord", event.alias("line"))
+    for part in extra:
+        lines = lines.unionByName(part)
+    return streams.stream_text(lines)
 
 
 def minutes_markers(spark, sf):
@@ -160,7 +165,7 @@ SQL = {
     "history_window_20": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20",
     "next_word_lead": "WITH w AS (SELECT doc_id, unnest(range(0, len(w))) ord, unnest(w) word FROM (SELECT doc_id, string_split(text, ' ') w FROM documents)), l AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY ord) AS next FROM w) SELECT doc_id, ord, next FROM l WHERE word = 'the'",
     "latest_by_key_upsert": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "stream_tokens": "SELECT conv_id AS stream, string_agg(role || ' ' || turn || ';', '' ORDER BY turn) AS text FROM conversations WHERE turn < 3 GROUP BY ALL",
+    "stream_tokens": "SELECT conv_id AS stream, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY ALL",
     "minutes_markers": "WITH w AS (SELECT doc_id::VARCHAR doc, unnest(range(0, len(w))) ord, unnest(w) AS text FROM (SELECT doc_id, string_split(replace(text, 'the ', 'Tagesordnungspunkt '), ' ') w FROM documents)) SELECT doc, ord, text FROM w WHERE starts_with(lower(text), 'tagesordnungspunkt') QUALIFY row_number() OVER (PARTITION BY doc ORDER BY ord) = 1",
 }
 

@@ -19,11 +19,15 @@ from ..functions.text import collapse, language
 from ..operators.chunking import by_sentences
 
 
-def text_of(content: bytes, name: str, read_pdf: Callable[[bytes], str] | None = None) -> str:
-    """The text of one file, by its name's extension."""
+#: Kinds of files by media type.
+KINDS = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "text/html": "html", "text/plain": "txt"}
+
+
+def text_of(content: bytes, name: str, read_pdf: Callable[[bytes], str] | None = None, media_type: str | None = None) -> str:
+    """The text of one file, by its media type or else its name's extension; of PDF files by read_pdf."""
     import html
 
-    kind = name.rsplit(".", 1)[-1].lower()
+    kind = KINDS.get((media_type or "").split(";")[0].strip().lower(), name.rsplit(".", 1)[-1].lower())
     if kind == "docx":
         try:
             source = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode("utf-8", "ignore")

@@ -99,21 +99,6 @@ def attendance(rows: DataFrame, key: str = "page_id") -> DataFrame:
     return rows.filter(F.size("cells") >= 2).select(key, cell(0).alias("name"), person.alias("id"), cell(1).alias("party"), cell(2).alias("role"), cell(3).alias("extra"))
 
 
-def agenda(rows: DataFrame, key: str = "page_id") -> DataFrame:
-    """Agenda items from table rows (key, row, cells, links): the badge gives kind and number, headings name the type.
-
-    A row without a badge is a heading that the items below inherit; items that aren't public go.
-    """
-    from ..operators.sequences import fill_forward
-
-    first = F.get("cells", F.lit(0))
-    badge = F.regexp_extract(first, r"([ÖN])\s*(\d+(?:\.\d+)*)", 1)
-    number = F.regexp_extract(first, r"([ÖN])\s*(\d+(?:\.\d+)*)", 2)
-    marked = rows.withColumn("kind", badge).withColumn("nr", number)
-    filled = fill_forward(marked, key, "row", F.when(F.col("kind") == "", F.nullif(F.trim(first), F.lit(""))), "type")
-    return filled.filter("kind = 'Ö'").select(key, "row", F.concat_ws(":", F.col(key).cast("string"), "kind", "nr").alias("top_id"), F.get("cells", F.lit(1)).alias("name"), "type")
-
-
 def titles(pages: DataFrame) -> DataFrame:
     """(page_id, title)."""
     return pages.select("page_id", collapse(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
@@ -155,7 +140,7 @@ def chosen_protocol(found: DataFrame) -> DataFrame:
 def meeting_links(pages: DataFrame, part: str = "si0057") -> DataFrame:
     """(page_id, row, url): of each table row after the first its second link, if it leads to a meeting."""
     rows = pages.select("page_id", "url", F.posexplode(F.split("html", "(?i)<tr[ >]")).alias("row", "source")).filter("row > 1")
-    second = F.get(F.regexp_extract_all("source", F.lit('(?i)<a\\s[^>]*href="([^"]*)"'), F.lit(1)), F.lit(1))
+    second = F.concat(*[F.get(F.regexp_extract_all("source", F.lit(ANCHOR), F.lit(i)), F.lit(1)) for i in (1, 2, 3)])
     return rows.withColumn("href", second).filter(F.col("href").contains(part)).select("page_id", "row", absolute_url(F.col("href"), F.col("url")).alias("url"))
 
 
@@ -164,7 +149,7 @@ def people(rows: DataFrame, key: str = "page_id") -> DataFrame:
     from ..functions.text import person_name
 
     cell = lambda i: F.nullif(F.trim(F.get("cells", F.lit(i))), F.lit(""))
-    named = rows.withColumn("full", cell(0)).filter("full IS NOT NULL").filter(~F.lower("full").isin("n.n", "n.n.", "nn"))
+    named = rows.filter(F.size("cells") >= 2).withColumn("full", cell(0)).filter("full IS NOT NULL").filter(~F.lower("full").isin("n.n", "n.n.", "nn"))
     person = F.nullif(F.regexp_extract(F.coalesce(F.get("links", F.lit(0)), F.lit("")), r"__kpenr=(\d+)", 1), F.lit(""))
     return named.select(key, person.alias("person_id"), person_name(F.col("full")).alias("name"), cell(1).alias("partei"), cell(2).alias("role")).select(key, "person_id", "name.*", "partei", "role")
 
@@ -176,13 +161,3 @@ def multi_labels(rows: DataFrame, key: str = "page_id", link_label: str = "Inter
     pairs = rows.filter(F.size("cells") == 2).select(key, "row", label.alias("label"), value.alias("value")).filter("label <> '' AND value IS NOT NULL")
     listed = pairs.groupBy(key, "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]).alias("values"))
     return listed.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "values")))).alias("data"))
-
-
-def proposal_details(labels: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
-    """Proposals from label maps (key, labels, url), and in a second table those whose page names another id than its URL."""
-    from ..functions.text import query_parameter
-
-    at = lambda name: F.try_element_at("labels", F.lit(name))
-    rows = labels.select(key, query_parameter(F.col("url"), "__kvonr").alias("vorlage_id"), at("Id").alias("page_says"), F.coalesce(at("Betreff"), F.lit("(ohne Betreff)")).alias("betreff"), at("Art").alias("typ"), at("Aktenzeichen").alias("aktenzeichen"), "url")
-    wrong = F.col("page_says").isNotNull() & ~F.col("page_says").eqNullSafe(F.col("vorlage_id"))
-    return rows.filter(~wrong).drop("page_says"), rows.filter(wrong)

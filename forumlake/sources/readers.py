@@ -54,11 +54,11 @@ def concatenated(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def files(spark: SparkSession, path: str, pattern: str | None = None, suffix: str | None = None, years: tuple[int, int] | None = None) -> DataFrame:
     """(path, name, length, modified) of the files below a folder: with a part of the path, a suffix, or a year in a name of three parts."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
+    # The listing itself leaves other suffixes out; contents aren't read.
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = (source.option("pathGlobFilter", f"*{suffix}") if suffix else source).load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
     if pattern:
         found = found.filter(F.col("path").contains(pattern))
-    if suffix:
-        found = found.filter(F.col("name").endswith(suffix))
     if years:
         year = F.try_to_number(F.substring("name", 1, 4), F.lit("9999")).cast("int")
         found = found.filter(F.size(F.split("name", "_")) == 3).filter(year.between(*years))

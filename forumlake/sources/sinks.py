@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -17,26 +19,57 @@ def existing(rows: DataFrame, path: str) -> DataFrame | None:
         return None
 
 
-def upsert(rows: DataFrame, path: str, key: list[str], written: str, version: str) -> str:
-    """The table at path with the rows put over those of the same key, as a new version beside it; returns its path.
+#: Buckets of a table that is written by key.
+BUCKETS = 64
+
+
+def _bucket(key: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+
+
+def create(path: str, empty: DataFrame) -> None:
+    """The table at the path with the columns of an empty one, unless it is there."""
+    if existing(empty, path) is None:
+        empty.limit(0).write.parquet(path)
 
-    The last written row of a key stays. Readers of the old version aren't disturbed.
-    """
+
+def upsert(rows: DataFrame, path: str, key: list[str], written: str, batch: int | None = None) -> None:
+    """Puts rows over those of the same key in the table at path; the last written row of a key stays.
+
+    The table lies in folders by a hash of the key, and only those with a key of rows are written anew. batch: rows of a file at most."""
+    new = rows.withColumn("bucket", _bucket(key))
     old = existing(rows, path)
-    whole = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
-    target = f"{path.rstrip('/')}-{version}"
-    latest(whole, key, [F.desc(written)]).write.mode("overwrite").parquet(target)
-    return target
+    if old is not None:
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        new = old.filter(F.col("bucket").isin(touched)).unionByName(new, allowMissingColumns=True)
+    found = latest(new, key, [F.desc(written)]).repartition("bucket")
+    options = {"partitionOverwriteMode": "dynamic"} | ({"maxRecordsPerFile": str(batch)} if batch else {})
+    found.write.mode("overwrite").options(**options).partitionBy("bucket").parquet(path)
+
+
+def upsert_vectors(points: DataFrame, path: str, key: str = "id") -> None:
+    """Vectors with their payload by key, in files of VECTORS rows."""
+    upsert(points, path, [key], "written", VECTORS)
+
+
+#: Vectors of a file at most.
+VECTORS = 100_000
 
 
 def append_new(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
-    """Appends the rows whose key the table hasn't yet, once each, and returns them."""
+    """Appends the rows whose key the table hasn't yet, once each, and returns them.
+
+    Only the folders of the rows' keys are read of the table."""
+    new = rows.dropDuplicates(key).withColumn("bucket", _bucket(key))
     old = existing(rows, path)
-    new = rows.dropDuplicates(key)
     if old is not None:
-        new = new.join(old.select(*key), key, "left_anti")
-    new.write.mode("append").parquet(path)
-    return new
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        new = new.join(old.filter(F.col("bucket").isin(touched)).select(*key), key, "left_anti")
+    target = f"{path.rstrip('/')}"
+    batch = uuid.uuid4().hex
+    new.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("bucket").parquet(target)
+    written = rows.sparkSession.read.parquet(target).filter(F.col("batch") == batch)
+    return written.select(*rows.columns)
 
 
 def log(rows: DataFrame, path: str, by: list[str], kind: str = "json") -> None:
@@ -50,9 +83,27 @@ def snapshots(pages: DataFrame, path: str) -> None:
 
 
 def attachments(files: DataFrame) -> DataFrame:
-    """Where attachments go: year and month, the id or else the start of the URL's SHA-1, and a clean name."""
-    from ..functions.text import extension, sanitize_filename, short_sha1
+    """Where attachments (url, label, content_type, saved_at) go: year and month, the address's id or else the start of its SHA-1, and a clean name."""
+    from ..functions.text import extension, query_parameter, sanitize_filename, short_sha1
+
+    url = F.col("url")
+    key = F.coalesce(query_parameter(url, "id"), short_sha1(url))
+    name = F.concat(key, F.lit("_"), sanitize_filename(F.coalesce(F.nullif("label", F.lit("")), F.lit("Dokument"))), extension(F.col("content_type"), url))
+    return files.withColumns({"id": key, "type": query_parameter(url, "type"), "path": F.concat_ws("/", F.date_format("saved_at", "yyyy/MM"), name)})
+
+
+def save_attachments(files: DataFrame, path: str) -> DataFrame:
+    """Writes the records of attachments, with their contents if they have any, whose place isn't taken yet, and returns those written."""
+    return append_new(attachments(files), path, ["path"])
+
+
+def keyword_index(docs: DataFrame, path: str) -> None:
+    """The index of chunks for keyword search, written anew."""
+    from ..operators.keyword import build_index
+
+    build_index(docs, path)
+
 
-    key = F.coalesce(F.nullif("id", F.lit("")), short_sha1(F.col("url")))
-    name = F.concat(key, F.lit("_"), sanitize_filename(F.coalesce("label", F.lit("Dokument"))), extension(F.col("content_type"), F.col("url")))
-    return files.withColumn("path", F.concat_ws("/", F.date_format("saved_at", "yyyy/MM"), name))
+def llm_log(runs: DataFrame, path: str) -> None:
+    """Runs of a model by version of the prompt and model."""
+    log(runs, path, ["prompt_version", "model"], "parquet")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..sources.sinks import append_new
 
@@ -36,17 +37,51 @@ def history(messages: DataFrame, n: int = 20) -> DataFrame:
     return messages.groupBy("conv_id").applyInPandasWithState(keep, out, held, "update", "NoTimeout")
 
 
-def stream_text(lines: DataFrame) -> DataFrame:
-    """(stream, text): of lines (stream, ord, line) of server-sent events the tokens before [DONE], joined; lines that aren't JSON are skipped."""
-    data = F.regexp_extract("line", r"^data:\s*(.*)$", 1)
-    done = F.min(F.when(data == "[DONE]", F.col("ord"))).over(_by_stream())
-    kept = lines.withColumn("data", data).withColumn("done", done).filter("data <> '' AND (done IS NULL OR ord < done)")
-    delta = F.try_variant_get(F.try_parse_json("data"), "$.choices[0].delta.content", "string")
+def fresh(rows: DataFrame, cached: DataFrame, key: list[str], days: int, fetched: str = "fetched_at") -> DataFrame:
+    """The rows to fetch: those that the cache (key, time of fetching) hasn't had within so many days."""
+    known = cached.filter(F.col(fetched) >= F.current_timestamp() - F.expr(f"INTERVAL {int(days)} DAYS")).select(*key).distinct()
+    return rows.join(known, key, "left_anti")
+
+
+def _joined(kept: DataFrame, delta) -> DataFrame:
     listed = F.sort_array(F.collect_list(F.struct("ord", delta.alias("delta"))))
     return kept.groupBy("stream").agg(F.array_join(F.transform(listed, lambda x: x["delta"]), "").alias("text"))
 
 
-def _by_stream():
-    from pyspark.sql.window import Window
+def _before(lines: DataFrame, done) -> DataFrame:
+    """Lines before the first of their stream that ends it, and whether it came."""
+    ended = lines.withColumn("done", F.min(F.when(done, F.col("ord"))).over(W.partitionBy("stream")))
+    return ended.filter("done IS NULL OR ord < done")
+
+
+def stream_text(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """(stream, text): of lines (stream, ord, line) of server-sent events the tokens before [DONE], joined.
+
+    Lines that aren't JSON are skipped, or fail the query if strict."""
+    data = F.regexp_extract("line", r"^data:\s*(.*)$", 1)
+    kept = _before(lines.withColumn("data", data), F.col("data") == "[DONE]").filter("data <> ''")
+    parsed = F.parse_json("data") if strict else F.try_parse_json("data")
+    return _joined(kept, F.try_variant_get(parsed, "$.choices[0].delta.content", "string"))
+
+
+def ndjson_text(lines: DataFrame) -> DataFrame:
+    """(stream, text): of JSON lines the parts of a chat's message or of a completion, up to the one that says done, joined; others are skipped."""
+    parsed = lines.withColumn("data", F.try_parse_json("line")).filter("data IS NOT NULL")
+    done = F.coalesce(F.try_variant_get("data", "$.done", "boolean"), F.lit(False))
+    kept = parsed.withColumn("done", F.min(F.when(done, F.col("ord"))).over(W.partitionBy("stream"))).filter("done IS NULL OR ord <= done")
+    return _joined(kept, F.coalesce(F.try_variant_get("data", "$.message.content", "string"), F.try_variant_get("data", "$.response", "string")))
+
+
+def delta_events(lines: DataFrame) -> DataFrame:
+    """(stream, ord, type, delta, response): each part of JSON lines as an event, and after the last one the whole text as completed."""
+    whole = ndjson_text(lines)
+    parsed = lines.withColumn("data", F.try_parse_json("line")).filter("data IS NOT NULL")
+    delta = F.coalesce(F.try_variant_get("data", "$.message.content", "string"), F.try_variant_get("data", "$.response", "string"), F.lit(""))
+    parts = parsed.select("stream", "ord", F.lit("response.delta").alias("type"), delta.alias("delta"), F.lit(None).cast("string").alias("response"))
+    last = parsed.groupBy("stream").agg((F.max("ord") + 1).alias("ord"))
+    return parts.unionByName(last.join(whole, "stream").select("stream", "ord", F.lit("response.completed").alias("type"), F.lit(None).cast("string").alias("delta"), F.col("text").alias("response")))
+
 
-    return Window.partitionBy("stream")
+def to_lines(events: DataFrame) -> DataFrame:
+    """(value): every row as a line of JSON, for a response that is streamed."""
+    return events.select(F.to_json(F.struct(*events.columns)).alias("value"))

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from forumlake.operators import chunking, fusion, keyword, minutes, models, parties, proposals, sequences, vectors
-from forumlake.sources import html_tables, readers, schemas, sinks
+from forumlake.sources import html_tables, pages, readers, schemas, sinks
 from forumlake.streaming import streams
 
 
@@ -108,11 +108,19 @@ def test_html_tables(spark):
     assert {r.page_id: r.labels for r in html_tables.label_values(pages).collect()} == {1: {"Datum": "2.1."}, 2: {}}
     assert html_tables.titles(pages).filter("page_id = 1").first().title == "Sitzung 1"
     links = html_tables.links(pages)
-    assert [(r.url, r.label) for r in links.orderBy("pos").collect()] == [("http://h/d/si0057.asp?a", "Niederschrift A"), ("http://h/d/y", "Dokument"), ("http://h/d/y", "z")]
-    assert html_tables.attachments(links).count() == 2
+    assert [(r.url, r.label) for r in links.orderBy("pos").collect()] == [("http://h/d/x", "Dokument"), ("http://h/d/si0057.asp?a", "Niederschrift A"), ("http://h/d/y", "Dokument"), ("http://h/d/y", "z")]
+    assert html_tables.attachments(links).count() == 3
+    others = spark.createDataFrame([(1, "http://h/d/p.asp", "<a href=getfile.asp?id=7 title='Plan'><img></a><a class=x aria-label=\"Bild\" href='../getfile.asp?id=7&amp;type=do'> </a><a name='n'>kein</a>")], "page_id long, url string, html string")
+    assert [(r.url, r.label, r.id) for r in html_tables.attachments(html_tables.links(others)).collect()] == [("http://h/d/getfile.asp?id=7", "Plan", "7")]
     assert html_tables.chosen_protocol(links).first().href == "si0057.asp?a"
-    agenda = spark.createDataFrame([(1, 0, ["Anträge"], [None]), (1, 1, ["Ö 3.2", "Radweg"], [None, None]), (1, 2, ["N 1", "geheim"], [None, None])], "page_id long, row int, cells array<string>, links array<string>")
-    assert [(r.top_id, r.name, r.type) for r in html_tables.agenda(agenda).collect()] == [("1:Ö:3.2", "Radweg", "Anträge")]
+
+
+def test_agenda(spark):
+    row = '<tr><td class="tofnum"><span class="badge">{}</span><td><div class="smc-card-header-title-simple">{}</div>{}</tr>'
+    html = '<table id="smc_page_si0057_contenttable2">' + row.format("", "Anträge", "") + row.format("Ö\u00a03.2", "Radweg <b>Nord</b>", '<p class="smc_field_smcdv0_box2_abstimmung">5\u00a0ja</p><td><a href="vo0050.asp?__kvonr=9">24-0009</a>') + row.format("N 1", "geheim", "") + row.format("Ö 4", "ohne", "") + "</table>"
+    pages_ = spark.createDataFrame([("77", "http://h/b/si.asp", html), ("78", None, None)], "meeting_id string, url string, html string")
+    found = pages.agenda(pages_).orderBy("row").collect()
+    assert [(r.top_id, r.top_name, r.type, r.vorlage_id, r.vorlage_url, r.beschluss.beratungsergebnis_2, r.beschluss.stimmenverteilung) for r in found] == [("77:Ö:3.2", "Radweg Nord", "Anträge", "24-0009", "http://h/b/vo0050.asp?__kvonr=9", "5ja", None), ("77:Ö:4", "ohne", "Anträge", None, None, None, None)]
 
 
 def test_readers(spark, tmp_path):
@@ -131,8 +139,13 @@ def test_readers(spark, tmp_path):
 
 def test_sinks_and_streams(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "k int, v string, at int")
-    first = sinks.upsert(rows((1, "a", 1), (2, "b", 1)), str(tmp_path / "t"), ["k"], "at", "v1")
-    assert spark.read.parquet(first).count() == 2
+    for batch in (rows((1, "a", 1), (2, "b", 1)), rows((1, "z", 2), (2, "old", 0), (3, "c", 1))):
+        sinks.upsert(batch, str(tmp_path / "t"), ["k"], "at")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "z"), (2, "b"), (3, "c")]
+    sinks.log(rows((1, "a", 1)), str(tmp_path / "log"), ["k"])
+    assert spark.read.json(str(tmp_path / "log")).first().v == "a"
+    sinks.snapshots(rows((1, "a", 1)).withColumn("fetched_at", F.lit("2024-01-02 10:00:00").cast("timestamp")), str(tmp_path / "raw"))
+    assert str(spark.read.parquet(str(tmp_path / "raw")).first().day) == "2024-01-02"
     sinks.append_new(rows((1, "a", 1)), str(tmp_path / "n"), ["k"])
     assert [r.k for r in sinks.append_new(rows((1, "z", 2), (3, "c", 1)), str(tmp_path / "n"), ["k"]).collect()] == [3]
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "n")).collect()) == [1, 3]
@@ -146,8 +159,10 @@ def test_models(spark):
     found = {r.doc_id: r.v for r in docs.select("doc_id", models.hashed_encoder(F.col("text"), 16).alias("v")).collect()}
     assert abs(sum(x * x for x in found[1]) - 1) < 1e-5 and not any(found[2])
     items = spark.createDataFrame([("d", "1", "hi"), ("d", "2", "x")], "meeting_date string, top_id string, user_input string")
-    log = {r.top_key: r.error for r in models.run_llm(items, lambda s, u: '{"a": 1}' if u == "hi" else "oops", "sys", "m", "v").collect()}
-    assert log == {"d_1": None, "d_2": "not JSON"}
+    complete = lambda m: {"output_text": '{"a": 1}' if m[1]["content"].endswith("hi") else "oops", "output_tokens": 3}
+    log = {r.run_key: (r.error, r.output_tokens, r.input_tokens, r.params) for r in models.run_llm(items, complete, "sys", "m", "v").collect()}
+    assert log == {"d_1_v_m": (None, 3, None, {"temperature": 0.2}), "d_2_v_m": ("not JSON", 3, None, {"temperature": 0.2})}
+    assert models.request("m", "x") == ("/api/generate", {"model": "m", "prompt": "x", "stream": False}) and models.request("m", models.chat("s", "u"), True, {"t": 1})[0] == "/api/chat"
     assert vectors.nearest(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>"), spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, query array<double>"), 1).first().vec_id == 1
 
 
@@ -161,10 +176,14 @@ def test_engine(spark, tmp_path):
     engine = Engine(spark, chunks, points)
     found = engine.search("radweg nord", [0.0, 1.0]).collect()
     assert found[0].id == 1 and {(r.id, r.qtype) for r in found} == {(1, "sparse"), (2, "sparse"), (1, "dense"), (3, "dense")}
-    assert {r.id for r in engine.search("radweg", source="b").collect()} == {2}
+    assert {r.id for r in engine.search("radweg", equal={"source": ["b", "c"]}, ranges={"doc_id": (2, None)}).collect()} == {2}
     assert "Radweg Nord" in engine.rag_prompt("radweg nord").first().prompt and "(Kein Kontext gefunden.)" in engine.rag_prompt("xyz").first().prompt
     with pytest.raises(ValueError):
         engine.search(" ")
+    allowed = spark.createDataFrame([(1, ["x"]), (3, ["y"])], "id long, permissions array<string>")
+    assert [(r.id, r.score_v is None, r.score_b is None) for r in engine.hybrid("radweg nord", [0.0, 1.0], permissions=allowed, groups=["x"]).collect()] == [(1, False, False)]
+    said = engine.respond("haushalt")
+    assert said["query"] == "haushalt" and said["items"][0][1]["id"] == 3 and said["took_ms"] >= 0
     items = spark.createDataFrame([("V1", "t1", "n", "Rat Nord", "", "V1", "2026-01-01"), ("V1", "t2", "n", "Rat", "", "V1", "2026-02-01")], "referenzvorlage string, top_id string, name string, meeting string, vorlage_url string, vorlage string, meeting_date string")
     assert engine.explore(items, 2).count() == 1 and engine.explore(items, 1, first="2026-01-15").first().num_tops == 1 and engine.explore(items, meeting="nord").first().num_tops == 1
     assert engine.ingest(items, str(tmp_path / "i"), ["top_id"]).count() == 2
@@ -179,9 +198,41 @@ def test_crawled_tables(spark):
     assert [(r.person_id, r.nachname, r.partei, r.role) for r in found] == [("12", "Dr. Muster", "AB", None)]
     labels = spark.createDataFrame([(1, 0, ["Tel:", "1"], [None, None]), (1, 1, ["Tel:", "2"], [None, None]), (1, 2, ["Internet:", "x"], [None, "http://x"])], "page_id long, row int, cells array<string>, links array<string>")
     assert html_tables.multi_labels(labels).first().data == {"Tel": ["1", "2"], "Internet": ["http://x"]}
-    maps = spark.createDataFrame([(1, {"Id": "5", "Betreff": "b"}, "http://h/vo.asp?__kvonr=5"), (2, {"Id": "6"}, "http://h/vo.asp?__kvonr=5"), (3, {}, "http://h/vo.asp?__kvonr=8")], "page_id long, labels map<string,string>, url string")
-    good, bad = html_tables.proposal_details(maps)
-    assert {r.vorlage_id: r.betreff for r in good.collect()} == {"5": "b", "8": "(ohne Betreff)"} and bad.first().page_id == 2
+
+
+def test_names():
+    from forumlake.operators.parties import ratio, weighted_ratio
+
+    assert ratio("abc", "abc") == 100 and round(ratio("abcd", "abd"), 2) == 85.71 and ratio("", "") == 100
+    assert weighted_ratio("die grunen bundnis 90", "bundnis 90 die grunen") == 95 and weighted_ratio("spd", "cdu") < 50 and weighted_ratio("tierschutz", "tierschutz partei duisburg") <= 90
+
+
+def test_rules_in_images(spark):
+    import numpy as np
+
+    gray = np.full((60, 700), 255, dtype=np.uint8)
+    gray[10:12, 50:600] = 0  # a rule
+    gray[20, 50:400] = 0  # too short
+    gray[30:45, 50:600] = 0  # too high
+    gray[50, 50:300] = gray[50, 320:640] = 0
+    gray[51, 250:420] = 150  # joins both halves
+    images = spark.createDataFrame([("d", 0, 700, 60, bytearray(gray.tobytes()))], "doc string, page int, width int, height int, pixels binary")
+    assert sorted(r.y for r in minutes.rules_of_images(images).collect()) == [10, 50]
+
+
+def test_plans_of_search(spark, tmp_path):
+    """Texts are fetched without a shuffle of theirs, and a search reads postings only."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('wort', id % 50, ' und mehr') AS text", "'s' AS source")
+    keyword.build_index(docs, str(tmp_path / "index"))
+    index = keyword.open_index(spark, str(tmp_path / "index"))
+    hits = keyword.top(keyword.bm25(index, spark.createDataFrame([(1, "wort7")], "query_id int, query string")), 5)
+    assert sorted(r.doc_id for r in hits.collect()) == [7, 57, 107, 157, 207]
+    docs.write.parquet(str(tmp_path / "docs"))
+    texts = spark.read.parquet(str(tmp_path / "docs")).select(F.col("doc_id").alias("id"), "text", "source")
+    found = fusion.with_texts(hits.select(F.col("doc_id").alias("id")), texts)
+    assert {r.text for r in found.collect()} == {"wort7 und mehr"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "docs" in plan
 
 
 def test_attachments(spark, tmp_path):

@@ -5,10 +5,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from forumlake.plans import relations, search, texts
+from forumlake.plans import records, relations, search, texts
 
-QUERIES = {**search.QUERIES, **texts.QUERIES, **relations.QUERIES}
-SQL = {**search.SQL, **texts.SQL, **relations.SQL}
+QUERIES = {**search.QUERIES, **texts.QUERIES, **relations.QUERIES, **records.QUERIES}
+SQL = {**search.SQL, **texts.SQL, **relations.SQL, **records.SQL}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
