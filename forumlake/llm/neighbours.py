@@ -1,20 +1,23 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Vectors are projected on PROJECTIONS random lines. An index block keeps its
-vectors and, for each line, the order of their projections: sorted arrays that
-need no buckets. A query opens in every array a window around its own
-projection; virtual rehashing widens all windows by RATIO until enough vectors
-of the block have fallen into THRESHOLD of the arrays or more, and those are
-verified: the exact cosine in double precision on the original vectors. All rows
-are in the index, in blocks of bounded size; queries come in blocks of bounded
-size that are broadcast, one job each; a block of the index answers with its
-nearest few for each query, and these are ranked by query.
+Vectors are projected on PROJECTIONS random lines. An index block keeps for each
+line the projections of its vectors, sorted, and every vector's place among
+them, so that no buckets are needed. A query opens in every array a window
+around its own projection; virtual rehashing widens all windows by RATIO until
+enough vectors of the block have fallen into THRESHOLD of the arrays or more,
+and those are verified: the exact cosine in double precision on the original
+vectors. The first width is near what vectors of the block themselves need. All
+rows are in the index, in blocks of bounded size; queries come in blocks of
+bounded size that are broadcast, one pass over the index each, since shuffling
+the index to as many blocks of queries would move it as often; a block of the
+index answers with its nearest few for each query, and these are ranked by query.
 
 Defined results: vectors that are null, zero or hold a null or a number that
 isn't finite take no part; vectors of another dimension than the query are no
 candidates; rows with a null vec_id take no part; of rows with one vec_id the
-best counts once; without candidates a query returns no row, with fewer than k
-all; ties go to the smaller vec_id; other columns are ignored.
+best counts once, whether they are asked or found; without candidates a query
+returns no row, with fewer than k all; ties go to the smaller vec_id; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from pyspark.sql.window import Window as W
 
 from .common import cut
 
-#: Lines; arrays in which a vector has to fall into the window; first half-width of windows of unit vectors; their growth.
-PROJECTIONS, THRESHOLD, WIDTH, RATIO = 128, 80, 0.5, 1.5
-#: Vectors verified in a block at least, and as a share of it; queries in a block.
-VERIFIED, SHARE, QUERIES = 250, 0.2, 8192
+#: Lines; arrays in which a vector has to fall into the window; growth of windows; vectors of a block that tell the first width.
+PROJECTIONS, THRESHOLD, RATIO, SAMPLE = 256, 200, 1.1, 8
+#: Vectors verified in a block at least, and as a share of it; vectors of a block at most; queries in a block.
+VERIFIED, SHARE, BLOCK, QUERIES = 100, 0.02, 20_000, 8192
 
 
 def lines(dimension: int) -> np.ndarray:
@@ -61,59 +64,72 @@ def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return even, np.sqrt((even * even).sum(axis=1))
 
 
+def wanted(n: int) -> int:
+    """Vectors of a block that are verified for a query at least."""
+    return min(n, max(VERIFIED, int(SHARE * n)))
+
+
+def first_width(projected: np.ndarray) -> float:
+    """Somewhat less than the width at which windows around some of the block's own vectors hold as many as are wanted."""
+    n = projected.shape[1]
+    found = []
+    for i in np.linspace(0, n - 1, min(n, SAMPLE)).astype(int):
+        met = np.partition(np.abs(projected - projected[:, i : i + 1]), THRESHOLD - 1, axis=0)[THRESHOLD - 1]
+        found.append(np.partition(met, wanted(n) - 1)[wanted(n) - 1])
+    return max(float(np.median(found)) * 0.95, 1e-3)
+
+
 def build_index(vectors: DataFrame) -> DataFrame:
-    """One row for each block: dimension, ids, vectors and the order of the projections on each line."""
+    """One row for each block: dimension, ids, vectors, the sorted projections and the vectors' places on each line, and the first width."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, found in _groups(batch):
-                even, norms = scaled(found)
-                order = np.argsort((even / norms[:, None]) @ lines(found.shape[1]), axis=0, kind="stable").T
-                row = [[found.shape[1]], [ids.tobytes()], [found.tobytes()], [np.ascontiguousarray(order, dtype=np.int32).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], ["dimension", "ids", "vectors", "orders"])
+            for all_ids, all_found in _groups(batch):
+                for a in range(0, len(all_ids), BLOCK):
+                    ids, found = all_ids[a : a + BLOCK], all_found[a : a + BLOCK]
+                    even, norms = scaled(found)
+                    projected = np.ascontiguousarray(((even / norms[:, None]) @ lines(found.shape[1])).T.astype(np.float32))
+                    order = np.argsort(projected, axis=1, kind="stable")
+                    places = np.empty(order.shape, dtype=np.uint16)
+                    np.put_along_axis(places, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+                    data = [ids, found, np.take_along_axis(projected, order, axis=1), places]
+                    columns = [pa.array([found.shape[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in data), pa.array([first_width(projected)])]
+                    yield pa.RecordBatch.from_arrays(columns, ["dimension", "ids", "vectors", "sorted", "places", "width"])
 
     rows = vectors.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return cut(rows.mapInArrow(block, "dimension int, ids binary, vectors binary, orders binary"), "index")
+    return cut(rows.mapInArrow(block, "dimension int, ids binary, vectors binary, sorted binary, places binary, width double"), "index")
 
 
 class Block:
     """One block of the index in memory."""
 
-    def __init__(self, dimension: int, ids: bytes, vectors: bytes, orders: bytes):
+    def __init__(self, dimension: int, ids: bytes, vectors: bytes, sorted: bytes, places: bytes, width: float):  # noqa: A002
         self.ids = np.frombuffer(ids, dtype=np.int64)
         self.vectors, self.norms = scaled(np.frombuffer(vectors, dtype=np.float64).reshape(-1, dimension))
-        self.orders = np.frombuffer(orders, dtype=np.int32).reshape(PROJECTIONS, -1).astype(np.int64)
-        self.lines = lines(dimension)
-        projected = ((self.vectors / self.norms[:, None]) @ self.lines).T
-        self.sorted = np.take_along_axis(projected, self.orders, axis=1)
+        self.sorted = np.frombuffer(sorted, dtype=np.float32).reshape(PROJECTIONS, -1)
+        self.places = np.frombuffer(places, dtype=np.uint16).reshape(PROJECTIONS, -1)
+        self.lines, self.width = lines(dimension), width
 
     def candidates(self, projected: np.ndarray) -> list[np.ndarray]:
-        """For each query, given its projections, the rows that collide with it most, ties included."""
+        """For each query, given its projections, the rows that collide with it in THRESHOLD arrays or more, as soon as they are as many as are wanted."""
         n = len(self.ids)
-        target = min(n, max(VERIFIED, int(SHARE * n)))
-        width, active = WIDTH, np.arange(len(projected))
-        counts = np.zeros((len(projected), n), dtype=np.int16)
-        low = high = np.zeros((len(projected), PROJECTIONS), dtype=np.int64)
+        target, width, active = wanted(n), self.width, np.arange(len(projected))
         found: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(projected)
-        fresh = True
         while len(active):
-            at = projected[active]
-            new_low = np.stack([np.searchsorted(s, x - width) for s, x in zip(self.sorted, at.T)], axis=1)
-            new_high = np.stack([np.searchsorted(s, x + width, side="right") for s, x in zip(self.sorted, at.T)], axis=1)
+            at = projected[active].T.astype(np.float32)
+            low = np.stack([np.searchsorted(s, x - width) for s, x in zip(self.sorted, at)], axis=1)
+            size = np.stack([np.searchsorted(s, x + width, side="right") for s, x in zip(self.sorted, at)], axis=1) - low
             left = []
             for i, q in enumerate(active):
-                if fresh:
-                    parts = [o[a:b] for o, a, b in zip(self.orders, new_low[i], new_high[i])]
-                else:  # only what the wider windows add
-                    parts = [o[a:b] for o, a, b in zip(self.orders, new_low[i], low[i])] + [o[a:b] for o, a, b in zip(self.orders, high[i], new_high[i])]
-                counts[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-                often = np.count_nonzero(counts[q] >= THRESHOLD)
-                if often >= target or counts[q].min() == PROJECTIONS:
-                    least = max(THRESHOLD, np.partition(counts[q], n - target)[n - target])
-                    found[q] = np.flatnonzero(counts[q] >= least)
+                # A place below the window wraps round to a large number.
+                inside = (self.places - low[i, :, None].astype(np.uint16)) < size[i, :, None].astype(np.uint16)
+                counts = np.add.reduce(inside, axis=0, dtype=np.uint16)
+                if np.count_nonzero(counts >= THRESHOLD) >= target:
+                    # If the last widening let in many more, the highest threshold that leaves as many as are wanted.
+                    found[q] = np.flatnonzero(counts >= max(THRESHOLD, np.partition(counts, n - target)[n - target]))
                 else:
-                    left.append(i)
-            active, low, high, fresh, width = active[left], new_low[left], new_high[left], False, width * RATIO
+                    left.append(q)
+            active, width = np.array(left, dtype=np.int64), width * RATIO
         return found
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, norms: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,7 +162,7 @@ def search_block(spark: SparkSession, index: DataFrame, ids: np.ndarray, queries
 def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries its k nearest of vectors, other than itself."""
     index = build_index(vectors)
-    asked = queries.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["vec_id"])
+    asked = queries.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct()
     asked = cut(asked, "queries")
     found = spark.createDataFrame([], "query_id long, vec_id long, score double")
     waiting: dict[int, list[tuple[int, list[float]]]] = {}

@@ -145,6 +145,30 @@ def test_recall(spark, sf):
         assert g.sort_values("rank").score.is_monotonic_decreasing
 
 
+@pytest.mark.parametrize("size", [700, 6000])
+def test_few_are_verified(size):
+    """Recall of one block, and the share of it that is verified."""
+    rng = np.random.default_rng(size)
+    centres = rng.standard_normal((40, 48))
+    for vectors in (rng.standard_normal((size, 48)), centres[rng.integers(0, 40, size)] + 0.3 * rng.standard_normal((size, 48))):
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        projected = np.ascontiguousarray((unit @ neighbours.lines(48)).T.astype(np.float32))
+        order = np.argsort(projected, axis=1)
+        block = neighbours.Block(48, np.arange(size).tobytes(), vectors.tobytes(), np.take_along_axis(projected, order, axis=1).tobytes(), np.argsort(order, axis=1).astype(np.uint16).tobytes(), neighbours.first_width(projected))
+        some = np.arange(0, size, size // 50)
+        found = block.candidates(unit[some] @ block.lines)
+        truth = np.argsort(-(unit[some] @ unit.T), axis=1)[:, 1:6]
+        assert np.mean([len(set(t) & set(f)) / 5 for t, f in zip(truth, found)]) >= 0.9
+        assert np.mean([len(f) for f in found]) <= 2.2 * max(neighbours.VERIFIED, neighbours.SHARE * size)
+
+
+def test_texts_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.1]), (2, [0.1, 2.0]), (2, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = neighbours.nearest(spark, vectors, vectors.filter("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 3)) for r in found] == [(1, 0.999), (2, 0.999)]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 1.0, 1.0]), (50, [0.0, 3.0]), (None, [1.0, 0.0]), (100, []), (1, [2.0, 0.0]), (9, [1e-30, 0.0]), (150, [3e30, 0.0])]
