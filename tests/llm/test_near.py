@@ -98,6 +98,11 @@ def test_blocks_find_what_pivots_miss(spark, monkeypatch, pivots):
     test_chains_and_groups(spark)
 
 
+def test_sets_met_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(N, "BROADCAST", 0)
+    test_chains_and_groups(spark)
+
+
 def test_odd_rows(spark, odd):
     found = N.near_duplicates(odd).collect()
     assert len(found) == odd.count()

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from forumlake.llm import langid, line_dedup, mixing, quality, toxicity
-from forumlake.llm.queries import op7_mix_sources, op8_quality_rules, op9_language_id
+from forumlake.llm.queries import op7_mix_sources, op8_quality_rules, op9_language_id, op10_toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -289,6 +289,23 @@ def test_codewords_differ(n):
     assert (code != code[0]).any(axis=0).all() or n == 2
 
 
+def test_toxicity_of_the_tables_held_out(spark):
+    """Held-out documents of sf0.1, whose toxic ones are in four languages: most are found, hardly any clean one is flagged."""
+    path = "/root/testdata/sf0.1"
+    found = op10_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out")
+    r = found.agg(*[F.avg(F.when(F.col("toxic") == k, F.col("predicted"))).alias(f"p{k}") for k in (0, 1)]).first()
+    assert r.p1 > 0.78 and r.p0 < 0.01
+
+
+def test_many_languages_keep_their_samples(spark, monkeypatch):
+    """The sample is shared among all languages, whatever their names and sizes, and no language is left out."""
+    monkeypatch.setattr(langid, "SAMPLE", 60)
+    rows = [(i, f"l{i % 11:02d}" if i % 3 else "zz", f"{'abcdefghijkl'[i % 11] * 4} wort {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    counts = {r.lang: r["count"] for r in langid.sample(docs).groupBy("lang").count().collect()}
+    assert len(counts) == 12 and set(counts.values()) == {5}
+
+
 def test_toxicity_held_out(spark):
     words = ["idiot", "scum", "trash", "moron"]
     docs = [(i, " ".join([f"w{(i * 7 + k) % 97}" for k in range(40)] + ([words[i % 4], words[i % 3]] if i % 5 == 0 else []))) for i in range(2000)]
