@@ -31,7 +31,7 @@ def _letters(form: str, marks: bool) -> tuple[str, str]:
 MARKED, PLAIN = _letters("NFKD", True)
 COMPATIBLE, USUAL = _letters("NFKC", False)
 #: Compatible forms of several characters.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "…": "...", "№": "No", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4"}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "…": "...", "№": "No", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "Ⅺ": "XI", "Ⅻ": "XII"}
 
 
 def tokens(text: Column) -> Column:

@@ -75,3 +75,35 @@ def tags(spark):
 def attributes(spark):
     """(canon, handle, typ, url)."""
     return spark.createDataFrame(list(ATTRIBUTES), "canon string, handle string, typ string, url string")
+
+
+#: Groups of committees, and the committees of each.
+COMMITTEES = (
+    ("Hauptorgane & Aufsichtsgremien", ("Rat der Stadt", "Haupt- und Finanzausschuss", "Rechnungsprüfungsausschuss")),
+    (
+        "Verwaltung & Soziales",
+        (
+            "Ausschuss für Ordnungs- und Bürgerangelegenheiten", "Ausschuss für Arbeit, Soziales und Gesundheit", "Gleichstellungsausschuss", "Integrationsrat",
+            "Beirat für Menschen mit Behinderungen", "Seniorenbeirat",
+        ),
+    ),
+    ("Digitalisierung, Stadtentwicklung & Umwelt", ("Digitalisierungsausschuss", "Ausschuss für Stadtentwicklung und Verkehr", "Ausschuss für Umwelt, Klima und Naturschutz")),
+    ("Kultur & Jugend", ("Kulturausschuss", "Jugendhilfeausschuss")),
+    ("Steuerung & Organisation", ("Vergabeausschuss", "Wahlausschuss", "Wahlprüfungsausschuss")),
+    (
+        "Betriebsausschüsse",
+        ("Betriebsausschuss DuisburgSport", "Betriebsausschuss für das Immobilien-Management Duisburg", "Betriebsausschuss für städtische Immobilien"),
+    ),
+    (
+        "Bezirksvertretungen",
+        (
+            "Bezirksvertretung Mitte", "Bezirksvertretung Rheinhausen", "Bezirksvertretung Meiderich/Beeck", "Bezirksvertretung Süd", "Bezirksvertretung Hamborn",
+            "Bezirksvertretung Homberg/Ruhrort/Baerl", "Bezirksvertretung Walsum",
+        ),
+    ),
+)
+
+
+def committees(spark):
+    """(grp, committee): every committee with its group."""
+    return spark.createDataFrame([(group, name) for group, names in COMMITTEES for name in names], "grp string, committee string")

@@ -8,11 +8,12 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..api import Engine
 from ..functions import registered
 from ..functions import text as X
-from ..operators import minutes, models, proposals
+from ..operators import minutes, models, party_tables, proposals
 from ..sources import html_tables, pages, readers, sinks
 from ..sources.store import new_folder
 from ..streaming import streams
@@ -88,6 +89,14 @@ def consultation_pages(spark, sf):
     return found.select("vorlage_id", F.col("row").cast("long").alias("row"), F.date_format("datum", "yyyy-MM-dd").alias("datum"), "intent", "gremium", "ergebnis", "stimmen", F.get("dateien", F.lit(0))["href"].alias("datei"))
 
 
+def committee_groups(spark, sf):
+    """Nations' numbers as committees of the council's groups, and the orders of each."""
+    names = party_tables.committees(spark)
+    numbered = names.withColumn("n", F.row_number().over(W.orderBy("committee")) - 1)
+    owned = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return owned.join(F.broadcast(numbered), F.col("c_nationkey") == F.col("n")).groupBy("grp", "committee").agg(F.count("*").alias("n_orders"))
+
+
 def _people_pages(spark, sf):
     people = table(spark, sf, "customer")
     row = _fill("<tr><td><a href='pe0051.asp?__kpenr={k}&amp;x=1'>{n}</a></td><td> {s} </td><td>{r}</td></tr>", k=F.col("c_custkey"), s=F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_mktsegment")), r=F.lit("Mitglied"), n=F.when(F.col("c_custkey") % 10 == 0, "N.N.").otherwise(_fill("Frau Dr. {a}, {b}", a=F.col("c_name"), b=F.col("c_nationkey"))))
@@ -297,7 +306,10 @@ def hashed_vectors(spark, sf):
 _ROOT = "'https://rat.example/bi/'"
 _PATH = "'2024/03/' || id || '_' || regexp_replace(regexp_replace('Plan: ' || p_name, '[\\\\/:*?\"<>|]+', '-', 'g'), '\\s+', ' ', 'g') || CASE WHEN p_partkey % 2 = 0 THEN '.pdf' ELSE '.docx' END"
 
+_GROUPS = ", ".join(f"('{g}', '{c}')" for g, names in party_tables.COMMITTEES for c in names)
+
 SQL = {
+    "committee_groups": f"WITH g AS (SELECT *, row_number() OVER (ORDER BY committee) - 1 n FROM (VALUES {_GROUPS}) v(grp, committee)) SELECT grp, committee, count(*) n_orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN g ON c_nationkey = n GROUP BY ALL",
     "agenda_items": f"WITH i AS (SELECT *, last_value(CASE WHEN l_linenumber % 3 = 1 THEN 'Teil ' || l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) t FROM lineitem) SELECT l_orderkey || ':Ö:' || l_linenumber top_id, strftime(l_shipdate, '%Y-%m-%d') || ' & ' || l_returnflag top_name, t AS type, 'VO/' || l_partkey vorlage_id, {_ROOT} || 'vo0050.asp?__kvonr=' || l_partkey vorlage_url, l_linestatus ergebnis, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber || ' Stimmen' END stimmen, 1::BIGINT n_files, {_ROOT} || 'getfile.asp?id=' || l_suppkey || '&type=do' file, 'Datei ' || l_suppkey AS label, l_suppkey::VARCHAR file_id FROM i WHERE l_linenumber % 4 <> 0",
     "proposal_pages": f"SELECT p_partkey::VARCHAR vorlage_id, p_type typ, CASE WHEN p_partkey % 7 = 0 THEN 'Kopf ' || p_partkey ELSE p_name END betreff, CASE WHEN p_partkey % 3 = 0 THEN 'AZ ' || p_size END aktenzeichen, {_ROOT} || 'vo0053.asp?__kvonr=' || p_partkey url, p_brand doc, 'pdf' dtype, 'https://rat.example/getfile.asp?id=' || p_partkey doc_url, p_partkey % 50 <> 0 ok FROM part",
     "consultation_pages": f"SELECT o_custkey::VARCHAR vorlage_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row, strftime(o_orderdate, '%Y-%m-%d') datum, CASE WHEN o_orderkey % 3 = 0 THEN trim(strftime(o_orderdate, '%d.%m.%Y') || ' Ausschuss ' || replace(o_orderpriority, '-', ' ') || ' ' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'TOP ' || o_orderkey % 9 END) ELSE 'Entscheidung' END intent, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Ausschuss ' || replace(o_orderpriority, '-', ' ') END gremium, CASE WHEN o_orderkey % 4 <> 0 THEN 'Status ' || o_orderstatus END ergebnis, o_orderkey || 'ja' stimmen, {_ROOT} || 'getfile.asp?id=' || o_orderkey datei FROM orders",
@@ -327,4 +339,4 @@ SQL = {
     "hashed_vectors": r"SELECT doc_id, 384::BIGINT n, CASE WHEN len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) > 0 THEN 1.0 ELSE 0.0 END AS length FROM documents",
 }
 
-QUERIES = {f.__name__: f for f in (agenda_items, proposal_pages, consultation_pages, attendance_rows, person_rows, multi_value_labels, protocol_choice, discovered_meetings, protocol_items, item_payload, item_records, explored_items, value_counts, iso_times, upsert_in_batches, vectors_upserted, attachments_saved, llm_log, ndjson_stream, delta_events, json_lines, pages_to_fetch, registered_functions, entity_files, manifest_lines, hidden_emails, hashed_vectors)}
+QUERIES = {f.__name__: f for f in (agenda_items, proposal_pages, consultation_pages, committee_groups, attendance_rows, person_rows, multi_value_labels, protocol_choice, discovered_meetings, protocol_items, item_payload, item_records, explored_items, value_counts, iso_times, upsert_in_batches, vectors_upserted, attachments_saved, llm_log, ndjson_stream, delta_events, json_lines, pages_to_fetch, registered_functions, entity_files, manifest_lines, hidden_emails, hashed_vectors)}

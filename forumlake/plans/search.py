@@ -112,6 +112,12 @@ def knn_threshold(spark, sf):
     return _ranked(vectors.nearest(table(spark, sf, "embeddings"), _label_queries(spark, sf), 50, at_least=0.02))
 
 
+def approximate_knn(spark, sf):
+    """The nearest of each label's mean by inverted lists."""
+    centres, listed = vectors.inverted_lists(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return _ranked(vectors.approximate(listed, centres, _label_queries(spark, sf), 5))
+
+
 def l2_normalise(spark, sf):
     v = F.transform("embedding", lambda x: x.cast("double") * 3)
     length = F.round(vectors.norm(v), 6)
@@ -288,4 +294,4 @@ SQL["rag_prompt"] = (
     + "SELECT 'Kontext:' || chr(10) || coalesce(nullif(string_agg(t, chr(10) || chr(10) ORDER BY rerank DESC, id), ''), '(Kein Kontext gefunden.)') || chr(10) || chr(10) || 'Frage: ' || 'thing of ertion' AS prompt FROM b"
 )
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_operator, bm25_okapi, bm25_benchmark, bm25_multifield_boost, index_statistics, fuzzy_term_match, minmax_normalise, knn_topk, knn_per_query, knn_filtered, knn_threshold, l2_normalise, dense_two_level, linear_fusion, concat_fusion_rerank, dedupe_fusion, hybrid_search, filtered_search, late_text_lookup, union_all_sources, engine_search, rag_prompt)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_operator, bm25_okapi, bm25_benchmark, bm25_multifield_boost, index_statistics, fuzzy_term_match, minmax_normalise, knn_topk, knn_per_query, knn_filtered, knn_threshold, approximate_knn, l2_normalise, dense_two_level, linear_fusion, concat_fusion_rerank, dedupe_fusion, hybrid_search, filtered_search, late_text_lookup, union_all_sources, engine_search, rag_prompt)}

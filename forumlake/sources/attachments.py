@@ -51,6 +51,24 @@ def texts(spark: SparkSession, path: str, read_pdf: Callable[[bytes], str] | Non
     return files.mapInPandas(read, "path string, name string, text string")
 
 
+def pdf_words(spark: SparkSession, path: str, read: Callable[[bytes], list[list[tuple[str, float, float, float, float]]]]) -> DataFrame:
+    """(doc, page, ord, text, x0, x1, top, bottom) of the PDF files below a folder, in the order of their text.
+
+    read gives the words of each page of a file, since no reader of PDF files is here."""
+    from .schemas import PDF_WORDS
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(path).select(F.element_at(F.split("path", "/"), -1).alias("doc"), "content")
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            rows = [(doc, page, i, *word) for doc, content in zip(frame.doc, frame.content) for page, words in enumerate(read(content)) for i, word in enumerate(words)]
+            yield pd.DataFrame(rows, columns=["doc", "page", "ord", "text", "x0", "x1", "top", "bottom"])
+
+    return files.mapInPandas(run, PDF_WORDS)
+
+
 def chunks(rows: DataFrame, budget: int = 500, carried: int = 8) -> DataFrame:
     """Chunks of attachments with their metadata; the language is the given one or guessed from the whole text."""
     own = [c for c in rows.columns if c not in ("text", "lang")]

@@ -47,3 +47,16 @@ def test_uuid_and_names(spark):
     assert value(spark, X.absolute_url, "x.pdf", "http://h/a/b") == "http://h/a/x.pdf"
     assert value(spark, X.absolute_url, "/x", "http://h/a/b") == "http://h/x"
     assert value(spark, X.absolute_url, "x", "http://h") == "http://h/x"
+
+
+def test_marks_and_forms(spark):
+    said = "Ṩ\u0301 ắ Ł ß ﬁ Ⅳ Ａ½ Ő\u00a0x  /  y"
+    r = spark.createDataFrame([(said,)], "t string").select(X.fold(F.col("t")).alias("fold"), X.compatible(F.col("t")).alias("form")).first()
+    assert r.fold.startswith("S a Ł ß") and "O" in r.fold
+    assert r.form.endswith("Ő x/y") and "fi IV A1⁄2" in r.form
+
+
+def test_prompt_and_links(spark):
+    rows = spark.createDataFrame([("    a\n      b\n\n\n\n    c\n  \n", "../x/./y?z=..", "http://h/a/b/c.asp?q=1", "http://h/p?na.me=%C3%A4+b&x=1")], "t string, href string, base string, url string")
+    r = rows.select(X.prompt_text(F.col("t")).alias("prompt"), X.absolute_url(F.col("href"), F.col("base")).alias("link"), X.absolute_url(F.lit("//g/k"), F.col("base")).alias("other"), X.query_parameter(F.col("url"), "na.me").alias("value")).first()
+    assert (r.prompt, r.link, r.other, r.value) == ("a\n  b\n\nc", "http://h/a/x/y?z=..", "http://g/k", "ä b")

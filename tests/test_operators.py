@@ -200,6 +200,26 @@ def test_crawled_tables(spark):
     assert html_tables.multi_labels(labels).first().data == {"Tel": ["1", "2"], "Internet": ["http://x"]}
 
 
+def test_approximate_search(spark):
+    """Recall of inverted lists against the exact search."""
+    from forumlake.plans import search
+
+    sf = "/root/testdata/sf0.1"
+    exact = {(r.query_id, r.vec_id) for r in search.knn_per_query(spark, sf).collect()}
+    found = {(r.query_id, r.vec_id) for r in search.approximate_knn(spark, sf).collect()}
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_pdf_words(spark, tmp_path):
+    from forumlake.sources import attachments
+
+    (tmp_path / "a.pdf").write_bytes(b"Eins zwei|drei")
+    (tmp_path / "b.txt").write_bytes(b"nein")
+    read = lambda content: [[(w, 0.0, 1.0, 2.0, 3.0) for w in page.split()] for page in content.decode().split("|")]
+    assert [(r.doc, r.page, r.ord, r.text) for r in attachments.pdf_words(spark, str(tmp_path), read).collect()] == [("a.pdf", 0, 0, "Eins"), ("a.pdf", 0, 1, "zwei"), ("a.pdf", 1, 0, "drei")]
+    assert attachments.text_of(b"<p>x", "a", None, "text/html; charset=utf-8") == "x" and attachments.text_of(b"%PDF", "a.bin", lambda b: "gelesen", "application/pdf") == "gelesen"
+
+
 def test_names():
     from forumlake.operators.parties import ratio, weighted_ratio
 
