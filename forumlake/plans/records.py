@@ -274,7 +274,7 @@ def entity_files(spark, sf):
     """Nations as JSON files, one object in each, read with a schema."""
     path = new_folder(spark, "entities")
     table(spark, sf, "nation").select("n_nationkey", "n_name", F.struct("n_regionkey").alias("of")).write.option("maxRecordsPerFile", 1).json(path)
-    return readers.entities(spark, path, "n_nationkey long, n_name string, of struct<n_regionkey long>, other string").select("n_nationkey", "n_name", F.col("of.n_regionkey").alias("region"), F.coalesce("other", F.lit("-")).alias("other"))
+    return readers.entities(spark, path, "n_nationkey int, n_name string, of struct<n_regionkey int>, other string").select("n_nationkey", "n_name", F.col("of.n_regionkey").alias("region"), F.coalesce("other", F.lit("-")).alias("other"))
 
 
 def manifest_lines(spark, sf):
@@ -336,7 +336,7 @@ SQL = {
     "entity_files": "SELECT n_nationkey, n_name, n_regionkey region, '-' other FROM nation",
     "manifest_lines": "SELECT 's' || s_suppkey || '.pdf' file, 'https://x/' || s_suppkey url, '2024-01-01' retrieval_date FROM supplier",
     "hidden_emails": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'post' || c_custkey || ' (at) haus' ELSE 'post' || c_custkey || '.amt@' || lower(c_mktsegment) || '.de' END email FROM customer",
-    "hashed_vectors": r"SELECT doc_id, 384::BIGINT n, CASE WHEN len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) > 0 THEN 1.0 ELSE 0.0 END AS length FROM documents",
+    "hashed_vectors": r"SELECT doc_id, 384::BIGINT n, CASE WHEN len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents",
 }
 
 QUERIES = {f.__name__: f for f in (agenda_items, proposal_pages, consultation_pages, committee_groups, attendance_rows, person_rows, multi_value_labels, protocol_choice, discovered_meetings, protocol_items, item_payload, item_records, explored_items, value_counts, iso_times, upsert_in_batches, vectors_upserted, attachments_saved, llm_log, ndjson_stream, delta_events, json_lines, pages_to_fetch, registered_functions, entity_files, manifest_lines, hidden_emails, hashed_vectors)}
