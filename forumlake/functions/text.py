@@ -31,7 +31,10 @@ def _letters(form: str, marks: bool) -> tuple[str, str]:
 MARKED, PLAIN = _letters("NFKD", True)
 COMPATIBLE, USUAL = _letters("NFKC", False)
 #: Compatible forms of several characters.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "…": "...", "№": "No", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "Ⅺ": "XI", "Ⅻ": "XII"}
+LIGATURES = {
+    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "…": "...", "№": "No", "½": "1⁄2", "¼": "1⁄4",
+    "¾": "3⁄4", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "Ⅺ": "XI", "Ⅻ": "XII",
+}
 
 
 def tokens(text: Column) -> Column:
@@ -204,7 +207,10 @@ def query_parameter(url: Column, name: str) -> Column:
 
 
 #: Extensions by media type.
-EXTENSIONS = {"application/pdf": ".pdf", "application/msword": ".doc", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx", "text/html": ".html", "text/plain": ".txt", "image/jpeg": ".jpg", "image/png": ".png", "application/zip": ".zip"}
+EXTENSIONS = {
+    "application/pdf": ".pdf", "application/msword": ".doc", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx",
+    "text/html": ".html", "text/plain": ".txt", "image/jpeg": ".jpg", "image/png": ".png", "application/zip": ".zip",
+}
 
 
 def extension(media_type: Column, url: Column) -> Column:
@@ -272,7 +278,12 @@ def prompt_text(text: Column) -> Column:
 
 
 #: Frequent words of each language.
-STOP_WORDS = {"de": ("der", "die", "und", "das", "von", "den", "ist", "nicht", "mit", "für"), "en": ("the", "of", "and", "to", "is", "that", "with", "was", "for", "this"), "es": ("el", "los", "las", "que", "por", "una", "con", "para", "del", "y"), "fr": ("le", "les", "des", "est", "et", "dans", "qui", "une", "pour", "du")}
+STOP_WORDS = {
+    "de": ("der", "die", "und", "das", "von", "den", "ist", "nicht", "mit", "für"),
+    "en": ("the", "of", "and", "to", "is", "that", "with", "was", "for", "this"),
+    "es": ("el", "los", "las", "que", "por", "una", "con", "para", "del", "y"),
+    "fr": ("le", "les", "des", "est", "et", "dans", "qui", "une", "pour", "du"),
+}
 
 
 def language(text: Column, known: Column | None = None) -> Column:

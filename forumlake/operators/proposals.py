@@ -13,7 +13,11 @@ def item_payload(items: DataFrame, meetings: DataFrame) -> DataFrame:
     m = meetings.select(F.col("Sitzung").alias("_key"), F.coalesce(F.col("Gremium"), F.col("Gremien")).alias("gremium"), F.col("Datum").alias("_datum"), F.col("location").alias("ort"), F.col("source_url").alias("url"))
     party = F.nullif(F.array_join("antrag_party", ", "), F.lit(""))
     joined = items.join(m, items["meeting_id"] == m["_key"])
-    return joined.select("name", "top_id", "meeting_id", "vorlage_id", F.col("type").alias("typ"), party.alias("partei"), F.col("beschluss.beratungsergebnis_1").alias("beratungsergebnis"), F.col("beschluss.stimmenverteilung").alias("stimmenverteilung"), "gremium", X.epoch_seconds(X.german_date(F.col("_datum"))).alias("datum"), "ort", "url")
+    return joined.select(
+        "name", "top_id", "meeting_id", "vorlage_id", F.col("type").alias("typ"), party.alias("partei"),
+        F.col("beschluss.beratungsergebnis_1").alias("beratungsergebnis"), F.col("beschluss.stimmenverteilung").alias("stimmenverteilung"),
+        "gremium", X.epoch_seconds(X.german_date(F.col("_datum"))).alias("datum"), "ort", "url",
+    )
 
 
 def match_rate(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
