@@ -56,7 +56,10 @@ HELD = 2000
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)|["'])*+)>|<[!?/][^>]*>""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCKS = set("address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_BLOCKS = set((
+    "address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav "
+    "ol p pre section summary table tbody td tfoot th thead tr ul"
+).split())
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that don't hold others of an article.
 _LEAVES = {"p", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", *_HEADINGS}
@@ -65,8 +68,16 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
 #: Elements that aren't part of an article.
 _OUT = set("nav footer aside form button select dialog menu object audio video canvas map head".split())
 #: Words of class names, ids and roles that say the same, and words that go with them without a meaning of their own.
-_OUT_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside rail related recommended recommendations share sharing social comment comments commentlist reply replies respond disqus discussion reactions footer copyright widget widgets toolbar search skip complementary contentinfo".split())
-_PLAIN_WORDS = set("area bar block body bottom box btn button buttons col column container form group header heading holder inner item items label left link links list main message module outer page panel post posts right row section site slot stories text title to top unit wrap wrapper zone".split())
+_OUT_WORDS = set((
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert "
+    "alerts popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation menu menus breadcrumb breadcrumbs pagination "
+    "pager sidebar aside rail related recommended recommendations share sharing social comment comments commentlist reply replies respond disqus discussion "
+    "reactions footer copyright widget widgets toolbar search skip complementary contentinfo"
+).split())
+_PLAIN_WORDS = set((
+    "area bar block body bottom box btn button buttons col column container form group header heading holder inner item items label left link links list "
+    "main message module outer page panel post posts right row section site slot stories text title to top unit wrap wrapper zone"
+).split())
 _HEAD_WORDS = {"header", "masthead", "banner", "topbar"}
 _IN_WORDS = {"article", "main", "content", "post", "story", "entry"}
 
