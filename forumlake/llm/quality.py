@@ -37,29 +37,37 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words in windows that occur twice or more. hashes: of the words, in order."""
+def pairs_of(hashes: Column) -> Column:
+    """Hashes of each word with the next one; the last place has none that counts."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)))
+
+
+def repeated_words(pairs: Column) -> Column:
+    """Words in windows that occur twice or more. pairs: of the words, in order. A text without equal runs of half a window has none."""
 
     def covered(starts: Column) -> Column:  # starts: sorted places of windows found again
         steps = F.transform(starts, lambda s, k: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, k + 1) - s, F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    def again(pairs: Column) -> Column:  # pairs: (window's hash, place), sorted
-        same = F.filter(pairs, lambda p, k: F.coalesce((F.get(pairs, k - 1)["h"] == p["h"]), F.lit(False)) | F.coalesce((F.get(pairs, k + 1)["h"] == p["h"]), F.lit(False)))
+    def again(found: Column) -> Column:  # found: (window's hash, place), sorted
+        same = F.filter(found, lambda p, k: F.coalesce((F.get(found, k - 1)["h"] == p["h"]), F.lit(False)) | F.coalesce((F.get(found, k + 1)["h"] == p["h"]), F.lit(False)))
         return let(F.sort_array(F.transform(same, lambda p: p["i"])), covered)
 
     def of_windows(found: Column) -> Column:
-        pairs = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0)).otherwise(let(pairs, again))
+        placed = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0)).otherwise(let(placed, again))
+
+    def of_halves(halves: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(pairs) - WINDOW)
+        windows = F.transform(places, lambda i: F.xxhash64(F.get(halves, i), F.get(halves, i + WINDOW // 2)))
+        return F.when(F.size(F.array_distinct(halves)) == F.size(halves), F.lit(0)).otherwise(let(windows, of_windows))
 
-    places = F.sequence(F.lit(0), F.size(hashes) - WINDOW)
-    windows = F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
-    return F.when(F.size(hashes) <= WINDOW, F.lit(0)).otherwise(let(windows, of_windows))
+    halves = F.transform(F.slice(pairs, 1, F.size(pairs) - (WINDOW // 2 - 1)), lambda p, i: F.xxhash64(p, F.get(pairs, i + 2)))
+    return F.when(F.size(pairs) <= WINDOW, F.lit(0)).otherwise(let(halves, of_halves))
 
 
-def grams(hashes: Column) -> Column:
+def grams(hashes: Column, pairs: Column) -> Column:
     """Buckets of single words and of pairs of neighbours."""
-    pairs = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)))
     both = F.concat(hashes, F.slice(pairs, 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
     return F.transform(both, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
 
@@ -73,7 +81,7 @@ def bucket_weights(docs: DataFrame, labels: DataFrame) -> list[float]:
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCUMENTS).withColumn("target", F.lit(1))
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(good), "doc_id", "left")  # bounded by TARGET_DOCUMENTS
-    buckets = marked.select("target", F.explode(let(hashed(F.col("text")), grams)).alias("bucket"))
+    buckets = marked.select("target", F.explode(let(hashed(F.col("text")), lambda h: let(pairs_of(h), lambda p: grams(h, p)))).alias("bucket"))
     counts = buckets.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("good")).collect()  # BUCKETS rows at most
     raw, good_n = [0] * BUCKETS, [0] * BUCKETS
     for r in counts:
@@ -97,11 +105,14 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def of_words(found: Column) -> Column:
         return let(
             F.transform(found, lambda w: F.xxhash64(w)),
-            lambda h: F.struct(
-                F.size(found).cast("long").alias("n_words"),
-                F.length(F.array_join(found, "")).cast("long").alias("word_chars"),
-                repeated_words(h).cast("long").alias("n_repeat_words"),
-                let(grams(h), mean).alias("llr"),
+            lambda h: let(
+                pairs_of(h),
+                lambda p: F.struct(
+                    F.size(found).cast("long").alias("n_words"),
+                    F.length(F.array_join(found, "")).cast("long").alias("word_chars"),
+                    repeated_words(p).cast("long").alias("n_repeat_words"),
+                    let(grams(h, p), mean).alias("llr"),
+                ),
             ),
         )
 
