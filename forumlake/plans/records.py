@@ -153,7 +153,7 @@ def protocol_items(spark, sf):
     every = F.when(F.col("turn") == 0, first).when(opens, F.concat(header, body)).otherwise(body)
     words = turns.select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("page"), F.posexplode(every).alias("ord", "w")).select("doc", "page", "ord", "w.*")
     rules = turns.filter(opens).select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("page"), F.explode(F.array(F.lit(60), F.lit(5), F.lit(300))).alias("y"))
-    return minutes.protocol_items(words, rules).select("doc", "date", *[F.col(c).cast("long").alias(c) for c in ("page_start", "end_page", "len_content1")], "top_nr", "drucksache_nr", "person_resp", "topic", "content1")
+    return minutes.protocol_items(words, rules).select("doc", "date", *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("page_start", "end_page", "len_content1")], "top_nr", "drucksache_nr", "person_resp", "topic", "content1")
 
 
 def item_payload(spark, sf):
@@ -318,7 +318,7 @@ SQL = {
     "multi_value_labels": "SELECT n_regionkey page_id, string_agg(n_name, ',' ORDER BY n_nationkey) land, string_agg('https://' || n_nationkey || '.example', ',' ORDER BY n_nationkey) internet FROM nation GROUP BY 1",
     "protocol_choice": f"SELECT o_orderkey page_id, CASE WHEN o_orderkey % 3 = 0 THEN 'z' ELSE 'b' END || o_orderkey href, {_ROOT} || 'd' || o_orderkey || '.PDF' url, 'Plan' AS label FROM orders",
     "discovered_meetings": "SELECT c_nationkey committee, year(o_orderdate) AS year, o_orderkey::VARCHAR meeting FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1992 AND 1998",
-    "protocol_items": "WITH t AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) i, max(turn) OVER (PARTITION BY conv_id) z FROM conversations WHERE turn > 0), g AS (SELECT conv_id, min(turn) f, list(text ORDER BY turn) x, count(*) n, max(turn) e FROM t WHERE i > 0 GROUP BY conv_id, i), d AS (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0) SELECT g.conv_id::VARCHAR doc, CASE WHEN d.conv_id IS NOT NULL THEN '01.02.2024' END date, f page_start, CASE WHEN array_to_string(x[2:], ' ') <> '' THEN e END end_page, CASE WHEN array_to_string(x[2:], ' ') <> '' THEN length(x[1] || array_to_string(x[2:], ' ')) END len_content1, f::VARCHAR top_nr, g.conv_id || '-' || f drucksache_nr, 'Frau Muster' person_resp, 'Thema zwei' topic, x[1] || array_to_string(x[2:], ' ') content1 FROM g LEFT JOIN d USING (conv_id)",
+    "protocol_items": "WITH t AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) i, max(turn) OVER (PARTITION BY conv_id) z FROM conversations WHERE turn > 0), g AS (SELECT conv_id, min(turn) f, list(text ORDER BY turn) x, count(*) n, max(turn) e FROM t WHERE i > 0 GROUP BY conv_id, i), d AS (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0) SELECT g.conv_id::VARCHAR doc, CASE WHEN d.conv_id IS NOT NULL THEN '01.02.2024' END date, f page_start, CASE WHEN array_to_string(x[2:], ' ') <> '' THEN e ELSE -1 END end_page, CASE WHEN array_to_string(x[2:], ' ') <> '' THEN length(x[1] || array_to_string(x[2:], ' ')) ELSE -1 END len_content1, f::VARCHAR top_nr, g.conv_id || '-' || f drucksache_nr, 'Frau Muster' person_resp, 'Thema zwei' topic, x[1] || array_to_string(x[2:], ' ') content1 FROM g LEFT JOIN d USING (conv_id)",
     "item_payload": "SELECT strftime(l_shipdate, '%Y-%m-%d') AS name, l_orderkey || '/' || l_linenumber top_id, l_orderkey::VARCHAR meeting_id, l_partkey::VARCHAR vorlage_id, l_returnflag typ, CASE WHEN l_linenumber % 2 = 0 THEN 'A, ' || l_linestatus END partei, l_linestatus beratungsergebnis, CASE WHEN l_orderkey % 2 = 0 THEN o_orderpriority ELSE 'Alle' END gremium, epoch(date_trunc('day', o_orderdate))::BIGINT datum, 'Saal' ort FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'",
     "item_records": "SELECT l_orderkey || '_' || l_linenumber top_id, l_orderkey meeting_id, strftime(l_shipdate, '%Y-%m-%d') AS name, true public, l_returnflag AS type, CASE WHEN l_linenumber = 1 THEN l_linestatus ELSE '' END party, 0::BIGINT n_files FROM lineitem",
     "explored_items": "SELECT l_orderkey::VARCHAR referenzvorlage, count(*) num_tops, count(DISTINCT l_suppkey) num_meetings FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-01-01' AND '1996-12-31' AND starts_with(l_suppkey::VARCHAR, '1') GROUP BY 1 HAVING count(*) >= 3",
