@@ -40,6 +40,8 @@ M, BANDS, ROWS, BASE, RATE = 256, 32, 4, 1.001, 20.0
 SIMILAR, ESTIMATE = 80, 0.69
 #: Rounds of pivots; documents of a block in which those that are left are compared.
 PIVOTS, BLOCK_DOCUMENTS = 2, 1024
+#: Rounds of labels after each round of pivots.
+STEPS = 2
 #: Documents of pairs whose ids are broadcast, so that texts stay in place; more are joined by a shuffle.
 BROADCAST = 1_000_000
 #: Elements whose hashes are made at once.
@@ -235,21 +237,29 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return both.mapInArrow(confirm, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of the ids in links (a, b): the smallest id reachable. Each round halves the ways at least."""
+def _step(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels (id, component, was) after a look at the neighbours and one at the label's own label."""
+    near = edges.join(found.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
+    lower = found.join(near, "id", "left").select("id", F.least("component", "other").alias("component"), "was")
+    onward = found.select(F.col("id").alias("component"), F.col("component").alias("further"))
+    return lower.join(onward, "component", "left").select("id", F.least("component", "further").alias("component"), "was")
+
+
+def components(links: DataFrame, steps: int | None = None) -> DataFrame:
+    """(id, component) of the ids in links (a, b): the smallest id reachable. Each round halves the ways at least.
+
+    steps: only so many rounds, after which labels of a component with longer ways may still differ."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    found = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
-    before = found
+    first = F.least(F.col("a"), F.min("b"))
+    found = cut(edges.groupBy(F.col("a").alias("id")).agg(first.alias("component"), first.alias("was")), "labels")
+    turn = 0
     while True:
-        near = edges.join(found.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
-        lower = found.join(near, "id", "left").select("id", F.least("component", "other").alias("component"), F.col("component").alias("was"))
-        onward = found.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        lower = cut(lower.join(onward, "component", "left").select("id", F.least("component", "further").alias("component"), "was"), "labels")
-        discard(before)
-        found, before = lower.select("id", "component"), lower
-        if lower.filter("component <> was").isEmpty():
+        lower = cut(_step(edges, found.withColumn("was", F.col("component"))), "labels")
+        discard(found)
+        found, turn = lower, turn + 1
+        if turn == steps or (steps is None and found.filter("component <> was").isEmpty()):
             discard(edges)
-            return found
+            return found.select("id", "component")
 
 
 def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
@@ -282,7 +292,6 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
         if last:
             new = cut(_open_links(open_, classes, docs, width), "links")
             links = new if links is None else links.unionByName(new)
-            found = components(links)
             break
         # The pivot of a group of copies is best the text that the others come from, which has least of its own.
         order = F.struct(F.col("shared") / F.col("n") * -1, F.xxhash64("id", F.lit(turn)), "id", "component")
@@ -292,15 +301,15 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
         likely = cut(_likely(pairs, classes), "likely")
         new = cut(_linked(likely, docs, width), "links")
         links = new if links is None else links.unionByName(new)
-        found = components(links)
+        found = components(links, STEPS)  # what these rounds leave apart is compared once more
 
     # Rows of one doc_id are one document, so the classes of its texts are linked.
     repeated = cut(full.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
         of = full.join(repeated, "doc_id").join(classes.select("n", "f1", "f2", "id"), ["n", "f1", "f2"]).select("doc_id", "id").distinct()
         edges = of.join(of.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").filter("id <> a").select("a", F.col("id").alias("b"))
-        edges = cut(edges if links is None else edges.unionByName(links), "links")
-        found = components(edges)
+        links = cut(edges if links is None else edges.unionByName(links), "links")
+    found = components(links)
 
     named = classes.join(found, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"))
     of_id = full.join(named, ["n", "f1", "f2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
