@@ -1,6 +1,6 @@
 """Keyword search: an index that is built once, BM25 in two flavours, several fields, conjunctions and fuzzy terms.
 
-An index holds postings (term, doc_id, tf, dl) ordered by term, so that a search
+An index holds postings (term, doc_id, tf, dl) ordered by term in each file, so that a search
 reads the row groups of its terms only, the terms with their number of documents,
 and one row of statistics. A search broadcasts the queries' terms, of which there
 are TERMS at most; filters of documents don't change the scores.
@@ -18,6 +18,8 @@ from ..functions.text import tokens
 
 #: Distinct pairs of a query and a term that one search takes at most.
 TERMS = 100_000
+#: Partitions that the postings of one term are written in at most.
+SPREAD = 16
 
 
 def split_words(text: Column) -> Column:
@@ -46,7 +48,9 @@ def build_index(docs: DataFrame, path: str, text: str = "text", words=tokens, mo
     """Write the index of docs (doc_id, text) below a path."""
     spark = docs.sparkSession
     found = postings(docs, text, words).select("term", "doc_id", "tf", "dl")
-    found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+    # By term, a frequent one over SPREAD partitions; a range partitioning would count all texts twice for its sample.
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
+    found.repartition("term", spread).sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
     kept = spark.read.parquet(f"{path}/postings")
     kept.groupBy("term").agg(F.count("*").alias("df")).write.mode(mode).parquet(f"{path}/terms")
     docs.agg(F.count("*").alias("n"), F.avg(F.size(words(F.col(text)))).alias("avgdl")).write.mode(mode).parquet(f"{path}/stats")

@@ -16,6 +16,8 @@ from ..functions.text import match_form, ngrams
 
 #: Names of a list at most; words of an n-gram at most; least similarity.
 NAMES, LONGEST, LEAST = 10_000, 6, 92.0
+#: Names that are looked for in each text one after the other; more are joined to its n-grams.
+SCANNED = 500
 
 
 def _form(text: Column) -> Column:
@@ -40,12 +42,22 @@ def exact(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     known = _known(aliases)
     if not known:
         return texts.select("id", F.lit("").alias("canon")).limit(0)
+    if len(known) <= SCANNED:
+        return _scanned(texts, known)
     longest = min(LONGEST, max(len(form.split(" ")) for form, _ in known))
     pieces = _grams(texts, longest).select("id", F.explode(F.array_distinct(F.concat(F.array("gram"), F.split("gram", "/")))).alias("gram"))
     table = texts.sparkSession.createDataFrame(known, "gram string, canon string")
     return pieces.join(F.broadcast(table), "gram").select("id", "canon").distinct()
 
 
+def _scanned(texts: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
+    """(id, canon): as the join of n-grams finds them, by looking for each name between spaces, or slashes if it has none."""
+    forms = F.array(*[F.struct(F.lit(f" {form} ").alias("form"), F.lit("/" in form).alias("slash"), F.lit(canon).alias("canon")) for form, canon in known])
+    padded = F.transform(F.array(_form(F.col("title"))), lambda f: F.struct(F.concat(F.lit(" "), f, F.lit(" ")).alias("whole"), F.replace(F.concat(F.lit(" "), f, F.lit(" ")), F.lit("/"), F.lit(" / ")).alias("apart")))
+    held = F.transform(padded, lambda t: F.array_distinct(F.transform(F.filter(forms, lambda x: F.contains(F.when(x["slash"], t["whole"]).otherwise(t["apart"]), x["form"])), lambda x: x["canon"])))
+    return texts.select("id", F.explode(F.element_at(held, 1)).alias("canon")).distinct()
+
+
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence, in one pass over b with a bit for each character of a."""
     places: dict[str, int] = {}

@@ -220,6 +220,17 @@ def test_pdf_words(spark, tmp_path):
     assert attachments.text_of(b"<p>x", "a", None, "text/html; charset=utf-8") == "x" and attachments.text_of(b"%PDF", "a.bin", lambda b: "gelesen", "application/pdf") == "gelesen"
 
 
+def test_names_by_scan_and_by_join(spark, monkeypatch):
+    from forumlake.operators import party_tables
+
+    said = ["Antrag der SPD-Fraktion", "TR / DAL und TR", "Tierschutz/DAL, BÜNDNIS 90/ die Grünen!", "die linke./Die PARTEI (Fraktion)", "spdcdu", "", None]
+    texts = spark.createDataFrame(list(enumerate(said)), "id long, title string")
+    found = [sorted((r.id, r.canon) for r in parties.exact(texts, party_tables.aliases(spark)).collect())]
+    monkeypatch.setattr(parties, "SCANNED", 0)
+    found.append(sorted((r.id, r.canon) for r in parties.exact(texts, party_tables.aliases(spark)).collect()))
+    assert found[0] == found[1] and {i for i, _ in found[0]} == {0, 1, 2, 3} and (1, "Fraktion TR/DAL") in found[0] and (2, "Duisburger Alternative Liste") in found[0]
+
+
 def test_names():
     from forumlake.operators.parties import ratio, weighted_ratio
 
