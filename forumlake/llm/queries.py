@@ -77,8 +77,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import verified
+
+    return verified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_token_files, op4_near_dedup, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op9_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_token_files, op4_near_dedup, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op9_language_id, op10_toxicity, op11_merkle_manifest)}
 
 
 #: By prefixes of each set's rarest shingles, confirmed on whole sets.
@@ -115,5 +121,24 @@ s AS (SELECT l.doc_id, coalesce(string_agg(v, chr(10) ORDER BY l.line) FILTER (d
 SELECT d.doc_id, s.text, coalesce(s.n, 0) AS n_dropped_lines FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id"""
 
 
+#: Nodes of a level make the next one's; a row's way goes up the tries of its source and of the sources. CRC-32 bit by bit.
+MERKLE_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') head, text,
+  list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_prepend(ascii(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))), lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) crc FROM documents),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf, CASE WHEN crc % 2 = 1 THEN replace(text, chr(10), '') ELSE text END t, head FROM d),
+r AS (SELECT doc_id, source, leaf, sha256(head || coalesce(strlen(t) || ':' || t, '-')) other, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+t AS (SELECT 0 lv, source, i, leaf h, count(*) OVER (PARTITION BY source) n FROM r
+  UNION ALL SELECT lv + 1, source, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY lv, source, i // 3),
+s AS (SELECT source, h subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () n FROM t WHERE n = 1),
+u AS (SELECT 0 lv, i, subroot h, n FROM s UNION ALL SELECT lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY lv, i // 3),
+a AS (SELECT x.lv, x.source, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') before, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS after FROM t x JOIN t y ON x.lv = y.lv AND x.source IS NOT DISTINCT FROM y.source AND x.i // 3 = y.i // 3 WHERE x.n > 1 GROUP BY x.lv, x.source, x.i),
+b AS (SELECT x.lv, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') before, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS after FROM u x JOIN u y ON x.lv = y.lv AND x.i // 3 = y.i // 3 WHERE x.n > 1 GROUP BY x.lv, x.i),
+w AS (SELECT 0 lv, doc_id, source, i first, i, other h, '' proof FROM r
+  UNION ALL SELECT w.lv + 1, doc_id, w.source, first, w.i // 3, sha256(before || w.h || after), proof || before || after FROM w JOIN a ON a.lv = w.lv AND a.source IS NOT DISTINCT FROM w.source AND a.i = w.i),
+v AS (SELECT 0 lv, doc_id, w.source, first, s.i, w.h, proof FROM w JOIN s ON s.source IS NOT DISTINCT FROM w.source JOIN t ON t.n = 1 AND t.source IS NOT DISTINCT FROM w.source AND t.lv = w.lv
+  UNION ALL SELECT v.lv + 1, doc_id, source, first, v.i // 3, sha256(before || v.h || after), proof || before || after FROM v JOIN b ON b.lv = v.lv AND b.i = v.i)
+SELECT r.doc_id, r.leaf, s.subroot, u.h root, sha256(v.proof) proof_sha256, v.h folded_root, v.h = u.h verified, r.source, r.i rank
+FROM v JOIN u ON u.n = 1 AND u.lv = v.lv JOIN r ON r.source IS NOT DISTINCT FROM v.source AND r.i = v.first JOIN s ON s.source IS NOT DISTINCT FROM r.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": NEAR_SQL, "op6_line_dedup": LINES_SQL}
+    return {"op4_near_dedup": NEAR_SQL, "op6_line_dedup": LINES_SQL, "op11_merkle_manifest": MERKLE_SQL}
