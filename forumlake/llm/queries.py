@@ -83,8 +83,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import labelled, scan
+
+    return labelled(scan(table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit, counters, failures
+
+    return audit(counters(failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_token_files, op4_near_dedup, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op9_language_id, op10_toxicity, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_token_files, op4_near_dedup, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_quality_rules, op9_language_id, op10_toxicity, op11_merkle_manifest, op12_license_scan, op13_filter_audit)}
 
 
 #: By prefixes of each set's rarest shingles, confirmed on whole sets.
@@ -140,5 +152,44 @@ SELECT r.doc_id, r.leaf, s.subroot, u.h root, sha256(v.proof) proof_sha256, v.h
 FROM v JOIN u ON u.n = 1 AND u.lv = v.lv JOIN r ON r.source IS NOT DISTINCT FROM v.source AND r.i = v.first JOIN s ON s.source IS NOT DISTINCT FROM r.source"""
 
 
+AUDIT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(source, '') part, coalesce(text, '') t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') w, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) e FROM d),
+f AS (SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), e] f FROM w),
+m AS (SELECT doc_id, coalesce(max(quality = 1), false) good, coalesce(max(toxic = 1), false) toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+c AS (SELECT part, f, count(*) n, count(*) FILTER (good) good, count(*) FILTER (toxic) toxic FROM f LEFT JOIN m USING (doc_id) GROUP BY part, f),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT list_reduce(list_transform(o, lambda k: 'ABCDE'[k]), lambda x, y: x || y) filter_order, o, unnest([1, 2, 3, 4, 5]) step FROM o),
+r AS (SELECT part, filter_order, step, o[step] k, n, good, toxic, f[o[step]] own, list_bool_or(list_transform(o[1:step - 1], lambda k: f[k])) earlier, len(list_filter(f, lambda x: x)) fails FROM c CROSS JOIN s),
+x AS (SELECT part, filter_order, step, k, sum(n) FILTER (NOT own AND NOT coalesce(earlier, false)) kept, sum(n) FILTER (own AND NOT coalesce(earlier, false)) removed, sum(n) FILTER (own AND earlier) redundant, sum(n) FILTER (own AND fails = 1) unique_fails, sum(good) FILTER (own AND NOT coalesce(earlier, false)) good_lost, sum(toxic) FILTER (own AND NOT coalesce(earlier, false)) toxic_lost FROM r GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT kept, coalesce(removed, 0)::BIGINT removed, coalesce(redundant, 0)::BIGINT redundant, coalesce(unique_fails, 0)::BIGINT unique_fails, coalesce(good_lost, 0)::BIGINT good_lost, coalesce(toxic_lost, 0)::BIGINT toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, k), 0)::BIGINT shapley FROM x"""
+
+
+def _license_sql() -> str:
+    from . import license_scan as x
+
+    templates = [(label, x.template_words(text)) for label, text in x.TEMPLATES]
+    tokens = ", ".join(f"({k}, '{label}', '{w}', {len(set(ws))}, {(x.CONTAINED * len(set(ws)) + 99) // 100}, {x.WINDOW * len(ws)})" for k, (label, ws) in enumerate(templates) for w in sorted(set(ws)))
+    phrases = " UNION ALL ".join(f"SELECT doc_id, place, '{label}' AS label FROM n WHERE " + " AND ".join(f"w{i} = '{w}'" for i, w in enumerate(x.template_words(text))) for text, label in x.PHRASES)
+    return rf"""WITH l AS (SELECT doc_id, unnest(range(0, len(x))) line, unnest(x) v FROM (SELECT doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) x FROM documents)),
+k AS (SELECT doc_id, line, regexp_extract_all(v, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM l),
+b AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) block, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY line) - len(w) before FROM k WHERE len(w) > 0),
+w AS (SELECT doc_id, block, (before + unnest(range(0, len(w))))::BIGINT place, unnest(w) word FROM b),
+n AS (SELECT doc_id, place, word w0, lead(word, 1) OVER z w1, lead(word, 2) OVER z w2 FROM w WINDOW z AS (PARTITION BY doc_id ORDER BY place)),
+p AS ({phrases}),
+t AS (SELECT * FROM (VALUES {tokens}) t(template, label, word, size, need, width)),
+h AS (SELECT doc_id, block, template, label, place, word, size, need, width FROM w JOIN t USING (word)),
+c AS (SELECT doc_id, block, template FROM h GROUP BY ALL HAVING count(DISTINCT word) >= any_value(need)),
+g AS (SELECT h.* FROM h JOIN c USING (doc_id, block, template)),
+e AS (SELECT r.doc_id, r.block, r.template, any_value(r.label) AS label, any_value(r.size) size, any_value(r.need) need, r.place, count(DISTINCT q.word) held FROM g r JOIN g q ON q.doc_id = r.doc_id AND q.block = r.block AND q.template = r.template AND q.place > r.place - r.width AND q.place <= r.place GROUP BY r.doc_id, r.block, r.template, r.place),
+m AS (SELECT doc_id, label, held / size share FROM e WHERE held >= need),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) n_base, min(place) first_word, max(place) last_word, string_agg(DISTINCT label, ',' ORDER BY label) base_labels FROM p GROUP BY doc_id),
+s AS (SELECT doc_id, max(share) share FROM m GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) n_words FROM w GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0) END score
+FROM documents d LEFT JOIN y USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": NEAR_SQL, "op6_line_dedup": LINES_SQL, "op11_merkle_manifest": MERKLE_SQL}
+    return {"op4_near_dedup": NEAR_SQL, "op6_line_dedup": LINES_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_license_scan": _license_sql(), "op13_filter_audit": AUDIT_SQL}
