@@ -30,7 +30,7 @@ class Engine:
             raise ValueError("the query is empty")
         some = self.chunks.filter(filters.matches(equal, ranges)).select("doc_id") if equal or ranges else None
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
-        sparse = keyword.top(keyword.bm25(self.index, asked, allowed=some), k_sparse).select(F.col("doc_id").alias("id"), "rank", "score")
+        sparse = keyword.search(self.index, asked, k_sparse, allowed=some).select(F.col("doc_id").alias("id"), "rank", "score")
         if vector is None or self.points is None:
             return sparse, sparse.limit(0)
         points = self.points if some is None else self.points.join(some.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")

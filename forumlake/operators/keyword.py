@@ -1,25 +1,53 @@
-"""Keyword search: an index that is built once, BM25 in two flavours, several fields, conjunctions and fuzzy terms.
-
-An index holds postings (term, doc_id, tf, dl) ordered by term in each file, so that a search
-reads the row groups of its terms only, the terms with their number of documents,
-and one row of statistics. A search broadcasts the queries' terms, of which there
-are TERMS at most; filters of documents don't change the scores.
+"""Keyword search: a stored index that prunes, BM25 in two flavours, several fields, conjunctions and fuzzy terms.
+
+An index is a table of versions. Each write adds a segment: the documents with
+their terms (forward), blocks of postings and the terms with the number of their
+documents. A block holds the documents of one term and one range; a range holds
+documents of like length, so that a block's largest frequency and least length
+bound its scores well. Blocks lie in folders by a hash of the term, ordered by
+term and range: a search names the folders and terms that it reads, so that its
+scan is filtered before anything is read.
+
+The best k of a query come in two steps. From the blocks' bounds alone, the sum
+of a range's bounds over the query's terms bounds each of its documents. The
+most promising ranges that hold k documents are scored first; then only ranges
+whose bound reaches the k-th score so far. The others' lists aren't scored, and
+the result is that of scoring everything.
+
+Documents are replaced by their id: a write's segment names the ids that it
+replaces, whose older postings no longer count, and takes their terms off the
+terms' counts, so that scores are those of an index that is built anew. Merging
+makes one segment of all, from the forward tables.
+
+A row without an id isn't indexed; ids are distinct in one write.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import tokens
+from ..sources import versions
 
-#: Distinct pairs of a query and a term that one search takes at most.
-TERMS = 100_000
-#: Partitions that the postings of one term are written in at most.
-SPREAD = 16
+#: Distinct pairs of a query and a term that one search takes at most; terms that are named in the scan's filter at most.
+TERMS, NAMED = 100_000, 500
+#: Documents for each range of a length, about; documents for each task that writes one hash of terms, about.
+RANGE_DOCUMENTS, TASK_DOCUMENTS = 4096, 250_000
+#: Folders of terms: the least, the most, and documents for each in between.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_DOCUMENTS = 64, 4096, 5000
+#: Replaced ids that are named in a filter of the forward table, and that are broadcast, at most.
+FEW_IDS, BROADCAST_IDS = 10, 1_000_000
+#: Decimal places of scores in a ranking: sums of floating-point numbers depend on their order.
+PLACES = 6
 
 
 def split_words(text: Column) -> Column:
@@ -29,102 +57,429 @@ def split_words(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, doc_id, tf, dl), terms (term, df) and stats (n, avgdl). words says how texts and queries become terms."""
+    """postings (term, doc_id, tf, dl), terms (term, df) and stats (n, avgdl). words says how texts and queries become terms.
+
+    A stored index has blocks (segment, bucket, term, range, n, max_tf, min_dl, docs, tfs, dls) besides, in so many buckets, and gone (doc_id, since): postings of segments before it don't count."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     words: object = tokens
+    blocks: DataFrame | None = None
+    buckets: int = 0
+    gone: DataFrame | None = None
 
 
-def postings(docs: DataFrame, text: str = "text", words=tokens) -> DataFrame:
-    """(doc_id, term, tf, dl): dl is the document's number of terms."""
-    found = docs.select("doc_id", words(F.col(text)).alias("words"))
-    counted = found.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return counted.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def _counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, range, dl, terms, tfs) of documents (doc_id, range, words): each term once."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            at = np.asarray(lists.offsets)
+            words = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+            rows = np.repeat(np.arange(len(lists)), np.diff(at))
+            width = max(1, len(words.dictionary))
+            pairs, tfs = np.unique(rows * width + words.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs // width, np.arange(len(lists) + 1)).astype(np.int32))
+            terms = words.dictionary.take(pa.array(pairs % width))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("range"), pa.array(np.diff(at).astype(np.int32)), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))],
+                ["doc_id", "range", "dl", "terms", "tfs"],
+            )
+
+    return docs.mapInArrow(count, f"doc_id {kind}, range int, dl int, terms array<string>, tfs array<int>")
 
 
-def build_index(docs: DataFrame, path: str, text: str = "text", words=tokens, mode: str = "overwrite") -> None:
-    """Write the index of docs (doc_id, text) below a path."""
-    spark = docs.sparkSession
-    found = postings(docs, text, words).select("term", "doc_id", "tf", "dl")
-    # By term, a frequent one over SPREAD partitions; a range partitioning would count all texts twice for its sample.
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
-    found.repartition("term", spread).sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
-    kept = spark.read.parquet(f"{path}/postings")
-    kept.groupBy("term").agg(F.count("*").alias("df")).write.mode(mode).parquet(f"{path}/terms")
-    docs.agg(F.count("*").alias("n"), F.avg(F.size(words(F.col(text)))).alias("avgdl")).write.mode(mode).parquet(f"{path}/stats")
+def _as_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of rows (bucket, term, range, doc_id, tf, dl) that are sorted by these; one that two batches share is in two parts."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranges, term = batch.column("range").to_numpy(), batch.column("term")
+            codes = term.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new = np.ones(batch.num_rows, dtype=bool)
+            new[1:] = (ranges[1:] != ranges[:-1]) | (codes[1:] != codes[:-1])
+            starts = np.flatnonzero(new)
+            ends = pa.array(np.append(starts, batch.num_rows).astype(np.int32))
+            first = pa.array(starts)
+            tf, dl = (batch.column(c).to_numpy() for c in ("tf", "dl"))
+            lists = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("doc_id", "tf", "dl")]
+            small = [np.diff(ends.to_numpy()).astype(np.int32), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
+            yield pa.RecordBatch.from_arrays([batch.column("bucket").take(first), term.take(first), batch.column("range").take(first), *map(pa.array, small), *lists], ["bucket", "term", "range", "n", "max_tf", "min_dl", "docs", "tfs", "dls"])
+
+    return rows.mapInArrow(build, f"bucket int, {_block_kind(kind)}")
+
+
+def _block_kind(kind: str) -> str:
+    return f"term string, range int, n int, max_tf int, min_dl int, docs array<{kind}>, tfs array<int>, dls array<int>"
+
+
+def _ranges(size: Column, spread: int) -> Column:
+    """A document's range: by its length, in steps of a fifth, and by a hash of its id."""
+    return (F.floor(4 * F.log2(size + 1)) * spread + F.pmod(F.xxhash64("doc_id"), F.lit(spread))).cast("int")
+
+
+def _write_inverted(spark: SparkSession, path: str, segment: int, kind: str, content: dict, taken: DataFrame | None = None) -> None:
+    """The blocks and terms of a segment from its forward table. taken: (term, df) of the documents that it replaces."""
+    forward = _read(spark, path, "forward", [segment], kind)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(content["buckets"])).cast("int")
+    rows = forward.select("doc_id", "range", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+    rows = rows.select(F.col("t.terms").alias("term"), "range", "doc_id", F.col("t.tfs").alias("tf"), "dl").withColumn("bucket", bucket)
+    # A hash of terms is dealt out over the more tasks the more documents there are.
+    spread = F.pmod("range", F.lit(max(1, math.ceil(content["n"] / TASK_DOCUMENTS))))
+    rows = rows.select("bucket", "term", "range", "doc_id", "tf", "dl").repartition("bucket", spread).sortWithinPartitions("bucket", "term", "range", "doc_id")
+    _as_blocks(rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    terms = _read(spark, path, "postings", [segment], kind).select("term", F.col("n").cast("long").alias("df"))
+    if taken is not None:
+        terms = terms.unionByName(taken.select("term", (-F.col("df")).alias("df")))
+    terms.groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/segment={segment}")
+
+
+_KINDS = {"forward": "doc_id {0}, range int, dl int, terms array<string>, tfs array<int>, segment int", "terms": "term string, df long, segment int, bucket int", "gone": "doc_id {0}, segment int"}
+
+
+def _read(spark: SparkSession, path: str, table: str, segments: list[int], kind: str) -> DataFrame:
+    schema = f"{_block_kind(kind)}, segment int, bucket int" if table == "postings" else _KINDS[table].format(kind)
+    found = [f"{path}/{table}/segment={s}" for s in segments]
+    return spark.read.option("basePath", f"{path}/{table}").schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def _sums(rows: DataFrame) -> tuple[int, int]:
+    found = rows.agg(F.count("*").alias("n"), F.sum("dl").alias("length")).first()
+    return found.n, found.length or 0
+
+
+def _write_forward(docs: DataFrame, path: str, segment: int, text: str, words, spread: int) -> None:
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", words(F.col(text)).alias("words"))
+    counted = _counted(rows.select("doc_id", _ranges(F.size("words"), spread).alias("range"), "words"))
+    # Filters on the id let a replacement read the row groups that may hold it.
+    counted.write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{path}/forward/segment={segment}")
+
+
+def _layout(n: int) -> dict:
+    wanted = 1 << max(0, math.ceil(math.log2(max(1, n / BUCKET_DOCUMENTS))))
+    return {"buckets": min(MOST_BUCKETS, max(LEAST_BUCKETS, wanted)), "spread": max(1, math.ceil(n / RANGE_DOCUMENTS))}
+
+
+def build_index(docs: DataFrame, path: str, text: str = "text", words=tokens) -> None:
+    """Write the index of docs (doc_id, text) below a path, as the next version with one segment."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    version = max(versions.numbers(spark, path), default=0) + 1
+    layout = _layout(docs.count())
+    _write_forward(docs, path, version, text, words, layout["spread"])
+    n, length = _sums(_read(spark, path, "forward", [version], kind))
+    content = {"version": version, "kind": kind, **layout, "n": n, "length": length, "segments": [version], "gone": []}
+    _write_inverted(spark, path, version, kind, content)
+    versions.publish(spark, path, content)
+
+
+def _alive(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """rows (segment, doc_id, ...) without those that a later segment replaces."""
+    if gone is None:
+        return rows
+    return rows.join(gone, "doc_id", "left").filter("since IS NULL OR segment >= since").drop("since")
+
+
+def _gone(spark: SparkSession, path: str, content: dict) -> DataFrame | None:
+    if not content["gone"]:
+        return None
+    return _read(spark, path, "gone", content["gone"], content["kind"]).groupBy("doc_id").agg(F.max("segment").alias("since"))
+
+
+def update_index(docs: DataFrame, path: str, text: str = "text", words=tokens, deleted: DataFrame | None = None) -> None:
+    """Put docs in place of those of the same id, or add them, and take out the ids of deleted (doc_id), as a segment of its own."""
+    spark, last = docs.sparkSession, versions.read(docs.sparkSession, path)
+    if last is None:
+        raise ValueError(f"there is no index at {path}")
+    segment, kind = versions.numbers(spark, path)[-1] + 1, last["kind"]
+    _write_forward(docs, path, segment, text, words, last["spread"])
+    ids = _read(spark, path, "forward", [segment], kind).select("doc_id")
+    if deleted is not None:
+        ids = ids.unionByName(deleted.filter("doc_id IS NOT NULL").select("doc_id")).distinct()
+    ids.write.mode("overwrite").parquet(f"{path}/gone/segment={segment}")
+    old = _alive(_read(spark, path, "forward", last["segments"], kind), _gone(spark, path, last))
+    replaced = _of(old, _read(spark, path, "gone", [segment], kind).select("doc_id"))
+    found = replaced.select("dl", "terms")
+    taken = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    (n, length), (less, shorter) = _sums(_read(spark, path, "forward", [segment], kind)), _sums(found)
+    content = {**last, "version": segment, "n": last["n"] + n - less, "length": last["length"] + length - shorter, "segments": [*last["segments"], segment], "gone": [*last["gone"], segment]}
+    _write_inverted(spark, path, segment, kind, content, taken)
+    versions.publish(spark, path, content)
 
 
-def open_index(spark: SparkSession, path: str, words=tokens) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "stats")), words)
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of some ids: a few are named, so that row groups are passed over; many are broadcast; more are joined by a shuffle."""
+    few = ids.limit(FEW_IDS + 1).collect()
+    if len(few) <= FEW_IDS:
+        return rows.filter(F.col("doc_id").isin([r.doc_id for r in few]))
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def merge_index(spark: SparkSession, path: str) -> None:
+    """One segment in place of all, from the documents that are in force; earlier versions can still be read."""
+    last = versions.read(spark, path)
+    segment, kind = versions.numbers(spark, path)[-1] + 1, last["kind"]
+    layout = _layout(last["n"])
+    rows = _alive(_read(spark, path, "forward", last["segments"], kind), _gone(spark, path, last))
+    rows = rows.withColumn("range", _ranges(F.col("dl"), layout["spread"])).select("doc_id", "range", "dl", "terms", "tfs")
+    rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{path}/forward/segment={segment}")
+    content = {**last, **layout, "version": segment, "segments": [segment], "gone": []}
+    _write_inverted(spark, path, segment, kind, content)
+    versions.publish(spark, path, content)
+
+
+def open_index(spark: SparkSession, path: str, words=tokens, version: int | None = None) -> Index:
+    """The index at path, in its latest version or another one."""
+    content = versions.read(spark, path, version)
+    if content is None:
+        raise ValueError(f"there is no index at {path}")
+    kind, segments = content["kind"], content["segments"]
+    blocks, gone = _read(spark, path, "postings", segments, kind), _gone(spark, path, content)
+    terms = _read(spark, path, "terms", segments, kind).select("term", "df", "bucket")
+    if len(segments) > 1:
+        terms = terms.groupBy("term", "bucket").agg(F.sum("df").alias("df")).filter("df > 0")
+    avgdl = content["length"] / content["n"] if content["n"] else None
+    stats = spark.createDataFrame([(content["n"], avgdl)], "n long, avgdl double")
+    return Index(_flat(blocks, gone), terms, stats, words, blocks, content["buckets"], gone)
+
+
+def _flat(blocks: DataFrame, gone: DataFrame | None, *more: str) -> DataFrame:
+    rows = blocks.select("segment", "term", *more, F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
+    rows = rows.select("segment", "term", *more, F.col("p.docs").alias("doc_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+    return _alive(rows, gone).drop("segment")
 
 
 def lazy_index(docs: DataFrame, text: str = "text", words=tokens) -> Index:
     """The index of a small table that isn't stored."""
-    found = postings(docs, text, words)
-    return Index(found, found.groupBy("term").agg(F.count("*").alias("df")), docs.agg(F.count("*").alias("n"), F.avg(F.size(words(F.col(text)))).alias("avgdl")), words)
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.lit(0).alias("range"), words(F.col(text)).alias("words"))
+    found = _counted(rows)
+    flat = found.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select(F.col("t.terms").alias("term"), "doc_id", F.col("t.tfs").alias("tf"), "dl")
+    return Index(flat, flat.groupBy("term").agg(F.count("*").alias("df")), found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), words)
+
+
+@dataclass(frozen=True)
+class Asked:
+    """The terms of queries: rows (query_id, term, qtf), TERMS at most, and the distinct terms with their hashes."""
 
+    rows: DataFrame
+    terms: dict[str, int]
 
-def query_terms(queries: DataFrame, words=tokens) -> DataFrame:
-    """(query_id, term, qtf), which are TERMS at most."""
+
+def query_terms(queries: DataFrame, words=tokens) -> Asked:
     found = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    if found.limit(TERMS + 1).count() > TERMS:
+    rows = found.withColumn("hash", F.xxhash64("term")).limit(TERMS + 1).collect()
+    if len(rows) > TERMS:
         raise ValueError(f"the queries have more than {TERMS} terms: search them in parts")
-    return found
+    kept = queries.sparkSession.createDataFrame([(r.query_id, r.term, r.qtf) for r in rows], found.schema)
+    return Asked(kept, {r.term: r.hash for r in rows})
+
 
+def _only(index: Index, rows: DataFrame, asked: Asked) -> DataFrame:
+    """The rows (term, bucket, ...) of the queries' terms: their folders and, if they are few, the terms themselves are named in the scan's filter."""
+    if index.blocks is not None:
+        rows = rows.filter(F.col("bucket").isin(sorted({h % index.buckets for h in asked.terms.values()})))
+    if len(asked.terms) <= NAMED:
+        return rows.filter(F.col("term").isin(sorted(asked.terms)))
+    return rows.join(F.broadcast(asked.rows.select("term").distinct()), "term", "left_semi")
 
-def _hits(index: Index, asked: DataFrame, allowed: DataFrame | None) -> DataFrame:
+
+def _hits(index: Index, asked: Asked, allowed: DataFrame | None) -> DataFrame:
     """The postings of the queries' terms, of allowed documents (doc_id) only if given."""
-    found = index.postings.join(F.broadcast(asked.select("term").distinct()), "term")
+    found = _only(index, index.postings, asked) if index.blocks is None else _flat(_only(index, index.blocks, asked), index.gone)
     return found if allowed is None else found.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def bm25(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75, every_term: bool = False, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score) with idf ln(1 + (n - df + 0.5) / (df + 0.5)). every_term: all terms have to match."""
-    asked = query_terms(queries, index.words)
-    known = asked.join(index.terms, "term").join(F.broadcast(index.stats), how="cross")  # TERMS rows at most
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = _hits(index, asked, allowed).join(F.broadcast(known), "term").select("query_id", "doc_id", (idf * F.col("tf") * (k1 + 1) / norm * F.col("qtf")).alias("w"))
-    found = scored.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"), F.count("*").alias("matched"))
+#: Weights of a query's terms: idf ln(1 + (n - df + 0.5) / (df + 0.5)), or the older one with a floor.
+FLAVOURS = {"plain": {"k1": 1.2, "b": 0.75}, "okapi": {"k1": 1.5, "b": 0.75, "epsilon": 0.25}}
+
+
+def _weights(index: Index, asked: Asked, flavour: str, k1: float, epsilon: float) -> DataFrame:
+    """(query_id, term, weight, avgdl): a posting's score is weight * tf / (tf + norm)."""
+    own = _only(index, index.terms, asked).join(F.broadcast(index.stats), how="cross")  # a row for each of TERMS at most
+    if flavour == "plain":
+        own = own.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    else:
+        raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        # The floor is a share of the mean over all terms.
+        mean = index.terms.join(F.broadcast(index.stats), how="cross").agg(F.avg(raw).alias("mean"))
+        own = own.join(F.broadcast(mean), how="cross").withColumn("idf", F.when(raw < 0, epsilon * F.col("mean")).otherwise(raw))
+    known = own.join(F.broadcast(asked.rows), "term")
+    return known.select("query_id", "term", (F.col("idf") * F.col("qtf") * (k1 + 1)).alias("weight"), "avgdl")
+
+
+def _part(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    return tf / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+
+
+def _scored(hits: DataFrame, on: list[str], weights: DataFrame, asked: Asked, k1: float, b: float, every_term: bool) -> DataFrame:
+    rows = hits.join(weights, on).select("query_id", "doc_id", (F.col("weight") * _part(F.col("tf"), F.col("dl"), k1, b)).alias("w"))
+    found = rows.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"), F.count("*").alias("matched"))
     if every_term:
-        sizes = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
+        sizes = asked.rows.groupBy("query_id").agg(F.count("*").alias("terms"))
         found = found.join(F.broadcast(sizes), "query_id").filter("matched = terms")
     return found.select("query_id", "doc_id", "score")
 
 
+def bm25(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75, every_term: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of all documents with a term of the query, or with all of them."""
+    asked = query_terms(queries, index.words)
+    weights = F.broadcast(_weights(index, asked, "plain", k1, 0.0))  # TERMS rows at most
+    return _scored(_hits(index, asked, allowed), ["term"], weights, asked, k1, b, every_term)
+
+
 def bm25_okapi(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query_id, doc_id, score) with idf ln((n - df + 0.5) / (df + 0.5)); a negative one becomes epsilon times the mean of all terms."""
-    raw = index.terms.join(F.broadcast(index.stats), how="cross").withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     asked = query_terms(queries, index.words)
-    known = raw.join(F.broadcast(asked), "term").join(F.broadcast(raw.agg(F.avg("raw").alias("mean"))), how="cross")
-    known = known.select("query_id", "term", "qtf", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    scored = _hits(index, asked, None).join(F.broadcast(known), "term")  # TERMS rows at most
-    value = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(value * F.col("qtf")).alias("score"))
+    weights = F.broadcast(_weights(index, asked, "okapi", k1, epsilon))  # TERMS rows at most
+    return _scored(_hits(index, asked, None), ["term"], weights, asked, k1, b, False)
+
+
+class Search:
+    """The best k documents of each query by the blocks' bounds; see the module's text."""
+
+    def __init__(self, index: Index, queries: DataFrame, k: int, flavour: str = "plain", every_term: bool = False, allowed: DataFrame | None = None):
+        options = FLAVOURS[flavour]
+        self.index, self.k, self.every_term, self.allowed = index, k, every_term, allowed
+        self.k1, self.b = options["k1"], options["b"]
+        self.asked = query_terms(queries, index.words)
+        rows = _weights(index, self.asked, flavour, self.k1, options.get("epsilon", 0.0))
+        # At most TERMS rows, which every step takes.
+        self.weights = F.broadcast(queries.sparkSession.createDataFrame(rows.collect(), rows.schema))
+        self.pairs = ["query_id", "range"]
+
+    def bounds(self) -> DataFrame:
+        """(query_id, range, bound): no document of the range scores more."""
+        rows = _only(self.index, self.index.blocks, self.asked).select("term", "range", "max_tf", "min_dl").join(self.weights, "term")
+        bound = F.greatest(F.lit(0.0), F.col("weight")) * _part(F.col("max_tf"), F.col("min_dl"), self.k1, self.b)
+        terms = rows.groupBy(*self.pairs, "term").agg(F.max(bound).alias("bound"))
+        found = terms.groupBy(*self.pairs).agg(F.sum("bound").alias("bound"), F.count("*").alias("held"))
+        if self.every_term:
+            sizes = self.asked.rows.groupBy("query_id").agg(F.count("*").alias("terms"))
+            found = found.join(F.broadcast(sizes), "query_id").filter("held = terms")
+        return found.select(*self.pairs, "bound")
+
+    def scores(self, ranges: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of the documents in ranges (query_id, range)."""
+        blocks = _only(self.index, self.index.blocks, self.asked)
+        hits = _flat(blocks.join(ranges.select("range").distinct(), "range", "left_semi"), self.index.gone, "range")
+        if self.allowed is not None:
+            hits = hits.join(self.allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+        rows = hits.join(self.weights, "term").join(ranges.select(*self.pairs), self.pairs, "left_semi")
+        rows = rows.select("query_id", "doc_id", (F.col("weight") * _part(F.col("tf"), F.col("dl"), self.k1, self.b)).alias("w"))
+        found = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), PLACES).alias("score"), F.count("*").alias("matched"))
+        if self.every_term:
+            sizes = self.asked.rows.groupBy("query_id").agg(F.count("*").alias("terms"))
+            found = found.join(F.broadcast(sizes), "query_id").filter("matched = terms")
+        return found.select("query_id", "doc_id", "score")
+
+    def steps(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The bounds, the ranges (query_id, range) that are scored first, and all that are scored."""
+        bounds = self.bounds()
+        by_bound = W.partitionBy("query_id").orderBy(F.desc("bound"), "range")
+        # Each of the first k ranges has a document at least.
+        first = bounds.withColumn("place", F.row_number().over(by_bound)).filter(F.col("place") <= self.k)
+        reached = top(self.scores(first), self.k).filter(F.col("rank") == self.k).select("query_id", F.col("score").alias("reached"))
+        least = reached.collect()  # a row for each query at most
+        least = bounds.sparkSession.createDataFrame(least, reached.schema)
+        # Bounds and scores are sums in different orders, and scores are rounded.
+        enough = F.col("reached").isNull() | (F.col("bound") + 10**-PLACES >= F.col("reached"))
+        return bounds, first, bounds.join(F.broadcast(least), "query_id", "left").filter(enough).select(*self.pairs)
+
+    def best(self) -> DataFrame:
+        return top(self.scores(self.steps()[2]), self.k)
+
+
+def search(index: Index, queries: DataFrame, k: int, flavour: str = "plain", every_term: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of each query, scores to PLACES places, ties to the smaller id.
+
+    A stored index passes over ranges that can't hold one of them; an index that isn't stored scores all."""
+    if index.blocks is not None:
+        return Search(index, queries, k, flavour, every_term, allowed).best()
+    scored = bm25(index, queries, every_term=every_term, allowed=allowed) if flavour == "plain" else bm25_okapi(index, queries)
+    return top(scored.withColumn("score", F.round("score", PLACES)), k)
 
 
 def multi_field(indexes: dict[str, Index], queries: DataFrame, boosts: dict[str, float]) -> DataFrame:
     """(query_id, doc_id, score): the best field's score, each times its boost."""
     parts = [bm25(indexes[field], queries).withColumn("score", F.col("score") * boost) for field, boost in boosts.items()]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+
+
+#: Characters of a term's beginning from which some are left out; folders of the table.
+BEGINNING, FUZZY_BUCKETS = 7, 64
+
+
+def _edits(term: Column) -> Column:
+    """The automatic distance: none up to 2 characters, one up to 5, else two."""
+    return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
+
+
+def _variants(term: Column) -> Column:
+    """The beginning of a term and what is left of it without any one or two of its characters, each once.
+
+    Two terms within two edits have one of these in common: an edit, a swap of neighbours too, leaves out one character of each at most."""
+    without = lambda text: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    begin = F.substring(term, 1, BEGINNING)
+    once = F.when(F.length(begin) > 0, without(begin)).otherwise(F.array().cast("array<string>"))
+    twice = F.flatten(F.transform(once, lambda x: F.when(F.length(x) > 0, without(x)).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(begin), once, twice))
+
+
+def fuzzy_table(terms: DataFrame) -> DataFrame:
+    """(variant, term, bucket) of the distinct terms (term): 29 rows for each at most."""
+    found = terms.filter("term IS NOT NULL").select("term").distinct().select(F.explode(_variants(F.col("term"))).alias("variant"), "term")
+    return found.withColumn("bucket", F.pmod(F.xxhash64("variant"), F.lit(FUZZY_BUCKETS)).cast("int"))
+
+
+def build_fuzzy(terms: DataFrame, path: str) -> None:
+    """Write the table of variants of terms (term), such as an index has, in folders by a hash of the variant."""
+    fuzzy_table(terms).repartition("bucket").sortWithinPartitions("bucket", "variant").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def open_fuzzy(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("variant string, term string, bucket int").parquet(path)
+
+
+def distance(a: str, b: str) -> int:
+    """Edits between two texts: a character put in, left out or replaced, or two neighbours swapped, also with others between them."""
+    seen: dict[str, int] = {}
+    far = len(a) + len(b)
+    rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
+    for i, c in enumerate(a, 1):
+        row, met = [far, i], 0
+        for j, d in enumerate(b, 1):
+            swapped = rows[seen.get(d, 0)][met] + (i - seen.get(d, 0) - 1) + 1 + (j - met - 1)
+            row.append(min(rows[i][j] + (c != d), row[j] + 1, rows[i][j + 1] + 1, swapped))
+            met = j if c == d else met
+        seen[c] = i
+        rows.append(row)
+    return rows[-1][-1]
 
 
-def fuzzy_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_term, term, edits) within the automatic distance: none up to 2 characters, one up to 5, else two.
+def fuzzy_terms(variants: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_term, term, edits): the terms of a table of variants within the automatic distance of each of terms (query_term).
 
-    Terms meet by length, so that no term is held against the whole vocabulary.
-    """
-    if terms.limit(TERMS + 1).count() > TERMS:
+    Only terms that share a variant are compared; folders without one of the variants aren't read."""
+    asked = terms.select("query_term").filter("query_term IS NOT NULL").distinct()
+    if asked.limit(TERMS + 1).count() > TERMS:
         raise ValueError(f"more than {TERMS} terms: match them in parts")
-    most = F.when(F.length("query_term") <= 2, 0).when(F.length("query_term") <= 5, 1).otherwise(2)
-    asked = terms.select("query_term", most.alias("most")).withColumn("length", F.explode(F.sequence(F.length("query_term") - F.col("most"), F.length("query_term") + F.col("most"))))
-    met = vocabulary.withColumn("length", F.length("term")).join(F.broadcast(asked), "length")
-    return met.withColumn("edits", F.levenshtein("query_term", "term")).filter(F.col("edits") <= F.col("most")).select("query_term", "term", "edits")
+    asked = asked.select("query_term", F.explode(_variants(F.col("query_term"))).alias("variant"))  # 29 * TERMS rows at most
+    buckets = asked.select(F.pmod(F.xxhash64("variant"), F.lit(FUZZY_BUCKETS)).cast("int").alias("bucket")).distinct()
+    found = variants.filter(F.col("bucket").isin([r.bucket for r in buckets.collect()])).join(F.broadcast(asked), "variant")
+    apart = F.abs(F.length("query_term") - F.length("term"))
+    pairs = found.withColumn("most", _edits(F.col("query_term"))).filter(apart <= F.col("most")).select("query_term", "term", "most").distinct()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edits = pa.array([distance(a, b) for a, b in zip(batch.column("query_term").to_pylist(), batch.column("term").to_pylist())], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("query_term"), batch.column("term"), edits, batch.column("most")], ["query_term", "term", "edits", "most"])
+
+    return pairs.mapInArrow(compare, "query_term string, term string, edits int, most int").filter("edits <= most").drop("most")
 
 
 def top(hits: DataFrame, k: int, by: str = "query_id", score: str = "score", key: str = "doc_id") -> DataFrame:

@@ -24,9 +24,12 @@ def probes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PROBES), "query_id int, query string")
 
 
+def _listed(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
 def _scored(hits: DataFrame, k: int) -> DataFrame:
-    rounded = hits.withColumn("score", F.round("score", 6))
-    return keyword.top(rounded, k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    return _listed(keyword.top(hits.withColumn("score", F.round("score", 6)), k))
 
 
 _indexes: dict[tuple, str] = {}
@@ -44,21 +47,21 @@ def index(spark: SparkSession, sf: str, kind: str = "text") -> keyword.Index:
 
 
 def bm25_topk(spark, sf):
-    return _scored(keyword.bm25(index(spark, sf), probes(spark)), 100)
+    return _listed(keyword.search(index(spark, sf), probes(spark), 100))
 
 
 def bm25_and_operator(spark, sf):
-    return _scored(keyword.bm25(index(spark, sf), probes(spark), every_term=True), 100)
+    return _listed(keyword.search(index(spark, sf), probes(spark), 100, every_term=True))
 
 
 def bm25_okapi(spark, sf):
-    return _scored(keyword.bm25_okapi(index(spark, sf, "words"), probes(spark)), 100)
+    return _listed(keyword.search(index(spark, sf, "words"), probes(spark), 100, "okapi"))
 
 
 def bm25_benchmark(spark, sf):
     """Every item of the benchmark as a query."""
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return _scored(keyword.bm25(index(spark, sf), asked), 10)
+    return _listed(keyword.search(index(spark, sf), asked, 10))
 
 
 def bm25_multifield_boost(spark, sf):
@@ -73,9 +76,43 @@ def index_statistics(spark, sf):
 
 
 def fuzzy_term_match(spark, sf):
-    vocabulary = table(spark, sf, "documents").select(F.explode(F.transform(tokens(F.col("text")), fold)).alias("term")).distinct()
+    """Terms of the stored index, without marks, that a table of variants finds near given ones."""
+    key = (spark.sparkContext.applicationId, sf, "fuzzy")
+    if key not in _indexes:
+        path = new_folder(spark, "fuzzy")
+        keyword.build_fuzzy(index(spark, sf).terms.select(fold(F.col("term")).alias("term")), path)
+        _indexes[key] = path
     asked = spark.createDataFrame([(t,) for t in TERMS], "query_term string")
-    return keyword.fuzzy_terms(vocabulary, asked).withColumn("edits", F.col("edits").cast("long"))
+    return keyword.fuzzy_terms(keyword.open_fuzzy(spark, _indexes[key]), asked).withColumn("edits", F.col("edits").cast("long"))
+
+
+def _halves(spark, sf):
+    """Where the index that is written in three parts lies: the even ids with another text first, then all even ids as they are and the odd ones, then without the ids that 10 divides."""
+    key = (spark.sparkContext.applicationId, sf, "halves")
+    if key not in _indexes:
+        path, docs = new_folder(spark, "index-halves"), table(spark, sf, "documents").select("doc_id", "text")
+        even = docs.filter("doc_id % 2 = 0")
+        keyword.build_index(even.withColumn("text", F.concat(F.lit("thing "), F.reverse("text"))), path)
+        keyword.update_index(docs, path)
+        keyword.update_index(docs.limit(0), path, deleted=docs.filter("doc_id % 10 = 0"))
+        keyword.merge_index(spark, path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+def bm25_replaced(spark, sf):
+    """Search in an index whose documents have been replaced, added and taken out, before they are merged."""
+    return _listed(keyword.search(keyword.open_index(spark, _halves(spark, sf), version=3), probes(spark), 100))
+
+
+def bm25_merged(spark, sf):
+    """The same after its segments have been merged into one."""
+    return _listed(keyword.search(keyword.open_index(spark, _halves(spark, sf)), probes(spark), 100))
+
+
+def bm25_past_version(spark, sf):
+    """The same before any of it: the first version."""
+    return _listed(keyword.search(keyword.open_index(spark, _halves(spark, sf), version=1), probes(spark), 100))
 
 
 def minmax_normalise(spark, sf):
@@ -134,7 +171,7 @@ def dense_two_level(spark, sf):
 
 def _sparse(spark, sf, k=100):
     one = probes(spark).filter("query_id = 1")
-    return _scored(keyword.bm25(index(spark, sf), one), k).withColumnRenamed("doc_id", "id")
+    return _listed(keyword.search(index(spark, sf), one, k)).withColumnRenamed("doc_id", "id")
 
 
 def _dense(spark, sf, k=20):
@@ -209,8 +246,8 @@ _TEXT = "coalesce(text, '')"
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 
-def _bm25_sql(queries: str, text: str = "text", every: bool = False) -> str:
-    return f"""{queries}, d AS (SELECT doc_id, {_TOK.format(f"coalesce({text}, '')")} toks FROM documents),
+def _bm25_sql(queries: str, text: str = "text", every: bool = False, where: str = "true") -> str:
+    return f"""{queries}, d AS (SELECT doc_id, {_TOK.format(f"coalesce({text}, '')")} toks FROM documents WHERE {where}),
 st AS (SELECT count(*) n, avg(len(toks)) avgdl FROM d),
 ex AS (SELECT doc_id, len(toks) dl, unnest(toks) term FROM d),
 p AS (SELECT doc_id, term, count(*) tf, any_value(dl) dl FROM ex GROUP BY ALL),
@@ -221,6 +258,8 @@ h AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5
 FROM p JOIN df USING (term) JOIN qt USING (term) CROSS JOIN st GROUP BY ALL){", hits AS (SELECT h.* FROM h JOIN qn USING (query_id) WHERE matched = terms)" if every else ", hits AS (SELECT * FROM h)"}"""
 
 
+#: reverse() turns signs with their marks around as one; the texts' signs are turned one by one.
+_REVERSED = "'thing ' || array_to_string(list_reverse(string_split(text, '')), '')"
 _TOP = "SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM {}) WHERE rank <= {}"
 _ONE = _Q.replace("FROM (VALUES", "FROM (VALUES", 1).replace(") v(query_id, query))", ") v(query_id, query) WHERE query_id = 1)")
 _DOT = "list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * query[i]))"
@@ -239,6 +278,9 @@ _BOTH = f"WITH {_MEAN}, {_DENSE}, {_bm25_sql(_ONE)}, {_SPARSE}"
 
 SQL = {
     "bm25_topk": f"WITH {_bm25_sql(_Q)} {_TOP.format('hits', 100)}",
+    "bm25_replaced": f"WITH {_bm25_sql(_Q, where='doc_id % 10 <> 0')} {_TOP.format('hits', 100)}",
+    "bm25_merged": f"WITH {_bm25_sql(_Q, where='doc_id % 10 <> 0')} {_TOP.format('hits', 100)}",
+    "bm25_past_version": f"WITH {_bm25_sql(_Q, _REVERSED, where='doc_id % 2 = 0')} {_TOP.format('hits', 100)}",
     "bm25_and_operator": f"WITH {_bm25_sql(_Q, every=True)} {_TOP.format('hits', 100)}",
     "bm25_okapi": rf"""WITH {_Q}, d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') toks FROM documents),
 st AS (SELECT count(*) n, avg(len(toks)) avgdl FROM d), ex AS (SELECT doc_id, len(toks) dl, unnest(toks) term FROM d),
@@ -258,7 +300,7 @@ FROM p JOIN r USING (term) JOIN qt USING (term) CROSS JOIN st CROSS JOIN m GROUP
     # Edits are counted in bytes, so that letters beyond ASCII stand as signs, which no term has.
     "fuzzy_term_match": f"WITH v AS (SELECT DISTINCT strip_accents(unnest({_TOK.format('text')})) term FROM documents), t AS (SELECT query_term, CASE WHEN length(query_term) <= 2 THEN 0 WHEN length(query_term) <= 5 THEN 1 ELSE 2 END most FROM (VALUES "
     + ", ".join(f"('{t}')" for t in TERMS)
-    + ") x(query_term)), m AS (SELECT query_term, term, most FROM v JOIN t ON length(term) BETWEEN length(query_term) - most AND length(query_term) + most) SELECT query_term, m.term, edits FROM (SELECT *, levenshtein(query_term, translate(term, 'ßæœøđðłþıŋ', '!#$%&()*+,')) edits FROM m) m WHERE edits <= most",
+    + ") x(query_term)), m AS (SELECT query_term, term, most FROM v JOIN t ON length(term) BETWEEN length(query_term) - most AND length(query_term) + most) SELECT query_term, m.term, edits FROM (SELECT *, damerau_levenshtein(query_term, translate(term, 'ßæœøđðłþıŋ', '!#$%&()*+,')) edits FROM m) m WHERE edits <= most",
     "minmax_normalise": f"WITH {_bm25_sql(_Q)}, t AS ({_TOP.format('hits', 100)}) SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 5) score_norm FROM t WINDOW w AS (PARTITION BY query_id)",
     "knn_topk": f"WITH {_MEAN} {_near('mq')}",
     "knn_per_query": f"WITH {_LABELS} {_near('lq', k=5)}",
@@ -294,4 +336,4 @@ SQL["rag_prompt"] = (
     + "SELECT 'Kontext:' || chr(10) || coalesce(nullif(string_agg(t, chr(10) || chr(10) ORDER BY rerank DESC, id), ''), '(Kein Kontext gefunden.)') || chr(10) || chr(10) || 'Frage: ' || 'thing of ertion' AS prompt FROM b"
 )
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_operator, bm25_okapi, bm25_benchmark, bm25_multifield_boost, index_statistics, fuzzy_term_match, minmax_normalise, knn_topk, knn_per_query, knn_filtered, knn_threshold, approximate_knn, l2_normalise, dense_two_level, linear_fusion, concat_fusion_rerank, dedupe_fusion, hybrid_search, filtered_search, late_text_lookup, union_all_sources, engine_search, rag_prompt)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_operator, bm25_okapi, bm25_benchmark, bm25_replaced, bm25_merged, bm25_past_version, bm25_multifield_boost, index_statistics, fuzzy_term_match, minmax_normalise, knn_topk, knn_per_query, knn_filtered, knn_threshold, approximate_knn, l2_normalise, dense_two_level, linear_fusion, concat_fusion_rerank, dedupe_fusion, hybrid_search, filtered_search, late_text_lookup, union_all_sources, engine_search, rag_prompt)}

@@ -98,10 +98,11 @@ def save_attachments(files: DataFrame, path: str) -> DataFrame:
 
 
 def keyword_index(docs: DataFrame, path: str) -> None:
-    """The index of chunks for keyword search, written anew."""
-    from ..operators.keyword import build_index
+    """Puts chunks into the index for keyword search by their id, or begins it."""
+    from . import versions
+    from ..operators.keyword import build_index, update_index
 
-    build_index(docs, path)
+    (update_index if versions.numbers(docs.sparkSession, path) else build_index)(docs, path)
 
 
 def llm_log(runs: DataFrame, path: str) -> None:
