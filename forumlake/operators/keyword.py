@@ -37,13 +37,14 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import tokens
 from ..sources import versions
+from ..sources.store import spread as spread_out
 
 #: Distinct pairs of a query and a term that one search takes at most; terms that are named in the scan's filter at most.
 TERMS, NAMED = 100_000, 500
 #: Documents for each range of a length, about; documents for each task that writes one hash of terms, about.
 RANGE_DOCUMENTS, TASK_DOCUMENTS = 4096, 250_000
 #: Folders of terms: the least, the most, and documents for each in between.
-LEAST_BUCKETS, MOST_BUCKETS, BUCKET_DOCUMENTS = 64, 4096, 5000
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_DOCUMENTS = 16, 4096, 5000
 #: Replaced ids that are named in a filter of the forward table, and that are broadcast, at most.
 FEW_IDS, BROADCAST_IDS = 10, 1_000_000
 #: Decimal places of scores in a ranking: sums of floating-point numbers depend on their order.
@@ -137,7 +138,7 @@ def _write_inverted(spark: SparkSession, path: str, segment: int, kind: str, con
     terms = _read(spark, path, "postings", [segment], kind).select("term", F.col("n").cast("long").alias("df"))
     if taken is not None:
         terms = terms.unionByName(taken.select("term", (-F.col("df")).alias("df")))
-    terms.groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/segment={segment}")
+    terms.groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/segment={segment}")
 
 
 _KINDS = {"forward": "doc_id {0}, range int, dl int, terms array<string>, tfs array<int>, segment int", "terms": "term string, df long, segment int, bucket int", "gone": "doc_id {0}, segment int"}
@@ -155,7 +156,7 @@ def _sums(rows: DataFrame) -> tuple[int, int]:
 
 
 def _write_forward(docs: DataFrame, path: str, segment: int, text: str, words, spread: int) -> None:
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", words(F.col(text)).alias("words"))
+    rows = spread_out(docs.filter("doc_id IS NOT NULL").select("doc_id", text)).select("doc_id", words(F.col(text)).alias("words"))
     counted = _counted(rows.select("doc_id", _ranges(F.size("words"), spread).alias("range"), "words"))
     # Filters on the id let a replacement read the row groups that may hold it.
     counted.write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{path}/forward/segment={segment}")
