@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import snippet, tokens
-from .operators import filters, fusion, keyword, proposals, vectors
+from .operators import filters, fusion, keyword, proposals, vector_index, vectors
 from .sources.sinks import append_new
 
 
 class Engine:
     """Over a table of chunks (doc_id, text, source and what is filtered by) and, if there is one, a table of vectors (vec_id, embedding).
 
-    index: the chunks' keyword index; without one it is made for each call, which suits small tables only."""
+    index: the chunks' keyword index; without one it is made for each call, which suits small tables only.
+    near: an index of the vectors for approximate search by cosine; without one, and under filters, all vectors are compared."""
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, points: DataFrame | None = None, index: keyword.Index | None = None):
-        self.spark, self.chunks, self.points = spark, chunks, points
+    def __init__(self, spark: SparkSession, chunks: DataFrame, points: DataFrame | None = None, index: keyword.Index | None = None, near: vector_index.VectorIndex | None = None):
+        self.spark, self.chunks, self.points, self.near = spark, chunks, points, near
         self.index = index or keyword.lazy_index(chunks)
 
     def _hits(self, query: str, vector, k_sparse: int, k_dense: int, equal, ranges) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +36,8 @@ class Engine:
             return sparse, sparse.limit(0)
         points = self.points if some is None else self.points.join(some.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
         wanted = self.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id int, query array<double>")
-        return sparse, vectors.nearest(points, wanted, k_dense).select(F.col("vec_id").alias("id"), "rank", "score")
+        found = vectors.nearest(points, wanted, k_dense) if some is not None or self.near is None else vector_index.approximate(self.near, wanted, k_dense)
+        return sparse, found.select(F.col("vec_id").alias("id"), "rank", "score")
 
     def _texts(self) -> DataFrame:
         return self.chunks.select(F.col("doc_id").alias("id"), "text", "source")

@@ -14,7 +14,7 @@ def linear(dense: DataFrame, sparse: DataFrame, alpha: float = 0.6, k: int = 8)
     most = sparse.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("most"))
     joined = dense.select("id", F.col("score").alias("d")).join(sparse.select("id", F.col("score").alias("s")), "id", "left").join(F.broadcast(most), how="cross")
     fused = alpha * F.col("d") + (1 - alpha) * F.coalesce("s", F.lit(0.0)) / (F.col("most") + 1e-9)
-    return joined.select("id", F.round(fused, 6).alias("fused")).orderBy(F.desc("fused"), F.desc("id")).limit(k)
+    return joined.select("id", fused.alias("fused")).orderBy(F.desc("fused"), F.desc("id")).limit(k)
 
 
 def concatenate(sparse: DataFrame, dense: DataFrame) -> DataFrame:

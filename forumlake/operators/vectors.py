@@ -40,7 +40,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, at_least: float | No
     """(query_id, rank, vec_id, score): exact inner products of a stated set of at most QUERIES queries with all vectors, k best each."""
     if (asked := queries.limit(QUERIES + 1).count()) > QUERIES:
         raise ValueError(f"more than {QUERIES} queries ({asked} and on): search them in parts")
-    scored = vectors.join(F.broadcast(queries), how="cross").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score"))
+    scored = vectors.join(F.broadcast(queries), how="cross").select("query_id", "vec_id", dot(F.col("embedding"), F.col("query")).alias("score"))
     if at_least is not None:
         scored = scored.filter(F.col("score") >= at_least)
     return top(scored, k, key="vec_id")
@@ -50,29 +50,3 @@ def two_level(summaries: DataFrame, chunks: DataFrame, queries: DataFrame, k_top
     """The nearest summaries and, apart from them, the nearest chunks, each tagged."""
     levels = [nearest(x, queries, k).withColumn("level", F.lit(name)) for name, x, k in (("top", summaries, k_top), ("chunk", chunks, k_chunk))]
     return levels[0].unionByName(levels[1])
-
-
-#: Lists of an inverted file; lists that a query probes.
-LISTS, PROBED = 64, 40
-
-
-def inverted_lists(vectors: DataFrame, lists: int = LISTS) -> tuple[DataFrame, DataFrame]:
-    """(list, centre) and the vectors with their list, that of the nearest centre by inner product.
-
-    Centres are the vectors with the least hashes of their ids, `lists` of them; every vector has a list."""
-    first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(lists).select("vec_id", normalise(F.col("embedding")).alias("centre")).collect()
-    centres = vectors.sparkSession.createDataFrame([(i, list(r.centre)) for i, r in enumerate(sorted(first))], "list int, centre array<double>")
-    known = F.array(*[F.array(*[F.lit(x) for x in r.centre]) for r in sorted(first)])
-    scores = F.transform(known, lambda c: dot(F.col("embedding"), c))
-    place = F.transform(F.array(scores), lambda s: F.array_position(s, F.array_max(s)) - 1)
-    return centres, vectors.withColumn("list", F.element_at(place, 1).cast("int"))
-
-
-def approximate(listed: DataFrame, centres: DataFrame, queries: DataFrame, k: int, probed: int = PROBED) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of each query's `probed` nearest lists, by exact inner products."""
-    near = top(centres.join(F.broadcast(queries), how="cross").select("query_id", "list", dot(F.col("centre"), F.col("query")).alias("score")), probed, key="list")
-    asked = near.select("query_id", "list").join(queries, "query_id")  # at most QUERIES * probed rows
-    if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries: search them in parts")
-    scored = listed.join(F.broadcast(asked), "list").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score"))
-    return top(scored, k, key="vec_id")

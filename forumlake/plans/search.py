@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..api import Engine
 from ..functions.text import fold, tokens
-from ..operators import fusion, keyword, vectors
+from ..operators import fusion, keyword, vector_index, vectors
 from ..sources.store import new_folder
 
 #: The probe queries.
@@ -129,7 +129,7 @@ def _mean_query(spark, sf):
 
 
 def _ranked(hits):
-    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
 def knn_topk(spark, sf):
@@ -150,9 +150,24 @@ def knn_threshold(spark, sf):
 
 
 def approximate_knn(spark, sf):
-    """The nearest of each label's mean by inverted lists."""
-    centres, listed = vectors.inverted_lists(table(spark, sf, "embeddings").select("vec_id", "embedding"))
-    return _ranked(vectors.approximate(listed, centres, _label_queries(spark, sf), 5))
+    """The nearest of each label's mean by lists and codes."""
+    return _ranked(vector_index.approximate(_vectors(spark, sf), _label_queries(spark, sf), 5))
+
+
+def approximate_knn_everything(spark, sf):
+    """The same with every list probed and nothing cut off by the estimates, which is exact."""
+    found = _vectors(spark, sf)
+    return _ranked(vector_index.approximate(found, _label_queries(spark, sf), 5, probes=len(found.centres), short=max(5, found.n)))
+
+
+def _vectors(spark, sf):
+    """The vector index of embeddings, built at its first use in a session."""
+    key = (spark.sparkContext.applicationId, sf, "vectors")
+    if key not in _indexes:
+        path = new_folder(spark, "vectors")
+        vector_index.build(table(spark, sf, "embeddings"), path)
+        _indexes[key] = path
+    return vector_index.open_vectors(spark, _indexes[key])
 
 
 def l2_normalise(spark, sf):
@@ -166,7 +181,7 @@ def dense_two_level(spark, sf):
     rows = table(spark, sf, "embeddings")
     level = vectors.centroids(rows, "label").select(F.col("label").cast("long").alias("vec_id"), F.col("query").alias("embedding"))
     found = vectors.two_level(level, rows, _mean_query(spark, sf))
-    return found.select("level", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
+    return found.select("level", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
 def _sparse(spark, sf, k=100):
@@ -180,7 +195,8 @@ def _dense(spark, sf, k=20):
 
 def linear_fusion(spark, sf):
     every = keyword.bm25(index(spark, sf), probes(spark).filter("query_id = 1")).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
-    return fusion.linear(_dense(spark, sf), every)
+    dense = vectors.nearest(table(spark, sf, "embeddings"), _mean_query(spark, sf), 20).select(F.col("vec_id").alias("id"), "rank", "score")
+    return fusion.linear(dense, every).select("id", F.round("fused", 6).alias("fused"))
 
 
 def concat_fusion_rerank(spark, sf):
@@ -269,10 +285,12 @@ _LABELS = "lq AS (SELECT label query_id, list(x ORDER BY i) query FROM (" + _CEN
 
 
 def _near(queries: str, vectors_: str = "embeddings", k: int = 20, where: str = "true") -> str:
-    return f"SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM (SELECT query_id, vec_id, round({_DOT}, 6) score FROM {vectors_} CROSS JOIN {queries}) WHERE {where}) WHERE rank <= {k}"
+    return f"SELECT query_id, rank, vec_id, round(score, 6) score, score exact FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM (SELECT query_id, vec_id, {_DOT} score FROM {vectors_} CROSS JOIN {queries}) WHERE {where}) WHERE rank <= {k}"
 
 
-_DENSE = "dn AS (SELECT vec_id id, rank, score FROM (" + _near("mq") + "))"
+_RANKED = "SELECT query_id, rank, vec_id, score FROM ({})"
+_COSINE = _DOT + " / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(query, lambda x: x * x)))"
+_DENSE = "dn AS (SELECT vec_id id, rank, score, exact FROM (" + _near("mq") + "))"
 _SPARSE = "sp AS (SELECT doc_id id, rank, score FROM (" + _TOP.format("hits", 100) + "))"
 _BOTH = f"WITH {_MEAN}, {_DENSE}, {_bm25_sql(_ONE)}, {_SPARSE}"
 
@@ -302,13 +320,14 @@ FROM p JOIN r USING (term) JOIN qt USING (term) CROSS JOIN st CROSS JOIN m GROUP
     + ", ".join(f"('{t}')" for t in TERMS)
     + ") x(query_term)), m AS (SELECT query_term, term, most FROM v JOIN t ON length(term) BETWEEN length(query_term) - most AND length(query_term) + most) SELECT query_term, m.term, edits FROM (SELECT *, damerau_levenshtein(query_term, translate(term, 'ßæœøđðłþıŋ', '!#$%&()*+,')) edits FROM m) m WHERE edits <= most",
     "minmax_normalise": f"WITH {_bm25_sql(_Q)}, t AS ({_TOP.format('hits', 100)}) SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 5) score_norm FROM t WINDOW w AS (PARTITION BY query_id)",
-    "knn_topk": f"WITH {_MEAN} {_near('mq')}",
-    "knn_per_query": f"WITH {_LABELS} {_near('lq', k=5)}",
-    "knn_filtered": f"WITH {_MEAN} {_near('mq', '(SELECT * FROM embeddings WHERE label IN (1, 3) AND vec_id >= 100)', 10)}",
-    "knn_threshold": f"WITH {_LABELS} {_near('lq', k=50, where='score >= 0.02')}",
+    "knn_topk": f"WITH {_MEAN} {_RANKED.format(_near('mq'))}",
+    "knn_per_query": f"WITH {_LABELS} {_RANKED.format(_near('lq', k=5))}",
+    "approximate_knn_everything": f"WITH {_LABELS} {_RANKED.format(_near('lq', k=5).replace(_DOT, _COSINE))}",
+    "knn_filtered": f"WITH {_MEAN} {_RANKED.format(_near('mq', '(SELECT * FROM embeddings WHERE label IN (1, 3) AND vec_id >= 100)', 10))}",
+    "knn_threshold": f"WITH {_LABELS} {_RANKED.format(_near('lq', k=50, where='score >= 0.02'))}",
     "l2_normalise": "SELECT vec_id, round(sqrt(s), 6) norm, round(embedding[1]::DOUBLE * 3 / sqrt(s), 6) AS first FROM (SELECT *, list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3) * (x::DOUBLE * 3))) s FROM embeddings)",
     "dense_two_level": f"WITH {_MEAN}, {_LABELS}, tops AS (SELECT query_id::BIGINT vec_id, query embedding FROM lq) SELECT 'top' AS level, rank, vec_id, score FROM ({_near('mq', 'tops', 5)}) UNION ALL SELECT 'chunk', rank, vec_id, score FROM ({_near('mq', k=8)})",
-    "linear_fusion": _BOTH + " SELECT dn.id, round(0.6 * dn.score + 0.4 * coalesce(hits.score, 0.0) / ((SELECT coalesce(max(score), 0.0) FROM hits) + 1e-9), 6) fused FROM dn LEFT JOIN hits ON dn.id = hits.doc_id ORDER BY fused DESC, id DESC LIMIT 8",
+    "linear_fusion": _BOTH + " SELECT dn.id, round(0.6 * dn.exact + 0.4 * coalesce(hits.score, 0.0) / ((SELECT coalesce(max(score), 0.0) FROM hits) + 1e-9), 6) fused FROM dn LEFT JOIN hits ON dn.id = hits.doc_id ORDER BY 0.6 * dn.exact + 0.4 * coalesce(hits.score, 0.0) / ((SELECT coalesce(max(score), 0.0) FROM hits) + 1e-9) DESC, id DESC LIMIT 8",
     "concat_fusion_rerank": _BOTH
     + ", c AS (SELECT id, rank, score, 'sparse' qtype FROM sp UNION ALL SELECT id, rank, score, 'dense' FROM dn), m AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END score_norm FROM c WINDOW w AS (PARTITION BY qtype)), "
     + "n AS (SELECT m.*, round(len(list_intersect(['thing', 'of', 'ertion'], " + _TOK.format("concat_ws('. ', source, coalesce(text, ''))") + ")) / 3.0, 6) rerank FROM m LEFT JOIN documents ON id = doc_id) "
@@ -336,4 +355,4 @@ SQL["rag_prompt"] = (
     + "SELECT 'Kontext:' || chr(10) || coalesce(nullif(string_agg(t, chr(10) || chr(10) ORDER BY rerank DESC, id), ''), '(Kein Kontext gefunden.)') || chr(10) || chr(10) || 'Frage: ' || 'thing of ertion' AS prompt FROM b"
 )
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_operator, bm25_okapi, bm25_benchmark, bm25_replaced, bm25_merged, bm25_past_version, bm25_multifield_boost, index_statistics, fuzzy_term_match, minmax_normalise, knn_topk, knn_per_query, knn_filtered, knn_threshold, approximate_knn, l2_normalise, dense_two_level, linear_fusion, concat_fusion_rerank, dedupe_fusion, hybrid_search, filtered_search, late_text_lookup, union_all_sources, engine_search, rag_prompt)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_operator, bm25_okapi, bm25_benchmark, bm25_replaced, bm25_merged, bm25_past_version, bm25_multifield_boost, index_statistics, fuzzy_term_match, minmax_normalise, knn_topk, knn_per_query, knn_filtered, knn_threshold, approximate_knn, approximate_knn_everything, l2_normalise, dense_two_level, linear_fusion, concat_fusion_rerank, dedupe_fusion, hybrid_search, filtered_search, late_text_lookup, union_all_sources, engine_search, rag_prompt)}
