@@ -1,23 +1,39 @@
-"""Parties in texts: names of a list are joined to a text's word n-grams, exactly or by similarity.
+"""Parties in texts: names of a list as whole words of a text, exactly or by similarity.
 
 Longer and shorter names of one family all match. Names are a small table, NAMES
-at most; a text's n-grams are as long as the longest name, six words at most, and
-for the fuzzy part every distinct n-gram is scored once.
+at most. Exact ones are found in one pass over each text, whatever their number
+and length. Similar ones are a similarity join of the texts' distinct n-grams,
+as long as the longest name, with the names:
+
+* Texts whose ratio is high have most pairs of neighbouring characters in common:
+  putting in or leaving out a character changes two of them. The pairs of both
+  sides are ordered, the rarest among names first, and two texts can only be
+  similar if they share one of their first few (prefix filter), if their lengths
+  allow it (length filter), and if enough pairs are left behind the first common
+  one on either side (position filter).
+* Texts of which one holds the other's words, but for a short one, share one of
+  its rarest words.
+
+Each is an equi-join with the names' table, which goes to all tasks, so that a
+frequent pair of characters moves no rows. The weighted ratio is worked out for
+the pairs left only, and no pair that reaches it is missed.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_form, ngrams
+from ..sources.store import spread
 
-#: Names of a list at most; words of an n-gram at most; least similarity.
-NAMES, LONGEST, LEAST = 10_000, 6, 92.0
-#: Names that are looked for in each text one after the other; more are joined to its n-grams.
-SCANNED = 500
+#: Names of a list at most; words of an n-gram at least as long as the longest name's; least similarity.
+NAMES, WORDS, LEAST = 10_000, 6, 92.0
 
 
 def _form(text: Column) -> Column:
@@ -33,29 +49,38 @@ def _known(aliases: DataFrame) -> list[tuple[str, str]]:
     return sorted((r.form, r.canon) for r in rows)
 
 
-def _grams(texts: DataFrame, longest: int) -> DataFrame:
-    return texts.select("id", F.explode(ngrams(F.split(_form(F.col("title")), " "), longest)).alias("gram"))
-
-
 def exact(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, canon): names of (alias, canon) that a text of (id, title) holds as whole words, also beside a slash; each once."""
     known = _known(aliases)
     if not known:
         return texts.select("id", F.lit("").alias("canon")).limit(0)
-    if len(known) <= SCANNED:
-        return _scanned(texts, known)
-    longest = min(LONGEST, max(len(form.split(" ")) for form, _ in known))
-    pieces = _grams(texts, longest).select("id", F.explode(F.array_distinct(F.concat(F.array("gram"), F.split("gram", "/")))).alias("gram"))
-    table = texts.sparkSession.createDataFrame(known, "gram string, canon string")
-    return pieces.join(F.broadcast(table), "gram").select("id", "canon").distinct()
 
-
-def _scanned(texts: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
-    """(id, canon): as the join of n-grams finds them, by looking for each name between spaces, or slashes if it has none."""
-    forms = F.array(*[F.struct(F.lit(f" {form} ").alias("form"), F.lit("/" in form).alias("slash"), F.lit(canon).alias("canon")) for form, canon in known])
-    padded = F.transform(F.array(_form(F.col("title"))), lambda f: F.struct(F.concat(F.lit(" "), f, F.lit(" ")).alias("whole"), F.replace(F.concat(F.lit(" "), f, F.lit(" ")), F.lit("/"), F.lit(" / ")).alias("apart")))
-    held = F.transform(padded, lambda t: F.array_distinct(F.transform(F.filter(forms, lambda x: F.contains(F.when(x["slash"], t["whole"]).otherwise(t["apart"]), x["form"])), lambda x: x["canon"])))
-    return texts.select("id", F.explode(F.element_at(held, 1)).alias("canon")).distinct()
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        # Names with a slash are looked for in the text as it is, others in one whose slashes separate words.
+        finders = []
+        for with_slash in (True, False):
+            canons: dict[str, list[str]] = {}
+            for form, canon in known:
+                if ("/" in form) == with_slash:
+                    canons.setdefault(f" {form} ", []).append(canon)
+            finder = ahocorasick.Automaton()
+            for form, own in canons.items():
+                finder.add_word(form, own)
+            finder.make_automaton()
+            finders.append((finder if canons else None, "/" if with_slash else " / "))
+        for batch in batches:
+            rows, found = [], []
+            for i, form in enumerate(batch.column("form").to_pylist()):
+                if form:
+                    held = {c for finder, slash in finders if finder for _, own in finder.iter(f" {form} ".replace("/", slash)) for c in own}
+                    rows += [i] * len(held)
+                    found += sorted(held)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int32())), pa.array(found, pa.string())], ["id", "canon"])
+
+    formed = spread(texts.select("id", "title")).select("id", _form(F.col("title")).alias("form"))
+    return formed.mapInArrow(find, f"id {dict(texts.dtypes)['id']}, canon string").distinct()
 
 
 def _common(a: str, b: str) -> int:
@@ -94,29 +119,92 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(plain, 0.95 * best)
 
 
+class Signatures:
+    """What a text is found by; names gives the order of pairs of characters and words, those of few names first."""
+
+    def __init__(self, names: list[str], least: float):
+        if not 80 < least <= 100:
+            raise ValueError("the least similarity is over 80, so that lengths differ by less than half")
+        self.least = least
+        self.pairs = Counter(p for n in names for p in set(self._pairs(n)))
+        self.words = Counter(w for n in names for w in set(n.split()))
+
+    @staticmethod
+    def _pairs(text: str) -> list[tuple[str, int]]:
+        """The pairs of neighbouring characters in each word and at its ends, numbered if they come again."""
+        seen: Counter = Counter()
+        found = []
+        for word in text.split():
+            padded = f"\x02{word}\x03"
+            for i in range(len(padded) - 1):
+                pair = padded[i : i + 2]
+                found.append((pair, seen[pair]))
+                seen[pair] += 1
+        return found
+
+    def of(self, text: str, name: bool) -> list[tuple[str, int, int, int]]:
+        """(signature, place, number of pairs, length): a name's are joined to those of n-grams."""
+        found = []
+        t = self.least / 100
+        for form in {text, " ".join(dict.fromkeys(text.split()))}:
+            pairs = sorted(self._pairs(form), key=lambda p: (self.pairs[p], p))
+            # So many edits at most, by the longest text that is similar enough.
+            edits = math.floor(2 * len(form) * (1 - t) / t + 1e-9)
+            found += [(f"p{a}{i}", k, len(pairs), len(form)) for k, (a, i) in enumerate(pairs[: 2 * edits + 1])]
+        words = sorted(set(text.split()), key=lambda w: (self.words[w], w))
+        # Words that can be missing on the side that the other holds.
+        high = min(1.0, self.least / 95)
+        missing = math.floor(len(text) * (1 - high) / (2 - high) + 1e-9)
+        for role, some in (("n", words[: missing + 1] if name else words), ("g", words if name else words[: missing + 1])):
+            found += [(f"{role}{w}", 0, 0, len(text)) for w in some]
+        return found
+
+
+def candidates(grams: DataFrame, known: list[tuple[str, str]], least: float = LEAST) -> DataFrame:
+    """(gram, number, form): the pairs of a distinct n-gram and a name, by its number, that no filter leaves out."""
+    forms = [form for form, _ in known]
+    signatures = Signatures(forms, least)
+    spark = grams.sparkSession
+    rows = [(s, k, form, place, size, length) for k, form in enumerate(forms) for s, place, size, length in signatures.of(form, True)]
+    names = spark.createDataFrame(rows, "signature string, number int, form string, own_place int, own_size int, own_length int")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(gram, *s) for gram in batch.column("gram").to_pylist() for s in signatures.of(gram, False)]
+            columns = list(zip(*found)) if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["gram", "signature", "place", "size", "length"])
+
+    signed = grams.select("gram").filter("gram <> ''").distinct().mapInArrow(sign, "gram string, signature string, place int, size int, length int")
+    met = signed.join(F.broadcast(names), "signature")  # signatures of NAMES names at most
+    shorter, longer = F.least(F.length("gram"), F.length("form")), F.greatest(F.length("gram"), F.length("form"))
+    edits = F.floor((1 - least / 100) * (F.col("length") + F.col("own_length")) + 1e-9)
+    left = F.least(F.col("size") - F.col("place"), F.col("own_size") - F.col("own_place"))
+    near = 200 * F.least("length", "own_length") >= least * (F.col("length") + F.col("own_length"))
+    enough = ~F.startswith("signature", F.lit("p")) | (near & (left >= F.greatest("size", "own_size") - 2 * edits))
+    return met.filter((longer < 1.5 * shorter) & enough).select("gram", "number", "form").distinct()
+
+
 def similar(grams: DataFrame, known: list[tuple[str, str]], least: float = LEAST) -> DataFrame:
     """(gram, canon, score): the most similar name of each distinct n-gram, if it is similar enough; the first of equal ones."""
 
-    def find(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
-            found = []
-            for gram in frame.gram:
-                # Names of another length can't reach the least similarity.
-                near = [(weighted_ratio(gram, form), -i, canon) for i, (form, canon) in enumerate(known) if max(len(form), len(gram)) < 1.5 * min(len(form), len(gram))]
-                best = max(near, default=None)
-                if best and best[0] >= least:
-                    found.append((gram, best[2], best[0]))
-            yield pd.DataFrame(found, columns=["gram", "canon", "score"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array([weighted_ratio(a, b) for a, b in zip(batch.column("gram").to_pylist(), batch.column("form").to_pylist())], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("number"), scores], ["gram", "number", "score"])
 
-    return grams.select("gram").distinct().mapInPandas(find, "gram string, canon string, score double")
+    scored = candidates(grams, known, least).mapInArrow(compare, "gram string, number int, score double").filter(F.col("score") >= least)
+    best = scored.groupBy("gram").agg(F.max(F.struct("score", (-F.col("number")).alias("first"))).alias("best"))
+    canons = grams.sparkSession.createDataFrame([(-k, canon) for k, (_, canon) in enumerate(known)], "first int, canon string")
+    return best.select("gram", "best.*").join(F.broadcast(canons), "first").select("gram", "canon", "score")
 
 
 def fuzzy(texts: DataFrame, aliases: DataFrame, least: float = LEAST) -> DataFrame:
     """(id, canon): as exact, but an n-gram matches its most similar name; the order of words counts little."""
     known = _known(aliases)
-    grams = _grams(texts, LONGEST).filter("gram <> ''")
+    if not known:
+        return texts.select("id", F.lit("").alias("canon")).limit(0)
+    longest = max(WORDS, *(len(form.split(" ")) for form, _ in known))
+    grams = texts.select("id", F.explode(ngrams(F.split(_form(F.col("title")), " "), longest)).alias("gram")).filter("gram <> ''")
     return grams.join(similar(grams, known, least), "gram").select("id", "canon").distinct()
 
 

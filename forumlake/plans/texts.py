@@ -80,6 +80,30 @@ def fuzzy_parties(spark, sf):
     return parties.fuzzy(titles, aliases)
 
 
+def _misspelt(spark, sf):
+    """Customers' titles by turns: a made-up name for their nation with its last letter twice, as it is, turned round, and with another word in it."""
+    made = F.translate(F.substring(F.md5("n_name"), 1, 14), "0123456789", "ghijklmnop")
+    nations = table(spark, sf, "nation").select("n_nationkey", made.alias("alias"), F.lower("n_name").alias("canon"))
+    customers = table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    turn = F.col("c_custkey") % 4
+    name = F.when(turn == 0, F.concat("alias", F.substring("alias", -1, 1))).when(turn == 1, F.col("alias")).when(turn == 2, F.reverse("alias")).otherwise(F.concat(F.substring("alias", 1, 7), F.lit(" xq "), F.substring("alias", 8, 99)))
+    titles = customers.select(F.col("c_custkey").alias("id"), F.concat_ws(" ", F.lit("Antrag:"), name, F.lit("zzq")).alias("title"))
+    return titles, nations.select("alias", "canon")
+
+
+def fuzzy_parties_misspelt(spark, sf):
+    """Similar names only, of titles of which most hold none."""
+    return parties.fuzzy(*_misspelt(spark, sf))
+
+
+def detected_both_ways(spark, sf):
+    """The union of the names that stand in a title and of similar ones; titles without any have an empty list."""
+    titles, aliases = _misspelt(spark, sf)
+    again = aliases.unionByName(aliases.select(F.concat(F.lit("die zzq partei mit sieben worten "), "alias").alias("alias"), "canon"))
+    found = parties.detect(titles, again, fuzzy_too=True)
+    return found.select("id", F.array_join("parties", ",").alias("parties"))
+
+
 def url_parts(spark, sf):
     url = F.col("url")
     return table(spark, sf, "pages").select("page_id", F.expr("parse_url(url, 'PROTOCOL')").alias("scheme"), F.expr("parse_url(url, 'HOST')").alias("host"), F.nullif(F.expr("parse_url(url, 'PATH')"), F.lit("")).alias("path"), F.nullif(X.page_slug(url), F.lit("")).alias("slug"))
@@ -221,6 +245,9 @@ SQL = {
     "uuid5_id": f"SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', instr('0123456789abcdef', substr(h, 17, 1)) % 4 + CASE instr('0123456789abcdef', substr(h, 17, 1)) % 4 WHEN 0 THEN 4 ELSE 0 END, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) uuid FROM (SELECT doc_id, sha1(unhex('{X.URL_NAMESPACE}') || encode('doc:' || doc_id)) h FROM documents)",
     "chunk_sentences": f"WITH RECURSIVE {_SENTENCES}, r AS (SELECT doc_id, 0 AS chunk, 0 AS a, greatest(1, len(list_filter(p, lambda x: x <= 500)) - 1) b FROM p UNION ALL SELECT r.doc_id, chunk + 1, greatest(r.a, b - 8), greatest(b + 1, len(list_filter(p, lambda x: x <= 500 + p[greatest(r.a, r.b - 8) + 1])) - 1) FROM r JOIN p USING (doc_id) WHERE b < len(s)) SELECT doc_id, chunk, array_to_string(s[a + 1:b], ' ') AS text FROM r JOIN p USING (doc_id)",
     "fuzzy_parties": "SELECT c_custkey id, n_name canon FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    # With a letter more a name is similar enough; turned round or cut in two it isn't.
+    "fuzzy_parties_misspelt": "SELECT c_custkey id, lower(n_name) canon FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 < 2",
+    "detected_both_ways": "SELECT c_custkey id, CASE WHEN c_custkey % 4 < 2 THEN lower(n_name) ELSE '' END parties FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "sha256_id": "SELECT doc_id, sha256(text) sha, substr(sha1(text), 1, 12) short FROM documents",
     "chunk_chars": r"""WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x85\p{Z}]+', ' ', 'g')) t FROM documents),
 s AS (SELECT doc_id, t, length(t) n, 0 AS chunk, 0 AS a FROM d WHERE length(t) > 0),
@@ -239,4 +266,4 @@ _TAGS = _values([(canon, tag) for canon, _, tag in party_tables.NAMES], "canon,
 SQL["detected_parties"] = f"WITH {_PARTIES}, g AS (SELECT DISTINCT id, tag FROM n JOIN ({_TAGS}) USING (canon)) SELECT id, coalesce(string_agg(tag, ',' ORDER BY tag), '') parties FROM t LEFT JOIN g USING (id) GROUP BY id"
 SQL["chunk_stats"] = "SELECT doc_id, count(*) chunks, sum(length(text))::BIGINT chars, max(char_end) AS last FROM (" + SQL["chunk_chars"] + ") GROUP BY doc_id"
 
-QUERIES = {f.__name__: f for f in (normalise_text, slug_and_filename, fold_diacritics, match_form, snippet, token_counts, motion_type, subject, ngram_alias_join, detected_parties, fuzzy_parties, url_parts, query_param, html_links, absolute_links, resolved_links, html_title_text, label_values, extension_guess, sha256_id, uuid5_id, chunk_chars, chunk_stats, chunk_sentences, summary_text, prompt_build, language_guess)}
+QUERIES = {f.__name__: f for f in (normalise_text, slug_and_filename, fold_diacritics, match_form, snippet, token_counts, motion_type, subject, ngram_alias_join, detected_parties, fuzzy_parties, fuzzy_parties_misspelt, detected_both_ways, url_parts, query_param, html_links, absolute_links, resolved_links, html_title_text, label_values, extension_guess, sha256_id, uuid5_id, chunk_chars, chunk_stats, chunk_sentences, summary_text, prompt_build, language_guess)}

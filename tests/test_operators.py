@@ -220,15 +220,69 @@ def test_pdf_words(spark, tmp_path):
     assert attachments.text_of(b"<p>x", "a", None, "text/html; charset=utf-8") == "x" and attachments.text_of(b"%PDF", "a.bin", lambda b: "gelesen", "application/pdf") == "gelesen"
 
 
-def test_names_by_scan_and_by_join(spark, monkeypatch):
+def test_exact_names(spark):
     from forumlake.operators import party_tables
 
     said = ["Antrag der SPD-Fraktion", "TR / DAL und TR", "Tierschutz/DAL, BÜNDNIS 90/ die Grünen!", "die linke./Die PARTEI (Fraktion)", "spdcdu", "", None]
     texts = spark.createDataFrame(list(enumerate(said)), "id long, title string")
-    found = [sorted((r.id, r.canon) for r in parties.exact(texts, party_tables.aliases(spark)).collect())]
-    monkeypatch.setattr(parties, "SCANNED", 0)
-    found.append(sorted((r.id, r.canon) for r in parties.exact(texts, party_tables.aliases(spark)).collect()))
-    assert found[0] == found[1] and {i for i, _ in found[0]} == {0, 1, 2, 3} and (1, "Fraktion TR/DAL") in found[0] and (2, "Duisburger Alternative Liste") in found[0]
+    found = sorted((r.id, r.canon) for r in parties.exact(texts, party_tables.aliases(spark)).collect())
+    assert {i for i, _ in found} == {0, 1, 2, 3} and (1, "Fraktion TR/DAL") in found and (2, "Duisburger Alternative Liste") in found
+
+
+def test_names_of_any_number_and_length(spark):
+    """As a look at every name finds them, with ten names and with 9,000, of one word and of nine."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 3)))
+    for n in (10, 9000):
+        names = {" ".join(word() for _ in range(rng.choice([1, 2, 3, 9]))) for _ in range(n)} | {"aa bb cc dd ee aa bb cc dd", "ab/cd"}
+        titles = [" ".join(rng.choice([word(), word() + "/" + word()]) for _ in range(rng.randint(0, 25))) for _ in range(60)] + ["x aa bb cc dd ee aa bb cc dd y", "q ab/cd", "q ab/cdx"]
+        found = parties.exact(spark.createDataFrame(list(enumerate(titles)), "id int, title string"), spark.createDataFrame([(x, x.upper()) for x in names], "alias string, canon string"))
+        held = lambda t, x: f" {x} " in (f" {t} " if "/" in x else f" {t} ".replace("/", " / "))
+        assert sorted((r.id, r.canon) for r in found.collect()) == sorted((i, x.upper()) for i, t in enumerate(titles) for x in names if held(t, x))
+        assert (60, "AA BB CC DD EE AA BB CC DD") in [(r.id, r.canon) for r in found.collect()]
+
+
+def test_similarity_join_equals_brute_force(spark):
+    """Names and n-grams that differ by letters, words, their order and their number; every pair that reaches the ratio is found."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    names = [" ".join(word() for _ in range(rng.randint(1, 9))) for _ in range(150)] + ["a a a a b", "aaaaaaaaaaaaaaaaaaaaaaaa", "x " + "abcdefgh" * 5]
+
+    def changed(text):
+        for _ in range(rng.randint(0, 4)):
+            words = text.split()
+            kind, k = rng.randrange(6), rng.randrange(max(1, len(text)))
+            text = [text[:k] + rng.choice("abcdefgh ") + text[k:], text[:k] + text[k + 1 :], " ".join(rng.sample(words, len(words))), text + " " + rng.choice("ab"), " ".join(words[1:]), text + " " + (words or ["a"])[0]][kind]
+        return " ".join(text.split())
+
+    grams = sorted({changed(rng.choice(names)) for _ in range(900)} | {word() for _ in range(60)} | {"abcdefgh" * 5} - {""})
+    for least in (92.0, 84.0):
+        known = sorted((x, x.upper()) for x in names)
+        found = parties.similar(spark.createDataFrame([(g,) for g in grams], "gram string"), known, least)
+        wanted = []
+        for gram in grams:
+            best = max((parties.weighted_ratio(gram, form), -k, canon) for k, (form, canon) in enumerate(known))
+            if best[0] >= least and max(len(gram), len(best[2])) < 1.5 * min(len(gram), len(best[2])):
+                wanted.append((gram, best[2], round(best[0], 6)))
+        assert sorted((r.gram, r.canon, round(r.score, 6)) for r in found.collect()) == sorted(wanted) and 100 < len(wanted) < len(grams)
+
+
+def test_few_pairs_are_compared(spark):
+    """Of all pairs of n-grams and 10,000 names next to none get to the ratio."""
+    import random
+
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    known = sorted({(x, x) for x in (text(rng.randint(1, 4)) for _ in range(10_000))})
+    grams = [text(rng.randint(1, 4)) for _ in range(300)] + [known[5][0] + "x"]
+    met = parties.candidates(spark.createDataFrame([(g,) for g in grams], "gram string"), known).count()
+    assert met < 0.06 * len(grams) * len(known)  # random letters, the worst case
+    found = parties.similar(spark.createDataFrame([(g,) for g in grams], "gram string"), known)
+    assert known[5][0] in {r.canon for r in found.collect()}
 
 
 def test_names():
