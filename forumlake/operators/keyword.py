@@ -125,7 +125,11 @@ def _ranges(size: Column, spread: int) -> Column:
     return (F.floor(4 * F.log2(size + 1)) * spread + F.pmod(F.xxhash64("doc_id"), F.lit(spread))).cast("int")
 
 
-def _write_inverted(spark: SparkSession, path: str, segment: int, kind: str, content: dict, taken: DataFrame | None = None) -> None:
+def _folder(path: str, table: str, segment: str) -> str:
+    return f"{path}/{table}/segment={versions.number(segment)}/writer={segment}"
+
+
+def _write_inverted(spark: SparkSession, path: str, segment: str, kind: str, content: dict, taken: DataFrame | None = None) -> None:
     """The blocks and terms of a segment from its forward table. taken: (term, df) of the documents that it replaces."""
     forward = _read(spark, path, "forward", [segment], kind)
     bucket = F.pmod(F.xxhash64("term"), F.lit(content["buckets"])).cast("int")
@@ -134,20 +138,20 @@ def _write_inverted(spark: SparkSession, path: str, segment: int, kind: str, con
     # A hash of terms is dealt out over the more tasks the more documents there are.
     spread = F.pmod("range", F.lit(max(1, math.ceil(content["n"] / TASK_DOCUMENTS))))
     rows = rows.select("bucket", "term", "range", "doc_id", "tf", "dl").repartition("bucket", spread).sortWithinPartitions("bucket", "term", "range", "doc_id")
-    _as_blocks(rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    _as_blocks(rows).write.mode("overwrite").partitionBy("bucket").parquet(_folder(path, "postings", segment))
     terms = _read(spark, path, "postings", [segment], kind).select("term", F.col("n").cast("long").alias("df"))
     if taken is not None:
         terms = terms.unionByName(taken.select("term", (-F.col("df")).alias("df")))
-    terms.groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/segment={segment}")
+    terms.groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_folder(path, "terms", segment))
 
 
 _KINDS = {"forward": "doc_id {0}, range int, dl int, terms array<string>, tfs array<int>, segment int", "terms": "term string, df long, segment int, bucket int", "gone": "doc_id {0}, segment int"}
 
 
-def _read(spark: SparkSession, path: str, table: str, segments: list[int], kind: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, table: str, segments: list[str], kind: str) -> DataFrame:
     schema = f"{_block_kind(kind)}, segment int, bucket int" if table == "postings" else _KINDS[table].format(kind)
-    found = [f"{path}/{table}/segment={s}" for s in segments]
-    return spark.read.option("basePath", f"{path}/{table}").schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+    found = [_folder(path, table, s) for s in segments]
+    return spark.read.option("basePath", f"{path}/{table}").schema(schema + ", writer string").parquet(*found).drop("writer") if found else spark.createDataFrame([], schema)
 
 
 def _sums(rows: DataFrame) -> tuple[int, int]:
@@ -155,11 +159,11 @@ def _sums(rows: DataFrame) -> tuple[int, int]:
     return found.n, found.length or 0
 
 
-def _write_forward(docs: DataFrame, path: str, segment: int, text: str, words, spread: int) -> None:
+def _write_forward(docs: DataFrame, path: str, segment: str, text: str, words, spread: int) -> None:
     rows = spread_out(docs.filter("doc_id IS NOT NULL").select("doc_id", text)).select("doc_id", words(F.col(text)).alias("words"))
     counted = _counted(rows.select("doc_id", _ranges(F.size("words"), spread).alias("range"), "words"))
     # Filters on the id let a replacement read the row groups that may hold it.
-    counted.write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{path}/forward/segment={segment}")
+    counted.write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(_folder(path, "forward", segment))
 
 
 def _layout(n: int) -> dict:
@@ -170,12 +174,11 @@ def _layout(n: int) -> dict:
 def build_index(docs: DataFrame, path: str, text: str = "text", words=tokens) -> None:
     """Write the index of docs (doc_id, text) below a path, as the next version with one segment."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    version = max(versions.numbers(spark, path), default=0) + 1
-    layout = _layout(docs.count())
-    _write_forward(docs, path, version, text, words, layout["spread"])
-    n, length = _sums(_read(spark, path, "forward", [version], kind))
-    content = {"version": version, "kind": kind, **layout, "n": n, "length": length, "segments": [version], "gone": []}
-    _write_inverted(spark, path, version, kind, content)
+    segment, layout = versions.draft(spark, path), _layout(docs.count())
+    _write_forward(docs, path, segment, text, words, layout["spread"])
+    n, length = _sums(_read(spark, path, "forward", [segment], kind))
+    content = {"version": versions.number(segment), "kind": kind, **layout, "n": n, "length": length, "segments": [segment], "gone": []}
+    _write_inverted(spark, path, segment, kind, content)
     versions.publish(spark, path, content)
 
 
@@ -197,18 +200,18 @@ def update_index(docs: DataFrame, path: str, text: str = "text", words=tokens, d
     spark, last = docs.sparkSession, versions.read(docs.sparkSession, path)
     if last is None:
         raise ValueError(f"there is no index at {path}")
-    segment, kind = versions.numbers(spark, path)[-1] + 1, last["kind"]
+    segment, kind = versions.draft(spark, path), last["kind"]
     _write_forward(docs, path, segment, text, words, last["spread"])
     ids = _read(spark, path, "forward", [segment], kind).select("doc_id")
     if deleted is not None:
         ids = ids.unionByName(deleted.filter("doc_id IS NOT NULL").select("doc_id")).distinct()
-    ids.write.mode("overwrite").parquet(f"{path}/gone/segment={segment}")
+    ids.write.mode("overwrite").parquet(_folder(path, "gone", segment))
     old = _alive(_read(spark, path, "forward", last["segments"], kind), _gone(spark, path, last))
     replaced = _of(old, _read(spark, path, "gone", [segment], kind).select("doc_id"))
     found = replaced.select("dl", "terms")
     taken = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     (n, length), (less, shorter) = _sums(_read(spark, path, "forward", [segment], kind)), _sums(found)
-    content = {**last, "version": segment, "n": last["n"] + n - less, "length": last["length"] + length - shorter, "segments": [*last["segments"], segment], "gone": [*last["gone"], segment]}
+    content = {**last, "version": versions.number(segment), "n": last["n"] + n - less, "length": last["length"] + length - shorter, "segments": [*last["segments"], segment], "gone": [*last["gone"], segment]}
     _write_inverted(spark, path, segment, kind, content, taken)
     versions.publish(spark, path, content)
 
@@ -224,12 +227,12 @@ def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def merge_index(spark: SparkSession, path: str) -> None:
     """One segment in place of all, from the documents that are in force; earlier versions can still be read."""
     last = versions.read(spark, path)
-    segment, kind = versions.numbers(spark, path)[-1] + 1, last["kind"]
+    segment, kind = versions.draft(spark, path), last["kind"]
     layout = _layout(last["n"])
     rows = _alive(_read(spark, path, "forward", last["segments"], kind), _gone(spark, path, last))
     rows = rows.withColumn("range", _ranges(F.col("dl"), layout["spread"])).select("doc_id", "range", "dl", "terms", "tfs")
-    rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{path}/forward/segment={segment}")
-    content = {**last, **layout, "version": segment, "segments": [segment], "gone": []}
+    rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(_folder(path, "forward", segment))
+    content = {**last, **layout, "version": versions.number(segment), "segments": [segment], "gone": []}
     _write_inverted(spark, path, segment, kind, content)
     versions.publish(spark, path, content)
 

@@ -117,7 +117,7 @@ def _probes(sample: np.ndarray, centres: np.ndarray) -> int:
 
 def build(vectors: DataFrame, path: str) -> None:
     """Write the index of vectors (vec_id, embedding) below a path, as its next version."""
-    spark, version = vectors.sparkSession, max(versions.numbers(vectors.sparkSession, path), default=0) + 1
+    spark, name = vectors.sparkSession, versions.draft(vectors.sparkSession, path)
     units = _units(vectors)
     first = units.select(F.size("x").alias("d")).first()
     d = first.d if first else 1
@@ -149,11 +149,11 @@ def build(vectors: DataFrame, path: str) -> None:
     kind = dict(units.dtypes)["vec_id"]
     rows = units.mapInArrow(encode, f"vec_id {kind}, codes binary, x array<double>, list int")
     tasks = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(n / lists / TASK_VECTORS))))
-    rows.repartition("list", tasks).sortWithinPartitions("list", "vec_id").write.mode("overwrite").partitionBy("list").parquet(f"{path}/rows/{version}")
-    for name, table in (("centres", centres[None]), ("books", books)):
+    rows.repartition("list", tasks).sortWithinPartitions("list", "vec_id").write.mode("overwrite").partitionBy("list").parquet(f"{path}/rows/{name}")
+    for kept, table in (("centres", centres[None]), ("books", books)):
         flat = [(p, c, x.tolist()) for p, part in enumerate(table) for c, x in enumerate(part)]
-        spark.createDataFrame(flat, "part int, code int, x array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}/{version}")
-    versions.publish(spark, path, {"version": version, "kind": kind, "n": n, "probes": _probes(seen[:MEASURED], centres)})
+        spark.createDataFrame(flat, "part int, code int, x array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/{kept}/{name}")
+    versions.publish(spark, path, {"version": versions.number(name), "name": name, "kind": kind, "n": n, "probes": _probes(seen[:MEASURED], centres)})
 
 
 def open_vectors(spark: SparkSession, path: str, version: int | None = None) -> VectorIndex:
@@ -162,10 +162,10 @@ def open_vectors(spark: SparkSession, path: str, version: int | None = None) ->
         raise ValueError(f"there is no index at {path}")
 
     def table(name: str) -> np.ndarray:
-        rows = sorted(spark.read.parquet(f"{path}/{name}/{content['version']}").collect())
+        rows = sorted(spark.read.parquet(f"{path}/{name}/{content['name']}").collect())
         return np.array([r.x for r in rows]).reshape(rows[-1].part + 1, rows[-1].code + 1, -1)
 
-    rows = spark.read.schema(f"vec_id {content['kind']}, codes binary, x array<double>, list int").parquet(f"{path}/rows/{content['version']}")
+    rows = spark.read.schema(f"vec_id {content['kind']}, codes binary, x array<double>, list int").parquet(f"{path}/rows/{content['name']}")
     return VectorIndex(rows, table("centres")[0], table("books"), content["probes"], content["n"])
 
 

@@ -190,13 +190,39 @@ def iso_times(spark, sf):
     return table(spark, sf, "events").select("event_id", X.iso_epoch(day).alias("of_day"), X.iso_epoch(plain).alias("of_time"), X.iso_epoch(zone).alias("of_zone"), X.iso_epoch(F.lit("kein Datum")).isNull().alias("bad"))
 
 
+_upserted: dict[tuple, str] = {}
+
+
+def _batches(spark, sf):
+    """Where events lie that were put over each other by user in three batches."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _upserted:
+        path, rows = new_folder(spark, "upsert"), table(spark, sf, "events").select("user_id", "event_id", "event_type")
+        sinks.create(path, rows)
+        for part in range(3):
+            sinks.upsert(rows.filter(F.col("event_id") % 3 == part), path, ["user_id"], "event_id")
+        _upserted[key] = path
+    return _upserted[key]
+
+
 def upsert_in_batches(spark, sf):
-    """Events put over each other by user in three batches, read back."""
+    """The events after all batches."""
+    return sinks.read(spark, _batches(spark, sf))
+
+
+def upsert_past_version(spark, sf):
+    """The events after the first two batches: an earlier version of the same table."""
+    return sinks.read(spark, _batches(spark, sf), version=3)
+
+
+def upsert_compacted(spark, sf):
+    """The events after the deltas of another table have been merged, with a batch on top."""
     path, rows = new_folder(spark, "upsert"), table(spark, sf, "events").select("user_id", "event_id", "event_type")
-    sinks.create(path + "-empty", rows)
-    for part in range(3):
+    for part in range(2):
         sinks.upsert(rows.filter(F.col("event_id") % 3 == part), path, ["user_id"], "event_id")
-    return spark.read.parquet(path).select("user_id", "event_id", "event_type").unionByName(spark.read.parquet(path + "-empty"))
+    sinks.compact(spark, path)
+    sinks.upsert(rows.filter("event_id % 3 = 2"), path, ["user_id"], "event_id")
+    return sinks.read(spark, path)
 
 
 def vectors_upserted(spark, sf):
@@ -204,7 +230,7 @@ def vectors_upserted(spark, sf):
     path, rows = new_folder(spark, "points"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     sinks.upsert_vectors(rows.withColumn("written", F.lit(1)), path)
     sinks.upsert_vectors(rows.filter("label = 1").withColumns({"written": F.lit(2), "label": F.lit(-1)}), path)
-    return spark.read.parquet(path).select("id", F.col("label").cast("long").alias("label"), F.size("embedding").cast("long").alias("n"))
+    return sinks.read(spark, path).select("id", F.col("label").cast("long").alias("label"), F.size("embedding").cast("long").alias("n"))
 
 
 def attachments_saved(spark, sf):
@@ -324,6 +350,8 @@ SQL = {
     "explored_items": "SELECT l_orderkey::VARCHAR referenzvorlage, count(*) num_tops, count(DISTINCT l_suppkey) num_meetings FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-01-01' AND '1996-12-31' AND starts_with(l_suppkey::VARCHAR, '1') GROUP BY 1 HAVING count(*) >= 3",
     "value_counts": "SELECT c_mktsegment, count(*) n FROM customer WHERE c_mktsegment <> '' GROUP BY ALL ORDER BY n DESC, c_mktsegment LIMIT 20",
     "iso_times": "SELECT event_id, epoch(date_trunc('day', ts))::BIGINT of_day, epoch(date_trunc('second', ts))::BIGINT of_time, epoch(date_trunc('second', ts))::BIGINT - 7200 of_zone, true bad FROM events",
+    "upsert_past_version": "SELECT user_id, event_id, event_type FROM events WHERE event_id % 3 < 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "upsert_compacted": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "upsert_in_batches": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "vectors_upserted": "SELECT vec_id id, CASE WHEN label = 1 THEN -1 ELSE label END::BIGINT AS label, len(embedding) n FROM embeddings",
     "attachments_saved": f"WITH u AS (SELECT *, {_ROOT} || CASE WHEN p_partkey % 2 = 0 THEN 'getfile.asp?id=' || p_partkey || '&type=do' ELSE 'f' || p_partkey || '.docx' END url FROM part), k AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR ELSE substr(sha1(url), 1, 12) END id FROM u) SELECT {_PATH} AS path, id, CASE WHEN p_partkey % 2 = 0 THEN 'do' END AS type, CASE WHEN contains(url, '5') THEN 1 ELSE 2 END::BIGINT turn FROM k",
@@ -339,4 +367,4 @@ SQL = {
     "hashed_vectors": r"SELECT doc_id, 384::BIGINT n, CASE WHEN len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents",
 }
 
-QUERIES = {f.__name__: f for f in (agenda_items, proposal_pages, consultation_pages, committee_groups, attendance_rows, person_rows, multi_value_labels, protocol_choice, discovered_meetings, protocol_items, item_payload, item_records, explored_items, value_counts, iso_times, upsert_in_batches, vectors_upserted, attachments_saved, llm_log, ndjson_stream, delta_events, json_lines, pages_to_fetch, registered_functions, entity_files, manifest_lines, hidden_emails, hashed_vectors)}
+QUERIES = {f.__name__: f for f in (agenda_items, proposal_pages, consultation_pages, committee_groups, attendance_rows, person_rows, multi_value_labels, protocol_choice, discovered_meetings, protocol_items, item_payload, item_records, explored_items, value_counts, iso_times, upsert_in_batches, upsert_past_version, upsert_compacted, vectors_upserted, attachments_saved, llm_log, ndjson_stream, delta_events, json_lines, pages_to_fetch, registered_functions, entity_files, manifest_lines, hidden_emails, hashed_vectors)}

@@ -32,6 +32,16 @@ def numbers(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
 
 
+def draft(spark: SparkSession, path: str) -> str:
+    """The name of a folder for the next version, its number first, that no other writer has."""
+    return f"{max(numbers(spark, path), default=0) + 1}-{uuid.uuid4().hex}"
+
+
+def number(name: str) -> int:
+    """The number that a folder's name begins with."""
+    return int(name.split("-")[0])
+
+
 def read(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
     """What a version says, the latest one unless told otherwise; None before the first write."""
     known = numbers(spark, path)

@@ -141,17 +141,17 @@ def test_sinks_and_streams(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "k int, v string, at int")
     for batch in (rows((1, "a", 1), (2, "b", 1)), rows((1, "z", 2), (2, "old", 0), (3, "c", 1))):
         sinks.upsert(batch, str(tmp_path / "t"), ["k"], "at")
-    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "z"), (2, "b"), (3, "c")]
+    assert sorted((r.k, r.v) for r in sinks.read(spark, str(tmp_path / "t")).collect()) == [(1, "z"), (2, "b"), (3, "c")]
     sinks.log(rows((1, "a", 1)), str(tmp_path / "log"), ["k"])
     assert spark.read.json(str(tmp_path / "log")).first().v == "a"
     sinks.snapshots(rows((1, "a", 1)).withColumn("fetched_at", F.lit("2024-01-02 10:00:00").cast("timestamp")), str(tmp_path / "raw"))
     assert str(spark.read.parquet(str(tmp_path / "raw")).first().day) == "2024-01-02"
     sinks.append_new(rows((1, "a", 1)), str(tmp_path / "n"), ["k"])
     assert [r.k for r in sinks.append_new(rows((1, "z", 2), (3, "c", 1)), str(tmp_path / "n"), ["k"]).collect()] == [3]
-    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "n")).collect()) == [1, 3]
+    assert sorted(r.k for r in sinks.read(spark, str(tmp_path / "n")).collect()) == [1, 3]
     rows((5, "e", 1), (1, "q", 1)).write.parquet(str(tmp_path / "in"))
     streams.ingest(spark, str(tmp_path / "in"), "k int, v string, at int", str(tmp_path / "n"), str(tmp_path / "c"), ["k"]).awaitTermination()
-    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "n")).collect()) == [1, 3, 5]
+    assert sorted(r.k for r in sinks.read(spark, str(tmp_path / "n")).collect()) == [1, 3, 5]
 
 
 def test_models(spark):
