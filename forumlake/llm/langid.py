@@ -70,13 +70,13 @@ def held_out(parts: int, which: int):
 
 def sample(docs: DataFrame) -> DataFrame:
     """(lang, vector) of the sample: for each language the documents whose ids have the least hashes."""
-    known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out(3, 1)).select("doc_id", "lang")
+    known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out(3, 1)).select("doc_id", "lang").distinct()  # a document counts once, however often its row is repeated
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     each = F.greatest(F.lit(1), F.least(F.lit(PER_LANGUAGE), F.floor(F.lit(SAMPLE) / F.count("*").over(W.partitionBy())))).cast("long")
     sizes = sizes.withColumn("each", each)
     # Hashes are even, so that about MARGIN times as many as are wanted lie below the cut, and a language is never gathered.
     part = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))).cast("double") / (1 << 32)
-    few = known.join(sizes, "lang").filter(part * F.col("n") <= F.col("each") * MARGIN).select("doc_id", "lang", "each").distinct()
+    few = known.join(sizes, "lang").filter(part * F.col("n") <= F.col("each") * MARGIN).select("doc_id", "lang", "each")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), "doc_id"))
     chosen = few.withColumn("rank", rank).filter("rank <= each").select("doc_id", "lang")  # SAMPLE rows at most, and one for each language
 
@@ -86,6 +86,7 @@ def sample(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.binary())], ["doc_id", "lang", "vector"])
 
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").filter(F.col("text").rlike(r"\p{L}"))
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one row of each chosen document
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(read, "doc_id long, lang string, vector binary")
 
 

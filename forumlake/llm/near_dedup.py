@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 2) -> DataFrame:
     """The rows of docs that stay: of each group the document with the smallest id, once, of several texts that of the least hash; rows with a null doc_id all stay."""
     kept = near_duplicates(docs, width).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    named = docs.filter("doc_id IS NOT NULL").alias("d").join(kept.alias("k"), F.col("d.doc_id").cast("long") == F.col("k._kept_id"), "left_semi")
     whole = named.select("doc_id", F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
     once = whole.groupBy("doc_id").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*")
     return once.unionByName(docs.filter("doc_id IS NULL"))

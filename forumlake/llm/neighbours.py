@@ -109,11 +109,20 @@ class Block:
         self.sorted = np.frombuffer(sorted, dtype=np.float32).reshape(PROJECTIONS, -1)
         self.places = np.frombuffer(places, dtype=np.uint16).reshape(PROJECTIONS, -1)
         self.lines, self.width = lines(dimension), width
+        self.distinct, self.which = np.unique(self.ids, return_inverse=True)
 
-    def candidates(self, projected: np.ndarray) -> list[np.ndarray]:
-        """For each query, given its projections, the rows that collide with it in THRESHOLD arrays or more, as soon as they are as many as are wanted."""
-        n = len(self.ids)
-        target, width, active = wanted(n), self.width, np.arange(len(projected))
+    def _counts(self, counts: np.ndarray, query_id: int) -> np.ndarray:
+        """The collisions of each other id of the block: of a repeated one the most of its rows."""
+        of_id = np.zeros(len(self.distinct), dtype=counts.dtype)
+        np.maximum.at(of_id, self.which, counts)
+        return of_id[self.distinct != query_id]
+
+    def candidates(self, projected: np.ndarray, query_ids: np.ndarray) -> list[np.ndarray]:
+        """For each query, given its projections, the rows that collide with it in THRESHOLD arrays or more, as soon as they are as many as are wanted.
+
+        In a block with repeated ids the other ids are counted and not the rows."""
+        repeated = len(self.distinct) < len(self.ids)
+        target, width, active = wanted(len(self.ids)), self.width, np.arange(len(projected))
         found: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(projected)
         while len(active):
             at = projected[active].T.astype(np.float32)
@@ -124,9 +133,11 @@ class Block:
                 # A place below the window wraps round to a large number.
                 inside = (self.places - low[i, :, None].astype(np.uint16)) < size[i, :, None].astype(np.uint16)
                 counts = np.add.reduce(inside, axis=0, dtype=np.uint16)
-                if np.count_nonzero(counts >= THRESHOLD) >= target:
+                of_id = self._counts(counts, query_ids[q]) if repeated else counts
+                n, most = len(of_id), min(target, len(of_id))
+                if np.count_nonzero(of_id >= THRESHOLD) >= most:
                     # If the last widening let in many more, the highest threshold that leaves as many as are wanted.
-                    found[q] = np.flatnonzero(counts >= max(THRESHOLD, np.partition(counts, n - target)[n - target]))
+                    found[q] = np.flatnonzero(counts >= max(THRESHOLD, np.partition(of_id, n - most)[n - most])) if most else found[q]
                 else:
                     left.append(q)
             active, width = np.array(left, dtype=np.int64), width * RATIO
@@ -136,10 +147,11 @@ class Block:
         """Ids and scores of the nearest few for each query."""
         for a in range(0, len(queries), 256):
             some = slice(a, a + 256)
-            for rows, query_id, query, norm in zip(self.candidates((queries[some] / norms[some, None]) @ self.lines), query_ids[some], queries[some], norms[some]):
+            for rows, query_id, query, norm in zip(self.candidates((queries[some] / norms[some, None]) @ self.lines, query_ids[some]), query_ids[some], queries[some], norms[some]):
                 rows = rows[self.ids[rows] != query_id]
                 scores = (self.vectors[rows] * query).sum(axis=1) / (self.norms[rows] * norm)
-                best = np.lexsort((self.ids[rows], -scores))[:k]
+                best = np.lexsort((self.ids[rows], -scores))
+                best = best[np.sort(np.unique(self.ids[rows][best], return_index=True)[1])[:k]]  # the best row of each id
                 yield self.ids[rows][best], scores[best]
 
 

@@ -42,7 +42,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.filter("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
     short = docs.filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return short.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # bounded by the two limits
+    # One row of each chosen document, however often it is repeated: bounded by the two limits.
+    return short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def features(rows: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def test_few_are_verified(size):
         order = np.argsort(projected, axis=1)
         block = neighbours.Block(48, np.arange(size).tobytes(), vectors.tobytes(), np.take_along_axis(projected, order, axis=1).tobytes(), np.argsort(order, axis=1).astype(np.uint16).tobytes(), neighbours.first_width(projected))
         some = np.arange(0, size, size // 50)
-        found = block.candidates(unit[some] @ block.lines)
+        found = block.candidates(unit[some] @ block.lines, np.array(some))
         truth = np.argsort(-(unit[some] @ unit.T), axis=1)[:, 1:6]
         assert np.mean([len(set(t) & set(f)) / 5 for t, f in zip(truth, found)]) >= 0.9
         assert np.mean([len(f) for f in found]) <= 2.2 * max(neighbours.VERIFIED, neighbours.SHARE * size)
