@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys of a window of running sums.
+GROUP = 1024
 #: For split(): the separators between words.
 NOT_WORD = r"[\x20\x09-\x0D]+"
 
@@ -46,6 +49,20 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_earlier(counts: DataFrame, key: str, levels: int = 3) -> DataFrame:
+    """counts (key, n) with earlier, what the smaller keys count; keys are whole numbers, one row each.
+
+    Sums go over GROUP keys, then over GROUP such sums, and so on, so that no window holds all rows."""
+    if not levels:
+        return counts.withColumn("earlier", F.sum("n").over(W.orderBy(key)) - F.col("n"))
+    group = f"_group{levels}"
+    own = counts.withColumn(group, F.floor(F.col(key) / GROUP))
+    own = own.withColumn("_within", F.sum("n").over(W.partitionBy(group).orderBy(key)) - F.col("n"))
+    groups = with_earlier(own.groupBy(group).agg(F.sum("n").alias("n")), group, levels - 1)
+    found = own.join(groups.select(group, "earlier"), group)
+    return found.select(key, "n", (F.col("earlier") + F.col("_within")).alias("earlier"))
+
+
 def words(text):
     """Words of a text column; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), NOT_WORD), lambda w: w != "")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_earlier
 from .encode import encoder
 from .token_files import chunks
 
@@ -39,7 +39,7 @@ from .token_files import chunks
 #: A round takes the pieces of at least this share of the longest that waits; shorter ones fill what those leave.
 SHARE = 0.75
 #: Slots that are counted together, and documents of a window of slots at least.
-SLOTS, WINDOW = 16, 2048
+SLOTS, WINDOW = 64, 2048
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -158,11 +158,10 @@ def pack_in_order(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs, which have slot and place."""
     found = cut(pieces(docs, tokenizer, end_id, capacity, ("slot", "place")), "pieces")
     stretch = F.floor(F.col("slot") / SLOTS)
-    # A row for SLOTS blocks of documents; successive ones are a window from WINDOW documents on.
-    sizes = found.filter("piece = 0").groupBy(stretch.alias("stretch")).agg(F.count("*").alias("n")).toArrow().sort_by("stretch")
-    n = sizes.column("n").to_numpy()
-    windows = pa.table({"stretch": sizes.column("stretch"), "window": pa.array((np.cumsum(n) - n) // WINDOW, pa.int64())})
-    dealt = found.withColumn("stretch", stretch).join(F.broadcast(spark.createDataFrame(windows)), "stretch")
+    # A row for SLOTS units of documents; successive ones are a window from WINDOW documents on.
+    sizes = found.filter("piece = 0").groupBy(stretch.alias("stretch")).agg(F.count("*").alias("n"))
+    windows = with_earlier(cut(sizes, "stretches"), "stretch").select("stretch", F.floor(F.col("earlier") / WINDOW).alias("window"))
+    dealt = found.withColumn("stretch", stretch).join(windows, "stretch")
 
     def fit(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "start", "slot", "place"))])
@@ -180,8 +179,6 @@ def pack_in_order(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id:
 
     fitted = dealt.select("doc_id", "piece", "start", "length", "ids_crc32", "slot", "place", "window").groupBy("window").applyInArrow(fit, "doc_id long, piece int, start long, length long, ids_crc32 long, window long, sequence long, offset long")
     fitted = cut(fitted, "fitted")
-    opened = fitted.groupBy("window").agg((F.max("sequence") + 1).alias("n")).toArrow().sort_by("window")  # a row for each window
-    n = opened.column("n").to_numpy()
-    before = pa.table({"window": opened.column("window"), "before": pa.array(np.cumsum(n) - n, pa.int64())})
-    numbered = fitted.join(F.broadcast(spark.createDataFrame(before)), "window")
+    opened = cut(fitted.groupBy("window").agg((F.max("sequence") + 1).alias("n")), "windows")
+    numbered = fitted.join(with_earlier(opened, "window").select("window", F.col("earlier").alias("before")), "window")
     return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("sequence")).alias("sequence_id"), "offset")

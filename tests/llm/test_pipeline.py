@@ -37,7 +37,8 @@ def test_odd_rows(spark, odd, marks, tmp_path):
 
 
 def test_sequences_follow_the_mixture(spark, monkeypatch):
-    monkeypatch.setattr(C.mixing, "BLOCK", 2)
+    monkeypatch.setattr(C.mixing, "UNIT", 2)
+    monkeypatch.setattr(C.packing, "SLOTS", 16)
     monkeypatch.setattr(C.packing, "WINDOW", 64)
     sizes = {"a": 1600, "b": 400, "c": 100}  # weights 4, 2 and 1 by size ** 0.5
     docs = [(f"{s}{i}", s, 5 + {"a": 300, "b": 150, "c": 20}[s] + i * 7 % 90) for s, n in sizes.items() for i in range(n)]
@@ -50,3 +51,12 @@ def test_sequences_follow_the_mixture(spark, monkeypatch):
     for n in (150, 300, 450, 600):
         for source, weight in {"a": 4 / 7, "b": 2 / 7, "c": 1 / 7}.items():
             assert abs((sources[:n] == source).sum() - n * weight) <= 40  # much of one window of 64
+
+
+def test_running_sums_without_one_window(spark, monkeypatch):
+    from forumlake.llm import common
+
+    monkeypatch.setattr(common, "GROUP", 3)
+    counts = {k * k % 97 + 100 * (k % 7): k % 5 + 1 for k in range(90)}
+    found = common.with_earlier(spark.createDataFrame(list(counts.items()), "key long, n long"), "key").collect()
+    assert {r.key: r.earlier for r in found} == {k: sum(n for i, n in counts.items() if i < k) for k in counts}

@@ -195,19 +195,18 @@ def edf(weights, slots):
 
 
 @pytest.mark.parametrize("weights", [[1], [9, 1], [5, 3, 2], [1, 1, 1, 1], [7, 0, 2], [13, 8, 5, 3, 2, 1, 1]])
-def test_period_equals_brute_force(weights):
-    exact = [Fraction(w) for w in weights]
-    total = sum(weights)
-    slots = mixing.period(mixing.parts(weights), [total] * len(weights))
-    of = {t: i for i, own in enumerate(slots) for t in own}
-    assert [of[t] for t in range(total // math.gcd(*weights))] == edf(exact, total // math.gcd(*weights))
-    few = mixing.period(mixing.parts(weights), [1] * len(weights))
-    assert all(own[: len(x)] == x and len(x) >= 1 for own, x in zip(slots, few) if own)
+def test_schedule_equals_brute_force(weights):
+    total = sum(weights) // math.gcd(*weights)
+    length, plans = mixing.schedules(mixing.whole(weights), [total] * len(weights))
+    assert length == total
+    of = {t: i for i, own in enumerate(plans) for t in own.slots}
+    assert [of[t] for t in range(total)] == edf([Fraction(w) for w in weights], total)
+    assert mixing.in_turn(mixing.whole(weights), 3 * total) == [[t + k * total for k in range(3) for t in own.slots] for own in plans]
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, None: 0.2}, {"a": 1.0}])
 def test_mixing(spark, monkeypatch, weights):
-    monkeypatch.setattr(mixing, "BLOCK", 2)
+    monkeypatch.setattr(mixing, "UNIT", 2)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
     monkeypatch.setattr(mixing, "STRETCH", 4)
     sizes = {"a": 300, "b": 150, "c": 41, None: 77}
@@ -242,37 +241,62 @@ def test_query_equals_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").toPandas()
     sizes = docs.source.value_counts().sort_index()
     assert sorted(found.doc_id) == sorted(docs.doc_id)
-    of = edf(mixing.parts([n**0.5 for n in sizes]), 2000)
+    of = edf(mixing.whole([n**0.5 for n in sizes]), 2000)
     places = collections.defaultdict(list)
     for t, i in enumerate(of):
         places[sizes.index[i]].append(t)
     for source, own in found.groupby("source"):
         n = len(own)
-        assert sorted(zip(own.block, own.place)) == [(k // mixing.BLOCK, k % mixing.BLOCK) for k in range(n)]
+        assert sorted(zip(own.block, own.place)) == [(k // mixing.UNIT, k % mixing.UNIT) for k in range(n)]
         assert (own.slot == [places[source][b] for b in own.block]).all()
 
 
-def test_lag_below_one_block_of_the_weights_given():
-    rng = random.Random(3)
-    for weights in ([0.9, 0.1], [0.5] + [0.5 / 19] * 19, [3, 1, 0, 2.5], [0.25, 0.25, 0.125, 0.375], [rng.randint(1, 999) / 1000 for _ in range(30)]):
-        of = mixing.parts(weights)
-        length, total = sum(of), sum(weights)
-        slots = mixing.period(of, of)
-        assert sorted(t for own in slots for t in own) == list(range(length))
-        for own, w, q in zip(slots, weights, of):
-            assert (q == 0) == (w == 0) and q / length == pytest.approx(w / total, abs=1e-6)
-            for frame in range(10):
-                for j, t in enumerate(own):
-                    done, at = frame * q + j, frame * length + t
-                    assert -1 < done - w / total * at and done + 1 - w / total * (at + 1) < 1 + 1e-9
+def deviation(weights, plan, length, unit):
+    """How far a source of a weight is off, in units, before and after a unit, by exact fractions."""
+    share = weights[0] / sum(weights, Fraction(0))
+    slot = plan.slot(unit, length)
+    done = sum(1 for t in plan.free if t < slot)
+    done += min(plan.regular, slot // length * plan.parts + sum(t < slot % length for t in plan.slots)) if plan.parts else 0
+    return max(abs(done - share * slot), abs(done + 1 - share * (slot + 1)))
+
+
+@pytest.mark.parametrize("sizes", [[1_000_003, 777, 12_345], [400_000_000, 9, 31_337, 5_000_001], [10**9, 10**6, 10**3, 3, 2]])
+def test_less_than_a_block_off_the_weights_after_many_slots(sizes):
+    """By the square roots themselves, after up to 10 ** 8 slots and more: less than the four units of a block."""
+    weights = [n**0.5 for n in sizes]
+    exact, units, rng = [Fraction(repr(w)) for w in weights], [-(-n // mixing.UNIT) for n in sizes], random.Random(2)
+    length, plans = mixing.schedules(mixing.whole(weights), units)
+    furthest = 0
+    for i, (plan, n) in enumerate(zip(plans, units)):
+        assert plan.regular + len(plan.free) == n and plan.free == sorted(plan.free)
+        for unit in {0, n - 1, plan.regular - 1 if plan.regular else 0, *(rng.randrange(n) for _ in range(20))}:
+            assert deviation([exact[i], *exact[:i], *exact[i + 1 :]], plan, length, unit) < 3
+            furthest = max(furthest, plan.slot(unit, length))
+    assert furthest > sum(units) / 2
+
+
+def test_every_slot_is_given_once_and_small_weights_are_not_lifted(monkeypatch):
+    monkeypatch.setattr(mixing, "PARTS", 64)
+    for weights in ([2**0.5, 3**0.5, 5**0.5, 0.0, 1e-3], [1.0, 1e-9, 7**0.5], [rng / 997 for rng in range(1, 30)]):
+        exact = [Fraction(repr(float(w))) for w in weights]
+        units = [int(3000 * w / sum(weights)) for w in weights]
+        length, plans = mixing.schedules(mixing.whole(weights), units)
+        slots = [[p.slot(u, length) for u in range(p.regular + len(p.free))] for p in plans]
+        assert [len(x) for x in slots] == [n if w else 0 for n, w in zip(units, weights)]
+        every = sorted(t for own in slots for t in own)
+        assert len(every) == len(set(every)) and every[:2500] == list(range(2500))
+        for own, w in zip(slots, exact):
+            own, done = set(own), 0
+            for t in range(2500):
+                done += t in own
+                assert abs(done - w / sum(exact) * (t + 1)) < 3
 
 
 def test_many_sources_in_bounded_time():
     rng, began = random.Random(1), time.time()
-    weights = [rng.random() for _ in range(100_000)]
-    of = mixing.parts(weights)
-    slots = mixing.period(of, of)
-    assert min(of) >= 1 and sum(map(len, slots)) == sum(of) <= mixing.PARTS + len(weights) and time.time() - began < 60
+    weights = [rng.random() for _ in range(20_000)]
+    length, plans = mixing.schedules(mixing.whole(weights), [50] * len(weights))
+    assert all(p.regular + len(p.free) == 50 for p in plans) and length == mixing.PARTS and time.time() - began < 60
 
 
 def test_language_held_out(spark):
