@@ -14,7 +14,7 @@ from ..api import Engine
 from ..functions import registered
 from ..functions import text as X
 from ..operators import minutes, models, party_tables, proposals
-from ..sources import html_tables, pages, readers, sinks
+from ..sources import fetching, html_tables, pages, readers, sinks
 from ..sources.store import new_folder
 from ..streaming import streams
 from .relations import _items
@@ -289,6 +289,17 @@ def pages_to_fetch(spark, sf):
     return streams.fresh(rows, cached, ["page_id"], 31).select("page_id")
 
 
+def fetched_pages(spark, sf):
+    """Pages fetched through a cache in two runs from a recording that has some missing and some with an error: the second run asks again for these only."""
+    pages = table(spark, sf, "pages")
+    status = F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
+    said = pages.filter("page_id % 7 <> 0").select("url", status.alias("status"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"))
+    urls, cache = pages.select("url"), new_folder(spark, "cache")
+    fetching.fetch_cached(urls.join(pages.filter("page_id % 2 = 0").select("url"), "url", "left_semi"), cache, 31, fetching.recorded(said))
+    found = fetching.fetch_cached(urls, cache, 31, fetching.recorded(said))
+    return found.select("url", F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("error", F.lit("")).alias("error"), "from_cache", F.coalesce(F.length("text"), F.lit(-1)).cast("long").alias("n_chars"))
+
+
 def registered_functions(spark, sf):
     """The text functions from SQL."""
     registered.register(spark)
@@ -360,6 +371,7 @@ SQL = {
     "delta_events": "SELECT conv_id AS stream, turn::BIGINT ord, 'response.delta' AS type, text FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, 'response.completed', string_agg(text, '' ORDER BY turn) FROM conversations GROUP BY conv_id",
     "json_lines": "SELECT to_json(struct_pack(n_nationkey := n_nationkey, n_name := n_name, n_regionkey := n_regionkey))::VARCHAR AS value FROM nation",
     "pages_to_fetch": "SELECT page_id FROM pages WHERE page_id % 3 <> 1",
+    "fetched_pages": "WITH u AS (SELECT url, bool_or(page_id % 2 = 0) early, bool_or(page_id % 7 <> 0) AS known FROM pages GROUP BY url), p AS (SELECT url, any_value(CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END)::INTEGER status, any_value(length(coalesce(html, ''))) n FROM pages WHERE page_id % 7 <> 0 GROUP BY url) SELECT url, coalesce(status, 0)::INTEGER status, CASE WHEN status IS NULL THEN 'not recorded' WHEN status = 404 THEN 'status 404' ELSE '' END error, early AND coalesce(status = 200, false) from_cache, CASE WHEN status = 200 THEN n ELSE -1 END n_chars FROM u LEFT JOIN p USING (url)",
     "registered_functions": r"SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '…' ELSE text END snippet, substr(sha1(text), 1, 12) short, trim(regexp_replace(text, '[\s\x0B\x85\p{Z}]+', ' ', 'g')) clean FROM documents",
     "entity_files": "SELECT n_nationkey, n_name, n_regionkey region, '-' other FROM nation",
     "manifest_lines": "SELECT 's' || s_suppkey || '.pdf' file, 'https://x/' || s_suppkey url, '2024-01-01' retrieval_date FROM supplier",
@@ -367,4 +379,4 @@ SQL = {
     "hashed_vectors": r"SELECT doc_id, 384::BIGINT n, CASE WHEN len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents",
 }
 
-QUERIES = {f.__name__: f for f in (agenda_items, proposal_pages, consultation_pages, committee_groups, attendance_rows, person_rows, multi_value_labels, protocol_choice, discovered_meetings, protocol_items, item_payload, item_records, explored_items, value_counts, iso_times, upsert_in_batches, upsert_past_version, upsert_compacted, vectors_upserted, attachments_saved, llm_log, ndjson_stream, delta_events, json_lines, pages_to_fetch, registered_functions, entity_files, manifest_lines, hidden_emails, hashed_vectors)}
+QUERIES = {f.__name__: f for f in (agenda_items, proposal_pages, consultation_pages, committee_groups, attendance_rows, person_rows, multi_value_labels, protocol_choice, discovered_meetings, protocol_items, item_payload, item_records, explored_items, value_counts, iso_times, upsert_in_batches, upsert_past_version, upsert_compacted, vectors_upserted, attachments_saved, llm_log, ndjson_stream, delta_events, json_lines, pages_to_fetch, fetched_pages, registered_functions, entity_files, manifest_lines, hidden_emails, hashed_vectors)}
