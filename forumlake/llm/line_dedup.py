@@ -2,13 +2,11 @@
 
 A line goes down a tree of fixed depth: the count of its tokens, then its leading
 token, where a token with a digit is a variable field. At a leaf a line's tokens
-are dealt into CELLS cells of neighbours; a template is a line at the leaf in
-which up to VARIABLE cells may differ and become fields as well. Lines that
-differ in no more cells agree in one of VARIABLE + 1 groups of cells, so a line
-has a key for the leaf with each group, and one for all its tokens; the first
-line of a key is its template, and the others with that key are held against it
-cell by cell. So two lines are one template only if they agree over the whole
-line. A template recurs if so many documents have it:
+are dealt into CELLS cells of neighbours; a template is what a line has in all
+cells but VARIABLE, which become fields as well. A line has a template for each
+choice of these cells, so that a leaf holds any number of templates and lines
+that agree meet whatever else is there. A template recurs if so many documents
+have it:
 
 * lines under SHORT_TOKENS tokens, which must agree in all: SHORT_DOCUMENTS
 * lines under LONG_TOKENS: three, or two that agree token by token
@@ -16,9 +14,15 @@ line. A template recurs if so many documents have it:
 
 Lines with few tokens that aren't fields, such as rows of numbers, only recur as
 they are. Of the lines of a recurring template the first stays, or none without
-keep_first. Keys are 64-bit hashes, counted with partial aggregates; no leaf and
-no template is ever gathered, and what the documents are joined with is the list
-of their dropped lines.
+keep_first: a line goes if one before it shares a recurring template. Lines that
+differ in VARIABLE cells at most agree in one of VARIABLE + 1 groups of cells, so
+keys of the leaf with each group tell in a first pass which lines can have a
+template in common. Lines with equal cells are one class, of which the first
+place and the first three documents stand for all; only classes that share a
+group with another one get a key for each choice of cells. Keys are 64-bit
+hashes, counted with partial aggregates; no leaf and no template is ever
+gathered, and what the documents are joined with is the list of their dropped
+lines.
 
 without_recurring_lines, the pipeline's stage, also leaves out the documents of
 which that leaves hardly anything: copies of others, line by line.
@@ -34,11 +38,14 @@ replaces an input column named n_dropped_lines.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import cut, words
 from .ngrams import NOT_SPACE, mixed, powers, slices, spans
@@ -60,9 +67,9 @@ _SHORT, _FEW, _MIDDLE, _LONG = range(4)
 
 
 def line_keys(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, line in the row) of every line, (line's place among them, key) of every key, and a signature of each line.
+    """(row, line in the row) of every line, (line's place among them, key) of every key, those of whole lines first, and a signature and the leaf of each line.
 
-    A signature is four bytes for the tokens as they are and two for each cell."""
+    A signature is four bytes for the tokens as they are and two for each cell. The leaf is 0 for lines that have no cells."""
     starts, ends, hashes = spans(text, offsets, NOT_SPACE)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[text])])
     field = digits[ends] > digits[starts]
@@ -87,12 +94,13 @@ def line_keys(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     exact = run(first, first + n, plain)
     whole = np.where(general, run(first, first + n), mixed(exact ^ np.uint64(0xA0761D6478BD642F)))
     kind = np.select([n < SHORT_TOKENS, n < CELLS, n < LONG_TOKENS], [_SHORT, _FEW, _MIDDLE], _LONG).astype(np.uint64)
-    at, keys = [np.arange(len(n))], [whole]
+    at, keys, leaves = [np.arange(len(n))], [whole], np.zeros(len(n), dtype=np.uint64)
     cells = np.minimum(n, CELLS)
     for chosen, groups in ((general & (n >= SHORT_TOKENS) & (n < CELLS), VARIABLE_SHORT + 1), (general & (n >= CELLS), VARIABLE + 1)):
         where = np.flatnonzero(chosen)
         a, m, c = first[where], n[where], cells[where]
         leaf = mixed(masked[a] * np.uint64(0xD6E8FEB86659FD93) + m.astype(np.uint64))
+        leaves[where] = leaf | np.uint64(1)
         for g in range(groups):
             low, high = (x * m // c for x in (g * c // groups, (g + 1) * c // groups))
             at.append(where)
@@ -105,7 +113,7 @@ def line_keys(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     where = np.flatnonzero(general & (n >= SHORT_TOKENS))
     bounds = np.minimum(np.arange(CELLS + 1)[None, :], cells[where, None]) * n[where, None] // cells[where, None] + first[where, None]
     signature[where, 2:] = (run(bounds[:, :-1], bounds[:, 1:]) >> np.uint64(48)).astype("<u2")
-    return row, line, at, keys, signature
+    return row, line, at, keys, signature, leaves.view(np.int64)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -118,7 +126,7 @@ def keys_of_documents(docs: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, text, offsets in slices(batch.column("text"), lower=False):
-                row, _, at, keys, _ = line_keys(text, offsets)
+                row, _, at, keys, *_ = line_keys(text, offsets)
                 order = np.lexsort((keys, row[at]))
                 keys, row = keys[order], row[at][order]
                 new = np.ones(len(keys), dtype=bool)
@@ -129,43 +137,85 @@ def keys_of_documents(docs: DataFrame) -> DataFrame:
 
 
 def keys_of_lines(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text_hash, line, signature) of every key of every line."""
+    """(key, doc_id, text_hash, line, signature, leaf, whole) of every key of every line."""
+    names = ["key", "doc_id", "text_hash", "line", "signature", "leaf", "whole"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, text, offsets in slices(batch.column("text"), lower=False):
-                row, line, at, keys, signature = line_keys(text, offsets)
+                row, line, at, keys, signature, leaf = line_keys(text, offsets)
                 of, size = pa.array(row[at] + start), signature.itemsize * signature.shape[1]
                 ends = np.arange(len(at) + 1, dtype=np.int32) * size
                 taken = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(signature[at]))])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("doc_id").take(of), batch.column("text_hash").take(of), pa.array(line[at].astype(np.int32)), taken], ["key", "doc_id", "text_hash", "line", "signature"])
+                whole = pa.array(np.arange(len(at)) < len(row))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("doc_id").take(of), batch.column("text_hash").take(of), pa.array(line[at].astype(np.int32)), taken, pa.array(leaf[at]), whole], names)
 
-    return _rows(docs).mapInArrow(find, "key long, doc_id long, text_hash long, line int, signature binary")
+    return _rows(docs).mapInArrow(find, "key long, doc_id long, text_hash long, line int, signature binary, leaf long, whole boolean")
+
+
+def _templates(classes: DataFrame) -> DataFrame:
+    """(template, class, kind, first) of classes (class, kind, leaf, cells, first): one for each choice of the cells that may vary."""
+    pairs = list(combinations(range(CELLS), VARIABLE))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), dtype="<u2").reshape(-1, CELLS).astype(np.uint64)
+            leaf, kind = batch.column("leaf").to_numpy().view(np.uint64), batch.column("kind").to_numpy()
+            each = mixed((cells + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + np.arange(CELLS, dtype=np.uint64) * _FIELD)
+            all_ = mixed(leaf) + each.sum(axis=1, dtype=np.uint64)
+            at, found = [], []
+            for chosen, choices in ((np.flatnonzero(kind == _FEW), [(c,) for c in range(CELLS)]), (np.flatnonzero(kind != _FEW), pairs)):
+                for number, left_out in enumerate(choices, 1):
+                    at.append(chosen)
+                    found.append(mixed(all_[chosen] - each[chosen][:, left_out].sum(axis=1, dtype=np.uint64) + np.uint64(number * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)))
+            at, found = pa.array(np.concatenate(at)), pa.array(np.concatenate(found).view(np.int64))
+            yield pa.RecordBatch.from_arrays([found, *(batch.column(c).take(at) for c in ("class", "kind", "first"))], ["template", "class", "kind", "first"])
+
+    return classes.select("class", "kind", "leaf", "cells", "first").mapInArrow(choose, "template long, class long, kind int, first struct<doc_id:long,text_hash:long,line:int>")
+
+
+_LEAST = "CASE kind WHEN 0 THEN {} WHEN 3 THEN 2 ELSE 3 END"
+
+
+def _recurring(documents: DataFrame, *by: str, least: str) -> DataFrame:
+    """The values of by that so many distinct documents have, of (by, kind, document)."""
+    return documents.select(*by, "kind", "document").distinct().groupBy(*by, "kind").agg(F.count("*").alias("n")).filter(f"n >= {least}").select(*by)
 
 
 def dropped_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     """(doc_id, text_hash, drop): the places of the lines that go, for the documents that lose any."""
-    kind = F.col("key").bitwiseAND(F.lit(3))
+    kind = F.col("key").bitwiseAND(F.lit(3)).cast("int")
     counts = keys_of_documents(docs).groupBy("key").agg(F.count("*").alias("n"))
     recurring = counts.filter(F.col("n") >= F.when(kind == _SHORT, SHORT_DOCUMENTS).otherwise(2)).select("key")
-    met = cut(keys_of_lines(docs).join(recurring, "key"), "lines")
-    firsts = met.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "line", "signature")).alias("first"))
-
-    part = lambda x, c: F.substring(x, 5 + 2 * c, 2)
-    differ = sum((part(F.col("signature"), c) != part(F.col("first.signature"), c)).cast("int") for c in range(CELLS))
-    same_document = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    likes = met.join(firsts, "key").withColumn("kind", kind)
-    likes = likes.filter(differ <= F.when(F.col("kind") == _FEW, VARIABLE_SHORT).otherwise(VARIABLE))
-    likes = likes.select("key", "kind", "doc_id", "text_hash", "line", (~same_document).alias("other"), (same_document & (F.col("line") == F.col("first.line"))).alias("is_first"), (F.substring("signature", 1, 4) == F.substring("first.signature", 1, 4)).alias("exact"))
-    document = F.when(F.col("other"), F.struct("doc_id", "text_hash"))
-    of_key = likes.groupBy("key").agg((~F.min(document).eqNullSafe(F.max(document))).alias("three"), F.max("other").alias("two"), F.max(F.col("other") & F.col("exact")).alias("equal"))
-    short = likes.filter(F.col("kind") == _SHORT).select("key", "doc_id", "text_hash").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    recur = of_key.join(short, "key", "left")
-    goes = F.when(F.col("kind") == _SHORT, F.col("n") >= SHORT_DOCUMENTS).when(F.col("kind") == _LONG, F.col("two")).otherwise(F.col("three") | (F.col("equal") & F.col("exact")))
-    gone = likes.join(recur, "key").filter(goes)
-    if keep_first:
-        gone = gone.filter("NOT is_first")
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drop"))
+    met = cut(keys_of_lines(docs).join(recurring, "key"), "lines").withColumn("kind", kind)
+    met = met.withColumns({"place": F.struct("doc_id", "text_hash", "line"), "document": F.struct("doc_id", "text_hash")})
+    after = (lambda first: F.col("place") > first) if keep_first else (lambda first: F.lit(True))
+    least = _LEAST.format(SHORT_DOCUMENTS)
+    gone = []
+
+    # Lines that agree in all tokens that aren't fields, and in all tokens.
+    lines = met.filter("whole").withColumn("exact", F.substring("signature", 1, 4))
+    for by, some, enough in ((["key"], lines, least), (["key", "exact"], lines.filter(F.col("kind").isin(_FEW, _MIDDLE)), "2")):
+        firsts = some.groupBy(*by).agg(F.min("place").alias("first")).join(_recurring(some, *by, least=enough), by)
+        gone.append(some.join(firsts, by).filter(after(F.col("first"))).select("doc_id", "text_hash", "line"))
+
+    # Classes that share a group of cells with another one, and their templates.
+    general = met.filter("leaf <> 0").withColumn("cells", F.substring("signature", 5, 2 * CELLS)).withColumn("class", F.xxhash64("leaf", "cells"))
+    groups = general.filter("NOT whole").groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
+    near = cut(general.filter("NOT whole").join(groups, "key").select("class", "kind", "leaf", "cells", "place", "document"), "near")
+    classes = near.groupBy("class", "kind", "leaf", "cells").agg(F.min("place").alias("first"))
+    # A class's first three documents tell whether its templates have three.
+    rank = F.row_number().over(W.partitionBy("class").orderBy("document"))
+    few = near.select("class", "document").distinct().withColumn("rank", rank).filter("rank <= 3").drop("rank")
+    templates = cut(_templates(classes), "templates")
+    shared = templates.groupBy("template").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("first").alias("begins")).filter("low <> high").select("template", "begins")
+    templates = cut(templates.select("template", "class", "kind").join(shared, "template"), "shared")
+    recur = _recurring(templates.join(few, "class"), "template", least=least)
+    reach = templates.join(recur, "template").groupBy("class").agg(F.min("begins").alias("first"))
+    gone.append(near.join(reach, "class").filter(after(F.col("first"))).select("place.*"))
+    return reduce(DataFrame.unionByName, gone).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drop"))
 
 
 def drop_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:

@@ -113,26 +113,22 @@ reach AS (SELECT doc_id id, doc_id root FROM documents UNION SELECT e.b, reach.r
 m AS (SELECT id, min(root) component_id FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
-#: Keys as strings in place of hashes, cells as strings in place of signatures.
+#: Templates as strings in place of hashes: whole lines, lines token by token, and each choice of the cells that may vary.
 LINES_SQL = r"""WITH l AS (SELECT doc_id, unnest(range(0, len(x))) line, unnest(x) v FROM (SELECT doc_id, string_split(text, chr(10)) x FROM documents)),
 t AS (SELECT doc_id, line, list_filter(regexp_split_to_array(v, '[\x20\x09-\x0D]+'), lambda w: w <> '') w FROM l),
-m AS (SELECT doc_id, line, w, doc_id * 1000000 + line place, len(w) n, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) t, len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9]'))) f FROM t),
-h AS (SELECT *, f >= 3 AND 2 * f >= n AS general, CASE WHEN n < 8 THEN 0 WHEN n < 10 THEN 1 WHEN n < 20 THEN 2 ELSE 3 END kind, least(n, 10) c FROM m WHERE n >= 3 OR f > 0),
-c AS (SELECT *, CASE WHEN general AND n >= 8 THEN list_transform(range(0, c), lambda i: array_to_string(t[i * n // c + 1:(i + 1) * n // c], ' ')) ELSE [] END cells FROM h),
-k AS (SELECT doc_id, place, kind, unnest(list_concat(
-  [CASE WHEN general THEN '=' || array_to_string(t, ' ') ELSE '!' || array_to_string(w, ' ') END],
-  CASE WHEN general AND n >= 10 THEN list_transform(range(0, 3), lambda g: concat_ws('|', n, t[1], g, array_to_string(t[g * 10 // 3 * n // 10 + 1:(g + 1) * 10 // 3 * n // 10], ' ')))
-  WHEN general AND n >= 8 THEN list_transform(range(0, 2), lambda g: concat_ws('|', n, t[1], g, array_to_string(t[g * n // 2 + 1:(g + 1) * n // 2], ' '))) ELSE [] END)) k FROM c),
-g AS (SELECT k, min(place) first FROM k GROUP BY k, kind HAVING count(DISTINCT doc_id) >= CASE kind WHEN 0 THEN 10 ELSE 2 END),
-p AS (SELECT k.k, k.place, k.kind, a.doc_id, a.doc_id <> b.doc_id AS other, a.place = b.place AS is_first, a.w = b.w AS exact, len(list_filter(range(1, len(a.cells) + 1), lambda i: a.cells[i] <> b.cells[i])) differ
-  FROM k JOIN g USING (k) JOIN c a ON a.place = k.place JOIN c b ON b.place = g.first),
-q AS (SELECT * FROM p WHERE differ <= CASE kind WHEN 1 THEN 1 ELSE 2 END),
-v AS (SELECT k, count(DISTINCT doc_id) docs, bool_or(other AND exact) equal FROM q GROUP BY k),
-d AS (SELECT DISTINCT place FROM q JOIN v USING (k) WHERE NOT is_first AND CASE kind WHEN 0 THEN docs >= 10 WHEN 3 THEN docs >= 2 ELSE docs >= 3 OR (equal AND exact) END),
+m AS (SELECT doc_id, doc_id * 1000000 + line place, w, len(w) n, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) t, len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9]'))) f FROM t),
+h AS (SELECT *, f >= 3 AND 2 * f >= n AS general, CASE WHEN n < 8 THEN 10 WHEN n < 20 THEN 3 ELSE 2 END least, least(n, 10) c FROM m WHERE n >= 3 OR f > 0),
+c AS (SELECT *, list_transform(range(0, c), lambda i: array_to_string(t[i * n // c + 1:(i + 1) * n // c], ' ')) cells FROM h WHERE general AND n >= 8),
+o AS (SELECT a.i, b.i j FROM range(0, 10) a(i), range(0, 10) b(i) WHERE a.i < b.i),
+k AS (SELECT doc_id, place, least, CASE WHEN general THEN '=' || array_to_string(t, ' ') ELSE '!' || array_to_string(w, ' ') END k FROM h
+  UNION ALL SELECT doc_id, place, 2, '"' || array_to_string(w, ' ') FROM h WHERE n >= 8
+  UNION ALL SELECT doc_id, place, least, concat_ws('|', n, t[1], i, array_to_string(list_transform(cells, lambda x, p: CASE WHEN p = i + 1 THEN '' ELSE x END), '|')) FROM c JOIN range(0, 9) r(i) ON n < 10 AND i < c.c
+  UNION ALL SELECT doc_id, place, least, concat_ws('|', n, t[1], i, j, array_to_string(list_transform(cells, lambda x, p: CASE WHEN p = i + 1 OR p = j + 1 THEN '' ELSE x END), '|')) FROM c JOIN o ON n >= 10),
+g AS (SELECT k, min(place) first FROM k GROUP BY k, least HAVING count(DISTINCT doc_id) >= least),
+d AS (SELECT DISTINCT place FROM k JOIN g USING (k) WHERE place > first),
 s AS (SELECT l.doc_id, coalesce(string_agg(v, chr(10) ORDER BY l.line) FILTER (d.place IS NULL), '') AS text, count(d.place) n FROM l LEFT JOIN d ON d.place = l.doc_id * 1000000 + l.line GROUP BY l.doc_id)
 SELECT d.doc_id, s.text, coalesce(s.n, 0) AS n_dropped_lines FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id"""
 
-
 #: Nodes of a level make the next one's; a row's way goes up the tries of its source and of the sources. CRC-32 bit by bit.
 MERKLE_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') head, text,
   list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_prepend(ascii(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))), lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) crc FROM documents),
