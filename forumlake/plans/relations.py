@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import fusion, minutes, parties, proposals, sequences
 from ..streaming import streams
+from ..sources.store import new_folder
 from .search import table
 
 
@@ -111,6 +112,15 @@ def history_window_20(spark, sf):
     return sequences.last_rows(table(spark, sf, "conversations"), "conv_id", "turn", 20).select("conv_id", "turn", "role")
 
 
+def kept_conversations(spark, sf):
+    """The last three turns of all conversations, as a stream over them keeps them in its state, which is read back."""
+    folder, rows = new_folder(spark, "conversations"), table(spark, sf, "conversations")
+    rows.write.parquet(f"{folder}/turns")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/turns")
+    streams.keep_history(stream, f"{folder}/state", 3).awaitTermination()
+    return streams.kept_history(spark, f"{folder}/state").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
+
+
 def next_word_lead(spark, sf):
     words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("ord", "word"))
     found = sequences.next_value(words, "doc_id", "ord", "word", "next").filter("word = 'the'")
@@ -163,10 +173,11 @@ SQL = {
     "section_forward_fill": "SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS section FROM events",
     "page_sessionise": "WITH n AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT item FROM conversations), g AS (SELECT conv_id, item, min(turn) AS first, max(turn) AS last, list(text ORDER BY turn) p FROM n WHERE item > 0 GROUP BY ALL) SELECT conv_id, item, first, last, p[1] || coalesce(array_to_string(p[2:], ' '), '') body FROM g",
     "history_window_20": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20",
+    "kept_conversations": "SELECT conv_id, turn, role, length(text) n_chars FROM (SELECT DISTINCT * FROM conversations) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 3",
     "next_word_lead": "WITH w AS (SELECT doc_id, unnest(range(0, len(w))) ord, unnest(w) word FROM (SELECT doc_id, string_split(text, ' ') w FROM documents)), l AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY ord) AS next FROM w) SELECT doc_id, ord, next FROM l WHERE word = 'the'",
     "latest_by_key_upsert": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "stream_tokens": "SELECT conv_id AS stream, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY ALL",
     "minutes_markers": "WITH w AS (SELECT doc_id::VARCHAR doc, unnest(range(0, len(w))) ord, unnest(w) AS text FROM (SELECT doc_id, string_split(replace(text, 'the ', 'Tagesordnungspunkt '), ' ') w FROM documents)) SELECT doc, ord, text FROM w WHERE starts_with(lower(text), 'tagesordnungspunkt') QUALIFY row_number() OVER (PARTITION BY doc ORDER BY ord) = 1",
 }
 
-QUERIES = {f.__name__: f for f in (party_dimension_lookup, label_value_multimap, german_date_parse, json_payload_extract, terms_agg, label_variants, distinct_pairs, distinct_count, regex_filter, ref_rollup_min_count, committee_rollup, graph_nodes, graph_edges, typed_graph_edges, inner_join_match_rate, incremental_left_anti, first_wins, section_forward_fill, page_sessionise, history_window_20, next_word_lead, latest_by_key_upsert, stream_tokens, minutes_markers)}
+QUERIES = {f.__name__: f for f in (party_dimension_lookup, label_value_multimap, german_date_parse, json_payload_extract, terms_agg, label_variants, distinct_pairs, distinct_count, regex_filter, ref_rollup_min_count, committee_rollup, graph_nodes, graph_edges, typed_graph_edges, inner_join_match_rate, incremental_left_anti, first_wins, section_forward_fill, page_sessionise, history_window_20, kept_conversations, next_word_lead, latest_by_key_upsert, stream_tokens, minutes_markers)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window as W
 
 from ..sources.sinks import append_new
@@ -19,22 +20,57 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def history(messages: DataFrame, n: int = 20) -> DataFrame:
-    """Of a stream (conv_id, turn, role, text): after each batch the last n turns of the conversations it touched."""
+#: The state store that keeps lists and timers.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_TURNS = "turn long, role string, text string"
 
-    def keep(key, frames, state):
+
+class _LastTurns(StatefulProcessor):
+    """Keeps the last n turns of a conversation; the store forgets them when they haven't been written for so many milliseconds."""
+
+    def __init__(self, n: int, idle_ms: int | None):
+        self.n, self.idle_ms = n, idle_ms
+
+    def init(self, handle) -> None:
+        self.turns = handle.getListState("turns", _TURNS, self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         import pandas as pd
 
-        old = state.get[0] if state.exists else []
-        rows = [tuple(x) for x in old]
-        for frame in frames:
-            rows += list(zip(frame.turn.astype(int), frame.role, frame.text))
-        rows = sorted(rows)[-n:]
-        state.update((rows,))
-        yield pd.DataFrame({"conv_id": [key[0]] * len(rows), "turn": [r[0] for r in rows], "role": [r[1] for r in rows], "text": [r[2] for r in rows]})
+        kept = [tuple(x) for x in self.turns.get()] if self.turns.exists() else []
+        for frame in rows:
+            kept += list(zip(frame.turn.astype(int).tolist(), frame.role, frame.text))
+        kept = sorted(set(kept), key=lambda x: tuple((v is not None, v or "") if i else v for i, v in enumerate(x)))[-self.n :]
+        self.turns.put(kept)
+        yield pd.DataFrame({"conv_id": [key[0]] * len(kept), "turn": [x[0] for x in kept], "role": [x[1] for x in kept], "text": [x[2] for x in kept]})
+
+    def close(self) -> None:
+        pass
+
+
+def history(messages: DataFrame, n: int = 20, idle_seconds: float | None = None) -> DataFrame:
+    """Of a stream (conv_id, turn, role, text): after each batch the last n turns of the conversations it touched; a turn that comes again counts once.
+
+    A conversation without a new turn for idle_seconds is forgotten. The session is set to the state store that this needs."""
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    processor = _LastTurns(n, None if idle_seconds is None else int(1000 * idle_seconds))
+    rows = messages.select("conv_id", "turn", "role", "text").groupBy("conv_id")
+    return rows.transformWithStateInPandas(processor, f"conv_id long, {_TURNS}", "Update", "None" if idle_seconds is None else "ProcessingTime")
+
+
+def keep_history(messages: DataFrame, checkpoint: str, n: int = 20, idle_seconds: float | None = None):
+    """A query that keeps the conversations of a stream in the state below a checkpoint.
+
+    It is started with all that is there and ends with it, or with idle_seconds, which need the clock, runs until it is stopped."""
+    writer = history(messages, n, idle_seconds).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if idle_seconds is None else writer.trigger(processingTime="1 second")).start()
+
 
-    out, held = "conv_id long, turn long, role string, text string", "turns array<struct<turn: long, role: string, text: string>>"
-    return messages.groupBy("conv_id").applyInPandasWithState(keep, out, held, "update", "NoTimeout")
+def kept_history(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(conv_id, turn, role, text): the conversations that a query has in its state."""
+    rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "turns").load()
+    turn = "list_element.value.*" if "value" in rows.select("list_element.*").columns else "list_element.*"  # with the time at which it is forgotten
+    return rows.select(F.col("key.conv_id").alias("conv_id"), turn)
 
 
 def fresh(rows: DataFrame, cached: DataFrame, key: list[str], days: int, fetched: str = "fetched_at") -> DataFrame:

@@ -344,6 +344,33 @@ def test_history_stream(spark, tmp_path):
     assert sorted((r.conv_id, r.turn) for r in spark.table("history").collect()) == [(1, i) for i in range(25, 30)] + [(2, 0)]
 
 
+def test_history_state_after_restarts(spark, tmp_path):
+    """Turns come in several runs, out of order and twice; the state holds the last of each conversation."""
+    schema, state = "conv_id long, turn long, role string, text string", str(tmp_path / "c")
+    for batch in ([(1, i, "user", f"t{i}") for i in range(9)], [(1, 3, "user", "t3"), (2, 0, "user", None), (1, 8, "user", "t8")], [(2, 1, "assistant", "b"), (1, 10, "user", "t10")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+        streams.keep_history(spark.readStream.schema(schema).parquet(str(tmp_path / "m")), state, 4).awaitTermination()
+    found = sorted((r.conv_id, r.turn, r.role, r.text) for r in streams.kept_history(spark, state).collect())
+    assert found == [(1, 6, "user", "t6"), (1, 7, "user", "t7"), (1, 8, "user", "t8"), (1, 10, "user", "t10"), (2, 0, "user", None), (2, 1, "assistant", "b")]
+
+
+def test_idle_conversations_are_forgotten(spark, tmp_path):
+    import time
+
+    schema = "conv_id long, turn long, role string, text string"
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    put((1, 0, "user", "old"), (2, 0, "user", "old"))
+    query = streams.keep_history(spark.readStream.schema(schema).parquet(str(tmp_path / "m")), str(tmp_path / "c"), 5, 6.0)
+    try:
+        time.sleep(20)
+        put((1, 1, "user", "new"))
+        time.sleep(5)
+    finally:
+        query.stop()
+    assert [(r.conv_id, r.turn) for r in streams.kept_history(spark, str(tmp_path / "c")).filter("turn > 0").collect()] == [(1, 1)]
+    assert streams.kept_history(spark, str(tmp_path / "c")).filter("turn = 0").count() == 0
+
+
 def test_token_stream(spark):
     lines = [(1, 0, 'data: {"choices":[{"delta":{"content":"Ja"}}]}'), (1, 1, "data: oops"), (1, 2, 'data: {"choices":[{"delta":{"content":"!"}}]}'), (1, 3, "data: [DONE]"), (1, 4, 'data: {"choices":[{"delta":{"content":"x"}}]}'), (1, 5, ": ping")]
     rows = spark.createDataFrame(lines, "stream int, ord int, line string")
