@@ -17,7 +17,7 @@ source has the whole number of its parts for good, and the fractions that are
 left make up some free slots, fewer than there are sources. The period schedules
 the free slots like a source of their own. Which source gets the next free slot
 is one more Pfair schedule, by the exact fractions, which doesn't repeat: it has
-one entry for each free slot that the mixture comes to, a few in 2 ** 18 slots.
+one entry for each free slot that the mixture comes to, a few in 2 ** 16 slots.
 So no weight is rounded, and a source is less than one unit off by its whole
 parts, less than one by its fractions, and less than one by the free slots:
 together less than three units, and with four units to a block less than one
@@ -51,7 +51,7 @@ from pyspark.sql.window import Window as W
 #: Documents that are scheduled together, four of which are a block; documents in a hash bucket, about; buckets in a stretch; power of a source's size that gives its weight.
 UNIT, BUCKET_ROWS, STRETCH, POWER = 4, 2000, 1024, 0.5
 #: Slots of a period for weights without a small common denominator.
-PARTS = 1 << 18
+PARTS = 1 << 16
 
 
 def _key() -> Column:
@@ -105,15 +105,15 @@ class Schedule:
 def schedules(weights: list[int], units: list[int]) -> tuple[int, list[Schedule]]:
     """The length of a period and each source's schedule, for its number of units. weights: whole numbers."""
     total = sum(weights)
+    # So many slots go by before every source has had its units; of a period only what comes before is needed.
+    last = max([-(-(n + 3) * total // w) for n, w in zip(units, weights) if w], default=0)
     if total <= PARTS:
-        slots = in_turn(weights, total)
-        return max(1, total), [Schedule(q, own, n if q else 0) for q, own, n in zip(weights, slots, units)]
+        slots = in_turn(weights, min(total, last))
+        return max(1, total), [Schedule(q, own[:n], n if q else 0) for q, own, n in zip(weights, slots, units)]
     parts, rest = [w * PARTS // total for w in weights], [w * PARTS % total for w in weights]
     free = sum(rest) // total
     *slots, between = in_turn([*parts, free], PARTS)
-    # So many free slots go by before every source has had its units.
-    last = max(-(-n * total // w) for n, w in zip(units, weights) if w)
-    turns = in_turn(rest, (last // PARTS + 2) * free) if free else [[] for _ in rest]
+    turns = in_turn(rest, (last // PARTS + 1) * free) if free else [[] for _ in rest]
     found = []
     for q, own, n, turn in zip(parts, slots, units, turns):
         schedule = Schedule(q, own)
@@ -123,6 +123,7 @@ def schedules(weights: list[int], units: list[int]) -> tuple[int, list[Schedule]
                 break  # its units have run out before this slot
             schedule.free.append(slot)
         schedule.regular = n - len(schedule.free) if q or schedule.free else 0
+        schedule.slots = own[: schedule.regular]
         found.append(schedule)
     return PARTS, found
 
