@@ -337,11 +337,12 @@ FROM p JOIN r USING (term) JOIN qt USING (term) CROSS JOIN st CROSS JOIN m GROUP
     "union_all_sources": "SELECT 'document' kind, doc_id id, source, length(text) n_chars FROM documents UNION ALL SELECT 'benchmark', item_id, NULL, length(text) FROM benchmark",
 }
 
-SQL["engine_search"] = SQL["concat_fusion_rerank"].replace("SELECT id, qtype, rank, round(score_norm, 5) score_norm, rerank FROM n ORDER BY", "SELECT id, qtype, round(score_norm, 5) hit_score_norm, rerank score, source FROM n ORDER BY").replace("SELECT m.*, round", "SELECT m.*, source, round")
+# The engine's vector scores aren't rounded before they are normalised.
+SQL["engine_search"] = SQL["concat_fusion_rerank"].replace("SELECT id, rank, score, 'dense' FROM dn", "SELECT id, rank, exact, 'dense' FROM dn").replace("SELECT id, qtype, rank, round(score_norm, 5) score_norm, rerank FROM n ORDER BY", "SELECT id, qtype, round(score_norm, 5) hit_score_norm, rerank score, source FROM n ORDER BY").replace("SELECT m.*, round", "SELECT m.*, source, round")
 _SOME = "sel AS (SELECT doc_id FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3', 'src4', 'src5') AND n_chars BETWEEN 100 AND 20000 AND doc_id >= 10)"
 _RERANK = "round(len(list_intersect(['thing', 'of', 'ertion'], " + _TOK.format("concat_ws('. ', source, coalesce(text, ''))") + ")) / 3.0, 6)"
 SQL["filtered_search"] = (
-    f"WITH {_MEAN}, {_SOME}, {_bm25_sql(_ONE)}, fh AS (SELECT hits.* FROM hits JOIN sel USING (doc_id)), sp AS (SELECT doc_id id, rank, score FROM (" + _TOP.format("fh", 50) + ")), dn AS (SELECT vec_id id, rank, score FROM (" + _near("mq", "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM sel))", 10) + ")), "
+    f"WITH {_MEAN}, {_SOME}, {_bm25_sql(_ONE)}, fh AS (SELECT hits.* FROM hits JOIN sel USING (doc_id)), sp AS (SELECT doc_id id, rank, score FROM (" + _TOP.format("fh", 50) + ")), dn AS (SELECT vec_id id, rank, exact AS score FROM (" + _near("mq", "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM sel))", 10) + ")), "
     + "c AS (SELECT id, rank, score, 'sparse' qtype FROM sp UNION ALL SELECT id, rank, score, 'dense' FROM dn), m AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END score_norm FROM c WINDOW w AS (PARTITION BY qtype)) "
     + f"SELECT id, qtype, round(m.score, 6) hit_score, {_RERANK} score, source FROM m LEFT JOIN documents ON id = doc_id ORDER BY 4 DESC, score_norm, qtype DESC, rank LIMIT 60"
 )
