@@ -290,13 +290,13 @@ def pages_to_fetch(spark, sf):
 
 
 def fetched_pages(spark, sf):
-    """Pages fetched through a cache in two runs from a recording that has some missing and some with an error: the second run asks again for these only."""
+    """Pages fetched through a cache in two runs from a recording that has some missing and some with an error: the second run asks again for these only. Of an address's pages the first counts."""
     pages = table(spark, sf, "pages")
     status = F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
-    said = pages.filter("page_id % 7 <> 0").select("url", status.alias("status"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"))
+    said = pages.filter("page_id % 7 <> 0").select("page_id", "url", status.alias("status"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"))
     urls, cache = pages.select("url"), new_folder(spark, "cache")
-    fetching.fetch_cached(urls.join(pages.filter("page_id % 2 = 0").select("url"), "url", "left_semi"), cache, 31, fetching.recorded(said))
-    found = fetching.fetch_cached(urls, cache, 31, fetching.recorded(said))
+    fetching.fetch_cached(urls.join(pages.filter("page_id % 2 = 0").select("url"), "url", "left_semi"), cache, 31, fetching.recorded(said, "page_id"))
+    found = fetching.fetch_cached(urls, cache, 31, fetching.recorded(said, "page_id"))
     return found.select("url", F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("error", F.lit("")).alias("error"), "from_cache", F.coalesce(F.length("text"), F.lit(-1)).cast("long").alias("n_chars"))
 
 

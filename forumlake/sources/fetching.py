@@ -63,11 +63,15 @@ def fetch(urls: DataFrame, transport: Transport = http, timeout: float = TIMEOUT
     return urls.select("url").filter("url IS NOT NULL").distinct().mapInArrow(ask, PAGE)
 
 
-def recorded(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A fetcher from pages that were fetched before (url, status, body): addresses without one are errors."""
+def recorded(pages: DataFrame, order: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A fetcher from pages that were fetched before (url, status, body): addresses without one are errors.
+
+    Of several of one address it is the first by a column's order, ties and no column by status and body, so that every run gives the same."""
+    by = F.struct(*([order] if order else []), "status", "body")
+    first = pages.groupBy("url").agg(F.min(by).alias("p")).select("url", "p.status", "p.body")
 
     def ask(urls: DataFrame) -> DataFrame:
-        found = urls.select("url").filter("url IS NOT NULL").distinct().join(pages.dropDuplicates(["url"]), "url", "left")
+        found = urls.select("url").filter("url IS NOT NULL").distinct().join(first, "url", "left")
         good = F.col("status").between(200, 299)
         error = F.when(F.col("status").isNull(), F.lit("not recorded")).when(~good, F.concat(F.lit("status "), F.col("status").cast("string")))
         return found.select("url", F.col("status").cast("int").alias("status"), F.when(good, F.decode("body", "UTF-8")).alias("text"), error.alias("error"), F.current_timestamp().alias("fetched_at"))

@@ -106,3 +106,11 @@ def test_web_transport_of_a_local_server():
     base = f"http://127.0.0.1:{server.server_port}"
     assert fetching.http(base + "/x", 5) == (200, "Grüße".encode()) and fetching.http(base + "/no", 5)[0] == 404
     server.shutdown()
+
+
+def test_recording_with_several_pages_of_an_address(spark):
+    said = spark.createDataFrame([(9, "u", 404, b"n"), (4, "u", 200, b"b"), (2, "u", 200, b"a"), (8, "w", 200, b"z"), (1, "w", 404, b"y")], "n int, url string, status int, body binary")
+    asked_for = spark.createDataFrame([("u",), ("w",), ("x",)], "url string")
+    for rows in (said.coalesce(1), said.orderBy("n").coalesce(1), said.repartition(5)):
+        found = {r.url: (r.status, r.text) for r in fetching.recorded(rows, "n")(asked_for).collect()}
+        assert found == {"u": (200, "a"), "w": (404, None), "x": (None, None)}
