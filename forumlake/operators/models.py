@@ -21,7 +21,9 @@ DIMENSION = 384
 
 
 def hashed_encoder(text: Column, dimension: int = DIMENSION) -> Column:
-    """Unit vectors of signed hashed words: hashed by built-in functions, counted an Arrow batch at a time."""
+    """Unit vectors of signed hashed words: hashed by built-in functions, counted an Arrow batch at a time.
+
+    Where all signs cancel out, words count without them, so that only a text without words has a zero vector."""
 
     @F.pandas_udf("array<float>")
     def counted(hashes: pd.Series) -> pd.Series:
@@ -29,6 +31,8 @@ def hashed_encoder(text: Column, dimension: int = DIMENSION) -> Column:
         for h in hashes:
             h = np.asarray(h, dtype=np.int64)
             v = np.bincount(h % dimension, weights=np.where(h > 0, 1.0, -1.0), minlength=dimension)
+            if not v.any():
+                v = np.bincount(h % dimension, minlength=dimension)
             out.append((v / (np.linalg.norm(v) or 1.0)).astype(np.float32))
         return pd.Series(out)
 

@@ -166,6 +166,13 @@ def test_models(spark):
     assert vectors.nearest(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>"), spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, query array<double>"), 1).first().vec_id == 1
 
 
+def test_words_whose_signs_cancel_out(spark):
+    near = spark.range(400).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w")).withColumn("h", F.xxhash64("w")).filter(F.pmod("h", F.lit(16)) == 3)
+    pair = f"{near.filter('h > 0').first().w} {near.filter('h < 0').first().w}"
+    found = spark.createDataFrame([(pair,)], "text string").select(models.hashed_encoder(F.col("text"), 16).alias("v")).first().v
+    assert abs(sum(x * x for x in found) - 1) < 1e-5
+
+
 def test_engine(spark, tmp_path):
     import pytest
 
