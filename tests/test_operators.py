@@ -382,3 +382,33 @@ def test_token_stream(spark):
     lines = [(1, 0, 'data: {"choices":[{"delta":{"content":"Ja"}}]}'), (1, 1, "data: oops"), (1, 2, 'data: {"choices":[{"delta":{"content":"!"}}]}'), (1, 3, "data: [DONE]"), (1, 4, 'data: {"choices":[{"delta":{"content":"x"}}]}'), (1, 5, ": ping")]
     rows = spark.createDataFrame(lines, "stream int, ord int, line string")
     assert streams.stream_text(rows).first().text == "Ja!"
+
+
+def test_pages_at_a_time(spark):
+    """Plain and odd pages give the same elements, whichever parser reads them, and rows are handed on before a batch is through."""
+    from forumlake.sources import pages
+
+    for source in ("<p>a<p class='b c'>d &amp; e", "<table><tr><td>x<td data-label=y>z</table>", "<a href=\"q?a=1&amp;b=2\" title>t</a>", "<li>1<li>2<ul><li>3</ul>", "a<br>b</p>c"):
+        plain, lenient = pages._plain(source), pages._Builder()
+        lenient.feed(source)
+        lenient.close()
+        shape = lambda x: (x.tag, x.attributes, x.classes(), [c if isinstance(c, str) else shape(c) for c in x.children], [y.tag for y in x.walk()])
+        assert shape(plain.open[0]) == shape(lenient.open[0])
+    assert pages._plain("<a href='x>y'>") is None and pages._plain("1 < 2") is None and pages._plain("<script>a</script>") is None
+    sizes = []
+
+    class Batch:
+        def __init__(self, frame):
+            self.dtypes, self.sparkSession = frame.dtypes, frame.sparkSession
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pydict({"page_id": range(4), "url": ["u"] * 4, "html": ["<b>" + "x" * pages.AT_ONCE] * 3 + [None]})
+            sizes.extend(x.num_rows for x in run(iter([batch])))
+
+    pages.rows_of(Batch(spark.createDataFrame([], "page_id long, url string, html string")), lambda page: [(1, x.text()) for x in page.find("b")], "n int, t string")
+    assert sizes == [1, 1, 1, 0]
