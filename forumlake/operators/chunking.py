@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 
+#: Characters of the chunks that are handed on together, about.
+AT_ONCE = 1 << 20
+
 
 def spans(n: int, find_end, window: int, least: int, overlap: int) -> Iterator[tuple[int, int]]:
     """Spans over n characters; find_end(a, b) gives the place of the last sentence end in them or -1."""
@@ -30,21 +34,29 @@ def by_characters(docs: DataFrame, window: int = 1200, least: int = 600, overlap
 
     A window ends before the last ". " if that is at least `least` characters in;
     the next begins `overlap` before the end. How far depends on the text before,
-    so the loop runs in Python, an Arrow batch at a time.
+    so the loop runs in Python. Chunks are handed on AT_ONCE characters at a time,
+    so that a task holds no more than a batch and these.
     """
 
-    def cut(frames):
-        import pandas as pd
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["doc_id", "chunk", "char_start", "char_end", "text"])
 
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame.doc_id, frame.text):
-                for i, (a, b) in enumerate(spans(len(text), lambda x, y: text.rfind(". ", x, y), window, least, overlap)):
+        for batch in batches:
+            rows, size = [], 0
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                doc_id, text = doc_id.as_py(), text.as_py()
+                for i, (a, b) in enumerate(spans(len(text), lambda x, y: text.rfind(". ", x, y), window, least, overlap)):  # noqa: B023
                     rows.append((doc_id, i, a, b, text[a:b].strip()))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "char_start", "char_end", "text"])
+                    size += b - a
+                    if size >= AT_ONCE:
+                        yield handed(rows)
+                        rows, size = [], 0
+            yield handed(rows)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(collapse(F.col("text")), F.lit("")).alias("text"))
-    return texts.mapInPandas(cut, "doc_id long, chunk int, char_start int, char_end int, text string")
+    return texts.mapInArrow(cut, "doc_id long, chunk int, char_start int, char_end int, text string")
 
 
 def by_sentences(text: Column, budget: int = 500, carried: int = 8) -> Column:

@@ -412,3 +412,43 @@ def test_pages_at_a_time(spark):
 
     pages.rows_of(Batch(spark.createDataFrame([], "page_id long, url string, html string")), lambda page: [(1, x.text()) for x in page.find("b")], "n int, t string")
     assert sizes == [1, 1, 1, 0]
+
+
+class _Recorded:
+    """Stands for a table: keeps the function that is handed to mapInArrow."""
+
+    def __init__(self, frame):
+        self.frame = frame
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.run = run
+        return self
+
+
+def test_chunks_are_handed_on_in_portions():
+    import pyarrow as pa
+    from unittest import mock
+
+    from forumlake.operators import chunking
+
+    docs = _Recorded(None)
+    with mock.patch.object(chunking, "F"), mock.patch.object(chunking, "collapse"):
+        chunking.by_characters(docs)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["ab. " * 500_000, "", "x"]})
+    parts = list(docs.run(iter([batch])))
+    assert len(parts) > 2 and max(sum(map(len, p.column("text").to_pylist())) for p in parts) <= chunking.AT_ONCE + 1200
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert rows[-1] == {"doc_id": 3, "chunk": 0, "char_start": 0, "char_end": 1, "text": "x"} and [r["chunk"] for r in rows[:-1]] == list(range(len(rows) - 1))
+
+
+def test_graph_without_gathering(spark):
+    """Items as rows give the graph of a roll-up, and no list of a proposal's items is made."""
+    items = spark.createDataFrame([(f"p{i % 4}", f"t{i % 9}", "n", f"m{i % 3}", None, "v", "2024-01-02") for i in range(14)] + [("alone", "t99", "n", "m", None, "v", None)], "referenzvorlage string, top_id string, name string, meeting string, vorlage_url string, vorlage string, meeting_date string")
+    some = proposals.referenced(items, 3)
+    for graph in (proposals.graph_nodes, proposals.graph_edges):
+        found = graph(some)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph(proposals.reference_rollup(items, 3)).collect()))
+        assert "collect_list" not in found._jdf.queryExecution().toString()
