@@ -74,11 +74,11 @@ def committee_rollup(spark, sf):
 
 
 def graph_nodes(spark, sf):
-    return proposals.graph_nodes(proposals.reference_rollup(_items(spark, sf), 3))
+    return proposals.graph_nodes(proposals.referenced(_items(spark, sf), 3))
 
 
 def graph_edges(spark, sf):
-    return proposals.graph_edges(proposals.reference_rollup(_items(spark, sf), 3))
+    return proposals.graph_edges(proposals.referenced(_items(spark, sf), 3))
 
 
 def typed_graph_edges(spark, sf):
