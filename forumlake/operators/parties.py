@@ -72,7 +72,8 @@ def exact(texts: DataFrame, aliases: DataFrame) -> DataFrame:
             finders.append((finder if canons else None, "/" if with_slash else " / "))
         for batch in batches:
             rows, found = [], []
-            for i, form in enumerate(batch.column("form").to_pylist()):
+            for i, form in enumerate(batch.column("form")):  # one text at a time is a Python object
+                form = form.as_py()
                 if form:
                     held = {c for finder, slash in finders if finder for _, own in finder.iter(f" {form} ".replace("/", slash)) for c in own}
                     rows += [i] * len(held)
