@@ -371,7 +371,7 @@ SQL = {
     "delta_events": "SELECT conv_id AS stream, turn::BIGINT ord, 'response.delta' AS type, text FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, 'response.completed', string_agg(text, '' ORDER BY turn) FROM conversations GROUP BY conv_id",
     "json_lines": "SELECT to_json(struct_pack(n_nationkey := n_nationkey, n_name := n_name, n_regionkey := n_regionkey))::VARCHAR AS value FROM nation",
     "pages_to_fetch": "SELECT page_id FROM pages WHERE page_id % 3 <> 1",
-    "fetched_pages": "WITH u AS (SELECT url, bool_or(page_id % 2 = 0) early, bool_or(page_id % 7 <> 0) AS known FROM pages GROUP BY url), p AS (SELECT url, any_value(CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END)::INTEGER status, any_value(length(coalesce(html, ''))) n FROM pages WHERE page_id % 7 <> 0 GROUP BY url) SELECT url, coalesce(status, 0)::INTEGER status, CASE WHEN status IS NULL THEN 'not recorded' WHEN status = 404 THEN 'status 404' ELSE '' END error, early AND coalesce(status = 200, false) from_cache, CASE WHEN status = 200 THEN n ELSE -1 END n_chars FROM u LEFT JOIN p USING (url)",
+    "fetched_pages": "WITH u AS (SELECT url, bool_or(page_id % 2 = 0) early, bool_or(page_id % 7 <> 0) AS known FROM pages GROUP BY url), p AS (SELECT url, (CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END)::INTEGER status, length(coalesce(html, '')) n FROM pages WHERE page_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, coalesce(html, '')) = 1) SELECT url, coalesce(status, 0)::INTEGER status, CASE WHEN status IS NULL THEN 'not recorded' WHEN status = 404 THEN 'status 404' ELSE '' END error, early AND coalesce(status = 200, false) from_cache, CASE WHEN status = 200 THEN n ELSE -1 END n_chars FROM u LEFT JOIN p USING (url)",
     "registered_functions": r"SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '…' ELSE text END snippet, substr(sha1(text), 1, 12) short, trim(regexp_replace(text, '[\s\x0B\x85\p{Z}]+', ' ', 'g')) clean FROM documents",
     "entity_files": "SELECT n_nationkey, n_name, n_regionkey region, '-' other FROM nation",
     "manifest_lines": "SELECT 's' || s_suppkey || '.pdf' file, 'https://x/' || s_suppkey url, '2024-01-01' retrieval_date FROM supplier",

@@ -114,3 +114,18 @@ def test_recording_with_several_pages_of_an_address(spark):
     for rows in (said.coalesce(1), said.orderBy("n").coalesce(1), said.repartition(5)):
         found = {r.url: (r.status, r.text) for r in fetching.recorded(rows, "n")(asked_for).collect()}
         assert found == {"u": (200, "a"), "w": (404, None), "x": (None, None)}
+
+
+def test_first_page_of_an_address_counts_in_sql_too(spark, tmp_path):
+    import duckdb
+
+    from forumlake.plans import records
+
+    rows = [(n, f"https://x/{n % 3}", "z" * n) for n in range(40, 0, -1)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    columns = ["url", "status", "error", "from_cache", "n_chars"]
+    found = sorted(tuple(r) for r in records.fetched_pages(spark, str(tmp_path)).select(*columns).collect())
+    assert found == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({records.SQL['fetched_pages']})").fetchall())
+    assert found == [("https://x/0", 200, "", True, 3), ("https://x/1", 200, "", True, 1), ("https://x/2", 200, "", True, 2)]
