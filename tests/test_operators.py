@@ -452,3 +452,29 @@ def test_graph_without_gathering(spark):
         found = graph(some)
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph(proposals.reference_rollup(items, 3)).collect()))
         assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_agenda_walks_a_row_a_few_times(monkeypatch):
+    row = (
+        '<tr><td class="tofnum"><span class="badge x">Ö 1</span><td><div class="smc-card-header-title-simple">a</div><td data-label="Vorlage"><a class="smc_datatype_vo" href="vo0050.asp?__kvonr=1">VO/1</a>'
+        '<td><div class="smc-doc-content"><a href="getfile.asp?id=1" title="Datei"></a></div><div class="smc-doc-content"><span class="smc-text-block"><a href="getfile.asp?id=2">zwei</a></span></div><div class="smc-doc-content"><a href="x.asp">nein</a></div></td></tr>'
+    )
+    source = '<table id="smc_page_si0057_contenttable2">' + row * 50 + "</table>"
+    seen, walk = [], pages.Element.walk
+    monkeypatch.setattr(pages.Element, "walk", lambda x: seen.append(x) or walk(x))
+    rows = pages._agenda(pages.parse(source))
+    assert len(rows) == 50 and rows[49] == (49, "Ö 1", "a", None, None, None, "VO/1", "vo0050.asp?__kvonr=1", [{"href": "getfile.asp?id=1", "label": "Datei"}, {"href": "getfile.asp?id=2", "label": "zwei"}])
+    assert len(seen) <= 9 * 50
+
+
+def test_pages_leave_no_cycles():
+    import gc
+
+    gc.collect()
+    gc.disable()
+    try:
+        for source in ("<table><tr><td>a<td><a href=b>c</a></table>", "1 < 2 <script>x</script><p>a<p>b"):
+            pages.parse(source).page.clear()
+        assert not any(isinstance(x, pages.Element) for x in gc.get_objects())
+    finally:
+        gc.enable()
